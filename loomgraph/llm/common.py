@@ -65,3 +65,37 @@ def literal_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
 def text_key(doc_id: str, text: str) -> Column:
     """Rows with the same id and text share a key, and, as results depend on the text alone, a result."""
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+#: Rows that a text function gets at once, so that few long texts are in memory together.
+SLICE_ROWS = 256
+
+
+def map_texts(df: DataFrame, make, new: list[tuple[str, str]], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """Runs a function over whole texts in Arrow batches; columns of df pass through, but for those that bear a new name.
+
+    make() is called once in each task and gives a function from a list of texts (None for null) to one list for each new
+    column. new has names and DDL types.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names = {n for n, _ in new}
+    kept = [f for f in df.schema.fields if f.name not in names and (keep_text or f.name != text)]
+    schema = T.StructType([*kept, *T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in new)).fields])
+    arrow = to_arrow_schema(schema, prefers_large_types=False)
+    passed = [f.name for f in kept]
+
+    def run(batches):
+        import pyarrow as pa
+
+        f = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
+                made = f(batch.column(text).to_pylist())
+                columns = [batch.column(n).cast(arrow.field(n).type) for n in passed]
+                columns += [pa.array(v, type=arrow.field(n).type) for (n, _), v in zip(new, made, strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.select(*dict.fromkeys([*passed, text])).mapInArrow(run, schema)

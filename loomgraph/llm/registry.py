@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import license_scan, preference_format, url_filter
+from . import byte_bpe, decontaminate, license_scan, preference_format, url_filter
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_preference_format": preference_format.op3_preference_format,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
     "op2_license_scan": license_scan.OP2_SQL,
     "op3_preference_format": preference_format.OP3_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
