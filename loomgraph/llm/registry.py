@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, license_scan, pii, preference_format, simhash, url_filter
+from . import additive_ann, byte_bpe, decontaminate, license_scan, pii, preference_format, simhash, url_filter
 
 QUERIES = {
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_preference_format": preference_format.op3_preference_format,
+    "op4_additive_ann": additive_ann.op4_additive_ann,
     "op5_simhash": simhash.op5_simhash,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
