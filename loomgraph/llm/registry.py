@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import additive_ann, byte_bpe, decontaminate, license_scan, pii, preference_format, simhash, url_filter
+from . import additive_ann, byte_bpe, decontaminate, license_scan, maxent_lm, pii, preference_format, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_preference_format": preference_format.op3_preference_format,
     "op4_additive_ann": additive_ann.op4_additive_ann,
     "op5_simhash": simhash.op5_simhash,
+    "op6_maxent_lm": maxent_lm.op6_maxent_lm,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_pii": pii.op9_pii,
