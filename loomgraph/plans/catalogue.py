@@ -1,7 +1,10 @@
-"""Named queries over the driver tables, each with the SQL that checks it."""
+"""Named queries over the driver tables, each with the SQL that checks it where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import graph_queries, inference_queries
+
+_PARTS = (graph_queries, inference_queries)
+QUERIES = {k: q for p in _PARTS for k, q in p.QUERIES.items()}
+ORACLES = {k: q for p in _PARTS for k, q in p.ORACLES.items()}
 FLAGSHIP = "motif_census"
