@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import normal_label
 
@@ -85,8 +84,9 @@ def parse_agent_sheets(docs: DataFrame) -> DataFrame:
     """Markdown sheets (g, text) -> (g, number, role, description): ``### Sample N: role`` up to ``**Decision Structure:**``."""
     pattern = r"(?s)### Sample (\d+):\s*([^\n]+)\n(.*?)\*\*Decision Structure:\*\*"
     found = lambda i: F.regexp_extract_all("text", F.lit(pattern), F.lit(i))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
     rows = docs.select("g", F.explode(F.arrays_zip(found(1).alias("number"), found(2).alias("role"), found(3).alias("description"))).alias("x"))
-    return rows.select("g", F.col("x.number").cast("int").alias("number"), F.trim("x.role").alias("role"), F.trim("x.description").alias("description"))
+    return rows.select("g", F.col("x.number").cast("int").alias("number"), strip(F.col("x.role")).alias("role"), strip(F.col("x.description")).alias("description"))
 
 
 def write_library(members: DataFrame, path: str) -> None:
@@ -122,5 +122,3 @@ def library_summary(members: DataFrame) -> DataFrame:
     """(motif_type, grp, instances), by type, the largest first."""
     return members.groupBy(F.substring_index("grp", "_", 1).alias("motif_type"), "grp").agg(F.count("*").alias("instances")).orderBy("motif_type", F.desc("instances"), "grp")
 
-
-SCHEMA = T.StructType().add("g", T.StringType()).add("text", T.StringType())
