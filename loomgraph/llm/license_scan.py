@@ -14,12 +14,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, ascii_lower, literal_rows, table, text_key
+from .common import WORD_PATTERN, ascii_lower, literal_rows, materialize, table, text_key
 
 THRESHOLD = 0.85
 #: Words of a block at most; templates may have half as many, so that some window holds each place whole.
@@ -63,26 +65,28 @@ def _needed(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def text_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The words of each line that has any."""
-    lines = docs.select(key, F.explode(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n")).alias("line"))
-    return lines.select(key, words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+def vocabulary_of(templates: Sequence[Template]) -> list[str]:
+    return sorted({w for t in templates for w in t.words})
 
 
-def token_order(lines: DataFrame, vocabulary: Sequence[str]) -> list[str]:
-    """The templates' words, those that are rarest in all texts first; as many as the templates have."""
-    own = lines.select(F.explode(F.filter("words", lambda w: w.isin(list(vocabulary)))).alias("word"))
-    counts = {r["word"]: r["count"] for r in own.groupBy("word").count().collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+def token_order(own: DataFrame, templates: Sequence[Template]) -> list[str]:
+    """The templates' words, those that are rarest in all texts first, from own(own), each text's words that templates have."""
+    counts = {r["word"]: r["count"] for r in own.select(F.explode("own").alias("word")).groupBy("word").count().collect()}
+    return sorted(vocabulary_of(templates), key=lambda w: (counts.get(w, 0), w))
 
 
-def find_templates(docs: DataFrame, templates: Sequence[Template], key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def _holds_any(lowered: Column, words: Sequence[str]) -> Column:
+    """Cheaper than splitting into words, and true wherever one of these words stands."""
+    found = F.lit(False)
+    for w in words:
+        found |= F.contains(lowered, F.lit(w))
+    return found
+
+
+def find_templates(docs: DataFrame, templates: Sequence[Template], order: Sequence[str], key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Every (key, label, containment) of a block that holds at least threshold of a template's words; the largest of each label."""
     if any(len(t.words) > WINDOW // 2 for t in templates):
         raise ValueError(f"a template has more than {WINDOW // 2} words")
-    lines = text_lines(docs, key, text)
-    vocabulary = sorted({w for t in templates for w in t.words})
-    order = token_order(lines, vocabulary)
     rank = {w: i for i, w in enumerate(order)}
     index = []
     for n, t in enumerate(templates):
@@ -91,12 +95,15 @@ def find_templates(docs: DataFrame, templates: Sequence[Template], key: str, tex
         index += [{"rank": r, "at": i, "template": n, "label": t.label, "size": len(ranks), "need": need, "ranks": ranks} for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     index_df = literal_rows(docs.sparkSession, index)
     least = min(x["need"] for x in index)
+    # a pair shares a word that is in a template's prefix, so texts and lines without any are done with
+    prefixes = [order[r] for r in sorted({x["rank"] for x in index})]
 
+    lowered = docs.select(key, ascii_lower(F.coalesce(text, F.lit(""))).alias("low")).where(_holds_any(F.col("low"), prefixes))
+    lines = lowered.select(key, F.explode(F.split("low", "\n")).alias("line")).where(_holds_any(F.col("line"), prefixes)).select(key, words_of(F.col("line")).alias("words"))
     size = F.size("words")
     windows = F.when(size <= WINDOW, F.array(F.col("words"))).otherwise(F.transform(F.sequence(F.lit(0), size - WINDOW // 2 - 1, F.lit(WINDOW // 2)), lambda s: F.slice("words", s + 1, WINDOW)))
-    own = F.array_sort(F.array_distinct(F.transform(F.filter("block", lambda w: w.isin(order)), lambda w: F.array_position(F.array(*map(F.lit, order)), w) - 1)).cast("array<int>"))
-    blocks = lines.where(F.size(F.filter("words", lambda w: w.isin(order))) >= least).select(key, F.explode(windows).alias("block"))
-    blocks = blocks.select(key, own.alias("held")).where(F.size("held") >= least)
+    own = F.array_sort(F.array_distinct(F.transform(F.filter("block", lambda w: w.isin(list(order))), lambda w: F.array_position(F.array(*map(F.lit, order)), w) - 1)).cast("array<int>"))
+    blocks = lines.select(key, F.explode(windows).alias("block")).select(key, own.alias("held")).where(F.size("held") >= least)
     held = F.size("held")
     first = blocks.select(key, "held", F.posexplode(F.slice("held", 1, held - least + 1)).alias("pos", "rank"))
     if len(templates) <= BROADCAST_TEMPLATES:
@@ -124,13 +131,16 @@ def phrase_starts(words: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs(doc_id, text)."""
     docs = docs.select("doc_id", "text", text_key("doc_id", "text").alias("__key"))
-    found = find_templates(docs, templates, "__key", "text", threshold)
-    found = found.groupBy("__key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
-    base = docs.withColumn("words", words_of(ascii_lower(F.coalesce("text", F.lit("")))))
-    base = base.withColumns({f"at_{n}": phrase_starts(F.col("words"), p) for n, (_, p) in enumerate(phrases)})
+    base = docs.withColumn("low", ascii_lower(F.coalesce("text", F.lit("")))).withColumn("words", words_of(F.col("low")))
+    places = [F.when(reduce(and_, (F.contains("low", F.lit(w)) for w in p.split())), phrase_starts(F.col("words"), p)) for _, p in phrases]
+    base = base.select("doc_id", "__key", "words", *(F.coalesce(x, F.array().cast("array<bigint>")).alias(f"at_{n}") for n, x in enumerate(places)))
     starts = F.flatten(F.array(*(F.col(f"at_{n}") for n in range(len(phrases)))))
     labels = F.array(*(F.when(F.size(f"at_{n}") > 0, F.lit(label)) for n, (label, _) in enumerate(phrases)))
-    base = base.select("doc_id", "__key", F.size("words").cast("long").alias("n_words"), starts.alias("starts"), F.array_distinct(F.array_compact(labels)).alias("base"))
+    own = F.filter("words", lambda w: w.isin(vocabulary_of(templates)))
+    base = base.select("doc_id", "__key", F.size("words").cast("long").alias("n_words"), starts.alias("starts"), F.array_distinct(F.array_compact(labels)).alias("base"), own.alias("own"))
+    base = materialize(base, "license-words")
+    found = find_templates(docs, templates, token_order(base, templates), "__key", "text", threshold)
+    found = found.groupBy("__key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     result = base.join(found, "__key", "left")
     return result.select(
         "doc_id",
