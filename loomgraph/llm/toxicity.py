@@ -1,6 +1,6 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel, approximated through Nyström landmarks.
 
-The kernel compares words by the subsequences of three characters that they share, within a span of ``SPAN`` characters, each gap
+The kernel compares words by the subsequences of three and four characters that they share, within a span of ``SPAN`` characters, each gap
 costing a factor ``DECAY``; a word's start counts as a character. So an insult with characters put in, or with another ending,
 stays near its plain form. Characters that are neither letters nor digits are taken out of words before, and a run of single
 letters is read as one word. Words
@@ -22,6 +22,7 @@ of any length are scored whole; further columns pass through unless they bear th
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter
 from functools import lru_cache
@@ -32,23 +33,27 @@ from pyspark.sql import functions as F
 
 from .common import in_training, map_texts, table
 
-MAX_TOXIC = 1500
-MAX_CLEAN = 5000
+MAX_TOXIC = 1200
+MAX_CLEAN = 4000
 SPAN = 5
 DECAY = 0.6
-LANDMARKS = 360
-ROUNDS = 4
+LANDMARKS = 700
+ROUNDS = 3
 THRESHOLD = 0.7
 #: Decision values below count as this.
 FLOOR = -1.5
-REFINE = -0.9
 #: Witnesses of which forms with a character put in are learnt too.
 VARIED = 200
+#: Sum of the weights of errors on either side.
+COST = 4000.0
 #: Added to a word's squared norm, so that short words, of few subsequences, resemble nothing much.
 SHORT = 1.5
 SYMBOLS = 64
 START = 63
-_PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
+#: Offsets of a subsequence's further characters: three characters, or four, within SPAN.
+_PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)] + [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
+#: Weights of three characters have a place each, those of four share FOURS places by a hash.
+THREES, FOURS = SYMBOLS**3, 1 << 20
 _SPELLED = re.compile(r"(?<!\w)(?:\w[\W_]{1,2}){3,}\w(?!\w)")
 
 
@@ -73,29 +78,40 @@ def _symbol_table():
 _TABLE: list = []
 
 
-def symbols(text: str):
-    """Symbols of the lower-cased text: each word behind a START."""
+def symbols(text: str, spelled: bool = True):
+    """Symbols of the lower-cased text: each word behind a START; with ``spelled``, runs of single letters as one word."""
     import numpy as np
 
     if not _TABLE:
         _TABLE.append(_symbol_table())
-    text = _SPELLED.sub(lambda m: re.sub(r"[\W_]", "", m[0]), text.lower())
+    text = _SPELLED.sub(lambda m: re.sub(r"[\W_]", "", m[0]), text.lower()) if spelled else text.lower()
     points = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), "<u4")
     s = _TABLE[0][np.where(points < 0x10000, points, 0)]
     return s[s != 255]
 
 
+def _gap(p: tuple) -> float:
+    return DECAY ** (p[-1] - len(p))
+
+
+def _codes(wide, p: tuple):
+    """Place of the subsequence that begins at each symbol."""
+    n = len(wide) - p[-1]
+    code = (wide[:n] * SYMBOLS + wide[p[0] : n + p[0]]) * SYMBOLS + wide[p[1] : n + p[1]]
+    return code if len(p) == 2 else THREES + (((code * SYMBOLS + wide[p[2] : n + p[2]]) * 40503 >> 4) & (FOURS - 1))
+
+
 def norms(longest: int):
     """Norm before scaling, by the number of symbols of a word, its start included, for words without repeats; with repeats it is larger."""
     import numpy as np
 
     n = np.arange(longest + 1)
-    total = sum(np.maximum(n - b, 0) * DECAY ** (2 * (b - 2)) for _, b in _PATTERNS)
+    total = sum(np.maximum(n - p[-1], 0) * _gap(p) ** 2 for p in _PATTERNS)
     return np.sqrt(np.maximum(total, 1e-9) + SHORT)
 
 
-def word_values(s, weights, bias: float):
-    """Decision value of each word of the symbols s; one that is below REFINE for a word without repeats is left at that."""
+def word_values(s, weights, bias: float, refine: float = -0.25):
+    """Decision value of each word of the symbols s; one that is below ``refine`` for a word without repeats is left at that."""
     import numpy as np
 
     starts = np.flatnonzero(s == START)
@@ -103,16 +119,15 @@ def word_values(s, weights, bias: float):
         return np.zeros(0)
     word = np.cumsum(s == START) - 1
     total = np.zeros(len(s), "f4")
-    wide = s.astype("i4")
-    for a, b in _PATTERNS:
-        if len(s) > b:
-            same = word[b:] == word[:-b]
-            code = (wide[:-b] * SYMBOLS + wide[a : len(s) - b + a]) * SYMBOLS + wide[b:]
-            total[:-b] += np.where(same, weights[code], 0) * DECAY ** (b - 2)
+    wide = s.astype("i8")
+    for p in _PATTERNS:
+        if len(s) > p[-1]:
+            same = word[p[-1] :] == word[: -p[-1]]
+            total[: -p[-1]] += np.where(same, weights[_codes(wide, p)], 0) * np.float32(_gap(p))
     size = np.bincount(word)
     values = np.bincount(word, weights=total) / norms(int(size.max()))[size] + bias
     # repeats make the true norm larger, and so a positive sum's value smaller
-    for i in np.flatnonzero(values > REFINE):
+    for i in np.flatnonzero(values > refine):
         c, v = _features_of(s[starts[i] : starts[i] + size[i]].tobytes())
         values[i] = float(weights[c] @ v) + bias
     return values
@@ -127,12 +142,12 @@ def features(word: str):
 def _features_of(raw: bytes):
     import numpy as np
 
-    s = np.frombuffer(raw, "u1").astype("i4")
+    s = np.frombuffer(raw, "u1").astype("i8")
     codes, values = [], []
-    for a, b in _PATTERNS:
-        if len(s) > b:
-            codes.append((s[:-b] * SYMBOLS + s[a : len(s) - b + a]) * SYMBOLS + s[b:])
-            values.append(np.full(len(s) - b, DECAY ** (b - 2)))
+    for p in _PATTERNS:
+        if len(s) > p[-1]:
+            codes.append(_codes(s, p))
+            values.append(np.full(len(s) - p[-1], _gap(p)))
     if not codes:
         return np.zeros(0, "i4"), np.zeros(0)
     c, at = np.unique(np.concatenate(codes), return_inverse=True)
@@ -144,15 +159,15 @@ def kernel(xs: list, landmarks: list):
     """Kernel values (words, landmarks) of words' features."""
     import numpy as np
 
-    where: dict[int, list[tuple[int, float]]] = {}
+    used = np.unique(np.concatenate([c for c, _ in landmarks])) if landmarks else np.zeros(0, "i8")
+    dense = np.zeros((len(used) + 1, len(landmarks)))
     for j, (c, v) in enumerate(landmarks):
-        for u, w in zip(c.tolist(), v.tolist(), strict=True):
-            where.setdefault(u, []).append((j, w))
-    out = np.zeros((len(xs), len(landmarks)))
+        dense[np.searchsorted(used, c), j] = v
+    place = np.full(THREES + FOURS, len(used), "i4")
+    place[used] = np.arange(len(used))
+    out = np.empty((len(xs), len(landmarks)))
     for i, (c, v) in enumerate(xs):
-        for u, w in zip(c.tolist(), v.tolist(), strict=True):
-            for j, x in where.get(u, ()):
-                out[i, j] += w * x
+        out[i] = v @ dense[place[c]]
     return out
 
 
@@ -164,13 +179,19 @@ def _svm(x, y, cost, rounds: int = 25):
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
+    loss = lambda w: w @ ridge @ w + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    now = loss(w)
     for _ in range(rounds):
         inside = y * (x @ w) < 1
         xi, ci = x[inside], cost[inside]
-        new = np.linalg.solve(ridge + xi.T @ (xi * ci[:, None]), xi.T @ (ci * y[inside]))
-        if np.abs(new - w).max() < 1e-6:
+        step = np.linalg.solve(ridge + xi.T @ (xi * ci[:, None]), xi.T @ (ci * y[inside])) - w
+        size, then = 1.0, loss(w + step)
+        while then > now and size > 1e-4:
+            size /= 2
+            then = loss(w + size * step)
+        if now - then < 1e-6 * now:
             break
-        w = new
+        w, now = w + size * step, then
     return w
 
 
@@ -188,25 +209,30 @@ def varied(word: str) -> list[str]:
     return [word[:at] + "xzqj7"[(h + at) % 5] + word[at:] for at in {1 + h % (len(word) - 1), 1 + (h // 7) % (len(word) - 1)}] if len(word) > 3 else []
 
 
-def _fit_machine(positive: list[str], negative: list[str], cost_positive):
+def _fit_machine(positive: list[str], negative: list[str], cost_positive, cost_negative):
     import numpy as np
 
     more = [(v, c / 2) for w, c in zip(positive[:VARIED], cost_positive[:VARIED], strict=True) for v in varied(w)]
     positive, cost_positive = positive + [v for v, _ in more], [*cost_positive, *(c for _, c in more)]
 
-    # of clean words those at the front, which are the hardest, and some of all
-    third = LANDMARKS // 3
-    marks = list(dict.fromkeys(positive[:: max(1, len(positive) // third)][:third] + negative[:third] + negative[:: max(1, len(negative) // third)][:third]))
+    # of either side those at the front, which are the most frequent or the hardest, and some of the rest
+    marks = []
+    for words in (positive, negative):
+        front = LANDMARKS * 3 // 8
+        rest = words[front:]
+        marks += words[:front] + rest[:: max(1, len(rest) // (LANDMARKS // 8))][: LANDMARKS // 8]
+    marks = list(dict.fromkeys(marks))
     fm = [features(w) for w in marks]
     values, vectors = np.linalg.eigh(kernel(fm, fm))
-    kept = values > 1e-6
+    kept = values > 1e-4 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])
     x = kernel([features(w) for w in positive + negative], fm) @ root
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-    cost = np.concatenate([np.asarray(cost_positive, "f8"), np.full(len(negative), 1.0)]) * 4
+    # both sides weigh the same
+    cost = np.concatenate([np.asarray(c, "f8") * COST / sum(c) for c in (cost_positive, cost_negative)])
     w = _svm(x, y, cost)
     alpha = root @ w[:-1]
-    table_ = np.zeros(SYMBOLS**3, "f4")
+    table_ = np.zeros(THREES + FOURS, "f4")
     for a, (c, v) in zip(alpha, fm, strict=True):
         np.add.at(table_, c, a * v)
     return table_, float(w[-1])
@@ -262,28 +288,31 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
     common = [w for w, _ in in_clean.most_common(1500)]
     spread = sorted(in_clean)[:: max(1, len(in_clean) // 2500)]
     negative = list(dict.fromkeys(w for w in common + spread if w))
+    hard: Counter = Counter()
+    every = sorted(set(in_toxic) | set(in_clean))
     model = None
     for n in range(ROUNDS):
         ranked = sorted(witnesses, key=lambda w: (-witnesses[w], w))[:1500]
-        weights, bias = _fit_machine(ranked, negative, [min(20.0, 1 + np.log1p(witnesses[w])) * max(1.0, len(negative) / (4 * len(ranked))) for w in ranked])
+        weights, bias = _fit_machine(ranked, negative, [1 + witnesses[w] ** 0.5 for w in ranked], [1 + in_clean[w] ** 0.5 for w in negative])
         model = weights, bias
         if n + 1 == ROUNDS:
             break
+        value = {}
+        for at in range(0, len(every), 50_000):
+            part = every[at : at + 50_000]
+            value.update(zip(part, word_values(symbols(" ".join(part), False), weights, bias, np.inf).tolist(), strict=True))
+        exact = lambda w: float(weights[(f := features(w))[0]] @ f[1]) + bias  # noqa: B023, E731
         found: Counter = Counter()
-        hard: Counter = Counter()
         for bag, y in bags:
-            if not bag:
-                continue
-            v = word_values(symbols(" ".join(bag)), weights, bias)
-            if len(v) != len(bag):
-                continue
-            order = np.argsort(-v)
+            top = sorted(((exact(w), w) for w in heapq.nlargest(6, bag, key=value.__getitem__)), reverse=True)
             if y:
-                found.update([bag[i] for i in order[:4] if v[i] > -0.3 and not in_clean[bag[i]]] or [bag[order[0]]] * (not in_clean[bag[order[0]]]))
+                found.update([w for v, w in top[:4] if v > 0 and not in_clean[w]] or [w for _, w in top[:1] if not in_clean[w]])
             else:
-                hard.update(bag[i] for i in order[:3] if v[i] > -0.7)
+                hard.update(w for v, w in top[:3] if v > -0.7)
         witnesses = {w: c for w, c in found.items() if len(w) > 2} or witnesses
-        negative = list(dict.fromkeys([w for w, _ in hard.most_common(1500)] + negative))[:6000]
+        # hard words of all rounds and common words by turns, so that the front holds both
+        turns = [w for pair in zip([w for w, _ in hard.most_common(1500)], common, strict=False) for w in pair]
+        negative = list(dict.fromkeys([*turns, *(w for w, _ in hard.most_common(1500)), *negative]))[:6000]
     weights, bias = model
     x = np.array([summary(t, weights, bias) for t, _ in held])
     y = np.array([y for _, y in held], "f8")

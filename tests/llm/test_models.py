@@ -86,7 +86,7 @@ def test_toxicity_held_out_and_odd_rows(spark):
 def test_folded_weights_equal_the_kernel_expansion():
     marks = [toxicity.features(w) for w in ["idiot", "clown", "other"]]
     alpha = [1.0, 0.5, -2.0]
-    weights = np.zeros(toxicity.SYMBOLS**3, "f4")
+    weights = np.zeros(toxicity.THREES + toxicity.FOURS, "f4")
     for a, (c, v) in zip(alpha, marks, strict=True):
         np.add.at(weights, c, a * v)
     words = ["idiott", "clo.wn", "banana", "x"]
