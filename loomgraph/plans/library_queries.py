@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import augmentation as A
 from ..operators import edges as E
+from ..operators import merging as G
 from ..operators import models as O
 from ..operators import motifs as M
 from ..operators import reconstruction as R
@@ -75,7 +76,31 @@ def _diverse(spark, d):
     return R.diverse_top(R.diverse_score(c, 0.3)).select("node", "motif", F.round("score", 6).alias("score"), "rank")
 
 
+def _vector_nodes(spark, d):
+    """Trade nodes with vectors of the embeddings table; every third has the vector of the one before."""
+    v = table(spark, d, "embeddings").where("vec_id < 25").select(F.col("vec_id").cast("int").alias("k"), F.col("embedding").alias("vector"))
+    n = trade_nodes(spark, d).withColumn("k", F.when(F.col("node") % 3 == 2, F.col("node") - 1).otherwise(F.col("node")))
+    return n.join(v, "k").select("g", "node", "label", "vector", F.col("node").alias("ord"))
+
+
+def _merged_groups(spark, d):
+    n = trade_nodes(spark, d).select("g", "node", "label", F.array(F.concat(F.lit("q"), (F.col("node") % 4).cast("string")), F.lit("q0")).alias("source_qa"))
+    mapping = n.where("node % 3 = 2").select("g", F.col("node").alias("old"), (F.col("node") - 1).alias("new"))
+    return G.merge_groups(n, mapping).withColumn("source_qa", F.array_join("source_qa", ","))
+
+
+def _narratives(spark, d):
+    places = table(spark, d, "supplier").select(F.col("s_nationkey").cast("string").alias("neighborhood"), F.concat(F.lit("kind"), (F.col("s_suppkey") % 3).cast("string")).alias("kind"), F.col("s_name").alias("name"))
+    return G.narratives(table(spark, d, "customer").select(F.col("c_custkey").alias("agent_id"), F.col("c_nationkey").cast("string").alias("neighborhood")), places)
+
+
 QUERIES = {
+    "nodes_merged_by_vector": lambda s, d: G.vector_leaders(_vector_nodes(s, d)),
+    "edges_merged_by_vector": lambda s, d: G.merge_similar(_vector_nodes(s, d), trade_edges(s, d)).select("g", "src", "dst", "modifier"),
+    "nodes_merged_in_groups": _merged_groups,
+    "stance_links": lambda s, d: G.stance_links(_vector_nodes(s, d), trade_edges(s, d), [2.0] * 8 + [0.0] * 56).withColumn("weight", F.round("weight", 6)),
+    "place_narratives": _narratives,
+    "transcripts_copied": lambda s, d: G.copy_transcripts(table(s, d, "supplier").select(F.col("s_suppkey").alias("agent_id")), "Q: Why? A: Because."),
     "augmented_by_neighbour": lambda s, d: A.by_neighbour(_members(s, d), 5),
     "augmented_by_bootstrap": lambda s, d: A.by_bootstrap(_members(s, d), 5),
     "augmented_summary": lambda s, d: A.summary(A.library(m := materialize(_members(s, d), "members"), A.by_neighbour(m, 5), A.by_bootstrap(m, 5))),
@@ -96,6 +121,17 @@ w AS (SELECT n.g, n.node, ind, outd, string_split(label, ' ') AS ws FROM n JOIN
 p AS (SELECT f.node, m.node AS motif, len(list_intersect(f.ws, m.ws))::DOUBLE / len(list_distinct(list_concat(f.ws, m.ws))) AS similarity, greatest(0, m.ind - f.ind) AS di, greatest(0, m.outd - f.outd) AS dd, m.ind + m.outd AS ne, m.node % 4 AS nn FROM w f JOIN w m ON f.g = 1996 AND m.g = 1997),
 c AS (SELECT node, motif, 0 AS "at", similarity, di::DOUBLE / ne AS fit, nn::DOUBLE / (ne + 1) AS cover, 0.6 * similarity + 0.4 * (di + dd)::DOUBLE / ne AS forward, 0.4 * similarity + 0.3 * di::DOUBLE / ne + 0.3 * nn::DOUBLE / (ne + 1) AS reverse FROM p WHERE similarity >= 0.4)"""
 ORACLES = {
+    "nodes_merged_by_vector": WITH + " SELECT g, node AS old, node - 1 AS new FROM n WHERE node % 3 = 2",
+    "edges_merged_by_vector": WITH + " SELECT g, s AS src, t AS dst, m AS modifier FROM (SELECT *, row_number() OVER (PARTITION BY g, s, t ORDER BY o DESC) AS k FROM (SELECT g, CASE WHEN s % 3 = 2 THEN s - 1 ELSE s END AS s, CASE WHEN t % 3 = 2 THEN t - 1 ELSE t END AS t, m, o FROM e) WHERE s <> t) WHERE k = 1",
+    "nodes_merged_in_groups": WITH + """, q AS (SELECT g, CASE WHEN node % 3 = 2 THEN node - 1 ELSE node END AS id, node, label, unnest(['q' || (node % 4), 'q0']) AS qa FROM n)
+      SELECT g, id AS node, coalesce(max(label) FILTER (node = id), min(label)) AS label, array_to_string(list_sort(list(DISTINCT qa)), ',') AS source_qa, max(node % 3 = 2) AS merged FROM q GROUP BY g, id""",
+    "stance_links": WITH + f""", st AS (SELECT list_concat(list_transform(range(8), lambda i: 2.0::DOUBLE), list_transform(range(56), lambda i: 0.0::DOUBLE)) AS sv), vn AS (SELECT g, node, embedding::DOUBLE[] AS v FROM n JOIN embeddings ON vec_id = CASE WHEN node % 3 = 2 THEN node - 1 ELSE node END WHERE vec_id < 25),
+      c AS (SELECT g, node, list_dot_product(v, sv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(sv, sv))) AS w FROM vn, st), nr AS (SELECT g, node, w AS weight FROM c WHERE w > 0.6),
+      dg AS (SELECT g, node, count(*) AS d FROM (SELECT g, s AS node FROM e UNION ALL SELECT g, t FROM e) GROUP BY g, node), fb AS (SELECT g, node, row_number() OVER (PARTITION BY g ORDER BY d DESC, node) AS k FROM dg WHERE g NOT IN (SELECT g FROM nr))
+      SELECT g, node, round(weight, 6) AS weight FROM nr UNION ALL SELECT g, node, 1.0 FROM fb WHERE k <= 5""",
+    "place_narratives": """WITH r AS (SELECT s_nationkey AS nb, 'kind' || (s_suppkey % 3) AS kind, s_name AS name, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 3 ORDER BY s_name) AS k FROM supplier), o AS (SELECT nb, kind, string_agg(name, ', ' ORDER BY name) AS names FROM r WHERE k <= 5 GROUP BY nb, kind),
+      l AS (SELECT nb, string_agg(kind || ': ' || names, '. ' ORDER BY kind) AS ls FROM o GROUP BY nb) SELECT c_custkey AS agent_id, 'You live in ' || c_nationkey || CASE WHEN ls IS NULL THEN '' ELSE '. ' || ls END AS narrative FROM customer LEFT JOIN l ON nb = c_nationkey""",
+    "transcripts_copied": "SELECT s_suppkey AS agent_id, 'Q: Why? A: Because.' AS transcript FROM supplier",
     "demographic_stats": f"WITH {_DEMO} SELECT demographic, count(*) AS n, round(100 * count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS percent FROM dm GROUP BY demographic",
     "demographic_scores": f"WITH {_DEMO} SELECT demographic, round(0.3 * (1 - count(*)::DOUBLE / sum(count(*)) OVER ()) + 0.7 * CASE demographic WHEN 'unknown' THEN 0 WHEN 'middle_aged' THEN 1 WHEN 'young' THEN 0.6 WHEN 'elderly' THEN 0.6 ELSE 0.2 END, 6) AS score FROM dm GROUP BY demographic",
     "augmented_summary": "WITH p AS (SELECT p_type, count(*) AS n FROM part GROUP BY p_type) SELECT 'original' AS method, count(*) AS groups, CAST(sum(n) AS BIGINT) AS motifs FROM p UNION ALL SELECT 'nearest_neighbor', count(*), count(*) * 5 FROM p WHERE n > 1 UNION ALL SELECT 'bootstrapping', count(*), count(*) * 5 FROM p",
