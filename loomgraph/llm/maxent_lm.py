@@ -25,15 +25,18 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, in_training, materialize, table
 
 UNIT_DOCS = 1024
-UNIT_CHARS = 8_000_000
+UNIT_CHARS = 4_000_000
 CLASSES = 32
 ROWS_LOG2 = 15
 EPOCH_PARTS = 3
 RATE = 0.25
 BATCH = 4096
+#: Units that a training task steps through at least; each task sends its weights once.
+TASK_UNITS = 32
+BLOCKS = 16
 DISCOUNT = 0.75
 #: Characters of text for each part of the vocabulary.
-PART_CHARS = 24_000_000
+PART_CHARS = 16_000_000
 END = b"\n"
 _MIX = (2654435761, 2246822519, 3266489917)
 
@@ -91,6 +94,35 @@ def learn(weights, squares, rows, classes):
             weights[used] -= RATE * sums / np.sqrt(squares[used] + 1)
 
 
+def pack_tokens(tokens) -> bytes:
+    """Numbers as four planes of bytes, compressed: numbers are given out in order, so frequent words have small ones."""
+    import zlib
+
+    import numpy as np
+
+    return zlib.compress(np.ascontiguousarray(np.array(tokens, "<u4").view("u1").reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_tokens(data: bytes):
+    import zlib
+
+    import numpy as np
+
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), "u1").reshape(4, -1).T).view("<u4").ravel()
+
+
+def pack_words(words) -> bytes:
+    import zlib
+
+    return zlib.compress(b" ".join(words), 1)
+
+
+def unpack_words(data: bytes) -> list[bytes]:
+    import zlib
+
+    return zlib.decompress(data).split(b" ")
+
+
 _UNIT = "unit bigint, doc_ids array<bigint>, sizes binary, train binary, tokens binary, words binary, chars bigint"
 
 
@@ -115,7 +147,7 @@ def pack_units(docs: DataFrame) -> DataFrame:
                 tokens.append(0)
                 sizes.append(len(words) + 1)
             number += 1
-            data = {"sizes": np.array(sizes, "<u4").tobytes(), "train": np.array(learns, "u1").tobytes(), "tokens": np.array(tokens, "<u4").tobytes(), "words": b" ".join(vocabulary)}
+            data = {"sizes": np.array(sizes, "<u4").tobytes(), "train": np.array(learns, "u1").tobytes(), "tokens": pack_tokens(tokens), "words": pack_words(vocabulary)}
             return pa.RecordBatch.from_arrays(
                 [pa.array([number - 1], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *(pa.array([v], pa.binary()) for v in data.values()), pa.array([sum(len(t or "") for t in texts)], pa.int64())],
                 names=["unit", "doc_ids", *data, "chars"],
@@ -143,11 +175,10 @@ def _unit_rows(batches, names):
     """Each unit of Arrow batches as a dict of numpy arrays, one at a time."""
     import numpy as np
 
-    kinds = {"sizes": "<u4", "train": "u1", "tokens": "<u4"}
+    readers = {"sizes": lambda v: np.frombuffer(v, "<u4"), "train": lambda v: np.frombuffer(v, "u1"), "tokens": unpack_tokens, "words": unpack_words}
     for b in batches:
         for i in range(b.num_rows):
-            u = {n: b.column(n)[i].as_py() for n in names}
-            yield {n: np.frombuffer(v, kinds[n]) if n in kinds else v for n, v in u.items()}
+            yield {n: readers.get(n, lambda v: v)(b.column(n)[i].as_py()) for n in names}
 
 
 def _starts(sizes):
@@ -166,7 +197,7 @@ def ask_counts(units: DataFrame, parts: int) -> DataFrame:
         import pyarrow as pa
 
         for u in _unit_rows(batches, ("unit", "sizes", "train", "tokens", "words")):
-            words = u["words"].split(b" ")
+            words = u["words"]
             counts = np.bincount(u["tokens"][np.repeat(u["train"], u["sizes"]).astype(bool)], minlength=len(words))
             part = np.array([zlib.crc32(w) for w in words], "u4") % parts
             order = np.argsort(part, kind="stable")
@@ -176,7 +207,7 @@ def ask_counts(units: DataFrame, parts: int) -> DataFrame:
                 [
                     pa.array(numbers, pa.int32()),
                     pa.array([u["unit"]] * len(numbers), pa.int64()),
-                    pa.array([b" ".join([words[i] for i in s.tolist()]) for s in split], pa.binary()),
+                    pa.array([pack_words([words[i] for i in s.tolist()]) for s in split], pa.binary()),
                     pa.array([counts[s].astype("<u4").tobytes() for s in split], pa.binary()),
                 ],
                 names=["part", "unit", "words", "counts"],
@@ -195,7 +226,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
         total: dict[bytes, int] = {}
         numbers, get = [], total.setdefault
         for x in frame.column("words"):
-            numbers.append(np.array([get(w, len(total)) for w in x.as_py().split(b" ")], "i8"))
+            numbers.append(np.array([get(w, len(total)) for w in unpack_words(x.as_py())], "i8"))
         corpus = np.zeros(len(total), "i8")
         for n, c in zip(numbers, frame.column("counts"), strict=True):
             corpus[n] += np.frombuffer(c.as_py(), "<u4")
@@ -207,7 +238,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
             {
                 "part": pa.array([part] * (n + 1), pa.int32()),
                 "unit": pa.array([*frame.column("unit").to_pylist(), None], pa.int64()),
-                "counts": pa.array([*(corpus[x].astype("<i8").tobytes() for x in numbers), None], pa.binary()),
+                "counts": pa.array([*(pack_tokens(np.minimum(corpus[x], 0xFFFFFFFF)) for x in numbers), None], pa.binary()),
                 "tokens": pa.array([*[None] * n, tokens.astype("i8").tolist()], pa.list_(pa.int64())),
                 "types": pa.array([*[None] * n, types.tolist()], pa.list_(pa.int64())),
             }
@@ -222,7 +253,7 @@ def _context(u):
 
     import numpy as np
 
-    words = u["words"].split(b" ")
+    words = u["words"]
     hashes = np.array([zlib.crc32(w) for w in words], "u4")[u["tokens"]]
     classes = np.array([word_class(w) for w in words])[u["tokens"]]
     return feature_rows(hashes, _starts(u["sizes"])), classes, words
@@ -235,13 +266,31 @@ def train(units: DataFrame, parts: int = EPOCH_PARTS):
     spark = units.sparkSession
     shape = ((1 << ROWS_LOG2) + 1, CLASSES)
     weights, squares = np.zeros(shape, "f4"), np.zeros(shape, "f4")
-    block = shape[0] // 16 + 1
+    block = shape[0] // BLOCKS + 1
+    sums = "block int, task int, seen bigint, w binary, q binary"
+    # every task sends its weights, so there are no more tasks than units ask for, and no fewer than run at once
+    tasks = max(2 * spark.sparkContext.defaultParallelism, units.count() // parts // TASK_UNITS)
+
+    def rows_of(key, task, seen, w, q):
+        import pyarrow as pa
+
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key, task, seen, w.astype("f4").tobytes(), q.astype("f4").tobytes()), kinds, strict=True)], names=["block", "task", "seen", "w", "q"])
+
+    def add(frame):
+        import pyarrow as pa
+
+        w, q = 0, 0
+        for a, b in zip(frame.column("w"), frame.column("q"), strict=True):
+            w = w + np.frombuffer(a.as_py(), "f4").astype("f8")
+            q = q + np.frombuffer(b.as_py(), "f4").astype("f8")
+        return pa.Table.from_batches([rows_of(frame.column("block")[0].as_py(), 0, sum(frame.column("seen").to_pylist()), w, q)])
 
     for part in range(parts):
         shared = spark.sparkContext.broadcast((weights, squares))
 
         def run(batches, shared=shared):
-            import pyarrow as pa
+            from pyspark import TaskContext
 
             w, q, seen = None, None, 0
             for u in _unit_rows(batches, ("unit", "sizes", "train", "tokens", "words")):
@@ -249,31 +298,20 @@ def train(units: DataFrame, parts: int = EPOCH_PARTS):
                     w, q = (x.copy() for x in shared.value)
                 rows, classes, _ = _context(u)
                 keep = np.repeat(u["train"], u["sizes"]).astype(bool)
-                rows, classes = rows[keep], classes[keep]
-                learn(w, q, rows, classes)
-                seen += len(classes)
+                learn(w, q, rows[keep], classes[keep])
+                seen += int(keep.sum())
             if seen:
                 # tasks are weighted by their tokens when their steps are averaged
-                gains = [((w - shared.value[0]) * seen).astype("f4"), (q - shared.value[1]).astype("f4")]
-                rows = [(n, seen, *(g[n * block : (n + 1) * block].tobytes() for g in gains)) for n in range(16)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "seen", "w", "q"])
-
-        def add(frame):
-            import pyarrow as pa
-
-            sums = [np.zeros(1), np.zeros(1)]
-            for k, c in enumerate(("w", "q")):
-                for x in frame.column(c):
-                    sums[k] = sums[k] + np.frombuffer(x.as_py(), "f4")
-            seen = sum(frame.column("seen").to_pylist())
-            return pa.table({"block": frame.column("block")[:1], "seen": pa.array([seen], pa.int64()), "w": pa.array([(sums[0] / seen).astype("f4").tobytes()], pa.binary()), "q": pa.array([sums[1].astype("f4").tobytes()], pa.binary())})
-
-        # the tasks' sums are joined in two levels, so no task reads all of them
-        own = units.where(F.pmod(F.xxhash64("unit"), F.lit(parts)) == part).mapInArrow(run, "block int, seen bigint, w binary, q binary")
-        found = own.groupBy("block").applyInArrow(add, "block int, seen bigint, w binary, q binary")
-        for r in found.collect():
+                w, q = (w - shared.value[0]) * np.float32(seen), q - shared.value[1]
+                for n in range(BLOCKS):
+                    yield rows_of(n, TaskContext.get().partitionId(), seen, w[n * block : (n + 1) * block], q[n * block : (n + 1) * block])
+
+        own = units.where(F.pmod(F.xxhash64("unit"), F.lit(parts)) == part).coalesce(tasks).mapInArrow(run, sums)
+        # sums in two levels, so that no task reads what all tasks sent
+        some = own.withColumn("task", F.col("task") % 16).groupBy("block", "task").applyInArrow(add, sums)
+        for r in some.groupBy("block").applyInArrow(add, sums).collect():
             at = slice(r["block"] * block, (r["block"] + 1) * block)
-            weights[at] += np.frombuffer(r["w"], "f4").reshape(-1, CLASSES)
+            weights[at] += np.frombuffer(r["w"], "f4").reshape(-1, CLASSES) / r["seen"]
             squares[at] += np.frombuffer(r["q"], "f4").reshape(-1, CLASSES)
         shared.unpersist()
     return weights
@@ -298,7 +336,7 @@ def score(units: DataFrame, answers: DataFrame, weights, tokens: list[int], type
         part = np.array([zlib.crc32(w) for w in words], "u4") % parts
         counts = np.zeros(len(words), "i8")
         for p, c in zip(right.column("part").to_pylist(), right.column("counts"), strict=True):
-            counts[part == p] = np.frombuffer(c.as_py(), "<i8")
+            counts[part == p] = unpack_tokens(c.as_py())
         starts = _starts(u["sizes"])
         own = counts[u["tokens"]]
         base = np.log10((own + 1) / (total + distinct + 1))
