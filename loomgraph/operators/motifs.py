@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 TYPES = ("M1", "M2.1", "M2.2", "M2.3", "M3.1", "M3.2", "M3.3")
 #: Weights of a graph's complexity.
 COMPLEXITY = {"M1": 1, "M2.1": 1, "M2.2": 2, "M2.3": 3, "M3.1": 1, "M3.2": 2, "M3.3": 3}
@@ -53,7 +55,7 @@ def _later(edges: DataFrame, reverse: bool) -> DataFrame:
 
 def stars(edges: DataFrame, leaves: int, reverse: bool = False) -> DataFrame:
     """(g, center, leaves) of induced forks, or colliders, with so many leaves."""
-    later = _later(edges, reverse)
+    later = _later(edges, reverse) if leaves == 2 else materialize(_later(edges, reverse), "later")
     grown = later.select("g", "center", F.array("leaf").alias("leaves"), F.col("later").alias("open"))
     for _ in range(leaves - 2):
         grown = grown.select("g", "center", "leaves", "open", F.explode("open").alias("leaf"))
@@ -64,7 +66,7 @@ def stars(edges: DataFrame, leaves: int, reverse: bool = False) -> DataFrame:
 
 def star_counts(edges: DataFrame, reverse: bool = False) -> DataFrame:
     """(g, n2, n3, n4): induced forks, or colliders, of 2, 3 and 4 leaves; the last leaf is counted, not made."""
-    later = _later(edges, reverse)
+    later = materialize(_later(edges, reverse), "later")
     two = later.select("g", "center", F.col("later").alias("open"), F.lit(2).alias("k"))
     step = lambda level: level.select("g", "center", "open", "k", F.explode("open").alias("leaf")).join(later, ["g", "center", "leaf"]).select("g", "center", F.array_intersect("open", "later").alias("open"), (F.col("k") + 1).alias("k"))
     three = step(two)
