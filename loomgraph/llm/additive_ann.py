@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-BOOKS = 8
+BOOKS = 16
 CODEWORDS = 256
 BEAM = 4
 SAMPLE = 10_000
 ITERATIONS = 6
-RERANK = 256
-BLOCK_ROWS = 65_536
+RERANK = 512
+BLOCK_ROWS = 16_384
 LEAST_BLOCK_ROWS = 4_096
 STRIPE = 20_000
 QUERY_CHUNK = 128
