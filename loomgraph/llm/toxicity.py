@@ -22,6 +22,7 @@ of any length are scored whole; further columns pass through unless they bear th
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections import Counter
@@ -33,8 +34,8 @@ from pyspark.sql import functions as F
 
 from .common import in_training, map_texts, table
 
-MAX_TOXIC = 1200
-MAX_CLEAN = 4000
+MAX_TOXIC = 1000
+MAX_CLEAN = 3000
 SPAN = 5
 DECAY = 0.6
 LANDMARKS = 700
@@ -50,6 +51,8 @@ COST = 4000.0
 SHORT = 1.5
 SYMBOLS = 64
 START = 63
+#: Rows of a matrix that are worked on at once.
+CHUNK = 1000
 #: Offsets of a subsequence's further characters: three characters, or four, within SPAN.
 _PATTERNS = [(a, b) for b in range(2, SPAN) for a in range(1, b)] + [(a, b, c) for c in range(3, SPAN) for b in range(2, c) for a in range(1, b)]
 #: Weights of three characters have a place each, those of four share FOURS places by a hash.
@@ -138,7 +141,7 @@ def features(word: str):
     return _features_of(symbols(word).tobytes())
 
 
-@lru_cache(50_000)
+@lru_cache(20_000)
 def _features_of(raw: bytes):
     import numpy as np
 
@@ -172,10 +175,9 @@ def kernel(xs: list, landmarks: list):
 
 
 def _svm(x, y, cost, rounds: int = 25):
-    """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin; the bias is the last weight."""
+    """Linear machine with squared hinge loss, by Newton steps on the rows inside the margin; the last column of x is ones, its weight the bias."""
     import numpy as np
 
-    x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
@@ -183,8 +185,11 @@ def _svm(x, y, cost, rounds: int = 25):
     now = loss(w)
     for _ in range(rounds):
         inside = y * (x @ w) < 1
-        xi, ci = x[inside], cost[inside]
-        step = np.linalg.solve(ridge + xi.T @ (xi * ci[:, None]), xi.T @ (ci * y[inside])) - w
+        curve, pull = ridge.copy(), x.T @ (cost * y * inside)
+        for at in range(0, len(x), CHUNK):
+            part = x[at : at + CHUNK]
+            curve += part.T @ (part * (cost * inside)[at : at + CHUNK, None])
+        step = np.linalg.solve(curve, pull) - w
         size, then = 1.0, loss(w + step)
         while then > now and size > 1e-4:
             size /= 2
@@ -226,7 +231,10 @@ def _fit_machine(positive: list[str], negative: list[str], cost_positive, cost_n
     values, vectors = np.linalg.eigh(kernel(fm, fm))
     kept = values > 1e-4 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])
-    x = kernel([features(w) for w in positive + negative], fm) @ root
+    words = positive + negative
+    x = np.ones((len(words), root.shape[1] + 1))
+    for at in range(0, len(words), CHUNK):
+        x[at : at + CHUNK, :-1] = kernel([features(w) for w in words[at : at + CHUNK]], fm) @ root
     y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
     # both sides weigh the same
     cost = np.concatenate([np.asarray(c, "f8") * COST / sum(c) for c in (cost_positive, cost_negative)])
@@ -276,7 +284,10 @@ def train(texts: list[str], toxic: list[int]) -> Model | None:
         fit = held = list(zip(texts, toxic, strict=True))
     if len({y for _, y in fit}) < 2:
         return None
-    bags = [(sorted(set(_words(t)) - {""}), y) for t, y in fit]
+    # one string for each distinct word, whatever number of texts have it
+    one: dict[str, str] = {}
+    bags = [(sorted({one.setdefault(w, w) for w in _words(t)} - {""}), y) for t, y in fit]
+    del one
     n_toxic, n_clean = sum(y for _, y in bags), sum(1 - y for _, y in bags)
     in_toxic, in_clean = Counter(w for b, y in bags if y for w in b), Counter(w for b, y in bags if not y for w in b)
     # how surprising it is that clean texts lack a word which so many toxic texts have
@@ -357,7 +368,10 @@ def score_texts(docs: DataFrame, model: Model | None, text: str = "text", keep_t
 
 def fit(docs: DataFrame, labels: DataFrame, keep: Column) -> Model | None:
     """Learns from the labelled rows of docs whose doc_id keep holds for."""
-    return train(*sample(docs, labels, keep))
+    model = train(*sample(docs, labels, keep))
+    _features_of.cache_clear()
+    gc.collect()
+    return model
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
