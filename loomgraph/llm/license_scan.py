@@ -7,7 +7,7 @@ together (prefix filter), a block with too few of the templates' words takes no
 after the shared one are too few falls out before it is verified (positional filter). All of it is DataFrame functions.
 
 Defined cases: a null text counts as empty; an empty text has no words and no labels; repeated rows each get their result; an
-empty table gives an empty result; further columns pass through ``find_templates`` untouched, as it returns keys only.
+empty table gives an empty result; further columns are left out.
 """
 
 from __future__ import annotations
@@ -75,39 +75,37 @@ def token_order(own: DataFrame, templates: Sequence[Template]) -> list[str]:
     return sorted(vocabulary_of(templates), key=lambda w: (counts.get(w, 0), w))
 
 
-def _holds_any(lowered: Column, words: Sequence[str]) -> Column:
-    """Cheaper than splitting into words, and true wherever one of these words stands."""
-    found = F.lit(False)
-    for w in words:
-        found |= F.contains(lowered, F.lit(w))
-    return found
+def least_shared(templates: Sequence[Template], threshold: float) -> int:
+    """No block with fewer of the templates' words can hold a template."""
+    return min(_needed(len(t.words), threshold) for t in templates)
 
 
-def find_templates(docs: DataFrame, templates: Sequence[Template], order: Sequence[str], key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every (key, label, containment) of a block that holds at least threshold of a template's words; the largest of each label."""
-    if any(len(t.words) > WINDOW // 2 for t in templates):
-        raise ValueError(f"a template has more than {WINDOW // 2} words")
+def candidate_blocks(lines: Column, templates: Sequence[Template], threshold: float = THRESHOLD) -> Column:
+    """lines, the words of each line -> for each block that passes the length filter its distinct words that templates have."""
+    vocabulary, least, half = vocabulary_of(templates), least_shared(templates, threshold), WINDOW // 2
+    own = lambda words: F.filter(words, lambda w: w.isin(vocabulary))
+    cut = lambda line: F.when(F.size(line) <= WINDOW, F.array(line)).otherwise(F.transform(F.sequence(F.lit(0), F.size(line) - half - 1, F.lit(half)), lambda s: F.slice(line, s + 1, WINDOW)))
+    windows = F.flatten(F.transform(F.filter(lines, lambda line: F.size(own(line)) >= least), cut))
+    return F.filter(F.transform(windows, lambda block: F.array_distinct(own(block))), lambda block: F.size(block) >= least)
+
+
+def find_templates(blocks: DataFrame, templates: Sequence[Template], order: Sequence[str], key: str, threshold: float = THRESHOLD) -> DataFrame:
+    """blocks(key, blocks) -> every (key, label, containment) of a block that holds at least threshold of a template's words; the largest of each label."""
     rank = {w: i for i, w in enumerate(order)}
     index = []
     for n, t in enumerate(templates):
         ranks = sorted(rank[w] for w in t.words)
         need = _needed(len(ranks), threshold)
         index += [{"rank": r, "at": i, "template": n, "label": t.label, "size": len(ranks), "need": need, "ranks": ranks} for i, r in enumerate(ranks[: len(ranks) - need + 1])]
-    index_df = literal_rows(docs.sparkSession, index)
-    least = min(x["need"] for x in index)
-    # a pair shares a word that is in a template's prefix, so texts and lines without any are done with
-    prefixes = [order[r] for r in sorted({x["rank"] for x in index})]
-
-    lowered = docs.select(key, ascii_lower(F.coalesce(text, F.lit(""))).alias("low")).where(_holds_any(F.col("low"), prefixes))
-    lines = lowered.select(key, F.explode(F.split("low", "\n")).alias("line")).where(_holds_any(F.col("line"), prefixes)).select(key, words_of(F.col("line")).alias("words"))
-    size = F.size("words")
-    windows = F.when(size <= WINDOW, F.array(F.col("words"))).otherwise(F.transform(F.sequence(F.lit(0), size - WINDOW // 2 - 1, F.lit(WINDOW // 2)), lambda s: F.slice("words", s + 1, WINDOW)))
-    own = F.array_sort(F.array_distinct(F.transform(F.filter("block", lambda w: w.isin(list(order))), lambda w: F.array_position(F.array(*map(F.lit, order)), w) - 1)).cast("array<int>"))
-    blocks = lines.select(key, F.explode(windows).alias("block")).select(key, own.alias("held")).where(F.size("held") >= least)
-    held = F.size("held")
-    first = blocks.select(key, "held", F.posexplode(F.slice("held", 1, held - least + 1)).alias("pos", "rank"))
+    index_df = literal_rows(blocks.sparkSession, index)
     if len(templates) <= BROADCAST_TEMPLATES:
         index_df = F.broadcast(index_df)
+    least = least_shared(templates, threshold)
+
+    ranked = F.array_sort(F.transform("block", lambda w: F.array_position(F.array(*map(F.lit, order)), w).cast("int") - 1))
+    held_df = blocks.where(F.size("blocks") > 0).select(key, F.explode("blocks").alias("block")).select(key, ranked.alias("held"))
+    held = F.size("held")
+    first = held_df.select(key, "held", F.posexplode(F.slice("held", 1, held - least + 1)).alias("pos", "rank"))
     pairs = first.join(index_df, "rank").where((held >= F.col("need")) & (F.col("pos") <= held - F.col("need")))
     pairs = pairs.where(1 + F.least(F.col("size") - F.col("at") - 1, held - F.col("pos") - 1) >= F.col("need"))
     shared = F.size(F.array_intersect("held", "ranks"))
@@ -130,16 +128,20 @@ def phrase_starts(words: Column, phrase: str) -> Column:
 
 def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs(doc_id, text)."""
-    docs = docs.select("doc_id", "text", text_key("doc_id", "text").alias("__key"))
-    base = docs.withColumn("low", ascii_lower(F.coalesce("text", F.lit("")))).withColumn("words", words_of(F.col("low")))
+    if any(len(t.words) > WINDOW // 2 for t in templates):
+        raise ValueError(f"a template has more than {WINDOW // 2} words")
+    docs = docs.select("doc_id", text_key("doc_id", "text").alias("__key"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
+    base = docs.withColumn("lines", F.transform(F.split("low", "\n"), words_of)).withColumn("words", F.flatten("lines"))
     places = [F.when(reduce(and_, (F.contains("low", F.lit(w)) for w in p.split())), phrase_starts(F.col("words"), p)) for _, p in phrases]
-    base = base.select("doc_id", "__key", "words", *(F.coalesce(x, F.array().cast("array<bigint>")).alias(f"at_{n}") for n, x in enumerate(places)))
+    base = base.select("doc_id", "__key", "lines", "words", *(F.coalesce(x, F.array().cast("array<bigint>")).alias(f"at_{n}") for n, x in enumerate(places)))
     starts = F.flatten(F.array(*(F.col(f"at_{n}") for n in range(len(phrases)))))
     labels = F.array(*(F.when(F.size(f"at_{n}") > 0, F.lit(label)) for n, (label, _) in enumerate(phrases)))
     own = F.filter("words", lambda w: w.isin(vocabulary_of(templates)))
-    base = base.select("doc_id", "__key", F.size("words").cast("long").alias("n_words"), starts.alias("starts"), F.array_distinct(F.array_compact(labels)).alias("base"), own.alias("own"))
+    base = base.select(
+        "doc_id", "__key", F.size("words").cast("long").alias("n_words"), starts.alias("starts"), F.array_distinct(F.array_compact(labels)).alias("base"), own.alias("own"), candidate_blocks(F.col("lines"), templates, threshold).alias("blocks")
+    )
     base = materialize(base, "license-words")
-    found = find_templates(docs, templates, token_order(base, templates), "__key", "text", threshold)
+    found = find_templates(base, templates, token_order(base, templates), "__key", threshold)
     found = found.groupBy("__key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     result = base.join(found, "__key", "left")
     return result.select(
