@@ -133,17 +133,10 @@ def _least_labels(n: int, a, b):
 
     lab = np.arange(n)
     while len(a):
-        m = np.minimum(lab[a], lab[b])
-        np.minimum.at(lab, a, m)
-        np.minimum.at(lab, b, m)
-        while (lab[lab] != lab).any():
-            lab = lab[lab]
-        open_ = lab[a] != lab[b]
-        if not open_.any():
-            break
-        # hook roots onto each other, so that long chains settle in few rounds
-        a, b = a[open_], b[open_]
         ra, rb = lab[a], lab[b]
+        open_ = ra != rb
+        a, b, ra, rb = a[open_], b[open_], ra[open_], rb[open_]
+        # only roots are hooked, the larger onto the smaller, so that what hangs below them comes along
         np.minimum.at(lab, np.maximum(ra, rb), np.minimum(ra, rb))
         while (lab[lab] != lab).any():
             lab = lab[lab]

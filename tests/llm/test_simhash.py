@@ -69,6 +69,19 @@ def test_links_equal_all_pairs(spark, monkeypatch, bits, limit):
     assert classes(signed, [tuple(r) for r in got]) == classes(signed, edges)
 
 
+def test_least_labels_of_paths_trees_and_loops():
+    import numpy as np
+
+    rnd = random.Random(5)
+    cases = [(6, [(0, 1), (1, 4), (2, 5), (3, 4), (3, 5)]), (3, []), (2, [(1, 1)])]
+    for n in [10] * 200 + [200] * 20:
+        order = rnd.sample(range(n), n)
+        cases += [(n, list(zip(order, order[1:]))), (n, [(order[i], order[rnd.randrange(i)]) for i in range(1, n)]), (n, [tuple(rnd.sample(range(n), 2)) for _ in range(n // 2)])]
+    for n, edges in cases:
+        a, b = np.array(edges, "i8").reshape(-1, 2).T
+        assert simhash._least_labels(n, a, b).tolist() == list(classes(range(n), edges).values())
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (1, 0), (None, 3), (200, 199)]
     got = {r["u"]: r["v"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
