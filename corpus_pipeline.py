@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import byte_bpe, decontaminate, pii, simhash, toxicity
+from loomgraph.llm import byte_bpe, decontaminate, near_copies, pii, toxicity
 from loomgraph.llm.common import in_training, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,10 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links of the SimHash operator connect, the one of the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of rows that links between near copies (0.8 of their five-word shingles) connect, the one first by doc_id, text and row stays."""
+    return near_copies.keep_one_of_each(docs.select(COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
