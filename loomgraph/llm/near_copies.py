@@ -156,10 +156,13 @@ def node_roots(marked: DataFrame, shingle: int = SHINGLE, similarity: float = SI
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """docs with a doc_id and a text -> without the rows whose doc_id is not the smallest of their component."""
-    rows = materialize(mark(docs, frequent_shingles(docs, shingle), shingle, similarity), "near-copies")
+    """docs with a doc_id and a text -> of the rows of each component the one first by doc_id (null last), text and row."""
+    columns = docs.columns
+    rows = mark(docs, frequent_shingles(docs, shingle), shingle, similarity).withColumn("__row", F.monotonically_increasing_id())
+    rows = materialize(rows, "near-copies")
     roots = node_roots(rows, shingle, similarity).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rooted = rows.select("doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("least"))
-    gone = rooted.join(least, "root").where(F.col("doc_id") != F.col("least")).select("doc_id").distinct()
-    return rows.join(gone, "doc_id", "left_anti").select(docs.columns)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("__row").alias("row"))
+    # nodes are aggregated before their components, so that copies of one text are met where they lie
+    firsts = rows.groupBy("node").agg(F.min(first).alias("first")).join(roots, "node", "left")
+    kept = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(columns)

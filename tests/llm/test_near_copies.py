@@ -50,3 +50,10 @@ def test_near_duplicate_stage_equals_all_pairs(spark, monkeypatch, pairwise, fre
     assert 20 < len(set(root)) < len(texts) - 20
     got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, enumerate(texts)), "").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(set(root))
+
+
+def test_one_row_of_each_component_stays(spark):
+    t = [" ".join(f"{c}{i}" for i in range(60)) for c in "abcde"]
+    rows = [(1, t[0]), (1, t[0]), (1, t[0]), (None, t[1]), (2, t[1] + " x"), (None, t[2]), (None, t[2]), (3, t[3]), (4, t[3]), (4, t[4]), (None, None), (9, "")]
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, t[0]), (2, t[1] + " x"), (0, t[2]), (3, t[3]), (4, t[4]), (9, "")])
