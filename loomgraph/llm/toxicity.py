@@ -344,8 +344,9 @@ def sample(docs: DataFrame, labels: DataFrame, keep: Column) -> tuple[list[str],
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     kinds = ((1, MAX_TOXIC), (0, MAX_CLEAN))
     first = [known.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(most) for y, most in kinds]
-    # no more ids than the two limits
+    # no more ids than the two limits, and one text for each, so that repeated ids crowd nothing out
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(first[0].union(first[1])), "doc_id")
+    found = found.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
     rows = {1: [], 0: []}
     for r in found.orderBy(F.desc("toxic"), "h", "doc_id", "text").limit(MAX_TOXIC + MAX_CLEAN).collect():
         rows[r["toxic"]].append(r["text"])

@@ -60,6 +60,15 @@ def test_class_model_is_a_distribution_and_learns():
     assert z[np.arange(len(z)), classes].mean() > -1.0
 
 
+def test_toxicity_sample_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 3)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 4)
+    docs = spark.createDataFrame([(0, "bad")] * 20 + [(1, "worse"), (2, "good"), (3, None), (3, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    texts, y = toxicity.sample(docs, labels, F.lit(True))
+    assert sorted(zip(y, texts)) == [(0, ""), (0, "good"), (1, "bad"), (1, "worse")]
+
+
 def test_toxicity_held_out_and_odd_rows(spark):
     rnd = random.Random(6)
     texts, toxic = corpus(900, 7), []
