@@ -1,26 +1,32 @@
-"""Near copies by an exact set-similarity join: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-duplicates at a Jaccard similarity of 0.8 or more of five-word shingles, by ball hashing of wide fingerprints.
 
-A text is the set of its shingles, and rows with equal sets are one node. Shingles have one order for all texts: those that a
-sample of texts repeats come last, the rest stand by their hash. Two sets of the needed similarity share one of their first
-(1 - 0.8) n + 1 shingles (prefix filter), and their sizes differ by no more than the similarity allows (length filter). Nodes
-that share such a shingle are a bucket. Pairs are verified on the words of the texts, not on hashes; verified pairs are links,
-and links make components. The sample only chooses the order, and every order gives the same pairs.
+At a similarity of 0.8 a bit of two texts' SimHash differs with probability arccos(8/9) / pi = 0.15, which is ten of 64 bits and
+beyond any ball that can be listed. So a text's fingerprint has 1024 bits here, and its bits make ``TABLES`` keys of 32 bits: the
+32 rows and the first 16 columns of a square. Meet-in-the-middle ball hashing runs in each table: a key emits its 33 variants
+within one bit, and texts that meet in a variant have keys within two bits of each other. A table brings a pair of similarity
+0.8 together with probability 0.12, all tables with 0.998 (0.85: 0.99998), and a pair of strangers with 6e-6.
 
-A bucket of ``PAIRWISE`` nodes or fewer has all its pairs verified. In a larger one the smallest node is held against all others
-and then leaves; buckets whose nodes are all connected by then are settled, the others go on, with all pairs at once up to
-``GROWTH`` times as many nodes as in the round before. So a large group of copies costs a row or few a member, and only pairs of
-nodes that are connected already are left out. What stays costly is a large bucket of texts that are unlike each other; the order
-by frequency makes it rare.
+A meeting pair must be of similar size and within ``CHECK_MOST`` of 128 bits, later within ``WIDE_MOST`` of all 1024, and is then
+verified: the exact Jaccard similarity of the shingles decides, never the fingerprint. Verified pairs are links, links make
+components. Rows with equal sets of shingles are one node before all this, so copies cost a row each.
+
+Nodes meet twice. First each node proposes its closest partner in each table, and its ``CLOSEST`` best are verified, which joins
+most nodes of a group. Nodes that met anyone meet again with their whole fingerprints, and every pair is verified whose
+components still differ. So a group of near copies costs its size and not its square; a pair is left out only where its nodes are
+connected already, and what stays costly is a large group of texts that are all of nearly the similarity asked for.
+
+The variants of a table are dealt by their first bits once a table has more than ``TASK_ROWS`` nodes, so a node goes to as many
+tasks as it has variants under different first bits, 1 + bits; within a task passes go by further bits.
 
 Defined cases: a null text counts as empty; an empty text is a copy of other empty ones only, and a text of under five words of
-texts with the same words; nodes are known by 64 bits of their shingles' digest.
+texts with the same words; nodes and shingles are known by 64 bits of their hash; of repeated rows one stays; null ids come last.
 """
 
 from __future__ import annotations
 
-from fractions import Fraction
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, map_texts, materialize
@@ -28,141 +34,254 @@ from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Nodes of a bucket up to which all its pairs are verified at once.
-PAIRWISE = 12
-GROWTH = 3
-#: Shingles that come last in the order, at most, and the texts that they are sought in.
-FREQUENT = 50_000
-SAMPLE_TEXTS = 20_000
+BITS = 1024
+TABLES = 48
+#: Differing bits of 128, and of 1024, up to which a meeting pair counts; at similarity 0.8 there are 19.4 (deviation 4.1) and 155 (11.5).
+CHECK_MOST, WIDE_MOST = 34, 184
+#: Partners of a node that are verified after the first meeting.
+CLOSEST = 4
+#: Rows of a task at most, and variants that a pass makes and sorts at once.
+TASK_ROWS = 8_000_000
+PASS_VARIANTS = 4_000_000
+#: Neighbours in a bucket that are compared at once; larger buckets are compared by member.
+LAGS = 8
+#: Parts that the pairs of one node are split into for verification.
+SALTS = 64
 _SEED = 17
+_ODD = 0x9E3779B97F4A7C15
 
 
-def shingles(text: str | None, shingle: int = SHINGLE) -> set[bytes]:
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if text else []
-    if len(words) <= shingle:
-        return {b" ".join(words)} if words else set()
-    return {b" ".join(words[i : i + shingle]) for i in range(len(words) - shingle + 1)}
+def _mixed(h):
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def hashes(text: str | None, shingle: int = SHINGLE):
-    """The sorted, distinct 64-bit hashes of the shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE):
+    """The sorted, distinct 64-bit hashes of the shingles; a shorter text is one shingle, an empty one has none."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
-    return np.unique(np.array([xxh64_intdigest(s, _SEED) for s in shingles(text, shingle)], "u8"))
+    words = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if text else []
+    if not words:
+        return np.empty(0, "u8")
+    known = {w: xxh64_intdigest(w, _SEED) for w in set(words)}
+    h = np.fromiter(map(known.__getitem__, words), "u8", len(words))
+    n = min(shingle, len(words))
+    total = np.full(len(words) - n + 1, n, "u8")
+    for k in range(n):
+        total = total * np.uint64(_ODD) + h[k : len(h) - n + 1 + k]
+    return np.unique(_mixed(total))
+
+
+def wide_fingerprint(hashes):
+    """The TABLES keys of 32 bits; a bit is 1 if it is set in over half of the shingles' hashes."""
+    import numpy as np
 
+    counts = np.zeros(BITS, "i8")
+    steps = (np.arange(1, BITS // 64 + 1, dtype="u8") * np.uint64(_ODD))[None, :]
+    for at in range(0, len(hashes), 255):
+        part = _mixed(hashes[at : at + 255, None] + steps)
+        counts += np.add.reduce(np.unpackbits(part.view("u1"), axis=1), axis=0, dtype="u1")
+    square = (2 * counts > len(hashes)).reshape(32, -1)
+    return np.packbits(np.concatenate([square, square.T[: TABLES - 32]]), axis=1).view(">u4").ravel()
 
-def jaccard(a: str | None, b: str | None, shingle: int = SHINGLE) -> float:
-    x, y = shingles(a, shingle), shingles(b, shingle)
-    return len(x & y) / len(x | y) if x or y else 1.0
 
+def jaccard(a, b) -> float:
+    """Of two sets of shingles by their hashes; two empty ones are equal."""
+    import numpy as np
 
-def prefix_length(n: int, similarity: float) -> int:
-    """Of the first so many of n shingles a set of the similarity or more shares one at least."""
-    s = Fraction(str(similarity))
-    return n - -(-n * s.numerator // s.denominator) + 1 if n else 0
+    if not len(a) or not len(b):
+        return 1.0 if len(a) == len(b) else 0.0
+    both = np.sort(np.concatenate([a, b]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / (len(both) - shared)
 
 
-def frequent_shingles(docs: DataFrame, shingle: int = SHINGLE) -> list[int]:
-    """Hashes of shingles that two sampled texts or more hold, the most frequent first."""
+def mark(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Adds node, n_shingles, keys, and check_a and check_b, 128 bits of the fingerprint; the text stays."""
 
     def make():
-        return lambda texts: ([hashes(t, shingle).view("i8").tolist() for t in texts],)
+        import numpy as np
+        from xxhash import xxh64_intdigest
 
-    some = docs.select("text").where(F.col("text").isNotNull()).limit(SAMPLE_TEXTS)
-    counts = map_texts(some, make, [("hs", "array<bigint>")]).select(F.explode("hs").alias("h")).groupBy("h").count()
-    return [r["h"] for r in counts.where("count > 1").orderBy(F.desc("count"), "h").limit(FREQUENT).collect()]
+        def run(texts):
+            sets = [shingle_hashes(t, shingle) for t in texts]
+            keys = [wide_fingerprint(s) for s in sets]
+            nodes = np.array([xxh64_intdigest(s.tobytes(), _SEED) for s in sets], "u8").view("i8")
+            checks = np.array([k[:4] for k in keys], "u4").reshape(-1, 4).view("i8")
+            return nodes.tolist(), [len(s) for s in sets], [k.astype("u4").view("i4").tolist() for k in keys], checks[:, 0].tolist(), checks[:, 1].tolist()
 
+        return run
 
-def mark(docs: DataFrame, frequent: list[int], shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Adds node, n_shingles and prefix, the shingles that the node's buckets are known by; the text stays."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    return map_texts(docs, make, [("node", "bigint"), ("n_shingles", "int"), ("keys", "array<int>"), ("check_a", "bigint"), ("check_b", "bigint")], keep_text=True)
 
-    def make():
+
+def _bucket_pairs(key, near, root, bits: int, prefix: int, whole: bool):
+    """Index pairs that meet in a variant whose first ``bits`` are ``prefix`` and whose roots differ, as rows (smaller, larger, distance).
+
+    near(i, j) gives distances, or a negative number for a pair that is too far. Without ``whole`` each member of a bucket is held
+    against the LAGS next ones only.
+    """
+    import numpy as np
+
+    flips = np.concatenate([[0], np.uint32(1) << np.arange(32, dtype="u4")]).astype("u4")
+    more = 0
+    while len(key) * (1 + bits + more) * len(flips) >> (bits + more) > PASS_VARIANTS and more < 12:
+        more += 1
+    shift = np.uint32(32 - bits - more)
+    found = [np.empty((3, 0), "i8")]
+    for sub in range(1 << more):
+        rows = np.arange(len(key))
+        if bits + more:
+            first = np.uint32(prefix << more | sub)
+            rows = np.flatnonzero(np.bitwise_count((key >> shift) ^ first) <= 1)
+        z = key[rows][:, None] ^ flips
+        inside = (z >> shift) == first if bits + more else np.ones(z.shape, bool)
+        z = (z.astype("u8") << np.uint64(32) | rows[:, None].astype("u8"))[inside]
+        z.sort()
+        at = (z & np.uint64(0xFFFFFFFF)).astype("i8")
+        z >>= np.uint64(32)
+        for lag in range(1, LAGS + 1):
+            i = np.flatnonzero(z[lag:] == z[:-lag])
+            if not len(i):
+                break
+            found.append(_near_pairs(at[i], at[i + lag], near, root))
+        if whole:
+            starts = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]])) if len(z) else np.empty(0, "i8")
+            ends = np.append(starts[1:], len(z))
+            large = np.flatnonzero(ends - starts > LAGS + 1)
+            found += [_of_bucket(at[s:e], near, root) for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True)]
+    pairs = np.concatenate(found, axis=1)
+    return pairs[:, np.unique(pairs[0] << 32 | pairs[1], return_index=True)[1]]
+
+
+def _near_pairs(i, j, near, root):
+    import numpy as np
+
+    differ = root[i] != root[j]
+    i, j = np.minimum(i, j)[differ], np.maximum(i, j)[differ]
+    _, one = np.unique(i << 32 | j, return_index=True)
+    i, j = i[one], j[one]
+    d = np.concatenate([near(i[at : at + 100_000], j[at : at + 100_000]) for at in range(0, max(1, len(i)), 100_000)])
+    return np.stack([i, j, d])[:, d >= 0]
+
+
+def _of_bucket(members, near, root):
+    """All pairs of a large bucket whose roots differ: members outside the root that most have, against all."""
+    import numpy as np
+
+    roots, counts = np.unique(root[members], return_counts=True)
+    some = members[root[members] != roots[counts.argmax()]]
+    step, out = max(1, 1_000_000 // len(members)), [np.empty((3, 0), "i8")]
+    for at in range(0, len(some), step):
+        part = some[at : at + step]
+        out.append(_near_pairs(np.repeat(part, len(members)), np.tile(members, len(part)), near, root))
+    return np.concatenate(out, axis=1)
+
+
+def meeting(nodes: DataFrame, whole: bool, similarity: float = SIMILARITY, bits: int | None = None) -> DataFrame:
+    """nodes(node, n_shingles, keys, check_a, check_b, root) -> (node, d, other): partners of other roots by their distance.
+
+    Without ``whole`` a node's closest partner in each table, by 128 bits; with it every partner, by all bits.
+    """
+    if bits is None:
+        n, bits = nodes.count(), 0
+        while n * (1 + bits) >> bits > TASK_ROWS:
+            bits += 1
+    checks = ["keys"] if whole else ["check_a", "check_b"]
+    sent = nodes.select("node", "n_shingles", "root", *checks, F.posexplode("keys").alias("table", "key"))
+    own = F.shiftrightunsigned("key", 32 - bits) if bits else F.lit(0)
+    sent = sent.withColumn("prefix", F.explode(F.array(own, *(own.bitwiseXOR(F.lit(1 << b)) for b in range(bits)))))
+    most = WIDE_MOST if whole else CHECK_MOST
+
+    def meet(key, frame):
         import numpy as np
-        from xxhash import xxh64_intdigest
+        import pyarrow as pa
 
-        last = np.array(shared.value, "i8").view("u8")
-        order = np.argsort(last)
-        last, rank = last[order], (len(last) - order).astype("u4")
+        column = lambda n: frame.column(n).to_numpy()
+        node, size, root = column("node"), column("n_shingles"), column("root")
+        if whole:
+            check = frame.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)[:, : BITS // 32].copy().view("u8")
+        else:
+            check = np.stack([column("check_a"), column("check_b")], axis=1).view("u8")
 
-        def run(texts):
-            nodes, sizes, prefixes = [], [], []
-            for t in texts:
-                h = hashes(t, shingle)
-                nodes.append(int(np.array([xxh64_intdigest(h.tobytes(), _SEED)], "u8").view("i8")[0]))
-                sizes.append(len(h))
-                late = np.zeros(len(h), "u4")
-                if len(last):
-                    at = np.minimum(np.searchsorted(last, h), len(last) - 1)
-                    late = np.where(last[at] == h, rank[at], 0)
-                prefixes.append(h[np.lexsort((h, late))][: prefix_length(len(h), similarity)].view("i8").tolist())
-            return nodes, sizes, prefixes
+        def near(i, j):
+            d = np.bitwise_count(check[i] ^ check[j]).sum(axis=1, dtype="i8")
+            alike = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+            return np.where(alike & (d <= most), d, -1)
 
-        return run
+        i, j, d = _bucket_pairs(column("key").view("u4"), near, root, bits, key[1].as_py(), whole)
+        if not whole:
+            i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
+            by = np.lexsort((node[j], d, i))
+            one = by[np.unique(i[by], return_index=True)[1]]
+            i, j, d = i[one], j[one], d[one]
+        return pa.table({"node": node[i], "d": d.astype("i4"), "other": node[j]})
+
+    return sent.groupBy("table", "prefix").applyInArrow(meet, "node bigint, d int, other bigint")
 
-    return map_texts(docs, make, [("node", "bigint"), ("n_shingles", "int"), ("prefix", "array<bigint>")], keep_text=True)
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """pairs(u, v), distinct, and texts(node, text) -> the pairs (u, v) whose texts have the similarity."""
-    sides = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("right")), "v")
-    sides = sides.join(texts.select(F.col("node").alias("u"), F.col("text").alias("left")), "u").select("u", "v", "left", "right")
+    """pairs(u, v), distinct, and texts(node, text) -> (u, v, near), whether the similarity of the two is reached.
+
+    A node with many pairs is split over SALTS parts, so that its text meets them in many tasks.
+    """
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    left = dealt.select("u", "salt").distinct().join(texts.select(F.col("node").alias("u"), F.col("text").alias("left")), "u")
+    sides = dealt.join(texts.select(F.col("node").alias("v"), F.col("text").alias("right")), "v").join(left, ["u", "salt"]).select("u", "v", "left", "right")
 
     def run(batches):
         import pyarrow as pa
 
+        held = lru_cache(256)(lambda t: shingle_hashes(t, shingle))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                keep = [jaccard(x, y, shingle) >= similarity for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+                near = [jaccard(held(x), held(y)) >= similarity for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(near, pa.bool_())], names=["u", "v", "near"])
 
-    return sides.mapInArrow(run, "u bigint, v bigint")
+    return sides.mapInArrow(run, "u bigint, v bigint, near boolean")
 
 
 def node_roots(marked: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """marked(node, n_shingles, prefix, text) -> (u, v): each node that is linked to a smaller one, with its component's smallest."""
-    spark = marked.sparkSession
-    distinct = marked.select("node", "n_shingles", "prefix").dropDuplicates(["node"])
-    held = distinct.select("node", "n_shingles", F.explode("prefix").alias("h"))
-    shared = held.groupBy("h").agg(F.count("*").alias("size")).where("size > 1").select("h")
-    live = materialize(held.join(shared, "h").select("h", "node", "n_shingles"), "buckets")
-    # one row's text stands for a node; only nodes of some bucket are looked up
-    texts = marked.select("node", "text").join(live.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = materialize(texts, "bucket-texts")
-    roots = spark.createDataFrame([], "u bigint, v bigint")
-    least, most = F.lit(similarity), PAIRWISE
-    near = lambda a, b: F.least(a, b) >= F.greatest(a, b) * least - 1e-6
-    live = live.withColumn("root", F.col("node"))
-    while not live.isEmpty():
-        first = F.struct("node", "n_shingles", "root")
-        sized = materialize(live.join(live.groupBy("h").agg(F.count("*").alias("size"), F.min(first).alias("p")), "h"), "sized")
-        small = sized.where(F.col("size") <= most)
-        left = small.select("h", F.col("node").alias("u"), F.col("n_shingles").alias("un"), F.col("root").alias("ur"))
-        right = small.select("h", F.col("node").alias("v"), F.col("n_shingles").alias("vn"), F.col("root").alias("vr"))
-        few = left.join(right, "h").where((F.col("u") < F.col("v")) & (F.col("ur") != F.col("vr")) & near(F.col("un"), F.col("vn"))).select("u", "v")
-        large = sized.where((F.col("size") > most) & (F.col("node") > F.col("p.node")))
-        many = large.where((F.col("root") != F.col("p.root")) & near(F.col("p.n_shingles"), F.col("n_shingles"))).select(F.col("p.node").alias("u"), F.col("node").alias("v"))
-        pairs = materialize(few.union(many).distinct(), "pairs")
-        roots = components(roots.union(verified(pairs, texts, shingle, similarity)))
-        # the smallest node has met its whole bucket; a bucket within one component needs no further pairs
-        rest = large.select("h", "node", "n_shingles").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-        rest = rest.select("h", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
-        unsettled = rest.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
-        live = materialize(rest.join(unsettled, "h").select("h", "node", "n_shingles", "root"), "buckets")
-        most *= GROWTH
-    return roots
+    """marked(node, n_shingles, keys, check_a, check_b, text) -> (u, v): each node that is linked to a smaller one, with its component's smallest."""
+    nodes = materialize(marked.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n_shingles", "keys", "check_a", "check_b"))), "nodes")
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        # one row's text stands for a node; only nodes of some pair are looked up
+        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        texts = marked.select("node", "text").join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+        return materialize(verified(pairs, texts, shingle, similarity), "judged")
+
+    # a node has one partner of each table at most, so its list is short
+    met = meeting(nodes.withColumn("root", F.col("node")), False, similarity).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("d", "other"))).alias("met"))
+    met = materialize(met, "met")
+    judged = judge(_ordered(met.select("node", F.explode(F.slice("met.other", 1, CLOSEST)).alias("other"))))
+    links = judged.where("near").select("u", "v")
+    roots = components(links)
+    some = met.select(F.explode(F.array_append("met.other", F.col("node"))).alias("node")).distinct()
+    again = nodes.join(some, "node").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = materialize(_ordered(meeting(again, True, similarity)).join(judged.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
+    return components(roots.union(judge(rest).where("near").select("u", "v")))
+
+
+def _first(row: Column) -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), row.alias("row"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs with a doc_id and a text -> of the rows of each component the one first by doc_id (null last), text and row."""
     columns = docs.columns
-    rows = mark(docs, frequent_shingles(docs, shingle), shingle, similarity).withColumn("__row", F.monotonically_increasing_id())
-    rows = materialize(rows, "near-copies")
+    rows = materialize(mark(docs, shingle).withColumn("__row", F.monotonically_increasing_id()), "near-copies")
     roots = node_roots(rows, shingle, similarity).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), F.col("__row").alias("row"))
     # nodes are aggregated before their components, so that copies of one text are met where they lie
-    firsts = rows.groupBy("node").agg(F.min(first).alias("first")).join(roots, "node", "left")
+    firsts = rows.groupBy("node").agg(F.min(_first(F.col("__row"))).alias("first")).join(roots, "node", "left")
     kept = firsts.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
     return rows.join(kept, "__row", "left_semi").select(columns)

@@ -1,8 +1,9 @@
-"""Near copies against all pairs, and the row that stays of each component."""
+"""Near copies against all pairs, exact meeting in variants, and the row that stays of each component."""
 
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from loomgraph.llm import near_copies
 
@@ -28,10 +29,10 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
 
 
-@pytest.mark.parametrize(("pairwise", "frequent"), [(12, 50_000), (2, 0), (2, 3)])
-def test_near_duplicate_stage_equals_all_pairs(spark, monkeypatch, pairwise, frequent):
-    monkeypatch.setattr(near_copies, "PAIRWISE", pairwise)
-    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+@pytest.mark.parametrize(("task_rows", "variants", "lags"), [(8_000_000, 4_000_000, 8), (40, 500, 2), (120, 100_000, 1)])
+def test_near_duplicate_stage_equals_all_pairs(spark, monkeypatch, task_rows, variants, lags):
+    for name, value in (("TASK_ROWS", task_rows), ("PASS_VARIANTS", variants), ("LAGS", lags)):
+        monkeypatch.setattr(near_copies, name, value)
     rnd = random.Random(6)
     word = lambda: rnd.choice("abcdefgh") + str(rnd.randint(0, 300))
     line = " ".join(word() for _ in range(12))
@@ -57,3 +58,41 @@ def test_one_row_of_each_component_stays(spark):
     rows = [(1, t[0]), (1, t[0]), (1, t[0]), (None, t[1]), (2, t[1] + " x"), (None, t[2]), (None, t[2]), (3, t[3]), (4, t[3]), (4, t[4]), (None, None), (9, "")]
     got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, t[0]), (2, t[1] + " x"), (0, t[2]), (3, t[3]), (4, t[4]), (9, "")])
+
+
+@pytest.mark.parametrize(("bits", "variants"), [(0, 4_000_000), (0, 300), (4, 4_000_000), (4, 300)])
+def test_keys_within_two_bits_meet(monkeypatch, bits, variants):
+    monkeypatch.setattr(near_copies, "PASS_VARIANTS", variants)
+    rnd = random.Random(bits)
+    keys = [rnd.getrandbits(32) for _ in range(40)]
+    for k in list(keys):
+        for _ in range(4):
+            keys.append(k)
+            for b in rnd.sample(range(32), rnd.randint(0, 3)):
+                keys[-1] ^= 1 << b
+    keys += [keys[0]] * 30
+    key, root = np.array(keys, "u4"), np.array([i % 3 for i in range(len(keys))])
+    want = {(i, j) for j in range(len(keys)) for i in range(j) if (keys[i] ^ keys[j]).bit_count() <= 2 and root[i] != root[j]}
+    got = set()
+    for prefix in range(1 << bits):
+        here = np.array([i for i, k in enumerate(keys) if ((k >> (32 - bits)) ^ prefix).bit_count() <= 1], "i8")
+        zero = lambda i, j: np.zeros(len(i), "i8")
+        pairs = near_copies._bucket_pairs(key[here], zero, root[here], bits, prefix, True)
+        got |= {tuple(sorted((int(here[i]), int(here[j])))) for i, j in zip(pairs[0], pairs[1], strict=True)}
+    assert got == want
+
+
+def test_similarity_of_fingerprints_follows_that_of_texts():
+    rnd = random.Random(2)
+    for share in (0.2, 0.1, 0.03):
+        found = total = 0
+        for _ in range(60):
+            base = [str(rnd.randint(0, 10**6)) for _ in range(200)]
+            copy = list(base)
+            copy[: int(share * 40)] = [str(rnd.randint(0, 10**6)) for _ in range(int(share * 40))]
+            a, b = (near_copies.shingle_hashes(" ".join(t)) for t in (base, copy))
+            if near_copies.jaccard(a, b) >= 0.8:
+                d = np.bitwise_count(near_copies.wide_fingerprint(a) ^ near_copies.wide_fingerprint(b))
+                total += 1
+                found += bool((d <= 2).any() and d[:32].sum() <= near_copies.WIDE_MOST and d[:4].sum() <= near_copies.CHECK_MOST)
+        assert total == 60 and found >= 59
