@@ -1,35 +1,40 @@
 """Personal data by bootstrapped contextual extraction.
 
-Seeds are what the kinds' fixed forms match. The words before a seed induce lexical patterns (the last word; the last two). Other
-tokens whose shape a kind allows are candidates; they stand in a graph with the patterns before them. Spark scores the graph in
-rounds: a pattern's confidence in a kind is the share of its weight that stands on instances of this kind, once ``MIN_SEEDS``
-distinct seeds support it; a candidate's confidence is the noisy-or of its patterns'. Candidates after patterns of
-``MIN_CONFIDENCE`` are found, whatever their text, so the patterns discover identifiers that no seed form matches.
-
-All of a text is read, once. Patterns and instances are aggregated before any join, and every join has one row for each key on
-one side, so frequent words gather no group.
-
-Defined cases: a null text counts as empty and has no spans; repeated rows each get their result; an empty table gives an empty
-result; very long digit runs and tokens are scanned in linear time; further columns are left out by ``find_personal_data``.
+Seeds are what the kinds' fixed forms match. The words around a seed induce lexical patterns: the last one or two before it, the
+first one or two after it, and one on either side. Other spans whose shape a kind allows are candidates, whole however long: runs
+of 7 to 19 digits with spaces, brackets, dots, slashes, colons and hyphens between them, addresses of machines with ports or in
+hexadecimal, words around an @ or a written [at]. They stand in a graph with the patterns around them, and Spark scores the graph
+in rounds: a pattern's confidence in a kind is the share of its weight that stands on instances of this kind, once ``MIN_SEEDS``
+distinct instances support it; a candidate's confidence is the noisy-or of its patterns', for the kinds that its shape allows. A
+candidate of ``MIN_CONFIDENCE`` supports patterns like a seed from then on, so that patterns which no seed has are found in later
+rounds; rounds end when no candidate's acceptance changes, after ``ROUNDS`` at most. Accepted candidates are found where a pattern
+of ``MIN_CONFIDENCE`` stands beside them.
+
+All of a text is read, once. Patterns and instances are aggregated before any join, and a pattern that many instances share is
+split over ``SALTS`` parts where it is joined, so frequent words gather no group.
+
+Defined cases: a null text counts as empty and has no spans; repeated rows each get their result, and count once as evidence; an
+empty table gives an empty result; very long digit runs and tokens are scanned in linear time; further columns are left out by
+``find_personal_data``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right, insort
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, table, text_key
+from .common import SLICE_ROWS, map_texts, materialize, table, text_key
 
 #: The kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+ROUNDS = 10
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.8
-#: The context before a span that patterns are taken from, in characters.
-CONTEXT = 200
+SALTS = 32
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # an address can only begin where a run of digits does, and nothing is gained by giving digits back
@@ -37,13 +42,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&="
-#: Shapes, by kind, that a candidate may have.
-_SHAPES = {
-    "email": re.compile(r"[^\s@]{1,64}@[^\s@]{1,255}"),
-    "ip": re.compile(r"[0-9]{1,3}(?:[.:][0-9]{1,3}){3}(?::[0-9]{1,5}|/[0-9]{1,2})?|[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){3,7}"),
-    "card": re.compile(r"[0-9](?:[.-]?[0-9]){12,18}"),
-    "phone": re.compile(r"(?:00|\(?0)[0-9][0-9()./-]{6,16}|[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}|[0-9]{3}-[0-9]{4}"),
-}
+_RUN = re.compile(r"\(?[0-9](?:[\x20()./:-]{0,3}[0-9])*+")
+_MACHINE = re.compile(r"[0-9]{1,3}(?:[.:][0-9]{1,3}){3}(?::[0-9]{1,5}|/[0-9]{1,2})?|[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){3,7}")
+_WRITTEN_AT = re.compile(r"(?<!\S)[\w.+-]++ ?[\[({] ?at ?[\])}] ?[\w.-]++", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -82,27 +83,77 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def patterns_before(text: str, start: int) -> list[str]:
-    words = [w.strip(_STRIP).lower() for w in text[max(0, start - CONTEXT) : start].split()[-2:]]
-    words = [w for w in words if w]
-    return [" ".join(words[-n:]) for n in (1, 2) if len(words) >= n]
+class Context:
+    """The words around spans of a text, without the punctuation around them."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        spots = [m.span() for m in re.finditer(r"\S+", text)]
+        self.starts, self.ends = [a for a, _ in spots], [b for _, b in spots]
+
+    def _words(self, numbers, cut_start: int, cut_end: int) -> list[str]:
+        """The first two words that are left of the numbered tokens' parts between the cuts."""
+        found: list[str] = []
+        for i in numbers:
+            word = self.text[max(self.starts[i], cut_start) : min(self.ends[i], cut_end)].strip(_STRIP).lower()
+            if word:
+                found.append(word)
+            if len(found) == 2:
+                break
+        return found
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """Patterns before (<), after (>) and around (<>) the span."""
+        left = self._words(range(bisect_left(self.starts, start) - 1, -1, -1), 0, start)
+        right = self._words(range(bisect_right(self.ends, end), len(self.ends)), end, len(self.text))
+        out = ["< " + " ".join(left[:n][::-1]) for n in (1, 2) if len(left) >= n] + ["> " + " ".join(right[:n]) for n in (1, 2) if len(right) >= n]
+        return out + ([f"<> {left[0]} {right[0]}"] if left and right else [])
+
+
+def kinds_of(span: str) -> list[str]:
+    """The kinds that a candidate's shape allows."""
+    digits = sum("0" <= c <= "9" for c in span)
+    if "@" in span or _WRITTEN_AT.fullmatch(span):
+        return ["email"]
+    if _MACHINE.fullmatch(span):
+        return ["ip"]
+    return [k for k, fits in (("card", 13 <= digits <= 19), ("phone", 7 <= digits <= 15)) if fits]
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, str, list[str]]]:
-    """Tokens outside the taken spans whose shape some kind allows: start, end, text, kinds."""
-    out = []
-    if not re.search("[0-9@]", text):
+    """Spans outside the taken ones, and of each other, whose shape some kind allows: start, end, text, kinds."""
+    out: list[tuple[int, int, str, list[str]]] = []
+    if not re.search(r"[0-9@]|[\[({] ?at ?[\])}]", text, re.I):
         return out
+    used = sorted((a, b) for _, a, b in taken)
+
+    def add(a: int, b: int) -> bool:
+        span = text[a:b]
+        kinds = kinds_of(span)
+        at = bisect_left(used, (b,))
+        # spans in use do not overlap but for a few kinds' nested ones, so the ones just before tell
+        if not kinds or any(y > a for _, y in used[max(0, at - 4) : at]):
+            return False
+        insort(used, (a, b))
+        out.append((a, b, span, kinds))
+        return True
+
+    for m in _WRITTEN_AT.finditer(text):
+        add(*m.span())
     for m in re.finditer(r"\S+", text):
-        token = m[0].strip(_STRIP)
-        if not 7 <= len(token) <= 400 or not any(c in "0123456789@" for c in token):
+        if "@" in m[0] or m[0].count(":") >= 3 or (":" in m[0] or "/" in m[0]) and m[0].count(".") == 3:
+            token = m[0].strip(_STRIP)
+            a = m.start() + m[0].index(token)
+            if "@" in token and re.fullmatch(r"[^\s@]+@[^\s@]+", token) or _MACHINE.fullmatch(token):
+                add(a, a + len(token))
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() < 7 or add(*m.span()):
             continue
-        a = m.start() + m[0].index(token)
-        b = a + len(token)
-        kinds = [k for k in KINDS if _SHAPES[k].fullmatch(token)]
-        if kinds and not any(a < y and x < b for _, x, y in taken):
-            out.append((a, b, token, kinds))
-    return out
+        # not one identifier: its parts between spaces
+        for part in re.finditer(r"[^\x20]+", m[0]):
+            if len(part[0]) >= 7:
+                add(m.start() + part.start(), m.start() + part.end())
+    return sorted(out)
 
 
 def join_spans(spans: list[tuple[str, int, int]]) -> str:
@@ -126,7 +177,8 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                     counts[k].append(sum(s[0] == k for s in spans))
                 rows = [(a, b, t[a:b], k, [k]) for k, a, b in spans]
                 rows += [(a, b, x, None, kinds) for a, b, x, kinds in candidates(t or "", spans)]
-                found.append([{"start": a, "end": b, "instance": x, "kind": k, "fits": f, "patterns": patterns_before(t, a)} for a, b, x, k, f in rows])
+                around = Context(t) if rows else None
+                found.append([{"start": a, "end": b, "instance": x, "kind": k, "fits": f, "patterns": around.patterns(a, b)} for a, b, x, k, f in rows])
             return [base, *counts.values(), sums, found]
 
         return run
@@ -136,16 +188,26 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """edges(pattern, instance, kind or null, weight), distinct -> confidences p_<kind> of patterns and c_<kind> of candidates."""
-    own = edges.withColumns({f"c_{k}": F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in KINDS})
+    """edges(pattern, instance, kind or null, fits, weight), distinct -> confidences p_<kind> of patterns and c_<kind> of candidates."""
+    known = edges.where("kind IS NOT NULL").withColumns({f"c_{k}": F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in KINDS})
+    unknown = edges.where("kind IS NULL")
+    own = known.unionByName(unknown.withColumns({f"c_{k}": F.lit(0.0) for k in KINDS}))
+    salt = F.pmod(F.xxhash64("instance"), F.lit(SALTS))
+    before = None
     for n in range(rounds):
-        sums = {f"p_{k}": F.when(F.count(F.when(F.col("kind") == k, 1)) >= MIN_SEEDS, F.sum(F.col("weight") * F.col(f"c_{k}")) / F.sum("weight")).otherwise(0.0) for k in KINDS}
+        support = lambda k: F.count(F.when(F.col(f"c_{k}") >= MIN_CONFIDENCE, 1))
+        sums = {f"p_{k}": F.when(support(k) >= MIN_SEEDS, F.sum(F.col("weight") * F.col(f"c_{k}")) / F.sum("weight")).otherwise(0.0) for k in KINDS}
         patterns = materialize(own.groupBy("pattern").agg(*(v.alias(k) for k, v in sums.items())).where(F.greatest(*sums) > 0), f"patterns-{n}")
-        unknown = edges.where("kind IS NULL").join(patterns, "pattern")
-        noisy_or = {f"c_{k}": 1 - F.exp(F.sum(F.log(1 - F.least(F.col(f"p_{k}"), F.lit(0.999))))) for k in KINDS}
-        found = materialize(unknown.groupBy("instance").agg(*(v.alias(k) for k, v in noisy_or.items())), f"instances-{n}")
-        known = edges.where("kind IS NOT NULL").withColumns({f"c_{k}": F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in KINDS})
-        rest = edges.where("kind IS NULL").join(found, "instance", "left").select(*edges.columns, *(F.coalesce(f"c_{k}", F.lit(0.0)).alias(f"c_{k}") for k in KINDS))
+        split = patterns.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        fit = lambda k: F.when(F.array_contains("fits", k), F.col(f"p_{k}")).otherwise(0.0)
+        noisy_or = {f"c_{k}": 1 - F.exp(F.sum(F.log(1 - F.least(fit(k), F.lit(0.999))))) for k in KINDS}
+        found = unknown.withColumn("salt", salt).join(split, ["pattern", "salt"]).groupBy("instance").agg(*(v.alias(k) for k, v in noisy_or.items()))
+        found = materialize(found, f"instances-{n}")
+        accepted = found.agg(*(F.sum(F.when(F.col(f"c_{k}") >= MIN_CONFIDENCE, F.xxhash64("instance").cast("decimal(38,0)"))) for k in KINDS)).first()
+        if accepted == before:
+            break
+        before = accepted
+        rest = unknown.join(found, "instance", "left").select(*edges.columns, *(F.coalesce(f"c_{k}", F.lit(0.0)).alias(f"c_{k}") for k in KINDS))
         own = known.unionByName(rest)
     return patterns, found
 
@@ -155,13 +217,15 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", text_key("doc_id", "text").alias("key"))
     scanned = materialize(scan(docs), "scanned")
     # a text that several rows bear counts once
-    seen = scanned.where(F.size("found") > 0).select("key", "found").distinct().select("key", F.inline("found"))
-    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind").groupBy("pattern", "instance", "kind").agg(F.count("*").alias("weight"))
+    seen = scanned.where(F.size("found") > 0).groupBy("key").agg(F.any_value("found").alias("found")).select("key", F.inline("found"))
+    seen = materialize(seen, "occurrences")
+    edges = seen.select(F.explode("patterns").alias("pattern"), "instance", "kind", "fits").groupBy("pattern", "instance", "kind", "fits").agg(F.count("*").alias("weight"))
     patterns, instances = score_graph(materialize(edges, "edges"))
     trusted = patterns.where(F.greatest(*(F.col(f"p_{k}") for k in KINDS)) >= MIN_CONFIDENCE)
-    spots = seen.where("kind IS NULL").withColumn("pattern", F.explode("patterns")).join(trusted, "pattern").join(instances, "instance")
     sure = lambda k: F.array_contains("fits", k) & (F.col(f"p_{k}") >= MIN_CONFIDENCE) & (F.col(f"c_{k}") >= MIN_CONFIDENCE)
     best = F.array_max(F.array(*(F.when(sure(k), F.struct(F.col(f"c_{k}").alias("c"), F.lit(-n).alias("n"), F.lit(k).alias("kind"))) for n, k in enumerate(KINDS))))
+    likely = instances.where(F.greatest(*(F.col(f"c_{k}") for k in KINDS)) >= MIN_CONFIDENCE)
+    spots = seen.where("kind IS NULL").join(likely, "instance").withColumn("pattern", F.explode("patterns")).join(trusted, "pattern")
     spots = spots.withColumn("best", best).where("best IS NOT NULL").groupBy("key", "start", "end").agg(F.max("best").alias("best"))
     spots = spots.groupBy("key").agg(F.collect_list(F.concat_ws(":", "best.kind", "start", "end")).alias("more"))
     result = scanned.drop("found").join(spots, "key", "left")
@@ -171,29 +235,38 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     return result.withColumn("spans", F.array_join(F.transform(F.array_sort(F.transform(every, rank)), lambda r: r["s"]), ",")).drop("base", "more")
 
 
+def cut(text: str, spans: str) -> str:
+    """The text with <KIND> in the place of every span; of spans that overlap the first by start names the kind."""
+    ranges = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",")))
+    out, at = [], 0
+    for a, b, k in ranges:
+        if a >= at:
+            out += [text[at:a], f"<{k.upper()}>"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Puts <KIND> in the place of every span; the columns of docs stay, n_chars becomes the new length where there is one."""
     columns = docs.columns
-    keyed = docs.withColumn("key", text_key("doc_id", "text"))
-    joined = keyed.join(found.where("spans <> ''").groupBy("key").agg(F.first("spans").alias("spans")), "key", "left")
-
-    def cut(text, spans):
-        ranges = sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in spans.split(",")))
-        out, at = [], 0
-        for a, b, k in ranges:
-            if a >= at:
-                out += [text[at:a], f"<{k.upper()}>"]
-            at = max(at, b)
-        return "".join(out) + text[at:]
-
-    def run(texts, spans):
-        return texts if spans is None else cut(texts, spans)
-
-    replaced = F.when(F.col("spans").isNotNull(), F.udf(run, "string", useArrow=True)("text", "spans")).otherwise(F.col("text"))
-    done = joined.withColumn("text", replaced)
+    keyed = docs.withColumn("__key", text_key("doc_id", "text"))
+    spans = found.where("spans <> ''").groupBy(F.col("key").alias("__key")).agg(F.any_value("spans").alias("__spans"))
+    joined = keyed.join(spans, "__key", "left").select(*columns, "__spans")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                b = whole.slice(at, SLICE_ROWS)
+                texts = [t if s is None else cut(t, s) for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist(), strict=True)]
+                new = {"text": pa.array(texts, b.schema.field("text").type)}
+                yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in columns], names=columns)
+
+    done = joined.mapInArrow(run, docs.schema)
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
-    return done.select(*columns)
+    return done
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

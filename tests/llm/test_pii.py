@@ -48,3 +48,75 @@ def test_patterns_discover_unseen_forms_and_leave_others_alone(spark):
     assert got[12] == "phone:18:30" and got[13] == ""
     clean = {r["doc_id"]: r["text"] for r in pii.redact(df, found).collect()}
     assert clean[12] == "please call me at <PHONE> now" and clean[13] == texts[13] and clean[6] == "server address <IP> is up"
+
+
+def test_second_round_finds_what_seeds_alone_do_not(spark):
+    """Seeds make "reach me at" trusted; what it finds makes "dial" trusted, which no seed stands beside; "serial" and "total" stay out."""
+    texts = [f"you can reach me at +1 (20{i}) 555-777{i} any time" for i in range(8)]
+    bare = [f"(20{i}) 666-888{i}" for i in range(4)]
+    texts += [f"or reach me at {b} any time" for b in bare] + [f"so dial {b} tonight please" for b in bare]
+    texts += ["so dial 5559876543 tonight please", "serial 5559876543 was made", *(f"total 55512{i}6543 units sold" for i in range(9))]
+    texts += [f"server lists 10.1.2.{i} as up" for i in range(4)] + ["server lists 10.1.2.9:8080 as up", "write to joe [at] mail.org soon", *(f"write to a{i}@mail.org soon" for i in range(4))]
+    texts.append("reach me at 212" + " 555" * 400 + " any time")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_personal_data(df)
+    got = {r["doc_id"]: [tuple(x.split(":")) for x in r["spans"].split(",") if x] for r in found.collect()}
+    spans = {i: [(k, texts[i][int(a) : int(b)]) for k, a, b in v] for i, v in got.items()}
+    for i, b in enumerate(bare):
+        assert spans[8 + i] == [("phone", b)] and spans[12 + i] == [("phone", b)]
+    assert spans[16] == [("phone", "5559876543")] and spans[17] == []
+    assert all(spans[i] == [] for i in range(18, 27))
+    assert spans[31] == [("ip", "10.1.2.9")] or spans[31] == [("ip", "10.1.2.9:8080")]
+    assert spans[32] == [("email", "joe [at] mail.org")]
+    assert spans[37] == []
+
+
+def brute_scores(edges, rounds):
+    own = {(i, k): float(kind == k) for _, i, kind, _, _ in edges for k in pii.KINDS}
+    before = None
+    for _ in range(rounds):
+        p = {}
+        for pat in {e[0] for e in edges}:
+            rows = [e for e in edges if e[0] == pat]
+            for k in pii.KINDS:
+                if sum(own[e[1], k] >= pii.MIN_CONFIDENCE for e in rows) >= pii.MIN_SEEDS:
+                    p[pat, k] = sum(e[4] * own[e[1], k] for e in rows) / sum(e[4] for e in rows)
+        c = {}
+        for inst, fits in {(e[1], tuple(e[3])) for e in edges if e[2] is None}:
+            for k in pii.KINDS:
+                miss = 1.0
+                for e in edges:
+                    if e[1] == inst and k in fits:
+                        miss *= 1 - min(p.get((e[0], k), 0.0), 0.999)
+                c[inst, k] = 1 - miss
+        accepted = {x for x, v in c.items() if v >= pii.MIN_CONFIDENCE}
+        if accepted == before:
+            break
+        before = accepted
+        own.update(c)
+    return p, c
+
+
+def test_graph_scores_equal_brute_force(spark):
+    rnd = random.Random(3)
+    edges = {}
+    for _ in range(160):
+        i = rnd.randint(0, 40)
+        kind = pii.KINDS[i % 4] if i < 25 else None
+        edges[f"p{rnd.randint(0, 12)}", f"i{i}"] = (kind, [kind] if kind else [pii.KINDS[i % 4], pii.KINDS[(i + 1) % 4]], rnd.randint(1, 4))
+    rows = [(p, i, *v) for (p, i), v in edges.items()]
+    patterns, found = pii.score_graph(spark.createDataFrame(rows, "pattern string, instance string, kind string, fits array<string>, weight long"))
+    p, c = brute_scores(rows, pii.ROUNDS)
+    got = {(r["pattern"], k): r[f"p_{k}"] for r in patterns.collect() for k in pii.KINDS}
+    assert all(abs(got.get(x, 0.0) - v) < 1e-9 for x, v in p.items()) and all(abs(p.get(x, 0.0) - v) < 1e-9 for x, v in got.items())
+    got = {(r["instance"], k): r[f"c_{k}"] for r in found.collect() for k in pii.KINDS}
+    assert all(abs(got.get(x, 0.0) - v) < 1e-9 for x, v in c.items())
+
+
+def test_contexts_are_whole_words_and_spans_any_length():
+    t = "x" * 500 + " Call: " + "1 " * 8 + "(now) please"
+    (a, b, span, kinds), *_ = pii.candidates(t, [])
+    assert span == "1 1 1 1 1 1 1 1" and kinds == ["phone"]
+    assert pii.Context(t).patterns(a, b) == ["< call", "< " + "x" * 500 + " call", "> now", "> now please", "<> call now"]
+    assert pii.candidates("a" * 5000 + "@b", [])[0][2] == "a" * 5000 + "@b"
+    assert pii.candidates("1234567", [("card", 2, 4)]) == []
