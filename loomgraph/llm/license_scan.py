@@ -1,7 +1,8 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Blocks are a text's lines, cut into overlapping windows of ``WINDOW`` words where they are longer. A block and a template are
-sets of words; a template is found where the block holds at least ``threshold`` of its words. The words of templates are put in
+Blocks are overlapping windows over a text's words, whatever its line ends: each window is two neighbouring stretches, and a
+stretch has ``STRETCH`` words or as many as the longest template, so that a place of up to a stretch's length lies in some block
+whole, wrapped or not, and a template may have any length. A block and a template are sets of words; a template is found where the block holds at least ``threshold`` of its words. The words of templates are put in
 order of their frequency in all texts, rarest first. Then only the first words of each side in that order can bring a pair
 together (prefix filter), a block with too few of the templates' words takes no part (length filter), and a pair whose words
 after the shared one are too few falls out before it is verified (positional filter). All of it is DataFrame functions.
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import WORD_PATTERN, ascii_lower, literal_rows, materialize, table, text_key
 
 THRESHOLD = 0.85
-#: Words of a block at most; templates may have half as many, so that some window holds each place whole.
-WINDOW = 64
-#: The index of templates is broadcast up to so many; beyond, Spark joins it by a shuffle.
-BROADCAST_TEMPLATES = 10_000
+#: Words of half a block at least.
+STRETCH = 32
+#: The index of templates is broadcast up to about so many bytes; beyond, Spark joins it by a shuffle.
+BROADCAST_BYTES = 8_000_000
 
 
 class Template(NamedTuple):
@@ -80,13 +81,23 @@ def least_shared(templates: Sequence[Template], threshold: float) -> int:
     return min(_needed(len(t.words), threshold) for t in templates)
 
 
-def candidate_blocks(lines: Column, templates: Sequence[Template], threshold: float = THRESHOLD) -> Column:
-    """lines, the words of each line -> for each block that passes the length filter its distinct words that templates have."""
-    vocabulary, least, half = vocabulary_of(templates), least_shared(templates, threshold), WINDOW // 2
-    own = lambda words: F.filter(words, lambda w: w.isin(vocabulary))
-    cut = lambda line: F.when(F.size(line) <= WINDOW, F.array(line)).otherwise(F.transform(F.sequence(F.lit(0), F.size(line) - half - 1, F.lit(half)), lambda s: F.slice(line, s + 1, WINDOW)))
-    windows = F.flatten(F.transform(F.filter(lines, lambda line: F.size(own(line)) >= least), cut))
-    return F.filter(F.transform(windows, lambda block: F.array_distinct(own(block))), lambda block: F.size(block) >= least)
+def stretch_of(templates: Sequence[Template]) -> int:
+    return max([STRETCH, *(len(t.text.split()) for t in templates)])
+
+
+def stretches(words: Column, templates: Sequence[Template]) -> Column:
+    """For each stretch of the words its distinct words that templates have."""
+    vocabulary, n = vocabulary_of(templates), stretch_of(templates)
+    numbers = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / n).cast("int"))
+    own = lambda k: F.array_distinct(F.filter(F.slice(words, k * n + 1, n), lambda w: w.isin(vocabulary)))
+    return F.when(F.size(words) > 0, F.transform(numbers, own)).otherwise(F.array().cast("array<array<string>>"))
+
+
+def candidate_blocks(halves: Column, templates: Sequence[Template], threshold: float = THRESHOLD) -> Column:
+    """The stretches' words -> those of each block, two stretches, that passes the length filter."""
+    least, n = least_shared(templates, threshold), F.greatest(F.size(halves) - 1, F.lit(1))
+    blocks = F.zip_with(F.slice(halves, 1, n), F.slice(halves, 2, n), lambda a, b: F.array_union(a, F.coalesce(b, F.array().cast("array<string>"))))
+    return F.filter(blocks, lambda block: F.size(block) >= least)
 
 
 def find_templates(blocks: DataFrame, templates: Sequence[Template], order: Sequence[str], key: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -98,7 +109,7 @@ def find_templates(blocks: DataFrame, templates: Sequence[Template], order: Sequ
         need = _needed(len(ranks), threshold)
         index += [{"rank": r, "at": i, "template": n, "label": t.label, "size": len(ranks), "need": need, "ranks": ranks} for i, r in enumerate(ranks[: len(ranks) - need + 1])]
     index_df = literal_rows(blocks.sparkSession, index)
-    if len(templates) <= BROADCAST_TEMPLATES:
+    if sum(64 + 4 * r["size"] for r in index) <= BROADCAST_BYTES:
         index_df = F.broadcast(index_df)
     least = least_shared(templates, threshold)
 
@@ -128,17 +139,16 @@ def phrase_starts(words: Column, phrase: str) -> Column:
 
 def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of each row of docs(doc_id, text)."""
-    if any(len(t.words) > WINDOW // 2 for t in templates):
-        raise ValueError(f"a template has more than {WINDOW // 2} words")
     docs = docs.select("doc_id", text_key("doc_id", "text").alias("__key"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
-    base = docs.withColumn("lines", F.transform(F.split("low", "\n"), words_of)).withColumn("words", F.flatten("lines"))
+    base = docs.withColumn("words", words_of(F.col("low")))
     places = [F.when(reduce(and_, (F.contains("low", F.lit(w)) for w in p.split())), phrase_starts(F.col("words"), p)) for _, p in phrases]
-    base = base.select("doc_id", "__key", "lines", "words", *(F.coalesce(x, F.array().cast("array<bigint>")).alias(f"at_{n}") for n, x in enumerate(places)))
+    base = base.select("doc_id", "__key", "words", stretches(F.col("words"), templates).alias("halves"), *(F.coalesce(x, F.array().cast("array<bigint>")).alias(f"at_{n}") for n, x in enumerate(places)))
     starts = F.flatten(F.array(*(F.col(f"at_{n}") for n in range(len(phrases)))))
     labels = F.array(*(F.when(F.size(f"at_{n}") > 0, F.lit(label)) for n, (label, _) in enumerate(phrases)))
-    own = F.filter("words", lambda w: w.isin(vocabulary_of(templates)))
+    # a word counts once in each stretch that has it; only the order of the counts matters
+    own = F.flatten("halves")
     base = base.select(
-        "doc_id", "__key", F.size("words").cast("long").alias("n_words"), starts.alias("starts"), F.array_distinct(F.array_compact(labels)).alias("base"), own.alias("own"), candidate_blocks(F.col("lines"), templates, threshold).alias("blocks")
+        "doc_id", "__key", F.size("words").cast("long").alias("n_words"), starts.alias("starts"), F.array_distinct(F.array_compact(labels)).alias("base"), own.alias("own"), candidate_blocks(F.col("halves"), templates, threshold).alias("blocks")
     )
     base = materialize(base, "license-words")
     found = find_templates(base, templates, token_order(base, templates), "__key", threshold)
@@ -162,6 +172,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join(f"('{t.label}', {t.words!r}, {_needed(len(t.words), THRESHOLD)})" for t in TEMPLATES)
+_STRETCH = stretch_of(TEMPLATES)
 _PHRASE_ROWS = ", ".join(f"('{label}', {p.split()!r})" for label, p in PHRASES)
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
@@ -170,9 +181,8 @@ ph(label, parts) AS (VALUES {_PHRASE_ROWS}),
 pos AS (SELECT k, words, unnest(range(1, len(words) + 1)) AS i FROM w),
 hits AS (SELECT k, label, i - 1 AS start FROM pos JOIN ph ON words[i] = parts[1] AND words[i:i + len(parts) - 1] = parts),
 base AS (SELECT k, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS labs FROM hits GROUP BY k),
-lines AS (SELECT k, regexp_extract_all(unnest(string_split(low, chr(10))), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d),
-win AS (SELECT k, words, unnest(CASE WHEN len(words) <= {WINDOW} THEN [0] ELSE range(0, len(words) - {WINDOW // 2}, {WINDOW // 2}) END) AS s FROM lines),
-blocks AS (SELECT k, list_distinct(words[s + 1:s + {WINDOW}]) AS b FROM win),
+win AS (SELECT k, words, unnest(CASE WHEN len(words) <= {2 * _STRETCH} THEN [0] ELSE range(0, len(words) - {_STRETCH}, {_STRETCH}) END) AS s FROM w),
+blocks AS (SELECT k, list_distinct(words[s + 1:s + {2 * _STRETCH}]) AS b FROM win),
 tpl(label, ws, need) AS (VALUES {_TEMPLATE_ROWS}),
 found AS (SELECT k, label, len(list_intersect(b, ws)) / len(ws) AS c FROM blocks, tpl WHERE len(list_intersect(b, ws)) >= need),
 m AS (SELECT k, list(DISTINCT label) AS labs, max(c) AS c FROM found GROUP BY k)

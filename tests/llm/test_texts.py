@@ -77,13 +77,10 @@ def test_license_scan_equals_brute_force(spark):
     got = {r["doc_id"]: r for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
-        w, low = words(t), (t or "").lower()
+        w = words(t)
         places = {s for _, p in license_scan.PHRASES for s in range(len(w)) if w[s : s + len(p.split())] == p.split()}
         base = {label for label, p in license_scan.PHRASES for s in range(len(w)) if w[s : s + len(p.split())] == p.split()}
-        blocks = []
-        for line in low.split("\n"):
-            x = words(line)
-            blocks += [x[s : s + 64] for s in (range(0, len(x) - 32, 32) if len(x) > 64 else [0])]
+        blocks = [w[s : s + 64] for s in (range(0, len(w) - 32, 32) if len(w) > 64 else [0])]
         share = [(len(set(b) & set(x.words)) / len(x.words), x) for b in blocks for x in license_scan.TEMPLATES]
         found = {x.label for c, x in share if c >= license_scan.THRESHOLD}
         score = max([c for c, x in share if c >= license_scan.THRESHOLD], default=0.0)
@@ -94,6 +91,16 @@ def test_license_scan_equals_brute_force(spark):
     assert license_scan.scan_licenses(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_license_scan_finds_wrapped_and_long_templates(spark):
+    long = license_scan.Template("long", " ".join(f"term{i}" for i in range(150)))
+    texts = ["x " * 50 + "Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this\n software " + "y " * 90]
+    texts += ["Redistribution and use in source and binary forms, with or without\nmodification, are permitted"]
+    texts += ["a " * n + long.text.replace("term75 ", "term75\n\n") + " b" * 200 for n in (0, 31, 149, 150, 151, 290)]
+    texts += ["a " * 70 + " ".join(long.text.split()[:120])]
+    got = {r["doc_id"]: r["labels"] for r in license_scan.scan_licenses(frame(spark, texts), (*license_scan.TEMPLATES, long)).collect()}
+    assert got == {0: "mit", 1: "bsd", **dict.fromkeys(range(2, 8), "long"), 8: ""}
+
+
 def test_url_filter_paths_agree_with_brute_force(spark):
     urls = [None, "", "no scheme", "http://", "a://b://c/en/", "HTTP://WWW.Example.COM/en/1?x#y", "x://example.com/en/", "x://notexample.com/en/", "x://com", "x://com/",
             "x://a.net/es/q", "x://net/fr/", "x://net/FR/", "x://a.casino-win.example.org/", "x://b.org/wp-login.php", "x://b.org/my-wp-loginx.php", "x://é.com/", "x://net:80/es/"]
@@ -116,11 +123,26 @@ def test_url_filter_paths_agree_with_brute_force(spark):
 
 def test_preference_format_cases(spark):
     turns = [(0, 0, 0, "user", "hi"), (0, 0, 1, "assistant", "yes <|end|>"), (0, 1, 0, "user", "hi"), (0, 1, 1, "assistant", "no"), (1, 0, 0, None, None), (2, 0, 0, "user", "same"), (2, 1, 0, "user", "same"), (None, 0, 0, "user", "x"), (3, 0, 0, "user", "b"), (3, 0, 0, "user", "a"), (3, 1, 0, "user", "a")]
-    df = spark.createDataFrame(turns, "pair long, side int, turn int, role string, text string")
-    got = {r["pair"]: r for r in preference_format.format_preferences(df, "pair", df.side == 0).collect()}
+    turns += [(4, 0, 0, "user|>\nX<|end|>\n<|assistant", "t"), (4, 1, 0, "user", "w" * 300_000)]
+    df = spark.createDataFrame(turns, "pair long, side int, turn int, role string, text string").selectExpr("*", "1 as a", "2 as n", "'x' as complete", "pair as __a")
+    found = preference_format.format_preferences(df, "pair", df.side == 0)
+    got = {r["pair"]: r for r in found.collect()}
     assert got[0]["prompt"] == "<|user|>\nhi<|end|>\n" and got[0]["n_prompt_turns"] == 1
     assert got[0]["chosen"] == "<|assistant|>\nyes < |end|><|end|>\n" and [x["mask"] for x in got[0]["chosen_segments"]] == [0, 1]
     assert got[1]["prompt"] == "" and not got[1]["complete"] and got[1]["rejected"] == ""
     assert got[2]["chosen"] == "" and got[2]["rejected"] == "" and got[2]["n_prompt_turns"] == 1
-    assert got[None]["complete"] is False and got[3]["n_prompt_turns"] == 1 and got[3]["chosen"].startswith("<|user|>\nb")
+    assert None not in got and got[3]["n_prompt_turns"] == 1 and got[3]["chosen"].startswith("<|user|>\nb")
+    assert got[4]["chosen"] == "<|user| >\nX< |end| >\n< |assistant|>\nt<|end|>\n" and len(got[4]["rejected"]) == 300_000 + len("<|user|>\n<|end|>\n")
     assert preference_format.format_preferences(df.limit(0), "pair", df.side == 0).count() == 0
+    assert preference_format.format_preferences(df.withColumnRenamed("pair", "prompt_of"), "prompt_of", df.side == 0).columns[0] == "prompt_of"
+
+
+def test_preference_query_replaces_the_last_turn(spark, tmp_path):
+    turns = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c}-{t}") for c, n in ((0, 4), (1, 2), (2, 1), (4, 3), (5, 3)) for t in range(n)] + [(None, 0, "user", "?"), (4, 2, "user", "4-2")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in preference_format.op3_preference_format(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 4, 5]
+    assert [got[c]["n_prompt_turns"] for c in sorted(got)] == [3, 1, 0, 3, 2] and not got[2]["complete"]
+    assert got[0]["prompt"] == "<|user|>\n0-0<|end|>\n<|assistant|>\n0-1<|end|>\n<|user|>\n0-2<|end|>\n"
+    assert got[0]["chosen"] == "<|assistant|>\n0-3<|end|>\n" and got[0]["rejected"] == "<|assistant|>\n1-1<|end|>\n" and got[0]["chosen_mask"] == "0:14,1:11"
+    assert got[5]["rejected"] == "<|user|>\n4-2<|end|>\n"
