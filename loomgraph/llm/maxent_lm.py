@@ -1,25 +1,29 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-A token's probability is that of its class in its context times that of the token in its class. Classes go by a word's last two
-bytes (the end of a text has a class of its own). The class is predicted by a softmax over the sum of weight rows that hashed
-features pick: the word before, the word before that (a skip), both words (an n-gram), and a bias. Weights are learnt by
-gradient updates: in each of ``EPOCH_PARTS`` parts of one pass over all training texts, every task steps through its units in
-sparse numpy batches from the shared weights, and the tasks' weights are averaged by the tokens they stand for. Within a class,
-tokens have their counts less a discount; what the discounts free goes to the class's unknown token.
+A token's probability is that of its class in its context times that of the token in its class, in its context too. Classes go by
+a word's last two bytes (the end of a text has a class of its own). Within a class the ``SLOTS`` - 1 words that are most frequent in the
+training texts have an output of a second softmax each, and the class's other words share its last output; among those a word has
+its count less a discount, and what the discounts free goes to the class's unknown token. Both softmaxes are over sums of weight rows that
+hashed features pick: the word before, the word before that (a skip), both words (an n-gram), and a bias; the second one's
+features are joined with the class. Weights are learnt by gradient updates: in each of ``EPOCH_PARTS`` parts of one pass over all
+training texts, every learner steps through its units in sparse numpy batches from the shared weights, and the learners' weights
+are averaged by the tokens they stand for; the biases begin at the logarithms of the counts' shares. The number of learners goes by the number of units, not by the cluster.
 
 Texts are tokenised once, into units of at most ``UNIT_DOCS`` texts written to the shared folder: token numbers in the order of the text, and
 the unit's distinct words. For counts, each unit sends its distinct words with their counts, dealt by a hash of the word, and
 gets the corpus counts back, so that a frequent word is sent once by a unit, whatever texts hold it, and no task holds more than
-its share of the vocabulary. Nothing else is shuffled but the units, once, to meet their counts.
+its share of the vocabulary. Nothing else is shuffled but the units, once, to meet their counts. Counts have 64 bits; the corpus
+decides counts, the words that have outputs and all weights, while the number of weight rows is a fixed parameter.
 
 Defined cases: a null text counts as empty, and an empty text is the end token alone; repeated rows are counted and scored each;
-without training texts every token is unknown, and the base probability of each is 1; an empty table gives an empty result;
-further columns are left out.
+without training texts every token is unknown, and the base probability of each is 1; texts of any length are read whole, and one of
+over ``UNIT_CHARS`` is a unit of its own; words with equal counts have outputs in their order; an empty table gives an empty
+result; further columns are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, in_training, materialize, table
@@ -27,11 +31,13 @@ from .common import LOWER_BYTES, in_training, materialize, table
 UNIT_DOCS = 1024
 UNIT_CHARS = 4_000_000
 CLASSES = 32
+SLOTS = 32
 ROWS_LOG2 = 15
 EPOCH_PARTS = 3
 RATE = 0.25
 BATCH = 4096
-#: Units that a training task steps through at least; each task sends its weights once.
+#: Learners of a part at least, and units of each beyond that; each learner sends its weights once.
+LEARNERS = 12
 TASK_UNITS = 32
 BLOCKS = 16
 DISCOUNT = 0.75
@@ -48,7 +54,7 @@ def word_class(word: bytes) -> int:
 
 
 def feature_rows(hashes, starts):
-    """Rows (tokens, 3) of the weights that each token's context picks; hashes of the unit's tokens in order, starts of its texts.
+    """Rows (tokens, 4) of the class weights that each token's context picks, the bias last; hashes of the unit's tokens in order, starts of its texts.
 
     Before a text's first word stands the hash 0.
     """
@@ -63,52 +69,100 @@ def feature_rows(hashes, starts):
     mask = np.uint64((1 << ROWS_LOG2) - 1)
     mix = lambda h, n: ((h * np.uint64(_MIX[n])) >> np.uint64(16)) & mask
     both = (one * np.uint64(31) + two * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-    return np.stack([mix(one + np.uint64(1), 0), mix(two + np.uint64(2), 1), mix(both + np.uint64(3), 2)], axis=1).astype("i4")
+    bias = np.full(len(hashes), 1 << ROWS_LOG2, "u8")
+    return np.stack([mix(one + np.uint64(1), 0), mix(two + np.uint64(2), 1), mix(both + np.uint64(3), 2), bias], axis=1).astype("i4")
 
 
-def class_log_probs(weights, rows):
-    """Natural logarithms of the class probabilities (tokens, CLASSES)."""
+def slot_rows(rows, classes):
+    """Rows of the slot weights: the context's rows joined with the class, and a bias of each class."""
     import numpy as np
 
-    z = weights[rows[:, 0]] + weights[rows[:, 1]] + weights[rows[:, 2]] + weights[-1]
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    joined = ((rows[:, :3].astype("u8") * np.uint64(CLASSES) + classes[:, None].astype("u8")) * np.uint64(_MIX[0])) >> np.uint64(9)
+    return np.concatenate([joined & np.uint64((1 << ROWS_LOG2) - 1), ((1 << ROWS_LOG2) + classes)[:, None].astype("u8")], axis=1).astype("i4")
 
 
-def learn(weights, squares, rows, classes):
+def empty_weights():
+    """Weights of the classes and of the slots."""
+    import numpy as np
+
+    return [np.zeros(((1 << ROWS_LOG2) + 1, CLASSES), "f4"), np.zeros(((1 << ROWS_LOG2) + CLASSES, SLOTS), "f4")]
+
+
+def first_weights(slots: dict[bytes, tuple[int, int]], tokens: list[int]):
+    """Weights before any training: the biases are the logarithms of the counts' shares, all else 0."""
+    import numpy as np
+
+    weights, t = empty_weights(), np.array(tokens, "f8")
+    shares = np.full((CLASSES, SLOTS), 1e-9)
+    shares[:, -1] = t
+    for w, (slot, n) in slots.items():
+        c = word_class(w)
+        shares[c, slot] = n
+        shares[c, -1] -= n
+    logs = lambda x: np.log((x + 0.5 * (x >= 0.5)) / np.maximum(x.sum(axis=-1, keepdims=True), 1)).clip(-20)
+    weights[0][-1] = logs(t + 0.5)
+    weights[1][1 << ROWS_LOG2 :] = logs(np.concatenate([shares[:, :-1], shares[:, -1:] + 0.5], axis=1))
+    return weights
+
+
+def log_probs(weights, rows):
+    """Natural logarithms of the softmax over the sums of the rows' weights, which count as 60 at most either way."""
+    import numpy as np
+
+    z = np.take(weights, rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        z += np.take(weights, rows[:, k], axis=0)
+    np.clip(z, -60, 60, out=z)
+    z -= np.log(np.exp(z) @ np.ones((z.shape[1], 1), "f4"))
+    return z
+
+
+def learn(weights, squares, rows, outputs):
     """One pass of gradient updates in batches, in place; squares are the sums of squared gradients that scale the steps."""
     import numpy as np
 
     for at in range(0, len(rows), BATCH):
-        r, c = rows[at : at + BATCH], classes[at : at + BATCH]
-        g = np.exp(class_log_probs(weights, r))
+        r, c = rows[at : at + BATCH], outputs[at : at + BATCH]
+        g = log_probs(weights, r)
+        np.exp(g, out=g)
         g[np.arange(len(c)), c] -= 1
-        total = g.sum(axis=0)
-        squares[-1] += total**2
-        weights[-1] -= RATE * total / np.sqrt(squares[-1] + 1)
         for k in range(r.shape[1]):
-            order = np.argsort(r[:, k], kind="stable")
-            used, first = np.unique(r[order, k], return_index=True)
-            sums = np.add.reduceat(g[order], first, axis=0)
-            squares[used] += sums**2
-            weights[used] -= RATE * sums / np.sqrt(squares[used] + 1)
-
-
-def pack_tokens(tokens) -> bytes:
-    """Numbers as four planes of bytes, compressed: numbers are given out in order, so frequent words have small ones."""
+            # numbers of 16 bits are sorted by radix
+            own = r[:, k].astype("u2") if len(weights) <= 1 << 16 else r[:, k]
+            if own[0] == own[-1] and (own == own[0]).all():
+                used, sums = own[:1], g.sum(axis=0, keepdims=True)
+            else:
+                order = np.argsort(own, kind="stable")
+                sorted_ = own[order]
+                first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+                used, sums = sorted_[first], np.add.reduceat(np.take(g, order, axis=0), first, axis=0)
+            q = np.take(squares, used, axis=0)
+            q += sums * sums
+            squares[used] = q
+            q += 1
+            np.sqrt(q, out=q)
+            np.divide(sums, q, out=sums)
+            sums *= -RATE
+            sums += np.take(weights, used, axis=0)
+            weights[used] = sums
+
+
+def pack_tokens(tokens, kind: str = "<u4") -> bytes:
+    """Numbers as planes of bytes, compressed: numbers are given out in order, so frequent words have small ones."""
     import zlib
 
     import numpy as np
 
-    return zlib.compress(np.ascontiguousarray(np.array(tokens, "<u4").view("u1").reshape(-1, 4).T).tobytes(), 1)
+    numbers = np.array(tokens, kind)
+    return zlib.compress(np.ascontiguousarray(numbers.view("u1").reshape(-1, numbers.itemsize).T).tobytes(), 1)
 
 
-def unpack_tokens(data: bytes):
+def unpack_tokens(data: bytes, kind: str = "<u4"):
     import zlib
 
     import numpy as np
 
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), "u1").reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pack_words(words) -> bytes:
@@ -217,7 +271,7 @@ def ask_counts(units: DataFrame, parts: int) -> DataFrame:
 
 
 def answer_counts(asked: DataFrame) -> DataFrame:
-    """(part, unit, counts, tokens, types): corpus counts in the order asked; one row of each part with a null unit has tokens and types of each class."""
+    """(part, unit, counts, tokens, types, top): corpus counts in the order asked; one row of each part with a null unit has tokens and types of each class, and its most frequent words."""
 
     def run(frame):
         import numpy as np
@@ -234,21 +288,37 @@ def answer_counts(asked: DataFrame) -> DataFrame:
         known = corpus > 0
         tokens, types = np.bincount(classes, weights=corpus, minlength=CLASSES), np.bincount(classes[known], minlength=CLASSES)
         n, part = len(numbers), frame.column("part")[0].as_py()
+        words = list(total)
+        top = []
+        for c in range(CLASSES):
+            mine = np.flatnonzero((classes == c) & known)
+            best = sorted(mine.tolist(), key=lambda i: (-corpus[i], words[i]))[: SLOTS - 1]
+            top += [{"class": c, "count": int(corpus[i]), "word": words[i]} for i in best]
+        kind = pa.struct([("class", pa.int32()), ("count", pa.int64()), ("word", pa.binary())])
         return pa.table(
             {
                 "part": pa.array([part] * (n + 1), pa.int32()),
                 "unit": pa.array([*frame.column("unit").to_pylist(), None], pa.int64()),
-                "counts": pa.array([*(pack_tokens(np.minimum(corpus[x], 0xFFFFFFFF)) for x in numbers), None], pa.binary()),
+                "counts": pa.array([*(pack_tokens(corpus[x], "<i8") for x in numbers), None], pa.binary()),
                 "tokens": pa.array([*[None] * n, tokens.astype("i8").tolist()], pa.list_(pa.int64())),
                 "types": pa.array([*[None] * n, types.tolist()], pa.list_(pa.int64())),
+                "top": pa.array([*[None] * n, top], pa.list_(kind)),
             }
         )
 
-    return asked.groupBy("part").applyInArrow(run, "part int, unit bigint, counts binary, tokens array<bigint>, types array<bigint>")
+    kind_sql = "part int, unit bigint, counts binary, tokens array<bigint>, types array<bigint>, top array<struct<class:int,count:bigint,word:binary>>"
+    return asked.groupBy("part").applyInArrow(run, kind_sql)
 
 
-def _context(u):
-    """Feature rows, classes and words of a unit."""
+def frequent_words(answers: DataFrame) -> dict[bytes, tuple[int, int]]:
+    """Slot and count of each class's most frequent words, SLOTS - 1 at most."""
+    top = answers.where("unit IS NULL").select(F.inline("top")).where("count > 0")
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("count"), "word"))
+    return {bytes(r["word"]): (r["place"] - 1, r["count"]) for r in top.withColumn("place", place).where(F.col("place") < SLOTS).collect()}
+
+
+def _context(u, slots: dict[bytes, tuple[int, int]]):
+    """Feature rows, classes, slots and words of a unit."""
     import zlib
 
     import numpy as np
@@ -256,35 +326,45 @@ def _context(u):
     words = u["words"]
     hashes = np.array([zlib.crc32(w) for w in words], "u4")[u["tokens"]]
     classes = np.array([word_class(w) for w in words])[u["tokens"]]
-    return feature_rows(hashes, _starts(u["sizes"])), classes, words
+    slot = np.array([slots.get(w, (SLOTS - 1, 0))[0] for w in words])[u["tokens"]]
+    return feature_rows(hashes, _starts(u["sizes"])), classes, slot, words
+
 
+#: Weight rows of both softmaxes that travel together.
+_SUMS = "block int, task int, seen bigint, w binary, q binary"
 
-def train(units: DataFrame, parts: int = EPOCH_PARTS):
-    """Weights (features and the bias, classes) after one pass over all training texts, in parts between which tasks' weights are averaged."""
+
+def _blocks(arrays):
+    """Both arrays as one run of numbers, in BLOCKS pieces of about a size."""
+    import numpy as np
+
+    return np.array_split(np.concatenate([a.ravel() for a in arrays]), BLOCKS)
+
+
+def train(units: DataFrame, slots: dict[bytes, tuple[int, int]], tokens: list[int], parts: int = EPOCH_PARTS):
+    """Weights of the classes and of the slots after one pass over all training texts, in parts between which learners' weights are averaged."""
     import numpy as np
 
     spark = units.sparkSession
-    shape = ((1 << ROWS_LOG2) + 1, CLASSES)
-    weights, squares = np.zeros(shape, "f4"), np.zeros(shape, "f4")
-    block = shape[0] // BLOCKS + 1
-    sums = "block int, task int, seen bigint, w binary, q binary"
-    # every task sends its weights, so there are no more tasks than units ask for, and no fewer than run at once
-    tasks = max(2 * spark.sparkContext.defaultParallelism, units.count() // parts // TASK_UNITS)
-
-    def rows_of(key, task, seen, w, q):
+    weights, squares = first_weights(slots, tokens), empty_weights()
+    known = spark.sparkContext.broadcast(slots)
+    learners = max(LEARNERS, units.count() // parts // TASK_UNITS)
+
+    def row(key, task, seen, w, q):
         import pyarrow as pa
 
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key, task, seen, w.astype("f4").tobytes(), q.astype("f4").tobytes()), kinds, strict=True)], names=["block", "task", "seen", "w", "q"])
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key, task, seen, w, q), kinds, strict=True)], names=["block", "task", "seen", "w", "q"])
 
     def add(frame):
         import pyarrow as pa
 
-        w, q = 0, 0
-        for a, b in zip(frame.column("w"), frame.column("q"), strict=True):
-            w = w + np.frombuffer(a.as_py(), "f4").astype("f8")
-            q = q + np.frombuffer(b.as_py(), "f4").astype("f8")
-        return pa.Table.from_batches([rows_of(frame.column("block")[0].as_py(), 0, sum(frame.column("seen").to_pylist()), w, q)])
+        w, q, total = 0, 0, sum(frame.column("seen").to_pylist())
+        for a, b, n in zip(frame.column("w"), frame.column("q"), frame.column("seen").to_pylist(), strict=True):
+            # steps are averaged by tokens, squared gradients (sent as roots, which are small) are added
+            w = w + np.frombuffer(a.as_py(), "f2").astype("f8") * (n / total)
+            q = q + np.frombuffer(b.as_py(), "f2").astype("f8") ** 2
+        return pa.Table.from_batches([row(frame.column("block")[0].as_py(), 0, total, w.astype("f2").tobytes(), np.sqrt(q).astype("f2").tobytes())])
 
     for part in range(parts):
         shared = spark.sparkContext.broadcast((weights, squares))
@@ -295,35 +375,42 @@ def train(units: DataFrame, parts: int = EPOCH_PARTS):
             w, q, seen = None, None, 0
             for u in _unit_rows(batches, ("unit", "sizes", "train", "tokens", "words")):
                 if w is None:
-                    w, q = (x.copy() for x in shared.value)
-                rows, classes, _ = _context(u)
+                    w, q = ([a.copy() for a in x] for x in shared.value)
+                rows, classes, slot, _ = _context(u, known.value)
                 keep = np.repeat(u["train"], u["sizes"]).astype(bool)
-                learn(w, q, rows[keep], classes[keep])
+                rows, classes = rows[keep], classes[keep]
+                learn(w[0], q[0], rows, classes)
+                learn(w[1], q[1], slot_rows(rows, classes), slot[keep])
                 seen += int(keep.sum())
             if seen:
-                # tasks are weighted by their tokens when their steps are averaged
-                w, q = (w - shared.value[0]) * np.float32(seen), q - shared.value[1]
+                dw, dq = _blocks([a - b for a, b in zip(w, shared.value[0], strict=True)]), _blocks([a - b for a, b in zip(q, shared.value[1], strict=True)])
                 for n in range(BLOCKS):
-                    yield rows_of(n, TaskContext.get().partitionId(), seen, w[n * block : (n + 1) * block], q[n * block : (n + 1) * block])
-
-        own = units.where(F.pmod(F.xxhash64("unit"), F.lit(parts)) == part).coalesce(tasks).mapInArrow(run, sums)
-        # sums in two levels, so that no task reads what all tasks sent
-        some = own.withColumn("task", F.col("task") % 16).groupBy("block", "task").applyInArrow(add, sums)
-        for r in some.groupBy("block").applyInArrow(add, sums).collect():
-            at = slice(r["block"] * block, (r["block"] + 1) * block)
-            weights[at] += np.frombuffer(r["w"], "f4").reshape(-1, CLASSES) / r["seen"]
-            squares[at] += np.frombuffer(r["q"], "f4").reshape(-1, CLASSES)
+                    yield row(n, TaskContext.get().partitionId(), seen, dw[n].astype("f2").tobytes(), np.sqrt(np.maximum(dq[n], 0)).astype("f2").tobytes())
+
+        own = units.where(F.pmod(F.xxhash64("unit"), F.lit(parts)) == part).coalesce(learners).mapInArrow(run, _SUMS)
+        # sums in two levels, so that no task reads what all learners sent
+        some = own.withColumn("task", F.col("task") % 16).groupBy("block", "task").applyInArrow(add, _SUMS)
+        w, q = _blocks(weights), _blocks(squares)
+        for r in some.groupBy("block").applyInArrow(add, _SUMS).collect():
+            w[r["block"]] = w[r["block"]] + np.frombuffer(r["w"], "f2")
+            q[r["block"]] = q[r["block"]] + np.frombuffer(r["q"], "f2").astype("f4") ** 2
+        cut = weights[0].size
+        weights, squares = ([x[:cut].reshape(weights[0].shape), x[cut:].reshape(weights[1].shape)] for x in (np.concatenate(w).astype("f4"), np.concatenate(q).astype("f4")))
         shared.unpersist()
     return weights
 
 
-def score(units: DataFrame, answers: DataFrame, weights, tokens: list[int], types: list[int], parts: int) -> DataFrame:
+def score(units: DataFrame, answers: DataFrame, weights, slots: dict[bytes, tuple[int, int]], tokens: list[int], types: list[int], parts: int) -> DataFrame:
     """Per text: doc_id, n_tokens, n_known, base_score and score."""
     import numpy as np
 
     total, distinct = sum(tokens), sum(types)
-    shared = units.sparkSession.sparkContext.broadcast(weights)
+    shared = units.sparkSession.sparkContext.broadcast((weights, slots))
+    # tokens and types of each class that share the last slot
     t, v = np.array(tokens, "f8"), np.array(types, "f8")
+    for w, (_, n) in slots.items():
+        t[word_class(w)] -= n
+        v[word_class(w)] -= 1
     unknown = np.where(t > 0, np.log10(np.maximum(DISCOUNT * v, 1e-300) / np.maximum(t, 1)), 0.0)
 
     def run(left, right):
@@ -331,21 +418,24 @@ def score(units: DataFrame, answers: DataFrame, weights, tokens: list[int], type
 
         import pyarrow as pa
 
+        weights, slots = shared.value
         u = next(_unit_rows([left], ("doc_ids", "sizes", "tokens", "words")))
-        rows, classes, words = _context(u)
+        rows, classes, slot, words = _context(u, slots)
         part = np.array([zlib.crc32(w) for w in words], "u4") % parts
         counts = np.zeros(len(words), "i8")
         for p, c in zip(right.column("part").to_pylist(), right.column("counts"), strict=True):
-            counts[part == p] = unpack_tokens(c.as_py())
+            counts[part == p] = unpack_tokens(c.as_py(), "<i8")
         starts = _starts(u["sizes"])
         own = counts[u["tokens"]]
         base = np.log10((own + 1) / (total + distinct + 1))
-        in_class = np.where(own > 0, np.log10(np.maximum(own - DISCOUNT, 1e-300)) - np.log10(np.maximum(t[classes], 1)), unknown[classes])
+        in_slot = np.where(own > 0, np.log10(np.maximum(own - DISCOUNT, 1e-300)) - np.log10(np.maximum(t[classes], 1)), unknown[classes])
+        in_slot[slot < SLOTS - 1] = 0.0
         context = np.empty(len(own))
-        for at in range(0, len(own), 65_536):
-            z = class_log_probs(shared.value, rows[at : at + 65_536])
-            context[at : at + 65_536] = z[np.arange(len(z)), classes[at : at + 65_536]] / np.log(10)
-        sums = [np.add.reduceat(x, starts) for x in (own > 0, base, in_class + context)]
+        for at in range(0, len(own), BATCH):
+            r, c, s = rows[at : at + BATCH], classes[at : at + BATCH], slot[at : at + BATCH]
+            n = np.arange(len(r))
+            context[at : at + BATCH] = (log_probs(weights[0], r)[n, c] + log_probs(weights[1], slot_rows(r, c))[n, s]) / np.log(10)
+        sums = [np.add.reduceat(x, starts) for x in (own > 0, base, in_slot + context)]
         return pa.table({"doc_id": pa.array(u["doc_ids"], pa.int64()), "n_tokens": pa.array(u["sizes"].astype("i8")), "n_known": pa.array(sums[0].astype("i8")), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     known = answers.where("unit IS NOT NULL").select("unit", "part", "counts")
@@ -363,8 +453,9 @@ def score_corpus(docs: DataFrame, learns: Column) -> DataFrame:
     tokens, types = [0] * CLASSES, [0] * CLASSES
     for c, n, v in sums:
         tokens[c], types[c] = n, v
-    weights = train(units)
-    scored = score(units, answers, weights, tokens, types, parts)
+    slots = frequent_words(answers)
+    weights = train(units, slots, tokens)
+    scored = score(units, answers, weights, slots, tokens, types, parts)
     return scored.withColumn("train_tokens", F.lit(sum(tokens)).cast("bigint"))
 
 

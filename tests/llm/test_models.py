@@ -51,13 +51,68 @@ def test_class_model_is_a_distribution_and_learns():
     first = maxent_lm.feature_rows(hashes[1000:], np.array([0]))
     assert (rows[1000:] == first).all() and len(set(map(tuple, rows[[0, 1, 1000]].tolist()))) == 1
     classes = (np.concatenate([[0], hashes[:-1]]) % 5).astype(int)
-    w = np.zeros(((1 << maxent_lm.ROWS_LOG2) + 1, maxent_lm.CLASSES), "f4")
-    q = np.zeros_like(w)
-    for _ in range(3):
-        maxent_lm.learn(w, q, rows, classes)
-    z = maxent_lm.class_log_probs(w, rows)
-    assert np.exp(z).sum(axis=1) == pytest.approx(np.ones(len(z)), abs=1e-4)
-    assert z[np.arange(len(z)), classes].mean() > -1.0
+    for outputs, picked in ((classes, rows), ((classes + 1) % 7, maxent_lm.slot_rows(rows, classes))):
+        w, q = maxent_lm.empty_weights()[outputs is not classes], maxent_lm.empty_weights()[outputs is not classes]
+        for _ in range(3):
+            maxent_lm.learn(w, q, picked, outputs)
+        z = maxent_lm.log_probs(w, picked)
+        assert np.exp(z).sum(axis=1) == pytest.approx(np.ones(len(z)), abs=1e-4)
+        assert z[np.arange(len(z)), outputs].mean() > -1.0
+
+
+def test_scores_equal_a_forward_pass_and_sum_to_one(spark, monkeypatch):
+    """Probabilities by hand from the weights; those of all words and the unknown tokens of all classes sum to 1."""
+    rnd = random.Random(2)
+    # one class with more words than outputs
+    texts = corpus(55, 2) + corpus(5, 3) + ["new words here the x99ab", None]
+    texts[:55] = [t + "".join(f" x{rnd.randint(0, 70)}ab" for _ in range(4)) for t in texts[:55]]
+    last = maxent_lm.SLOTS - 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = {}
+    real = maxent_lm.score
+    monkeypatch.setattr(maxent_lm, "score", lambda *a: held.update(weights=a[2], slots=a[3]) or real(*a))
+    got = {r["doc_id"]: r["score"] for r in maxent_lm.score_corpus(df, F.col("doc_id") < 55).collect()}
+    c = Counter(w.encode() for t in texts[:55] for w in tokens(t))
+    of = {k: sorted((w for w in c if maxent_lm.word_class(w) == k), key=lambda w: (-c[w], w)) for k in range(maxent_lm.CLASSES)}
+    assert max(map(len, of.values())) > maxent_lm.SLOTS
+    assert held["slots"] == {w: (i, c[w]) for k in of for i, w in enumerate(of[k][:last])}
+
+    def softmax(weights, rows):
+        z = [sum(float(weights[r][j]) for r in rows) for j in range(weights.shape[1])]
+        return [math.exp(x) / sum(map(math.exp, z)) for x in z]
+
+    def outputs(context):
+        rows = maxent_lm.feature_rows(np.array([zlib.crc32(w) for w in context] + [1], "u8"), np.array([0]))[-1:]
+        p = softmax(held["weights"][0], rows[0])
+        return p, [softmax(held["weights"][1], maxent_lm.slot_rows(rows, np.array([k]))[0]) for k in range(maxent_lm.CLASSES)]
+
+    def probability(word, context):
+        p, q = outputs(context)
+        k = maxent_lm.word_class(word)
+        rest = of[k][last:]
+        if word in held["slots"]:
+            return p[k] * q[k][held["slots"][word][0]]
+        share = (c[word] - 0.75 if c[word] else 0.75 * len(rest)) / sum(c[w] for w in rest) if rest else 1.0
+        return p[k] * q[k][last] * share
+
+    for i in (0, 7, 57, 60, 61):
+        ws = [w.encode() for w in tokens(texts[i])]
+        want = sum(math.log10(probability(w, ws[max(0, n - 2) : n])) for n, w in enumerate(ws))
+        assert got[i] == pytest.approx(want, abs=2e-3 * len(ws))
+    p, q = outputs([b"the"])
+    free = lambda rest: 0.75 * len(rest) / sum(c[w] for w in rest) if rest else 1.0
+    total = sum(probability(w, [b"the"]) for w in c) + sum(p[k] * q[k][last] * free(of[k][last:]) for k in of)
+    unused = sum(p[k] * sum(q[k][len(of[k][:last]) : last]) for k in of)
+    assert total + unused == pytest.approx(1.0, abs=1e-3) and unused < 0.02
+
+
+def test_counts_above_32_bits(spark):
+    big = 3 << 31
+    asked = spark.createDataFrame([(0, u, bytearray(maxent_lm.pack_words([b"the", b"a"])), bytearray(np.array([0xFFFFFFFF, u], "<u4").tobytes())) for u in range(3)], "part int, unit long, words binary, counts binary")
+    rows = maxent_lm.answer_counts(asked).collect()
+    counts = [maxent_lm.unpack_tokens(bytes(r["counts"]), "<i8").tolist() for r in rows if r["unit"] is not None]
+    assert counts == [[3 * 0xFFFFFFFF, 3]] * 3 and counts[0][0] > big
+    assert sum(next(r["tokens"] for r in rows if r["unit"] is None)) == 3 * 0xFFFFFFFF + 3
 
 
 def test_toxicity_sample_of_repeated_ids(spark, monkeypatch):
