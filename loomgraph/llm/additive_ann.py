@@ -5,7 +5,7 @@ to what the ones before it leave (k-means on a sample of at most ``SAMPLE`` vect
 Encoding is a beam search over the codebooks. Codes and norms of every vector are stored in blocks beside the vectors. A query's
 inner products with all codewords make a lookup table, sums of its entries times the norm score all codes of a block, and the
 ``RERANK`` best of each block are scored again on the original vectors in double precision. Each block gives a query no more than
-the neighbours asked for, and these are merged.
+the neighbours asked for, and these are merged, the best of them within each task first.
 
 Queries and codes meet block by block: queries are packed in stripes of at most ``STRIPE`` rows, so a task holds one block of
 vectors and one stripe, whatever the number of either.
@@ -18,7 +18,7 @@ tables give empty results; further columns are left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -29,8 +29,8 @@ BEAM = 4
 SAMPLE = 10_000
 ITERATIONS = 6
 RERANK = 512
-BLOCK_ROWS = 16_384
-LEAST_BLOCK_ROWS = 4_096
+#: Rows of a block; with RERANK it says which share of the rows is scored again, whatever the cluster and the table's size.
+BLOCK_ROWS = 8_192
 STRIPE = 20_000
 QUERY_CHUNK = 128
 
@@ -105,7 +105,8 @@ def search_block(q_ids, queries, ids, vectors, codes, norms, books, k: int, rera
     for at in range(0, len(queries), QUERY_CHUNK):
         q = queries[at : at + QUERY_CHUNK]
         estimate = np.ascontiguousarray(table_scores(q, codes, norms, books))
-        take = min(rerank, len(ids))
+        # the query's own row may be among them
+        take = min(max(rerank, k + 1), len(ids))
         best = np.argpartition(-estimate, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(q), 1))
         exact = np.einsum("qd,qrd->qr", q.astype("f8"), vectors[best].astype("f8"))
         for i in range(len(q)):
@@ -172,8 +173,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vector: str = "embed
     sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v")
     x = _matrix(sample).astype("f8")
     trained = spark.sparkContext.broadcast(train((x / np.linalg.norm(x, axis=1)[:, None]).astype("f4"), books))
-    size = min(BLOCK_ROWS, max(LEAST_BLOCK_ROWS, n // (2 * spark.sparkContext.defaultParallelism)))
-    n_blocks = -(-n // size)
+    n_blocks = -(-n // BLOCK_ROWS)
     blocks = materialize(_pack(valid.repartition(n_blocks), trained), "codes")
     chosen = valid.where(is_query)
     n_queries = chosen.count()
@@ -205,9 +205,9 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, vector: str = "embed
 
     best = asked.groupBy("block", "stripe").cogroup(stored.groupBy("block", "stripe")).applyInArrow(meet, "stripe int, at bigint, query_id bigint, vec_id bigint, score double")
     # at most k rows of each block for a query
-    merged = best.groupBy("stripe", "at", "query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("all"))
-    ranked = merged.select("query_id", F.posexplode(F.slice("all", 1, k)).alias("at", "x"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    # of which the best are taken before the shuffle, and again after it
+    place = F.row_number().over(Window.partitionBy("stripe", "at", "query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op4_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ def test_few_rows_and_odd_vectors(spark):
 
 @pytest.mark.skipif(not os.path.exists(EMBEDDINGS), reason="no embeddings")
 def test_recall_over_blocks_and_stripes(spark, monkeypatch):
-    monkeypatch.setattr(additive_ann, "LEAST_BLOCK_ROWS", 1500)
+    monkeypatch.setattr(additive_ann, "BLOCK_ROWS", 1500)
     monkeypatch.setattr(additive_ann, "STRIPE", 100)
     df = spark.read.parquet(EMBEDDINGS)
     pdf = df.toPandas()
