@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns of documents.
 SQL cannot express the stages, so ``ORACLE_SQL`` is None and the tests hold the pipeline against a brute-force version.
+
+Defined cases: a null text counts as empty in every stage and stays null; an empty text is neither toxic, contaminated nor
+personal, and is a copy of other empty ones; of repeated rows, and of rows with equal texts, the near-duplicate stage keeps the
+first by doc_id, null ids last, whatever the ids of the others; ties go by the text's hash and then by row; further columns of the
+documents are left out before any stage sees them, so none can clash; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,7 +29,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows that links between near copies (0.8 of their five-word shingles) connect, the one first by doc_id, text and row stays."""
+    """Of rows that links between near copies connect, the one first by doc_id, text and row stays.
+
+    Ball hashing of SimHash fingerprints of five-word shingles finds the pairs, and a Jaccard similarity of 0.8 verifies them.
+    """
     return near_copies.keep_one_of_each(docs.select(COLUMNS))
 
 
