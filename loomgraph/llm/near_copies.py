@@ -1,19 +1,24 @@
-"""SimHash near-duplicates at a Jaccard similarity of 0.8 or more of five-word shingles, by ball hashing of wide fingerprints.
-
-At a similarity of 0.8 a bit of two texts' SimHash differs with probability arccos(8/9) / pi = 0.15, which is ten of 64 bits and
-beyond any ball that can be listed. So a text's fingerprint has 1024 bits here, and its bits make ``TABLES`` keys of 32 bits: the
-32 rows and the first 16 columns of a square. Meet-in-the-middle ball hashing runs in each table: a key emits its 33 variants
-within one bit, and texts that meet in a variant have keys within two bits of each other. A table brings a pair of similarity
-0.8 together with probability 0.12, all tables with 0.998 (0.85: 0.99998), and a pair of strangers with 6e-6.
-
-A meeting pair must be of similar size and within ``CHECK_MOST`` of 128 bits, later within ``WIDE_MOST`` of all 1024, and is then
-verified: the exact Jaccard similarity of the shingles decides, never the fingerprint. Verified pairs are links, links make
-components. Rows with equal sets of shingles are one node before all this, so copies cost a row each.
-
-Nodes meet twice. First each node proposes its closest partner in each table, and its ``CLOSEST`` best are verified, which joins
-most nodes of a group. Nodes that met anyone meet again with their whole fingerprints, and every pair is verified whose
-components still differ. So a group of near copies costs its size and not its square; a pair is left out only where its nodes are
-connected already, and what stays costly is a large group of texts that are all of nearly the similarity asked for.
+"""SimHash near-duplicates at a similarity of 0.8 or more of five-word shingles, by ball hashing of wide fingerprints.
+
+At a Jaccard similarity of 0.8 a bit of two texts' SimHash differs with probability arccos(8/9) / pi = 0.15, which is ten of 64 bits
+and beyond any ball that can be listed, and too few bits to tell 0.8 from 0.7. So a text's fingerprint has ``BITS`` = 2048 bits
+here. Two texts are candidates when theirs differ in at most two deviations more bits than 0.8 makes expected (310, deviation 16; a
+similarity of 0.85 has 264, one of 0.75 has 353) and the numbers of their shingles allow it. Candidates three deviations below
+what is expected are links; of the others, the exact Jaccard similarity of the texts' shingles decides. Sets of ``SHORT`` shingles
+or fewer always go by the texts, and as they differ in more bits at the same similarity, their bound is larger by a share of
+``SHORT_SHARE``. Links make components.
+
+The first ``TABLES`` words of 32 bits are keys, and meet-in-the-middle ball hashing runs in each table: a key emits its 33 variants
+within one bit, and texts that meet in a variant have keys within two bits of each other. A table brings a pair of similarity 0.8
+together with probability 0.12, all tables with 0.998 (0.85: 0.99998), and a pair of strangers with 6e-6. Colliding pairs are
+verified on the fingerprints. Rows with equal sets of shingles are one node before all this, so copies cost a row each.
+
+Nodes meet twice. First with 128 bits beside their keys, to find those that come within ``CHECK_MOST`` of anyone or stand in a large
+bucket; then these alone, with whole fingerprints. Each task joins its candidates at once, closest first, so a bucket whose members
+are connected costs nothing more, and returns the edges of its forest, fewer than it has nodes. Edges in doubt are verified on the
+texts where the other links leave their ends apart. So a group of near copies costs its size and not its square; within a large
+bucket members outside the component that most have are held against all, in numpy and without emitting. What this can lose is
+a link in doubt that stood behind another candidate which the texts refuse, in every table that brings its ends together.
 
 The variants of a table are dealt by their first bits once a table has more than ``TASK_ROWS`` nodes, so a node goes to as many
 tasks as it has variants under different first bits, 1 + bits; within a task passes go by further bits.
@@ -24,7 +29,7 @@ texts with the same words; nodes and shingles are known by 64 bits of their hash
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +39,12 @@ from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS = 1024
+BITS = 2048
 TABLES = 48
-#: Differing bits of 128, and of 1024, up to which a meeting pair counts; at similarity 0.8 there are 19.4 (deviation 4.1) and 155 (11.5).
-CHECK_MOST, WIDE_MOST = 34, 184
-#: Partners of a node that are verified after the first meeting.
-CLOSEST = 4
-#: Rows of a task at most, and variants that a pass makes and sorts at once.
+#: Differing bits of 128 up to which a first meeting counts; at a similarity of 0.8 there are 19.4, deviation 4.1.
+CHECK_MOST = 32
+SHORT, SHORT_SHARE = 5, 0.04
+#: Nodes of a task at most, and variants that a pass makes and sorts at once.
 TASK_ROWS = 8_000_000
 PASS_VARIANTS = 4_000_000
 #: Neighbours in a bucket that are compared at once; larger buckets are compared by member.
@@ -77,7 +81,7 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE):
 
 
 def wide_fingerprint(hashes):
-    """The TABLES keys of 32 bits; a bit is 1 if it is set in over half of the shingles' hashes."""
+    """BITS bits as numbers of 32 bits; a bit is 1 if it is set in over half of the shingles' hashes."""
     import numpy as np
 
     counts = np.zeros(BITS, "i8")
@@ -85,8 +89,13 @@ def wide_fingerprint(hashes):
     for at in range(0, len(hashes), 255):
         part = _mixed(hashes[at : at + 255, None] + steps)
         counts += np.add.reduce(np.unpackbits(part.view("u1"), axis=1), axis=0, dtype="u1")
-    square = (2 * counts > len(hashes)).reshape(32, -1)
-    return np.packbits(np.concatenate([square, square.T[: TABLES - 32]]), axis=1).view(">u4").ravel()
+    return np.packbits(2 * counts > len(hashes)).view(">u4").astype("u4")
+
+
+def link_bits(similarity: float = SIMILARITY, deviations: float = 0.0) -> float:
+    """Differing bits to be expected at the similarity, of sets of equal sizes, and so many deviations more."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return BITS * share + deviations * math.sqrt(BITS * share * (1 - share))
 
 
 def jaccard(a, b) -> float:
@@ -101,30 +110,23 @@ def jaccard(a, b) -> float:
 
 
 def mark(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Adds node, n_shingles, keys, and check_a and check_b, 128 bits of the fingerprint; the text stays."""
+    """Adds node, n_shingles and fp, the fingerprint as an array of numbers; the text stays."""
 
     def make():
-        import numpy as np
         from xxhash import xxh64_intdigest
 
         def run(texts):
             sets = [shingle_hashes(t, shingle) for t in texts]
-            keys = [wide_fingerprint(s) for s in sets]
-            nodes = np.array([xxh64_intdigest(s.tobytes(), _SEED) for s in sets], "u8").view("i8")
-            checks = np.array([k[:4] for k in keys], "u4").reshape(-1, 4).view("i8")
-            return nodes.tolist(), [len(s) for s in sets], [k.astype("u4").view("i4").tolist() for k in keys], checks[:, 0].tolist(), checks[:, 1].tolist()
+            nodes = [xxh64_intdigest(s.tobytes(), _SEED) for s in sets]
+            return [n - (1 << 64) if n >> 63 else n for n in nodes], [len(s) for s in sets], [wide_fingerprint(s).view("i4").tolist() for s in sets]
 
         return run
 
-    return map_texts(docs, make, [("node", "bigint"), ("n_shingles", "int"), ("keys", "array<int>"), ("check_a", "bigint"), ("check_b", "bigint")], keep_text=True)
+    return map_texts(docs, make, [("node", "bigint"), ("n_shingles", "int"), ("fp", "array<int>")], keep_text=True)
 
 
-def _bucket_pairs(key, near, root, bits: int, prefix: int, whole: bool):
-    """Index pairs that meet in a variant whose first ``bits`` are ``prefix`` and whose roots differ, as rows (smaller, larger, distance).
-
-    near(i, j) gives distances, or a negative number for a pair that is too far. Without ``whole`` each member of a bucket is held
-    against the LAGS next ones only.
-    """
+def _passes(key, bits: int, prefix: int):
+    """The buckets of variants whose first ``bits`` are ``prefix``: in each pass their sorted variants and the index of each one's owner."""
     import numpy as np
 
     flips = np.concatenate([[0], np.uint32(1) << np.arange(32, dtype="u4")]).astype("u4")
@@ -132,7 +134,6 @@ def _bucket_pairs(key, near, root, bits: int, prefix: int, whole: bool):
     while len(key) * (1 + bits + more) * len(flips) >> (bits + more) > PASS_VARIANTS and more < 12:
         more += 1
     shift = np.uint32(32 - bits - more)
-    found = [np.empty((3, 0), "i8")]
     for sub in range(1 << more):
         rows = np.arange(len(key))
         if bits + more:
@@ -142,94 +143,152 @@ def _bucket_pairs(key, near, root, bits: int, prefix: int, whole: bool):
         inside = (z >> shift) == first if bits + more else np.ones(z.shape, bool)
         z = (z.astype("u8") << np.uint64(32) | rows[:, None].astype("u8"))[inside]
         z.sort()
-        at = (z & np.uint64(0xFFFFFFFF)).astype("i8")
-        z >>= np.uint64(32)
-        for lag in range(1, LAGS + 1):
-            i = np.flatnonzero(z[lag:] == z[:-lag])
-            if not len(i):
-                break
-            found.append(_near_pairs(at[i], at[i + lag], near, root))
-        if whole:
-            starts = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]])) if len(z) else np.empty(0, "i8")
-            ends = np.append(starts[1:], len(z))
-            large = np.flatnonzero(ends - starts > LAGS + 1)
-            found += [_of_bucket(at[s:e], near, root) for s, e in zip(starts[large].tolist(), ends[large].tolist(), strict=True)]
-    pairs = np.concatenate(found, axis=1)
-    return pairs[:, np.unique(pairs[0] << 32 | pairs[1], return_index=True)[1]]
+        yield z >> np.uint64(32), (z & np.uint64(0xFFFFFFFF)).astype("i8")
+
+
+def _neighbours(z, owner):
+    """Distinct pairs of owners that are near each other in a bucket."""
+    import numpy as np
 
+    found = [np.empty(0, "i8")]
+    for lag in range(1, LAGS + 1):
+        at = np.flatnonzero(z[lag:] == z[:-lag])
+        if not len(at):
+            break
+        i, j = owner[at], owner[at + lag]
+        found.append(np.minimum(i, j) << 32 | np.maximum(i, j))
+    pairs = np.unique(np.concatenate(found))
+    return pairs >> 32, pairs & 0xFFFFFFFF
 
-def _near_pairs(i, j, near, root):
+
+def _large(z):
+    """Starts and ends of the buckets that _neighbours does not see whole."""
     import numpy as np
 
-    differ = root[i] != root[j]
-    i, j = np.minimum(i, j)[differ], np.maximum(i, j)[differ]
-    _, one = np.unique(i << 32 | j, return_index=True)
-    i, j = i[one], j[one]
-    d = np.concatenate([near(i[at : at + 100_000], j[at : at + 100_000]) for at in range(0, max(1, len(i)), 100_000)])
-    return np.stack([i, j, d])[:, d >= 0]
+    starts = np.flatnonzero(np.concatenate([[True], z[1:] != z[:-1]])) if len(z) else np.empty(0, "i8")
+    ends = np.append(starts[1:], len(z))
+    large = ends - starts > LAGS + 1
+    return list(zip(starts[large].tolist(), ends[large].tolist(), strict=True))
 
 
-def _of_bucket(members, near, root):
-    """All pairs of a large bucket whose roots differ: members outside the root that most have, against all."""
+def _distances(i, j, words, size, most, similarity: float):
+    """Differing bits of the pairs' fingerprints (rows of words); -1 beyond ``most``, by size, or where the sizes rule the similarity out."""
     import numpy as np
 
-    roots, counts = np.unique(root[members], return_counts=True)
-    some = members[root[members] != roots[counts.argmax()]]
-    step, out = max(1, 1_000_000 // len(members)), [np.empty((3, 0), "i8")]
-    for at in range(0, len(some), step):
-        part = some[at : at + step]
-        out.append(_near_pairs(np.repeat(part, len(members)), np.tile(members, len(part)), near, root))
-    return np.concatenate(out, axis=1)
+    less, more = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    out = np.empty(len(i), "i8")
+    for at in range(0, len(i), 50_000):
+        part = slice(at, at + 50_000)
+        out[part] = np.bitwise_count(words[i[part]] ^ words[j[part]]).sum(axis=1, dtype="i8")
+    return np.where((out <= most(less)) & (less >= similarity * more - 1e-6), out, -1)
+
+
+def meeting_nodes(key, words, size, bits: int, prefix: int, similarity: float):
+    """Whether each node comes near another in a variant, or stands in a large bucket."""
+    import numpy as np
+
+    met = np.zeros(len(key), bool)
+    for z, owner in _passes(key, bits, prefix):
+        i, j = _neighbours(z, owner)
+        near = _distances(i, j, words, size, lambda n: CHECK_MOST + 128 * SHORT_SHARE * (n <= SHORT), similarity) >= 0
+        met[i[near]] = met[j[near]] = True
+        for a, b in _large(z):
+            met[owner[a:b]] = True
+    return met
+
+
+def _find(lab, x):
+    r = lab[x]
+    while True:
+        s = lab[r]
+        if (s == r).all():
+            return r
+        r = s
+
+
+def _join(lab, a, b, d) -> list:
+    """Joins the trees of a and b, closest first in steps of 32 bits; returns the pairs that joined two, as arrays of a, b and d.
+
+    A root is hooked once in a round, onto a smaller one, by its closest pair.
+    """
+    import numpy as np
+
+    by = np.argsort(d, kind="stable")
+    a, b, d = a[by], b[by], d[by]
+    cuts, used = np.searchsorted(d, np.arange(0, d[-1] + 33 if len(d) else 1, 32)), []
+    for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+        x, y, z = a[start:end], b[start:end], d[start:end]
+        while len(x):
+            rx, ry = _find(lab, x), _find(lab, y)
+            apart = rx != ry
+            x, y, z, rx, ry = x[apart], y[apart], z[apart], rx[apart], ry[apart]
+            high, first = np.unique(np.maximum(rx, ry), return_index=True)
+            lab[high] = np.minimum(rx, ry)[first]
+            used.append(np.stack([x[first], y[first], z[first]]))
+    return used
+
+
+def forest(key, words, size, bits: int, prefix: int, similarity: float):
+    """Rows (i, j, distance) of a forest of candidates that meet in a variant, with the components of all of them."""
+    import numpy as np
+
+    lab, edges = np.arange(len(key)), [np.empty((3, 0), "i8")]
+    bound = link_bits(similarity, 2)
+
+    def add(i, j):
+        d = _distances(i, j, words, size, lambda n: bound + BITS * SHORT_SHARE * (n <= SHORT), similarity)
+        edges.extend(_join(lab, i[d >= 0], j[d >= 0], d[d >= 0]))
+
+    for z, owner in _passes(key, bits, prefix):
+        add(*_neighbours(z, owner))
+        for a, b in _large(z):
+            members = owner[a:b]
+            roots = _find(lab, members)
+            values, counts = np.unique(roots, return_counts=True)
+            if len(values) == 1:
+                continue
+            some, step = members[roots != values[counts.argmax()]], max(1, 500_000 // len(members))
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                i, j = np.repeat(part, len(members)), np.tile(members, len(part))
+                apart = np.repeat(_find(lab, part), len(members)) != np.tile(_find(lab, members), len(part))
+                add(i[apart], j[apart])
+    return np.concatenate(edges, axis=1)
 
 
 def meeting(nodes: DataFrame, whole: bool, similarity: float = SIMILARITY, bits: int | None = None) -> DataFrame:
-    """nodes(node, n_shingles, keys, check_a, check_b, root) -> (node, d, other): partners of other roots by their distance.
+    """nodes(node, n_shingles, fp) -> (u, v, sure).
 
-    Without ``whole`` a node's closest partner in each table, by 128 bits; with it every partner, by all bits.
+    With ``whole`` the edges of each task's forest, and whether they are beyond doubt; else each node that meets another, as u.
     """
     if bits is None:
         n, bits = nodes.count(), 0
         while n * (1 + bits) >> bits > TASK_ROWS:
             bits += 1
-    checks = ["keys"] if whole else ["check_a", "check_b"]
-    sent = nodes.select("node", "n_shingles", "root", *checks, F.posexplode("keys").alias("table", "key"))
+    sent = nodes.select("node", "n_shingles", ("fp" if whole else F.slice("fp", BITS // 32 - 3, 4).alias("fp")), F.posexplode(F.slice("fp", 1, TABLES)).alias("table", "key"))
     own = F.shiftrightunsigned("key", 32 - bits) if bits else F.lit(0)
     sent = sent.withColumn("prefix", F.explode(F.array(own, *(own.bitwiseXOR(F.lit(1 << b)) for b in range(bits)))))
-    most = WIDE_MOST if whole else CHECK_MOST
 
     def meet(key, frame):
         import numpy as np
         import pyarrow as pa
 
-        column = lambda n: frame.column(n).to_numpy()
-        node, size, root = column("node"), column("n_shingles"), column("root")
+        node = frame.column("node").to_numpy()
+        order = np.argsort(node)
+        node, size, keys = node[order], frame.column("n_shingles").to_numpy()[order], frame.column("key").to_numpy()[order].view("u4")
+        words = frame.column("fp").combine_chunks().flatten().to_numpy().reshape(len(node), -1)[order].view("u8")
         if whole:
-            check = frame.column("keys").combine_chunks().flatten().to_numpy().reshape(len(node), -1)[:, : BITS // 32].copy().view("u8")
-        else:
-            check = np.stack([column("check_a"), column("check_b")], axis=1).view("u8")
-
-        def near(i, j):
-            d = np.bitwise_count(check[i] ^ check[j]).sum(axis=1, dtype="i8")
-            alike = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
-            return np.where(alike & (d <= most), d, -1)
-
-        i, j, d = _bucket_pairs(column("key").view("u4"), near, root, bits, key[1].as_py(), whole)
-        if not whole:
-            i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d, d])
-            by = np.lexsort((node[j], d, i))
-            one = by[np.unique(i[by], return_index=True)[1]]
-            i, j, d = i[one], j[one], d[one]
-        return pa.table({"node": node[i], "d": d.astype("i4"), "other": node[j]})
-
-    return sent.groupBy("table", "prefix").applyInArrow(meet, "node bigint, d int, other bigint")
-
+            i, j, d = forest(keys, words, size, bits, key[1].as_py(), similarity)
+            sure = (d <= link_bits(similarity, -3)) & (np.minimum(size[i], size[j]) > SHORT)
+            return pa.table({"u": np.minimum(node[i], node[j]), "v": np.maximum(node[i], node[j]), "sure": sure})
+        met = node[meeting_nodes(keys, words, size, bits, key[1].as_py(), similarity)]
+        return pa.table({"u": met, "v": met, "sure": np.ones(len(met), bool)})
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    return sent.groupBy("table", "prefix").applyInArrow(meet, "u bigint, v bigint, sure boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """pairs(u, v), distinct, and texts(node, text) -> (u, v, near), whether the similarity of the two is reached.
+    """pairs(u, v), distinct, and texts(node, text) -> the pairs (u, v) whose texts have the similarity.
 
     A node with many pairs is split over SALTS parts, so that its text meets them in many tasks.
     """
@@ -240,36 +299,30 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similar
     def run(batches):
         import pyarrow as pa
 
-        held = lru_cache(256)(lambda t: shingle_hashes(t, shingle))
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                near = [jaccard(held(x), held(y)) >= similarity for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(near, pa.bool_())], names=["u", "v", "near"])
+                sides = zip(b.column("left").to_pylist(), b.column("right").to_pylist(), strict=True)
+                keep = [jaccard(shingle_hashes(x, shingle), shingle_hashes(y, shingle)) >= similarity for x, y in sides]
+                yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.mapInArrow(run, "u bigint, v bigint, near boolean")
+    return sides.mapInArrow(run, "u bigint, v bigint")
 
 
 def node_roots(marked: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """marked(node, n_shingles, keys, check_a, check_b, text) -> (u, v): each node that is linked to a smaller one, with its component's smallest."""
-    nodes = materialize(marked.groupBy("node").agg(*(F.any_value(c).alias(c) for c in ("n_shingles", "keys", "check_a", "check_b"))), "nodes")
-
-    def judge(pairs: DataFrame) -> DataFrame:
-        # one row's text stands for a node; only nodes of some pair are looked up
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        texts = marked.select("node", "text").join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-        return materialize(verified(pairs, texts, shingle, similarity), "judged")
-
-    # a node has one partner of each table at most, so its list is short
-    met = meeting(nodes.withColumn("root", F.col("node")), False, similarity).groupBy("node").agg(F.array_sort(F.collect_set(F.struct("d", "other"))).alias("met"))
-    met = materialize(met, "met")
-    judged = judge(_ordered(met.select("node", F.explode(F.slice("met.other", 1, CLOSEST)).alias("other"))))
-    links = judged.where("near").select("u", "v")
+    """marked(node, n_shingles, fp, text) -> (u, v): each node that is linked to a smaller one, with its component's smallest."""
+    nodes = materialize(marked.groupBy("node").agg(F.any_value("n_shingles").alias("n_shingles"), F.any_value("fp").alias("fp")), "nodes")
+    met = meeting(nodes, False, similarity).select(F.col("u").alias("node")).distinct()
+    edges = materialize(meeting(materialize(nodes.join(met, "node"), "met"), True, similarity).distinct(), "candidates")
+    links = edges.where("sure").select("u", "v")
     roots = components(links)
-    some = met.select(F.explode(F.array_append("met.other", F.col("node"))).alias("node")).distinct()
-    again = nodes.join(some, "node").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = materialize(_ordered(meeting(again, True, similarity)).join(judged.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
-    return components(roots.union(judge(rest).where("near").select("u", "v")))
+    root = lambda end: roots.select(F.col("u").alias(end), F.col("v").alias(f"{end}_root"))
+    doubt = edges.where("NOT sure").select("u", "v").join(root("u"), "u", "left").join(root("v"), "v", "left")
+    doubt = materialize(doubt.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "doubt")
+    # one row's text stands for a node; only nodes of some pair are looked up
+    asked = doubt.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    texts = marked.select("node", "text").join(asked, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return components(roots.union(verified(doubt, texts, shingle, similarity)))
 
 
 def _first(row: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Near copies against all pairs, exact meeting in variants, and the row that stays of each component."""
+"""Near copies against all pairs, meeting in variants, and the row that stays of each component."""
 
 import random
 
@@ -10,16 +10,21 @@ from loomgraph.llm import near_copies
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def brute(texts):
-    """The smallest index that links reach from each text."""
-    sets = []
-    for t in texts:
-        w = (t or "").lower().split()
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    root = list(range(len(texts)))
-    for i in range(len(texts)):
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def classes(n, linked):
+    """The smallest index that links reach from each of n."""
+    root = list(range(n))
+    for i in range(n):
         for j in range(i):
-            if sets[i] == sets[j] or (sets[i] & sets[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])):
+            if root[i] != root[j] and linked(i, j):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     return root
@@ -47,7 +52,8 @@ def test_near_duplicate_stage_equals_all_pairs(spark, monkeypatch, task_rows, va
             texts.append(" ".join(copy))
     texts += [line + " " + " ".join(word() for _ in range(rnd.randint(0, 30))) for _ in range(25)]
     rnd.shuffle(texts)
-    root = brute(texts)
+    sets = [shingles(t) for t in texts]
+    root = classes(len(texts), lambda i, j: sets[i] == sets[j] or jaccard(sets[i], sets[j]) >= 0.8)
     assert 20 < len(set(root)) < len(texts) - 20
     got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, enumerate(texts)), "").collect()
     assert sorted(r["doc_id"] for r in got) == sorted(set(root))
@@ -60,9 +66,10 @@ def test_one_row_of_each_component_stays(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(1, t[0]), (2, t[1] + " x"), (0, t[2]), (3, t[3]), (4, t[4]), (9, "")])
 
 
-@pytest.mark.parametrize(("bits", "variants"), [(0, 4_000_000), (0, 300), (4, 4_000_000), (4, 300)])
-def test_keys_within_two_bits_meet(monkeypatch, bits, variants):
+@pytest.mark.parametrize(("bits", "variants", "lags"), [(0, 4_000_000, 8), (0, 300, 2), (4, 4_000_000, 1), (4, 300, 8)])
+def test_tasks_join_all_that_meet(monkeypatch, bits, variants, lags):
     monkeypatch.setattr(near_copies, "PASS_VARIANTS", variants)
+    monkeypatch.setattr(near_copies, "LAGS", lags)
     rnd = random.Random(bits)
     keys = [rnd.getrandbits(32) for _ in range(40)]
     for k in list(keys):
@@ -70,29 +77,36 @@ def test_keys_within_two_bits_meet(monkeypatch, bits, variants):
             keys.append(k)
             for b in rnd.sample(range(32), rnd.randint(0, 3)):
                 keys[-1] ^= 1 << b
-    keys += [keys[0]] * 30
-    key, root = np.array(keys, "u4"), np.array([i % 3 for i in range(len(keys))])
-    want = {(i, j) for j in range(len(keys)) for i in range(j) if (keys[i] ^ keys[j]).bit_count() <= 2 and root[i] != root[j]}
-    got = set()
+    keys += [keys[0]] * 40
+    # fingerprints fall in three kinds that are far from each other, and the last kind's are far from all
+    kinds = [rnd.randint(0, 3) for _ in keys]
+    words = np.array([[(2**64 - 1) * (k == 1)] * 16 + [(2**64 - 1) * (k == 2)] * 16 if k < 3 else [rnd.getrandbits(64) for _ in range(32)] for k in kinds], "u8")
+    meets = lambda i, j: (keys[i] ^ keys[j]).bit_count() <= 2
+    want = classes(len(keys), lambda i, j: meets(i, j) and kinds[i] == kinds[j] < 3)
+    root, met = list(range(len(keys))), set()
     for prefix in range(1 << bits):
-        here = np.array([i for i, k in enumerate(keys) if ((k >> (32 - bits)) ^ prefix).bit_count() <= 1], "i8")
-        zero = lambda i, j: np.zeros(len(i), "i8")
-        pairs = near_copies._bucket_pairs(key[here], zero, root[here], bits, prefix, True)
-        got |= {tuple(sorted((int(here[i]), int(here[j])))) for i, j in zip(pairs[0], pairs[1], strict=True)}
-    assert got == want
+        here = [i for i, k in enumerate(keys) if ((k >> (32 - bits)) ^ prefix).bit_count() <= 1]
+        task = (np.array(keys, "u4")[here], words[here], np.full(len(here), 50), bits, prefix, 0.8)
+        i, j, _ = near_copies.forest(*task)
+        assert len(i) < len(here)
+        met |= {here[i] for i in np.flatnonzero(near_copies.meeting_nodes(task[0], words[here][:, :2], *task[2:]))}
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = sorted((root[here[x]], root[here[y]]))
+            root = [a if r == b else r for r in root]
+    assert root == want
+    if lags == 8:
+        assert {i for i in range(len(keys)) if want.count(want[i]) > 1} <= met
 
 
-def test_similarity_of_fingerprints_follows_that_of_texts():
+def test_keys_of_near_copies_meet():
     rnd = random.Random(2)
-    for share in (0.2, 0.1, 0.03):
+    for changed in (8, 4, 1):
         found = total = 0
         for _ in range(60):
             base = [str(rnd.randint(0, 10**6)) for _ in range(200)]
-            copy = list(base)
-            copy[: int(share * 40)] = [str(rnd.randint(0, 10**6)) for _ in range(int(share * 40))]
-            a, b = (near_copies.shingle_hashes(" ".join(t)) for t in (base, copy))
-            if near_copies.jaccard(a, b) >= 0.8:
-                d = np.bitwise_count(near_copies.wide_fingerprint(a) ^ near_copies.wide_fingerprint(b))
-                total += 1
-                found += bool((d <= 2).any() and d[:32].sum() <= near_copies.WIDE_MOST and d[:4].sum() <= near_copies.CHECK_MOST)
+            copy = [str(rnd.randint(0, 10**6)) for _ in range(changed)] + base[changed:]
+            a, b = (near_copies.wide_fingerprint(near_copies.shingle_hashes(" ".join(t))) for t in (base, copy))
+            d = np.bitwise_count(a ^ b)
+            total += 1
+            found += bool((d[: near_copies.TABLES] <= 2).any() and d.sum() <= near_copies.link_bits() and d[-4:].sum() <= near_copies.CHECK_MOST)
         assert total == 60 and found >= 59

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from loomgraph.llm import simhash, toxicity
+from loomgraph.llm import toxicity
 from loomgraph.llm.common import in_training
 from pyspark.sql import functions as F
 
@@ -31,12 +31,16 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, tmp_path):
     model = toxicity.fit(docs, spark.read.parquet(f"{d}/labels.parquet"), in_training(F.col("doc_id"), 3, 1))
     kept = [r for r in rows if toxicity.score_text(r[1], model) < toxicity.THRESHOLD]
     assert sum(toxic[r[0]] for r in kept if r[0] < 400) <= 4 and sum(r[0] < 400 for r in kept) >= 315
-    fps = {r[0]: simhash.fingerprint(r[1]) % (1 << 64) for r in kept}
-    comp = {i: i for i in fps}
+    def shingles(t):
+        ws = (t or "").lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets = {r[0]: shingles(r[1]) for r in kept}
+    comp = {i: i for i in sets}
     for _ in range(5):
-        for a in fps:
-            for b in fps:
-                if (fps[a] ^ fps[b]).bit_count() <= 4:
+        for a in sets:
+            for b in sets:
+                if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     comp[a] = comp[b] = min(comp[a], comp[b])
     kept = [r for r in kept if comp[r[0]] == r[0] and item not in (r[1] or "")]
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, d).collect()}
