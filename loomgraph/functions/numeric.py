@@ -16,7 +16,8 @@ def clip(x: Column, low: float, high: float) -> Column:
 def uniform(*keys: Column | str | int | float) -> Column:
     """A number in [0, 1) that depends on the keys alone, so that retries and repartitioning draw the same."""
     cols = [k if isinstance(k, Column) else F.lit(k) for k in keys]
-    return F.pmod(F.xxhash64(*cols), F.lit(1_000_003)) / 1_000_003.0
+    # 53 bits are what a double holds below 1
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / float(1 << 53)
 
 
 def pick(values: Column, *keys: Column | str | int) -> Column:

@@ -117,11 +117,7 @@ def population_shares(agents: DataFrame, proposals: DataFrame) -> DataFrame:
 @register_model("nearest_cell")
 def nearest_cell(agents: DataFrame, cells: DataFrame) -> DataFrame:
     """Rates by the height of the nearest cell of each proposal: up to 65 feet 8, up to 130 feet 5, above 3."""
-    placed = None
-    for r in cells.select("proposal_id").distinct().limit(10_000).collect():
-        own = cells.where(F.col("proposal_id") == r["proposal_id"])
-        near = nearest_cells(agents, own).join(own.select("cell_id", "height_limit"), "cell_id").withColumn("proposal_id", F.lit(r["proposal_id"]))
-        placed = near if placed is None else placed.union(near)
+    placed = nearest_cells(agents, cells, by="proposal_id").join(cells.select("proposal_id", "cell_id", "height_limit"), ["proposal_id", "cell_id"])
     h = F.col("height_limit")
     return placed.select("agent_id", "proposal_id", F.lit("rating").alias("code"), F.when(h <= 65, 8).when(h <= 130, 5).otherwise(3).alias("score"))
 

@@ -39,22 +39,26 @@ def grid(spark: SparkSession, bounds: dict, cell_metres: float) -> DataFrame:
     )
 
 
-def nearest_cells(agents: DataFrame, cells: DataFrame, step: float = 0.01) -> DataFrame:
-    """(agent_id, cell_id, distance): the cell whose centre is nearest in degrees, the first of equals.
+def nearest_cells(agents: DataFrame, cells: DataFrame, step: float = 0.01, by: str | None = None) -> DataFrame:
+    """(agent_id, cell_id, distance): the cell whose centre is nearest in degrees, the first of equals; with ``by``, of each value of it.
 
     Cells fall into square buckets of ``step`` degrees. An agent first meets the buckets around its own; only agents that found
     no cell within a step there, whose nearest may lie further off, are held against all cells.
     """
     bucket = lambda x: F.floor(x / step).cast("bigint")
-    centres = cells.select("cell_id", ((F.col("north") + F.col("south")) / 2).alias("cy"), ((F.col("east") + F.col("west")) / 2).alias("cx"))
-    centres = centres.withColumns({"by": bucket(F.col("cy")), "bx": bucket(F.col("cx"))})
-    around = F.array(*(F.struct((bucket(F.col("lat")) + i).alias("by"), (bucket(F.col("lng")) + j).alias("bx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    group = [by] if by else []
+    centres = cells.select(*group, "cell_id", ((F.col("north") + F.col("south")) / 2).alias("cy"), ((F.col("east") + F.col("west")) / 2).alias("cx"))
+    centres = centres.withColumns({"__by": bucket(F.col("cy")), "__bx": bucket(F.col("cx"))})
+    around = F.array(*(F.struct((bucket(F.col("lat")) + i).alias("__by"), (bucket(F.col("lng")) + j).alias("__bx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     distance = F.sqrt((F.col("lat") - F.col("cy")) ** 2 + (F.col("lng") - F.col("cx")) ** 2)
     best = F.min(F.struct(distance.alias("distance"), "cell_id")).alias("x")
-    near = agents.select("agent_id", "lat", "lng", F.inline(around)).join(centres, ["by", "bx"]).groupBy("agent_id").agg(best).where(F.col("x.distance") <= step)
-    rest = agents.join(near, "agent_id", "left_anti").select("agent_id", "lat", "lng")
-    far = rest.join(F.broadcast(centres) if cells.limit(50_001).count() <= 50_000 else centres).groupBy("agent_id").agg(best)
-    return near.union(far).select("agent_id", "x.cell_id", "x.distance")
+    asked = agents.select("agent_id", "lat", "lng")
+    near = asked.select("agent_id", "lat", "lng", F.inline(around)).join(centres, ["__by", "__bx"]).groupBy("agent_id", *group).agg(best).where(F.col("x.distance") <= step)
+    every = asked.crossJoin(centres.select(by).distinct()) if by else asked
+    rest = every.join(near, ["agent_id", *group], "left_anti")
+    few = F.broadcast(centres) if cells.limit(50_001).count() <= 50_000 else centres
+    far = (rest.join(few, by) if by else rest.join(few)).groupBy("agent_id", *group).agg(best)
+    return near.union(far).select("agent_id", *group, "x.cell_id", "x.distance")
 
 
 def overlap_cells(cells: DataFrame, zones: DataFrame, step: float = 0.01) -> DataFrame:

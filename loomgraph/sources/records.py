@@ -34,10 +34,10 @@ _MCQ = "array<struct<question_id:string,question:string,tag:string,options:map<s
 
 
 def read_forum(spark: SparkSession, path: str) -> DataFrame:
-    """(username, split, topics) of participants' JSON files; the split is in the file's name."""
-    docs = read_texts(spark, path)
+    """(username, split, topics) of participants' JSON files, <participant>-train.json and -test.json; split_log.json is none of them."""
+    docs = read_texts(spark, path).where("g <> 'split_log'")
     topics = F.from_json(F.get_json_object("text", "$.topics"), f"array<struct<post_id:string,title:string,body:string,stance:string,subreddit:string,mcqs:{_MCQ}>>")
-    return docs.select(F.coalesce(F.get_json_object("text", "$.username"), F.regexp_replace("g", "_(train|test)$", "")).alias("username"), F.nullif(F.regexp_extract("g", "_(train|test)$", 1), F.lit("")).alias("split"), topics.alias("topics"))
+    return docs.select(F.coalesce(F.get_json_object("text", "$.username"), F.regexp_replace("g", "[-_](train|test)$", "")).alias("username"), F.nullif(F.regexp_extract("g", "[-_](train|test)$", 1), F.lit("")).alias("split"), topics.alias("topics"))
 
 
 def read_census(spark: SparkSession, path: str) -> DataFrame:
