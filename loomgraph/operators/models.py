@@ -17,6 +17,7 @@ from ..functions.numeric import uniform
 from ..functions.text import REASON_CODES, parse_rating
 from .inference import continuous_step, marginals, opinion
 from .places import nearest_cells
+from .similarity import broadcast_if_small
 
 Provider = Callable[[list[str]], list[str]]
 MODELS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
@@ -62,10 +63,9 @@ def ask(prompts: DataFrame, provider: Provider = offline_provider, prompt: str =
 
 
 def pairs(agents: DataFrame, proposals: DataFrame) -> DataFrame:
-    """Every agent with every proposal. Proposals are few by nature (nine in a study); their number is checked."""
-    if proposals.limit(10_001).count() > 10_000:
-        raise ValueError("over 10,000 proposals; evaluate them in parts")
-    return agents.join(F.broadcast(proposals))
+    """Every agent with every proposal, which is the set a model is asked about. Proposals are few by nature (nine in a study), and
+    are broadcast while there are at most 10,000."""
+    return agents.crossJoin(broadcast_if_small(proposals, 10_000))
 
 
 def _rated(prompts: DataFrame, provider: Provider) -> DataFrame:

@@ -93,8 +93,7 @@ def with_default(agents: DataFrame, dim: DataFrame, key: str, columns: dict[str,
 
 def agent_ids(agents: DataFrame, order: str) -> DataFrame:
     """Agents without id are called by their place, agent_000 onwards."""
-    place = F.row_number().over(W.orderBy(order)) - 1
-    missing = agents.where(F.col("agent_id").isNull()).withColumn("agent_id", F.format_string("agent_%03d", place))
+    missing = numbered(agents.where(F.col("agent_id").isNull()), order).withColumn("agent_id", F.format_string("agent_%03d", F.col("__at"))).drop("__at")
     return agents.where(F.col("agent_id").isNotNull()).unionByName(missing)
 
 

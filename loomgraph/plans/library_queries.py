@@ -12,7 +12,7 @@ from ..operators import motifs as M
 from ..operators import reconstruction as R
 from ..sources.shared import materialize
 from .fixtures import table, trade_nodes
-from .graph_queries import WITH, trade_edges
+from .graph_queries import _INSTANCES, WITH, trade_edges
 from .survey_queries import _agents, _cells
 
 
@@ -23,13 +23,15 @@ def _members(spark, d):
 
 
 def _library(spark, d):
-    """Chains and forks of the trade graphs, with the nations' labels."""
-    e = trade_edges(spark, d)
-    found = materialize(M.extract(M.instances(e), 5).where("motif IN ('M1', 'M2.1', 'M3.1')"), "instances")
+    """Every type of motif of the trade graphs, with the nations' labels."""
+    found = materialize(M.extract(M.instances(trade_edges(spark, d))), "instances")
     named = found.select("g", "motif", F.array_join("nodes", ",").alias("id"), F.posexplode("nodes").alias("i", "node")).join(trade_nodes(spark, d), ["g", "node"])
     labels = named.groupBy("g", "motif", "id").agg(F.array_sort(F.collect_list(F.struct("i", "label"))).alias("ls"))
-    pair = lambda s, t: F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"))
-    edges = F.when(F.col("motif") == "M1", F.array(pair(0, 1), pair(1, 2))).when(F.col("motif") == "M2.1", F.array(pair(0, 1), pair(0, 2))).otherwise(F.array(pair(1, 0), pair(2, 0)))
+    pair = lambda s, t: F.struct(s.cast("int").alias("s"), t.cast("int").alias("t"))
+    leaves = F.sequence(F.lit(1), F.size("ls") - 1)
+    chain = F.array(pair(F.lit(0), F.lit(1)), pair(F.lit(1), F.lit(2)))
+    fork, collider = F.transform(leaves, lambda i: pair(F.lit(0), i)), F.transform(leaves, lambda i: pair(i, F.lit(0)))
+    edges = F.when(F.col("motif") == "M1", chain).when(F.col("motif").startswith("M2"), fork).otherwise(collider)
     return labels.select(F.concat_ws("-", "motif", F.col("g").cast("string")).alias("grp"), F.transform("ls", lambda x: x["label"]).alias("labels"), edges.alias("edges"))
 
 
@@ -40,12 +42,12 @@ def _motifs(spark, d):
 
 
 def _candidates(spark, d):
-    n = trade_nodes(spark, d)
-    e = materialize(trade_edges(spark, d), "edges")
-    deg = E.degrees(e)
-    frontier = n.join(deg, ["g", "node"]).where("g = 1996").select("node", "label", "in_degree", "out_degree")
-    nodes = n.join(deg, ["g", "node"]).where("g = 1997").select(F.col("node").alias("motif"), F.lit(0).alias("at"), "label", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("n_edges"), (F.col("in_degree") + F.col("out_degree") + 1).alias("n_nodes"), (F.col("node") % 4).alias("n_new"))
-    return R.candidates(frontier, nodes)
+    """The nodes of every trade graph against those of every graph as motifs; both are known by year and nation."""
+    key = F.col("g") * 100 + F.col("node")
+    n = materialize(trade_nodes(spark, d).join(E.degrees(trade_edges(spark, d)), ["g", "node"]), "nodes")
+    size = F.col("in_degree") + F.col("out_degree")
+    nodes = n.select(key.alias("motif"), F.lit(0).alias("at"), "label", "in_degree", "out_degree", size.alias("n_edges"), (size + 1).alias("n_nodes"), (F.col("node") % 4).alias("n_new"))
+    return R.candidates(n.select(key.alias("node"), "label", "in_degree", "out_degree"), nodes)
 
 
 def _proposals(spark, d):
@@ -53,7 +55,7 @@ def _proposals(spark, d):
 
 
 def _personas(spark, d):
-    return _agents(spark, d).where("agent_id % 10 = 0").select("agent_id", "lat", "lng", F.col("c_mktsegment").alias("profile"), F.concat(F.lit("I work in "), F.lower("c_mktsegment")).alias("transcript"))
+    return _agents(spark, d).select("agent_id", "lat", "lng", F.col("c_mktsegment").alias("profile"), F.concat(F.lit("I work in "), F.lower("c_mktsegment")).alias("transcript"))
 
 
 def _model(name):
@@ -118,7 +120,7 @@ QUERIES = {
 _DEMO = "dm AS (SELECT s_suppkey AS motif, CASE WHEN s_suppkey % 5 = 0 THEN 'young' WHEN s_suppkey % 5 = 1 THEN 'middle_aged' WHEN s_suppkey % 5 = 2 THEN 'urban' WHEN s_suppkey % 11 = 0 THEN 'unknown' ELSE 'elderly' END AS demographic FROM supplier)"
 _CAND = WITH + """, d AS (SELECT g, node, CAST(sum(i) AS BIGINT) AS ind, CAST(sum(o) AS BIGINT) AS outd FROM (SELECT g, s AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT g, t, 1, 0 FROM e) GROUP BY g, node),
 w AS (SELECT n.g, n.node, ind, outd, string_split(label, ' ') AS ws FROM n JOIN d USING (g, node)),
-p AS (SELECT f.node, m.node AS motif, len(list_intersect(f.ws, m.ws))::DOUBLE / len(list_distinct(list_concat(f.ws, m.ws))) AS similarity, greatest(0, m.ind - f.ind) AS di, greatest(0, m.outd - f.outd) AS dd, m.ind + m.outd AS ne, m.node % 4 AS nn FROM w f JOIN w m ON f.g = 1996 AND m.g = 1997),
+p AS (SELECT f.g * 100 + f.node AS node, m.g * 100 + m.node AS motif, len(list_intersect(f.ws, m.ws))::DOUBLE / len(list_distinct(list_concat(f.ws, m.ws))) AS similarity, greatest(0, m.ind - f.ind) AS di, greatest(0, m.outd - f.outd) AS dd, m.ind + m.outd AS ne, m.node % 4 AS nn FROM w f, w m),
 c AS (SELECT node, motif, 0 AS "at", similarity, di::DOUBLE / ne AS fit, nn::DOUBLE / (ne + 1) AS cover, 0.6 * similarity + 0.4 * (di + dd)::DOUBLE / ne AS forward, 0.4 * similarity + 0.3 * di::DOUBLE / ne + 0.3 * nn::DOUBLE / (ne + 1) AS reverse FROM p WHERE similarity >= 0.4)"""
 ORACLES = {
     "nodes_merged_by_vector": WITH + " SELECT g, node AS old, node - 1 AS new FROM n WHERE node % 3 = 2",
@@ -131,6 +133,8 @@ ORACLES = {
       SELECT g, node, round(weight, 6) AS weight FROM nr UNION ALL SELECT g, node, 1.0 FROM fb WHERE k <= 5""",
     "place_narratives": """WITH r AS (SELECT s_nationkey AS nb, 'kind' || (s_suppkey % 3) AS kind, s_name AS name, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 3 ORDER BY s_name) AS k FROM supplier), o AS (SELECT nb, kind, string_agg(name, ', ' ORDER BY name) AS names FROM r WHERE k <= 5 GROUP BY nb, kind),
       l AS (SELECT nb, string_agg(kind || ': ' || names, '. ' ORDER BY kind) AS ls FROM o GROUP BY nb) SELECT c_custkey AS agent_id, 'You live in ' || c_nationkey || CASE WHEN ls IS NULL THEN '' ELSE '. ' || ls END AS narrative FROM customer LEFT JOIN l ON nb = c_nationkey""",
+    "library_summary": _INSTANCES + """ SELECT motif AS motif_type, count(*) AS instances, count(DISTINCT g) AS groups FROM (SELECT *, row_number() OVER (PARTITION BY g, motif ORDER BY nodes) AS rank FROM
+      (SELECT *, max(len(nodes)) OVER (PARTITION BY g, motif[1:2], center) AS m FROM inst) WHERE motif = 'M1' OR len(nodes) = m) WHERE rank <= 30 GROUP BY motif""",
     "transcripts_copied": "SELECT s_suppkey AS agent_id, 'Q: Why? A: Because.' AS transcript FROM supplier",
     "demographic_stats": f"WITH {_DEMO} SELECT demographic, count(*) AS n, round(100 * count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS percent FROM dm GROUP BY demographic",
     "demographic_scores": f"WITH {_DEMO} SELECT demographic, round(0.3 * (1 - count(*)::DOUBLE / sum(count(*)) OVER ()) + 0.7 * CASE demographic WHEN 'unknown' THEN 0 WHEN 'middle_aged' THEN 1 WHEN 'young' THEN 0.6 WHEN 'elderly' THEN 0.6 ELSE 0.2 END, 6) AS score FROM dm GROUP BY demographic",

@@ -56,7 +56,7 @@ QUERIES = {
     "labels_normalised": lambda s, d: table(s, d, "part").select("p_partkey", T.normal_label(F.concat(F.lit(" "), F.col("p_brand"), F.lit("_"), F.col("p_name"))).alias("label"), T.concept_name(F.concat_ws("-", "p_name", "p_brand")).alias("concept"), T.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"), T.clean_phrase(F.concat(F.lit(" ,- "), F.col("p_name"), F.lit(" ;. "))).alias("phrase")),
     "text_chunks": lambda s, d: T.chunks(table(s, d, "documents").select("doc_id", "text"), "text", 1000).select("doc_id", "chunk_no", F.length("chunk").alias("n"), F.md5("chunk").alias("md5")),
     "text_sentences": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", F.size(T.sentences(F.col("text"))).alias("n")),
-    "keywords_top8": lambda s, d: T.top_keywords(table(s, d, "documents").where("lang = 'en'").select("doc_id", "text"), "doc_id", "text"),
+    "keywords_top8": lambda s, d: T.top_keywords(table(s, d, "documents").select("doc_id", "text"), "doc_id", "text"),
     "causal_pairs": lambda s, d: T.causal_pairs(_sentences(s, d), "sentence").select("p_partkey", "n", "cause", "effect", "cue"),
     "context_graph": _context,
     "relation_nodes": lambda s, d: D.label_graph(T.causal_pairs(_sentences(s, d), "sentence").select((F.col("p_partkey") % 50).alias("g"), "cause", "effect"))[0],
@@ -100,7 +100,7 @@ ORACLES = {
       regexp_replace(trim(lower(regexp_replace(p_name || ' / ' || p_brand, '[^\w\s-]', '', 'g'))), '[-\s]+', '_', 'g') AS slug, p_name AS phrase FROM part""",
     "text_chunks": "SELECT doc_id, CAST(i AS INT) AS chunk_no, CAST(length(substr(text, i * 1000 + 1, 1000)) AS INT) AS n, md5(substr(text, i * 1000 + 1, 1000)) AS md5 FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 999) // 1000)) AS i FROM documents)",
     "text_sentences": r"SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '[' || chr(1) || '\n]+'), lambda x: trim(x) <> '')) AS INT) AS n FROM conversations",
-    "keywords_top8": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\\-''_]{{2,}}')) AS keyword FROM documents WHERE lang = 'en'), c AS (SELECT doc_id, keyword, count(*) AS n FROM w WHERE keyword NOT IN ({_STOP}) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, keyword) AS rank FROM c) WHERE rank <= 8",
+    "keywords_top8": f"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z][a-z\\-''_]{{2,}}')) AS keyword FROM documents), c AS (SELECT doc_id, keyword, count(*) AS n FROM w WHERE keyword NOT IN ({_STOP}) GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, keyword) AS rank FROM c) WHERE rank <= 8",
     "causal_pairs": f"WITH {_SENT} SELECT p_partkey, n, cause, effect, cue FROM sent",
     "relation_nodes": _REL + " SELECT DISTINCT g, label FROM (SELECT g, c AS label FROM rel WHERE c <> f UNION SELECT g, f FROM rel WHERE c <> f)",
     "relation_edges": _REL + " SELECT g, c AS src, f AS dst, count(*) AS n FROM rel WHERE c <> f GROUP BY g, c, f",
