@@ -14,10 +14,17 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 
 def uniform(*keys: Column | str | int | float) -> Column:
-    """A number in [0, 1) that depends on the keys alone, so that retries and repartitioning draw the same."""
-    cols = [k if isinstance(k, Column) else F.lit(k) for k in keys]
-    # 53 bits are what a double holds below 1
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / float(1 << 53)
+    """A number in [0, 1) that depends on the keys alone, so that retries and repartitioning draw the same.
+
+    It is the first 52 bits of the MD5 digest of the keys as text, apart by the unit separator, which any other engine can redo.
+    """
+    cols = [(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys]
+    return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cols)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def uniform_sql(*keys: str) -> str:
+    """The DuckDB expression that draws the same; the keys are SQL expressions."""
+    return f"(('0x' || substr(md5(concat_ws(chr(31), {', '.join(keys)})), 1, 13))::BIGINT::DOUBLE / {1 << 52})"
 
 
 def pick(values: Column, *keys: Column | str | int) -> Column:

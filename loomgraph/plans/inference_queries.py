@@ -66,9 +66,9 @@ _BOOLEAN = """greatest(0.01, least(0.99, list_sum(list_transform(ps, lambda x: a
   ELSE (1 - state[x.s + 1]) * abs(x.m) + state[x.s + 1] * (1 - abs(x.m)) END)) / list_sum(list_transform(ps, lambda x: abs(x.m)))))"""
 
 
-def _net(step: str, name: str, do: bool) -> str:
+def _net(step: str, name: str, do: bool, root: str | None = None) -> str:
     """Node by node, as sources have the smaller keys; a graph's state is the list of the probabilities so far."""
-    root = f"CASE WHEN i = fr THEN {DO}::DOUBLE ELSE {PRIOR}::DOUBLE END" if do else f"{PRIOR}::DOUBLE"
+    root = root or (f"CASE WHEN i = fr THEN {DO}::DOUBLE ELSE {PRIOR}::DOUBLE END" if do else f"{PRIOR}::DOUBLE")
     return f""", {name}_st(g, fr, i, state) AS (SELECT g, fr, 0, []::DOUBLE[] FROM first_root UNION ALL SELECT st.g, fr, i + 1, list_append(state, CASE WHEN ps IS NULL THEN {root} ELSE {step} END)
   FROM {name}_st st LEFT JOIN par ON par.g = st.g AND par.t = st.i WHERE i < 25),
 {name} AS (SELECT st.g, node, state[node + 1] AS p FROM {name}_st st JOIN (SELECT DISTINCT g, x AS node FROM (SELECT g, s AS x FROM e UNION SELECT g, t FROM e)) v ON v.g = st.g WHERE i = 25)"""
@@ -94,5 +94,8 @@ ORACLES = {
       y AS (SELECT *, 0.7 * abs(pb - pa) + 0.3 * {_KL} AS raw FROM z), x AS (SELECT *, coalesce(raw / nullif(max(raw) OVER (PARTITION BY g), 0), 0) AS con FROM y)
       SELECT g, node, round(con, 6) AS contribution, row_number() OVER (PARTITION BY g ORDER BY round(con, 9) DESC, node) AS rank, CAST(round_even(round(pb, 9) * 10, 0) AS INT) AS opinion, CAST(round_even(round(con, 9) * 4 + 1, 0) AS INT) AS reason FROM x""",
     "interventions_from_question": WITH + " SELECT g, node, 0.0::DOUBLE AS value FROM n WHERE len(list_filter(string_split(label, ' '), lambda w: NOT contains('what if trade of nation_3 or nation 12 decreases?', w))) = 0",
+    "path_strength": _REC + _PAR + _net("list_max(list_transform(ps, lambda x: abs(x.m) * state[x.s + 1]))", "a", False, "1.0::DOUBLE") + " SELECT g, node, round(p, 6) AS strength FROM a",
+    "is_dag": _REC + """, b AS (SELECT g, CASE WHEN o % 5 = 0 THEN t ELSE s END AS s, CASE WHEN o % 5 = 0 THEN s ELSE t END AS t FROM e), r(g, a, z) AS (SELECT g, s, t FROM b UNION SELECT r.g, a, t FROM r JOIN b ON b.g = r.g AND b.s = z)
+      SELECT g, NOT bool_or(a = z) AS is_dag FROM r GROUP BY g""",
     "relation_sentences": WITH + " SELECT e.g, o AS ord, a.label || CASE WHEN m > 0 THEN ' increases ' ELSE ' decreases ' END || b.label AS sentence FROM e JOIN n a ON a.g = e.g AND a.node = s JOIN n b ON b.g = e.g AND b.node = t",
 }

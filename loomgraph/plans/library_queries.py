@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import uniform_sql
+from ..functions.text import REASON_CODES
 from ..operators import augmentation as A
 from ..operators import edges as E
 from ..operators import merging as G
@@ -13,7 +15,8 @@ from ..operators import reconstruction as R
 from ..sources.shared import materialize
 from .fixtures import table, trade_nodes
 from .graph_queries import _INSTANCES, WITH, trade_edges
-from .survey_queries import _agents, _cells
+from .inference_queries import _CONTINUOUS, _PAR, _REC, PRIOR, _net
+from .survey_queries import _AG, _GRID, _agents, _cells
 
 
 def _members(spark, d):
@@ -103,8 +106,8 @@ QUERIES = {
     "stance_links": lambda s, d: G.stance_links(_vector_nodes(s, d), trade_edges(s, d), [2.0] * 8 + [0.0] * 56).withColumn("weight", F.round("weight", 6)),
     "place_narratives": _narratives,
     "transcripts_copied": lambda s, d: G.copy_transcripts(table(s, d, "supplier").select(F.col("s_suppkey").alias("agent_id")), "Q: Why? A: Because."),
-    "augmented_by_neighbour": lambda s, d: A.by_neighbour(_members(s, d), 5),
-    "augmented_by_bootstrap": lambda s, d: A.by_bootstrap(_members(s, d), 5),
+    "augmented_by_neighbour": lambda s, d: A.by_neighbour(_members(s, d), 5).withColumn("labels", F.array_join("labels", "|")),
+    "augmented_by_bootstrap": lambda s, d: A.by_bootstrap(_members(s, d), 5).withColumn("labels", F.array_join("labels", "|")),
     "augmented_summary": lambda s, d: A.summary(A.library(m := materialize(_members(s, d), "members"), A.by_neighbour(m, 5), A.by_bootstrap(m, 5))),
     "demographic_stats": _demographic_stats,
     "demographic_scores": lambda s, d: R.demographic_scores(_motifs(s, d), "middle_aged").withColumn("score", F.round("score", 6)),
@@ -122,7 +125,52 @@ _CAND = WITH + """, d AS (SELECT g, node, CAST(sum(i) AS BIGINT) AS ind, CAST(su
 w AS (SELECT n.g, n.node, ind, outd, string_split(label, ' ') AS ws FROM n JOIN d USING (g, node)),
 p AS (SELECT f.g * 100 + f.node AS node, m.g * 100 + m.node AS motif, len(list_intersect(f.ws, m.ws))::DOUBLE / len(list_distinct(list_concat(f.ws, m.ws))) AS similarity, greatest(0, m.ind - f.ind) AS di, greatest(0, m.outd - f.outd) AS dd, m.ind + m.outd AS ne, m.node % 4 AS nn FROM w f, w m),
 c AS (SELECT node, motif, 0 AS "at", similarity, di::DOUBLE / ne AS fit, nn::DOUBLE / (ne + 1) AS cover, 0.6 * similarity + 0.4 * (di + dd)::DOUBLE / ne AS forward, 0.4 * similarity + 0.3 * di::DOUBLE / ne + 0.3 * nn::DOUBLE / (ne + 1) AS reverse FROM p WHERE similarity >= 0.4)"""
+_MEMBERS = "m AS (SELECT 'M1_' || p_type AS grp, p_partkey AS ord, [p_name, p_brand || ' ' || p_name, lower(p_type)] AS labels FROM part)"
+_ASKED = "ag AS (SELECT c_custkey AS agent_id, c_mktsegment AS profile, 'I work in ' || lower(c_mktsegment) AS transcript FROM customer), pr AS (SELECT printf('proposal_%03d', r_regionkey) AS proposal_id, 'Taller buildings in ' || r_name AS description FROM region)"
+_CODES = ["rating", *REASON_CODES]
+
+
+def _word_sql(side: str, key: str) -> str:
+    return f"string_split({side}, ' ')[CAST(floor({uniform_sql(key, 'grp', 's', 'i - 1')} * len(string_split({side}, ' '))) AS BIGINT) + 1]"
+
+
+def _byte_sql(prompt: str, n: int) -> str:
+    return f"('0x' || substr(sha256({prompt}), {2 * n + 1}, 2))::INT"
+
+
+def _scores_sql(prompt: str) -> list[str]:
+    """What the offline provider answers, for each code."""
+    return [f"CAST({3 if n == 0 else 2} + {_byte_sql(prompt, n)} % {7 if n == 0 else 3} AS INT)" for n in range(len(_CODES))]
+
+
+def _model_sql(name: str, columns: str, calls: int = 1) -> str:
+    said = " || chr(10) || ".join(f"'{c.replace('rating', 'Rating')}: ' || {v}" for c, v in zip(_CODES, _scores_sql("prompt"), strict=True))
+    ctes = [_ASKED, f"q0 AS (SELECT agent_id, proposal_id, '{name}' || chr(10) || concat_ws(chr(10), {columns}, 'Give Rating: 1 to 10, then A to L: 1 to 5.') AS prompt FROM ag, pr)"]
+    ctes += [f"q{n} AS (SELECT agent_id, proposal_id, prompt || chr(10) || 'Your answer {n} was:' || chr(10) || {said} || chr(10) || 'Think it over.' AS prompt FROM q{n - 1})" for n in range(1, calls)]
+    return f"WITH {', '.join(ctes)} SELECT agent_id::VARCHAR AS agent_id, proposal_id, unnest({_CODES}) AS code, unnest([{', '.join(_scores_sql('prompt'))}]) AS score FROM q{calls - 1}"
+
+
 ORACLES = {
+    "augmented_by_neighbour": f"""WITH {_MEMBERS}, pl AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, row_number() OVER (PARTITION BY grp ORDER BY ord) - 1 AS pos FROM m), gs AS (SELECT grp, n, unnest(range(1, 6)) AS s FROM pl WHERE n > 1 AND pos = 0),
+      da AS (SELECT *, CAST(floor({uniform_sql("'base'", 'grp', 's')} * n) AS BIGINT) AS a FROM gs), db AS (SELECT *, (a + 1 + CAST(floor({uniform_sql("'other'", 'grp', 's')} * (n - 1)) AS BIGINT)) % n AS b FROM da),
+      x AS (SELECT db.grp, db.s, u.ord AS base, v.ord AS other, i, u.labels[i] AS one, v.labels[i] AS two FROM db JOIN pl u ON u.grp = db.grp AND u.pos = a JOIN pl v ON v.grp = db.grp AND v.pos = b, (VALUES (1), (2), (3)) k(i))
+      SELECT grp, s AS "sample", base, other, string_agg(CASE WHEN {uniform_sql("'borrow'", 'grp', 's')} < {A.BORROW} AND {uniform_sql("'node'", 'grp', 's', 'i - 1')} < {A.CHANGE_NODE} AND contains(one, ' ') AND contains(two, ' ')
+        THEN {_word_sql('one', "'w1'")} || ' ' || {_word_sql('two', "'w2'")} ELSE one END, '|' ORDER BY i) AS labels FROM x GROUP BY 1, 2, 3, 4""",
+    "augmented_by_bootstrap": f"""WITH {_MEMBERS}, l AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS pos FROM (SELECT DISTINCT unnest(labels) AS label FROM m) WHERE label <> ''), f AS (SELECT grp, arg_min(labels, ord) AS labels FROM m GROUP BY grp),
+      sl AS (SELECT grp, s, i, labels[i + 1] AS label, CASE WHEN {uniform_sql("'keep'", 'grp', 's', 'i')} < {A.REPLACE} THEN CAST(floor({uniform_sql("'label'", 'grp', 's', 'i')} * (SELECT count(*) FROM l)) AS BIGINT) END AS pos FROM f, range(1, 6) a(s), (VALUES (0), (1), (2)) k(i))
+      SELECT grp, s AS "sample", string_agg(coalesce(l.label, sl.label), '|' ORDER BY i) AS labels FROM sl LEFT JOIN l USING (pos) GROUP BY 1, 2""",
+    "model_nearest_cell": f"""WITH {_GRID}, {_AG}, dd AS (SELECT agent_id, proposal_id, height_limit AS h, row_number() OVER (PARTITION BY agent_id, proposal_id ORDER BY sqrt((lat - (north + south) / 2) ** 2 + (lng - (east + west) / 2) ** 2), cell_id) AS k FROM ag, cells)
+      SELECT agent_id, proposal_id, 'rating' AS code, CASE WHEN h <= 65 THEN 8 WHEN h <= 130 THEN 5 ELSE 3 END AS score FROM dd WHERE k = 1""",
+    "model_random": f"""WITH {_ASKED}, c AS (SELECT agent_id, proposal_id, unnest({_CODES}) AS code FROM ag, pr), u AS (SELECT *, {uniform_sql('agent_id', 'proposal_id', 'code')} AS u FROM c)
+      SELECT agent_id, proposal_id, code, CAST(CASE WHEN code = 'rating' THEN 3 + floor(u * 7) ELSE 2 + floor(u * 3) END AS INT) AS score FROM u""",
+    "model_population_shares": f"WITH {_ASKED}, u AS (SELECT agent_id, proposal_id, {uniform_sql('agent_id', 'proposal_id')} AS u FROM ag, pr) SELECT agent_id, proposal_id, 'rating' AS code, CASE WHEN u < 0.6 THEN 8 WHEN u < 0.9 THEN 3 ELSE 5 END AS score FROM u",
+    "model_census_persona": _model_sql("census_persona", "profile, description"),
+    "model_two_layer": _model_sql("two_layer", "profile, description", 2),
+    "model_naive": _model_sql("naive", "description"),
+    "model_transcript": _model_sql("transcript", "transcript, description"),
+    "model_chain_of_thought": _model_sql("chain_of_thought", "profile, description, 'Think step by step.'"),
+    "model_reflexion": _model_sql("reflexion", "profile, description", 3),
+    "model_belief_net": _REC + _PAR + _net(_CONTINUOUS, "a", False, f"CASE WHEN i = 0 THEN 0.9::DOUBLE ELSE {PRIOR}::DOUBLE END") + " SELECT g, CAST(round_even(p * 10, 0) AS INT) AS rating FROM a JOIN (SELECT g, max(t) AS node FROM e GROUP BY g) USING (g, node)",
     "nodes_merged_by_vector": WITH + " SELECT g, node AS old, node - 1 AS new FROM n WHERE node % 3 = 2",
     "edges_merged_by_vector": WITH + " SELECT g, s AS src, t AS dst, m AS modifier FROM (SELECT *, row_number() OVER (PARTITION BY g, s, t ORDER BY o DESC) AS k FROM (SELECT g, CASE WHEN s % 3 = 2 THEN s - 1 ELSE s END AS s, CASE WHEN t % 3 = 2 THEN t - 1 ELSE t END AS t, m, o FROM e) WHERE s <> t) WHERE k = 1",
     "nodes_merged_in_groups": WITH + """, q AS (SELECT g, CASE WHEN node % 3 = 2 THEN node - 1 ELSE node END AS id, node, label, unnest(['q' || (node % 4), 'q0']) AS qa FROM n)

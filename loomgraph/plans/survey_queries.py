@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.numeric import uniform_sql
 from ..operators import places as P
 from ..operators import surveys as S
 from ..sources.shared import materialize
@@ -133,6 +134,11 @@ ORACLES = {
     "survey_reasons": "SELECT p_partkey AS pid, i || '.1' AS scenario, code, CAST((p_partkey + n) % 5 + 1 AS INT) AS score FROM part, (VALUES (1), (2)) a(i), (VALUES (0, 'A'), (1, 'I')) b(n, code) WHERE p_partkey % 17 <> 0",
     "agents_with_default": f"WITH {_AG} SELECT zip AS k, agent_id, coalesce(n_name, 'elsewhere') AS region FROM ag LEFT JOIN nation ON 94000 + n_nationkey = zip AND n_nationkey < 10",
     "agents_named": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN s_name ELSE 'agent_' || lpad((row_number() OVER (PARTITION BY s_suppkey % 3 > 0 ORDER BY s_suppkey) - 1)::VARCHAR, 3, '0') END AS agent_id FROM supplier",
+    "agents_placed": f"""WITH {_AG}, z AS (SELECT 94000 + n_nationkey AS zip, 37 + n_nationkey / 100.0::DOUBLE AS zlat, -122 - n_nationkey / 100.0::DOUBLE AS zlng FROM nation WHERE n_nationkey % 4 <> 1),
+      p AS (SELECT agent_id, coalesce(zlat, 37.77) + ({uniform_sql("'lat'", "agent_id")} * 2 - 1) * {S.JITTER} AS lat, coalesce(zlng, -122.42) + ({uniform_sql("'lng'", "agent_id")} * 2 - 1) * {S.JITTER} AS lng FROM ag LEFT JOIN z USING (zip))
+      SELECT agent_id, round(round(lat * 100) / 100, 2) AS lat, abs(lng) < 123 AS near FROM p""",
+    "weighted_choices": f"SELECT c_custkey, CASE WHEN u < 0.6 THEN 'support' WHEN u < 0.9 THEN 'oppose' ELSE 'neutral' END AS opinion FROM (SELECT c_custkey, {uniform_sql('c_custkey')} AS u FROM customer)",
+    "dataset_split": f"SELECT CASE WHEN {uniform_sql('42', 'o_orderkey')} < 0.7 THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1",
     "answers_coded": f"WITH {_AG} SELECT agent_id, CASE WHEN agent_id % 2 = 0 THEN 'low_income' ELSE 'middle_income' END AS income, CASE WHEN agent_id % 3 = 0 THEN 'postgraduate' ELSE 'bachelor' END AS education, CASE WHEN agent_id % 5 = 0 THEN 'retired' ELSE 'white_collar' END AS occupation FROM ag",
     "role_profiles": f"""WITH {_AG} SELECT agent_id, ['$15,000-$40,000', '$80,000-$120,000', '$40,000-$80,000'][agent_id % 3 + 1] AS income, ['high school graduate', 'master''s degree or higher', 'bachelor''s degree'][agent_id % 3 + 1] AS education,
       lower(c_mktsegment) || [' elder tenant', ' young professional', ' artist homeowner'][agent_id % 3 + 1] AS occupation, ['renter', 'mixed housing situation', 'homeowner'][agent_id % 3 + 1] AS housing, ['old', 'other', 'other'][agent_id % 3 + 1] AS band FROM ag WHERE agent_id % 3 < 3""",
