@@ -41,10 +41,11 @@ def read(table) -> tuple:
 
 
 def per_graph(edges: DataFrame, run, schema: str) -> DataFrame:
-    """run(g, nodes, parents) gives rows of schema; edges(g, src, dst, ord, modifier, confidence)."""
+    """run(g, nodes, parents) gives rows of schema, whose g is of the type that edges(g, src, dst, ord, modifier, confidence) has."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    schema = schema.replace("g int", f"g {dict(edges.dtypes)['g']}", 1)
     names = [x.split()[0] for x in schema.split(", ")]
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 

@@ -1,4 +1,4 @@
-"""Queries over the trade graphs: edges, motifs, roles, merging."""
+"""Queries over the basket graphs: edges, motifs, roles, merging."""
 
 from __future__ import annotations
 
@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 from ..operators import edges as E
 from ..operators import motifs as M
 from ..sources.shared import materialize
-from .fixtures import TRADE, trade_nodes
-from .fixtures import trade_edges as _trade_edges
+from .fixtures import BASKET, WITH_TRADE, held_trade_edges, trade_edges, basket_nodes
+from .fixtures import basket_edges as _basket_edges
 
-WITH = f"WITH {TRADE}"
+WITH = f"WITH {BASKET}"
 _NEAR = "EXISTS (SELECT 1 FROM e x WHERE x.g = {g} AND ((x.s = {a} AND x.t = {b}) OR (x.s = {b} AND x.t = {a})))"
 
 
-def trade_edges(spark, d):
-    """The trade edges, made once for plans that read them several times."""
-    return materialize(_trade_edges(spark, d), "trade-edges")
+def basket_edges(spark, d):
+    """The basket edges, made once for plans that read them several times."""
+    return materialize(_basket_edges(spark, d), "basket-edges")
 
 
 def _star_sql(k: int, reverse: bool) -> str:
@@ -42,22 +42,22 @@ _COUNTS = (
 
 
 def _stars(k: int, reverse: bool):
-    return lambda spark, d: M.stars(trade_edges(spark, d), k, reverse).select("g", "center", F.array_join("leaves", ",").alias("leaves"))
+    return lambda spark, d: M.stars(basket_edges(spark, d), k, reverse).select("g", "center", F.array_join("leaves", ",").alias("leaves"))
 
 
 def _counts(spark, d):
-    return M.census(trade_edges(spark, d))
+    return M.census(basket_edges(spark, d))
 
 
 def _remap(spark, d):
-    e = trade_edges(spark, d)
+    e = basket_edges(spark, d)
     mapping = e.select("g", F.explode(F.array("src", "dst")).alias("old")).distinct().select("g", "old", (F.col("old") - F.col("old") % 2).alias("new")).where("old <> new")
     return E.remap(e, mapping).select("g", "src", "dst", "modifier")
 
 
 def _stance_nodes(spark, d):
-    """Trade nodes, of which every seventh is called a stance."""
-    return trade_nodes(spark, d).withColumn("label", F.when(F.col("node") % 7 == 3, F.concat(F.lit("upzoning stance "), "label")).otherwise(F.col("label")))
+    """Basket nodes, of which every seventh is called a stance."""
+    return basket_nodes(spark, d).withColumn("label", F.when(F.col("node") % 7 == 3, F.concat(F.lit("upzoning stance "), "label")).otherwise(F.col("label")))
 
 
 _STANCE = ", sn AS (SELECT g, node, CASE WHEN node % 7 = 3 THEN 'upzoning stance ' || label ELSE label END AS label FROM n)"
@@ -72,33 +72,34 @@ def _latest(spark, d):
 
 
 QUERIES = {
-    "trade_edges": _trade_edges,
+    "trade_edges": trade_edges,
+    "basket_edges": _basket_edges,
     "motif_census": _counts,
-    "motif_m1": lambda s, d: M.chains(trade_edges(s, d)),
+    "motif_m1": lambda s, d: M.chains(basket_edges(s, d)),
     **{f"motif_m{f}{k - 1}": _stars(k, r) for f, r in (("2", False), ("3", True)) for k in (2, 3, 4)},
     "motif_ratios": lambda s, d: M.ratios(_counts(s, d)).select("g", "motif", "n", F.round("ratio", 6).alias("ratio")),
     "motif_complexity": lambda s, d: M.complexity(_counts(s, d)),
     "motif_families": lambda s, d: M.families(_counts(s, d)),
-    "motif_heatmap": lambda s, d: M.heatmap(_counts(s, d)).groupBy("motif").pivot("g", list(range(1992, 2006))).agg(F.sum("n")).na.fill(0).select("motif", *(F.col(str(y)).alias(f"y{y}") for y in range(1992, 2006))),
-    "motif_extraction": lambda s, d: M.extract(M.instances(trade_edges(s, d))).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
-    "motif_extraction_suppressed": lambda s, d: M.extract_by_suppression(M.instances(trade_edges(s, d))).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
-    "node_roles": lambda s, d: E.node_roles(trade_edges(s, d)),
-    "node_positions": lambda s, d: E.degrees(trade_edges(s, d)).select("g", "node", E.position(F.col("in_degree"), F.col("out_degree")).alias("position"), E.position3(F.col("in_degree"), F.col("out_degree")).alias("position3"), E.position_weight(E.position(F.col("in_degree"), F.col("out_degree"))).alias("weight")),
-    "graph_stance": lambda s, d: E.graph_stance(_stance_nodes(s, d), trade_edges(s, d)),
-    "stance_members": lambda s, d: E.graph_stance(_stance_nodes(s, d), trade_edges(s, d)).groupBy("stance").agg(F.array_join(F.array_sort(F.collect_list(F.col("g").cast("string"))), ",").alias("members")),
-    "graph_statistics": lambda s, d: E.statistics(trade_nodes(s, d), trade_edges(s, d)).withColumn("density", F.round("density", 6)),
-    "graph_aggregate": lambda s, d: E.aggregate(trade_edges(s, d)),
-    "edges_deduped": lambda s, d: E.dedupe(trade_edges(s, d).withColumn("dst", F.col("dst") - F.col("dst") % 2)).select("g", "src", "dst", "ord", "modifier"),
-    "edges_low_confidence": lambda s, d: E.low_confidence(trade_edges(s, d)),
-    "edges_without_dangling": lambda s, d: E.drop_dangling(trade_edges(s, d), trade_nodes(s, d).where("node % 5 <> 0")).select("g", "src", "dst"),
-    "edges_without_self_loops": lambda s, d: E.drop_self_loops(trade_edges(s, d).withColumn("dst", F.col("dst") - F.col("dst") % 3)).select("g", "src", "dst", "ord"),
-    "edges_clamped": lambda s, d: E.clamp_modifiers(trade_edges(s, d).withColumn("modifier", F.when(F.col("ord") % 4 != 0, F.col("modifier") * 2))).select("g", "src", "dst", F.round("modifier", 6).alias("modifier"), F.round(E.signed_weight(F.col("modifier")), 6).alias("weight")),
-    "edges_labelled": lambda s, d: E.label_ends(trade_edges(s, d), trade_nodes(s, d).where("node % 6 <> 1")).select("g", "src_label", "dst_label", "modifier"),
+    "motif_heatmap": lambda s, d: M.heatmap(M.census(held_trade_edges(s, d))).groupBy("motif").pivot("g", list(range(1992, 2006))).agg(F.sum("n")).na.fill(0).select("motif", *(F.col(str(y)).alias(f"y{y}") for y in range(1992, 2006))),
+    "motif_extraction": lambda s, d: M.extract(M.instances(basket_edges(s, d))).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
+    "motif_extraction_suppressed": lambda s, d: M.extract_by_suppression(M.instances(basket_edges(s, d))).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
+    "node_roles": lambda s, d: E.node_roles(basket_edges(s, d)),
+    "node_positions": lambda s, d: E.degrees(basket_edges(s, d)).select("g", "node", E.position(F.col("in_degree"), F.col("out_degree")).alias("position"), E.position3(F.col("in_degree"), F.col("out_degree")).alias("position3"), E.position_weight(E.position(F.col("in_degree"), F.col("out_degree"))).alias("weight")),
+    "graph_stance": lambda s, d: E.graph_stance(_stance_nodes(s, d), basket_edges(s, d)),
+    "stance_members": lambda s, d: E.graph_stance(_stance_nodes(s, d), basket_edges(s, d)).select("stance", F.col("g").alias("member")),
+    "graph_statistics": lambda s, d: E.statistics(basket_nodes(s, d), basket_edges(s, d)).withColumn("density", F.round("density", 6)),
+    "graph_aggregate": lambda s, d: E.aggregate(basket_edges(s, d)),
+    "edges_deduped": lambda s, d: E.dedupe(basket_edges(s, d).withColumn("dst", F.col("dst") - F.col("dst") % 2)).select("g", "src", "dst", "ord", "modifier"),
+    "edges_low_confidence": lambda s, d: E.low_confidence(basket_edges(s, d)),
+    "edges_without_dangling": lambda s, d: E.drop_dangling(basket_edges(s, d), basket_nodes(s, d).where("node % 5 <> 0")).select("g", "src", "dst"),
+    "edges_without_self_loops": lambda s, d: E.drop_self_loops(basket_edges(s, d).withColumn("dst", F.col("dst") - F.col("dst") % 3)).select("g", "src", "dst", "ord"),
+    "edges_clamped": lambda s, d: E.clamp_modifiers(basket_edges(s, d).withColumn("modifier", F.when(F.col("ord") % 4 != 0, F.col("modifier") * 2))).select("g", "src", "dst", F.round("modifier", 6).alias("modifier"), F.round(E.signed_weight(F.col("modifier")), 6).alias("weight")),
+    "edges_labelled": lambda s, d: E.label_ends(basket_edges(s, d), basket_nodes(s, d).where("node % 6 <> 1")).select("g", "src_label", "dst_label", "modifier"),
     "edges_remapped": _remap,
-    "edges_merged_stances": lambda s, d: E.merge_stance_nodes(_stance_nodes(s, d), trade_edges(s, d)).select("g", "src", "dst", "modifier"),
-    "edges_without_stance_out": lambda s, d: E.drop_stance_out_edges(_stance_nodes(s, d), trade_edges(s, d)).select("g", "src", "dst"),
-    "nodes_isolated": lambda s, d: E.isolated(trade_nodes(s, d), trade_edges(s, d).where("confidence > 0.9")),
-    "nodes_connected": lambda s, d: E.drop_isolated(trade_nodes(s, d), trade_edges(s, d).where("confidence > 0.9")),
+    "edges_merged_stances": lambda s, d: E.merge_stance_nodes(_stance_nodes(s, d), basket_edges(s, d)).select("g", "src", "dst", "modifier"),
+    "edges_without_stance_out": lambda s, d: E.drop_stance_out_edges(_stance_nodes(s, d), basket_edges(s, d)).select("g", "src", "dst"),
+    "nodes_isolated": lambda s, d: E.isolated(basket_nodes(s, d), basket_edges(s, d).where("confidence > 0.9")),
+    "nodes_connected": lambda s, d: E.drop_isolated(basket_nodes(s, d), basket_edges(s, d).where("confidence > 0.9")),
     "latest_row_of_key": _latest,
 }
 
@@ -112,14 +113,15 @@ _INSTANCES = (
 )
 
 ORACLES = {
-    "trade_edges": WITH + " SELECT g, s AS src, t AS dst, o AS ord, m AS modifier, c AS confidence FROM e",
+    "trade_edges": WITH_TRADE + " SELECT g, s AS src, t AS dst, o AS ord, m AS modifier, c AS confidence FROM e",
+    "basket_edges": WITH + " SELECT g, s AS src, t AS dst, o AS ord, m AS modifier, c AS confidence FROM e",
     "motif_census": _COUNTS + " SELECT * FROM counts",
     "motif_m1": WITH + " " + _CHAIN_SQL,
     **{f"motif_m{f}{k - 1}": WITH + " " + _star_sql(k, r) for f, r in (("2", False), ("3", True)) for k in (2, 3, 4)},
     "motif_ratios": _COUNTS + " SELECT g, motif, n, round(coalesce(n::DOUBLE / nullif(sum(n) OVER (PARTITION BY g), 0), 0), 6) AS ratio FROM long",
     "motif_complexity": _COUNTS + " SELECT g, m1 + m21 + 2 * m22 + 3 * m23 + m31 + 2 * m32 + 3 * m33 AS complexity FROM counts",
     "motif_families": _COUNTS + " SELECT g, m1 AS chain, m21 + m22 + m23 AS fork, m31 + m32 + m33 AS collider FROM counts",
-    "motif_heatmap": _COUNTS + " SELECT motif, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (g = {y}), 0) AS BIGINT) AS y{y}" for y in range(1992, 2006)) + " FROM long GROUP BY motif",
+    "motif_heatmap": _COUNTS.replace(WITH, WITH_TRADE, 1) + " SELECT motif, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (g = {y}), 0) AS BIGINT) AS y{y}" for y in range(1992, 2006)) + " FROM long GROUP BY motif",
     "motif_extraction": _INSTANCES + """ SELECT g, motif, center, array_to_string(nodes, ',') AS nodes, rank FROM (SELECT *, row_number() OVER (PARTITION BY g, motif ORDER BY nodes) AS rank FROM
       (SELECT *, max(len(nodes)) OVER (PARTITION BY g, motif[1:2], center) AS m FROM inst) WHERE motif = 'M1' OR len(nodes) = m) WHERE rank <= 30""",
     "motif_extraction_suppressed": _INSTANCES + """ SELECT g, motif, center, array_to_string(nodes, ',') AS nodes, rank FROM (SELECT *, row_number() OVER (PARTITION BY g, motif, len(nodes) ORDER BY nodes) AS rank FROM
@@ -131,7 +133,7 @@ ORACLES = {
     "graph_stance": WITH + _STANCE + """ SELECT g, CASE WHEN m > 0.3 THEN 'support' WHEN m < -0.3 THEN 'oppose' ELSE 'neutral' END AS stance FROM
       (SELECT st.g, coalesce(arg_min(e.m, e.o), 0) AS m FROM (SELECT g, min(node) FILTER (contains(label, 'stance')) AS node FROM sn GROUP BY g) st LEFT JOIN e ON e.g = st.g AND e.t = st.node GROUP BY st.g)""",
     "graph_statistics": WITH + " SELECT g, n_nodes, coalesce(n_edges, 0) AS n_edges, round(coalesce(n_edges, 0)::DOUBLE / nullif(n_nodes * (n_nodes - 1), 0), 6) AS density FROM (SELECT g, count(DISTINCT node) AS n_nodes FROM n GROUP BY g) LEFT JOIN (SELECT g, count(*) AS n_edges FROM e GROUP BY g) USING (g)",
-    "graph_aggregate": WITH + " SELECT s AS src, t AS dst, count(*) AS n_graphs, arg_min(m, g * 1000 + o) AS modifier, arg_min(c, g * 1000 + o) AS confidence FROM e GROUP BY s, t",
+    "graph_aggregate": WITH + " SELECT s AS src, t AS dst, count(*) AS n_graphs, arg_min(m, g * 1000::BIGINT + o) AS modifier, arg_min(c, g * 1000::BIGINT + o) AS confidence FROM e GROUP BY s, t",
     "edges_deduped": WITH + " SELECT g, s AS src, t2 AS dst, o AS ord, m AS modifier FROM (SELECT *, t - t % 2 AS t2, row_number() OVER (PARTITION BY g, s, t - t % 2 ORDER BY o DESC) AS k FROM e) WHERE k = 1",
     "edges_low_confidence": WITH + " SELECT g, s AS src, t AS dst, o AS ord, m AS modifier, c AS confidence FROM e WHERE c < 0.9",
     "edges_without_dangling": WITH + " SELECT g, s AS src, t AS dst FROM e WHERE s % 5 <> 0 AND t % 5 <> 0",
@@ -145,4 +147,4 @@ ORACLES = {
     "nodes_connected": WITH + " SELECT g, node, label FROM n WHERE EXISTS (SELECT 1 FROM e WHERE e.g = n.g AND c > 0.9 AND (s = node OR t = node))",
     "latest_row_of_key": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS k FROM events WHERE event_type <> 'error') WHERE k = 1",
 }
-ORACLES["stance_members"] = "SELECT stance, array_to_string(list_sort(list(g::VARCHAR)), ',') AS members FROM (" + ORACLES["graph_stance"] + ") GROUP BY stance"
+ORACLES["stance_members"] = "SELECT stance, g AS member FROM (" + ORACLES["graph_stance"] + ")"

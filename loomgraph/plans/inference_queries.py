@@ -1,4 +1,4 @@
-"""Queries that walk the trade graphs or propagate probabilities on them."""
+"""Queries that walk the basket graphs or propagate probabilities on them."""
 
 from __future__ import annotations
 
@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 from ..operators import edges as E
 from ..operators import inference as I
 from ..operators import traversal as T
-from .fixtures import trade_nodes
-from .graph_queries import WITH, trade_edges
+from .fixtures import basket_nodes
+from .graph_queries import WITH, basket_edges
 
 PRIOR, DO = 0.1, 0.9
 
 
 def _moved(step):
     def run(spark, d):
-        e = trade_edges(spark, d)
+        e = basket_edges(spark, d)
         return I.changes(I.marginals(e, step, PRIOR), I.marginals(e, step, PRIOR, do_roots=DO))
 
     return run
 
 
 def _cyclic(spark, d):
-    """Trade edges with every fifth turned round."""
+    """Basket edges with every fifth turned round."""
     back = F.col("ord") % 5 == 0
-    return trade_edges(spark, d).withColumns({"src": F.when(back, F.col("dst")).otherwise(F.col("src")), "dst": F.when(back, F.col("src")).otherwise(F.col("dst"))})
+    return basket_edges(spark, d).withColumns({"src": F.when(back, F.col("dst")).otherwise(F.col("src")), "dst": F.when(back, F.col("src")).otherwise(F.col("dst"))})
 
 
 def _rounded(name):
@@ -36,25 +36,25 @@ def _contributions(spark, d):
 
 
 QUERIES = {
-    "topological_levels": lambda s, d: T.levels(trade_edges(s, d)),
-    "ancestors": lambda s, d: T.ancestors(trade_edges(s, d)),
-    "ancestor_graph": lambda s, d: T.ancestor_graph(e := trade_edges(s, d), e.groupBy("g").agg(F.min("dst").alias("node"))).select("g", "src", "dst"),
-    "path_strength": lambda s, d: _rounded("strength")(T.path_strength(trade_edges(s, d))),
+    "topological_levels": lambda s, d: T.levels(basket_edges(s, d)),
+    "ancestors": lambda s, d: T.ancestors(basket_edges(s, d)),
+    "ancestor_graph": lambda s, d: T.ancestor_graph(e := basket_edges(s, d), e.groupBy("g").agg(F.min("dst").alias("node"))).select("g", "src", "dst"),
+    "path_strength": lambda s, d: _rounded("strength")(T.path_strength(basket_edges(s, d))),
     "cycles_broken": lambda s, d: T.break_cycles(_cyclic(s, d)).select("g", "src", "dst", "confidence"),
     "is_dag": lambda s, d: T.is_dag(_cyclic(s, d)),
-    "graph_components": lambda s, d: T.components(trade_edges(s, d).where("confidence > 0.8")),
-    "parents_listed": lambda s, d: T.parents_of(trade_edges(s, d)).select("g", "dst", F.array_join(F.transform("parents", lambda p: p["src"].cast("string")), ",").alias("parents")),
-    "net_continuous": lambda s, d: _rounded("p")(I.marginals(trade_edges(s, d), I.continuous_step, PRIOR)),
-    "net_boolean": lambda s, d: _rounded("p")(I.marginals(trade_edges(s, d), I.boolean_step, PRIOR)),
+    "graph_components": lambda s, d: T.components(basket_edges(s, d).where("confidence > 0.8")),
+    "parents_listed": lambda s, d: T.parents_of(basket_edges(s, d)).select("g", "dst", F.array_join(F.transform("parents", lambda p: p["src"].cast("string")), ",").alias("parents")),
+    "net_continuous": lambda s, d: _rounded("p")(I.marginals(basket_edges(s, d), I.continuous_step, PRIOR)),
+    "net_boolean": lambda s, d: _rounded("p")(I.marginals(basket_edges(s, d), I.boolean_step, PRIOR)),
     "net_continuous_do": lambda s, d: _moved(I.continuous_step)(s, d).select("g", "node", *(F.round(c, 6).alias(c) for c in ("base", "changed", "delta"))),
     "net_boolean_do": lambda s, d: _moved(I.boolean_step)(s, d).select("g", "node", *(F.round(c, 6).alias(c) for c in ("base", "changed", "delta"))),
-    "net_samples": lambda s, d: I.samples(trade_edges(s, d)),
-    "net_conditioned": lambda s, d: I.see(trade_edges(s, d), {24: True}),
-    "net_beta": lambda s, d: I.beta_net(trade_edges(s, d)),
-    "net_fold": lambda s, d: I.fold_net(trade_edges(s, d)).withColumn("p", F.round("p", 9)),
+    "net_samples": lambda s, d: I.samples(basket_edges(s, d)),
+    "net_conditioned": lambda s, d: I.see(basket_edges(s, d), {24: True}),
+    "net_beta": lambda s, d: I.beta_net(basket_edges(s, d)),
+    "net_fold": lambda s, d: I.fold_net(basket_edges(s, d)).withColumn("p", F.round("p", 9)),
     "contributions": _contributions,
-    "interventions_from_question": lambda s, d: I.keyword_interventions(trade_nodes(s, d), "What if trade of nation_3 or nation 12 decreases?"),
-    "relation_sentences": lambda s, d: I.relation_sentences(E.label_ends(trade_edges(s, d), trade_nodes(s, d))),
+    "interventions_from_question": lambda s, d: I.keyword_interventions(basket_nodes(s, d), "What if trade of nation_3 or nation 12 decreases?"),
+    "relation_sentences": lambda s, d: I.relation_sentences(E.label_ends(basket_edges(s, d), basket_nodes(s, d))),
 }
 
 _REC = WITH.replace("WITH", "WITH RECURSIVE", 1)

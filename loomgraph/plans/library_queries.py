@@ -13,8 +13,11 @@ from ..operators import models as O
 from ..operators import motifs as M
 from ..operators import reconstruction as R
 from ..sources.shared import materialize
+from .fixtures import WITH_TRADE as WITH
+from .fixtures import held_trade_edges as trade_edges
 from .fixtures import table, trade_nodes
-from .graph_queries import _INSTANCES, WITH, trade_edges
+from .graph_queries import _INSTANCES, basket_edges
+from .graph_queries import WITH as WITH_BASKET
 from .inference_queries import _CONTINUOUS, _PAR, _REC, PRIOR, _net
 from .survey_queries import _AG, _GRID, _agents, _cells
 
@@ -117,7 +120,7 @@ QUERIES = {
     "reconstructed_graphs": lambda s, d: R.reconstruct(table(s, d, "nation").select("n_nationkey", F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("label")), _library(s, d), "n_nationkey"),
     **{f"model_{m}": _model(m) for m in ("random", "population_shares", "census_persona", "two_layer", "naive", "transcript", "chain_of_thought", "reflexion")},
     "model_nearest_cell": lambda s, d: O.MODELS["nearest_cell"](_personas(s, d), _cells(s, d)),
-    "model_belief_net": lambda s, d: O.belief_net(e := trade_edges(s, d), e.groupBy("g").agg(F.max("dst").alias("node")), {0: 0.9}, 0.1),
+    "model_belief_net": lambda s, d: O.belief_net(e := basket_edges(s, d), e.groupBy("g").agg(F.max("dst").alias("node")), {0: 0.9}, 0.1),
 }
 
 _DEMO = "dm AS (SELECT s_suppkey AS motif, CASE WHEN s_suppkey % 5 = 0 THEN 'young' WHEN s_suppkey % 5 = 1 THEN 'middle_aged' WHEN s_suppkey % 5 = 2 THEN 'urban' WHEN s_suppkey % 11 = 0 THEN 'unknown' ELSE 'elderly' END AS demographic FROM supplier)"
@@ -181,7 +184,7 @@ ORACLES = {
       SELECT g, node, round(weight, 6) AS weight FROM nr UNION ALL SELECT g, node, 1.0 FROM fb WHERE k <= 5""",
     "place_narratives": """WITH r AS (SELECT s_nationkey AS nb, 'kind' || (s_suppkey % 3) AS kind, s_name AS name, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 3 ORDER BY s_name) AS k FROM supplier), o AS (SELECT nb, kind, string_agg(name, ', ' ORDER BY name) AS names FROM r WHERE k <= 5 GROUP BY nb, kind),
       l AS (SELECT nb, string_agg(kind || ': ' || names, '. ' ORDER BY kind) AS ls FROM o GROUP BY nb) SELECT c_custkey AS agent_id, 'You live in ' || c_nationkey || CASE WHEN ls IS NULL THEN '' ELSE '. ' || ls END AS narrative FROM customer LEFT JOIN l ON nb = c_nationkey""",
-    "library_summary": _INSTANCES + """ SELECT motif AS motif_type, count(*) AS instances, count(DISTINCT g) AS groups FROM (SELECT *, row_number() OVER (PARTITION BY g, motif ORDER BY nodes) AS rank FROM
+    "library_summary": _INSTANCES.replace(WITH_BASKET, WITH, 1) + """ SELECT motif AS motif_type, count(*) AS instances, count(DISTINCT g) AS groups FROM (SELECT *, row_number() OVER (PARTITION BY g, motif ORDER BY nodes) AS rank FROM
       (SELECT *, max(len(nodes)) OVER (PARTITION BY g, motif[1:2], center) AS m FROM inst) WHERE motif = 'M1' OR len(nodes) = m) WHERE rank <= 30 GROUP BY motif""",
     "transcripts_copied": "SELECT s_suppkey AS agent_id, 'Q: Why? A: Because.' AS transcript FROM supplier",
     "demographic_stats": f"WITH {_DEMO} SELECT demographic, count(*) AS n, round(100 * count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS percent FROM dm GROUP BY demographic",

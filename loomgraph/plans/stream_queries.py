@@ -9,9 +9,10 @@ from ..operators import edges as E
 from ..operators import motifs as M
 from ..sources import graphs
 from ..sources.shared import materialize
+from .fixtures import WITH_TRADE as WITH
+from .fixtures import held_trade_edges as trade_edges
 from .fixtures import table, trade_nodes
 from .graph_queries import ORACLES as GRAPH
-from .graph_queries import WITH, trade_edges
 
 
 def _documents(spark, d, layout):

@@ -10,8 +10,10 @@ from ..operators import motifs as M
 from ..operators import similarity as S
 from ..sources import mermaid
 from ..sources.shared import materialize
+from .fixtures import WITH_TRADE as WITH
+from .fixtures import held_trade_edges as trade_edges
 from .fixtures import table, trade_nodes
-from .graph_queries import WITH, trade_edges
+from .graph_queries import _COUNTS, _INSTANCES, basket_edges
 
 
 def _sentences(spark, d):
@@ -39,7 +41,7 @@ def _embeddings(spark, d):
 
 def _motif_groups(spark, d):
     """Motif instances with the labels of their nodes, in groups by their type and centre's parity."""
-    inst = M.instances(trade_edges(spark, d)).select("g", "motif", "center", (F.col("center") % 4).alias("grp"))
+    inst = M.instances(basket_edges(spark, d)).select("g", "motif", "center", (F.col("center") % 4).alias("grp"))
     return materialize(inst.withColumn("grp", F.concat_ws("-", "motif", "grp")), "motif-groups")
 
 
@@ -79,8 +81,8 @@ QUERIES = {
     "motif_similarity": lambda s, d: table(s, d, "part").alias("a").join(table(s, d, "part").alias("b"), F.col("b.p_partkey") == F.col("a.p_partkey") + 1).select(F.col("a.p_partkey").alias("p_partkey"), F.round(S.motif_similarity(F.array("a.p_name", "a.p_type"), F.array("b.p_name", "b.p_type"), F.array(F.lit("source"), F.lit("intermediate")), F.array(F.lit("source"), F.lit("sink"))), 6).alias("similarity"), F.round(S.plain_motif_similarity(F.array("a.p_name", "a.p_type"), F.array("b.p_name", "b.p_type")), 6).alias("plain")),
     "motif_group_shares": lambda s, d: S.group_shares(_motif_groups(s, d), "g", "grp").withColumn("share", F.round("share", 6)),
     "motif_share_top10": lambda s, d: S.share_by(_motif_groups(s, d), "g", "grp", 10).withColumn("share", F.round("share", 6)),
-    "motif_standardised": lambda s, d: S.standardised(materialize(M.census(trade_edges(s, d)), "census").select("g", *(F.col(c).cast("double").alias(c) for c in ("m1", "m31"))), ["m1", "m31"]).select("g", F.round("m1", 6).alias("m1"), F.round("m31", 6).alias("m31")),
-    "motif_clusters": lambda s, d: S.kmeans(materialize(M.census(trade_edges(s, d)), "census"), ["m1", "m21", "m31"]),
+    "motif_standardised": lambda s, d: S.standardised(materialize(M.census(basket_edges(s, d)), "census").select("g", *(F.col(c).cast("double").alias(c) for c in ("m1", "m31"))), ["m1", "m31"]).select("g", F.round("m1", 6).alias("m1"), F.round("m31", 6).alias("m31")),
+    "motif_clusters": lambda s, d: S.kmeans(materialize(M.census(basket_edges(s, d)), "census"), ["m1", "m21", "m31"]),
 }
 
 _SENT = "sent AS (SELECT p_partkey, 0 AS n, p_name || ' because ' || p_type AS sentence, p_type AS cause, p_name AS effect, 'because' AS cue FROM part UNION ALL SELECT p_partkey, 1, p_brand || ' leads to ' || p_name, p_brand, p_name, 'leads to' FROM part UNION ALL SELECT p_partkey, 2, p_type || ' , so ' || p_brand, p_type, p_brand, 'so' FROM part)"
@@ -92,7 +94,6 @@ _COS = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[]) / (sqrt(list_dot_product(
 _RAT = """WITH p AS (SELECT p_partkey, p_partkey AS k FROM part),
 x AS (SELECT p_partkey, 'rating' AS code, CASE WHEN k % 11 = 0 THEN 9 WHEN k % 7 <> 0 THEN greatest(1, least(10, k % 13)) ELSE 5 END AS score FROM p UNION ALL SELECT p_partkey, 'A', greatest(1, least(5, k % 9 - 1)) FROM p
   UNION ALL SELECT p_partkey, 'B', 3 FROM p UNION ALL SELECT p_partkey, 'C', k % 5 + 1 FROM p UNION ALL SELECT p_partkey, unnest(['D', 'E', 'F', 'G', 'H', 'I', 'J', 'K', 'L']), 3 FROM p) SELECT p_partkey, code, CAST(score AS INT) AS score FROM x"""
-from .graph_queries import _INSTANCES  # noqa: E402
 
 _GRP = _INSTANCES + ", gi AS (SELECT g, motif || '-' || (center % 4) AS grp FROM inst), gn AS (SELECT g, grp, count(*) AS n FROM gi GROUP BY g, grp)"
 ORACLES = {
@@ -124,6 +125,5 @@ ORACLES = {
     "motif_share_top10": _GRP + ", t AS (SELECT grp FROM gn GROUP BY grp ORDER BY count(*) DESC, grp LIMIT 10) SELECT g, grp, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY g), 6) AS share FROM gn WHERE grp IN (SELECT grp FROM t)",
     "motif_standardised": None,
 }
-from .graph_queries import _COUNTS  # noqa: E402
 
 ORACLES["motif_standardised"] = _COUNTS + " SELECT g, round((m1 - avg(m1) OVER ()) / stddev_pop(m1) OVER (), 6) AS m1, round((m31 - avg(m31) OVER ()) / stddev_pop(m31) OVER (), 6) AS m31 FROM counts"
