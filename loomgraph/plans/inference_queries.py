@@ -28,7 +28,12 @@ def _cyclic(spark, d):
 
 
 def _rounded(name):
-    return lambda df: df.withColumn(name, F.round(name, 6))
+    return lambda df: df.withColumn(name, _round(name))
+
+
+def _round(c):
+    """Six digits, a half going up: sums in another order fall on either side of it by some 1e-16, and engines round it differently."""
+    return F.round(F.col(c) + 1e-9, 6).alias(c)
 
 
 def _contributions(spark, d):
@@ -46,8 +51,8 @@ QUERIES = {
     "parents_listed": lambda s, d: T.parents_of(basket_edges(s, d)).select("g", "dst", F.array_join(F.transform("parents", lambda p: p["src"].cast("string")), ",").alias("parents")),
     "net_continuous": lambda s, d: _rounded("p")(I.marginals(basket_edges(s, d), I.continuous_step, PRIOR)),
     "net_boolean": lambda s, d: _rounded("p")(I.marginals(basket_edges(s, d), I.boolean_step, PRIOR)),
-    "net_continuous_do": lambda s, d: _moved(I.continuous_step)(s, d).select("g", "node", *(F.round(c, 6).alias(c) for c in ("base", "changed", "delta"))),
-    "net_boolean_do": lambda s, d: _moved(I.boolean_step)(s, d).select("g", "node", *(F.round(c, 6).alias(c) for c in ("base", "changed", "delta"))),
+    "net_continuous_do": lambda s, d: _moved(I.continuous_step)(s, d).select("g", "node", *map(_round, ("base", "changed", "delta"))),
+    "net_boolean_do": lambda s, d: _moved(I.boolean_step)(s, d).select("g", "node", *map(_round, ("base", "changed", "delta"))),
     "net_samples": lambda s, d: I.samples(basket_edges(s, d)),
     "net_conditioned": lambda s, d: I.see(basket_edges(s, d), {24: True}),
     "net_beta": lambda s, d: I.beta_net(basket_edges(s, d)),
@@ -62,8 +67,10 @@ _LEVELS = """, lv(g, node, level) AS (SELECT DISTINCT g, s, 0 FROM e x WHERE NOT
 _ANC = """, an(g, node, ancestor) AS (SELECT DISTINCT g, x, x FROM (SELECT g, s AS x FROM e UNION SELECT g, t FROM e) UNION SELECT an.g, node, e.s FROM an JOIN e ON e.g = an.g AND e.t = ancestor)"""
 _CONTINUOUS = """CASE WHEN len(ps) = 1 THEN greatest(0.05, least(0.95, 1 / (1 + exp(-2 * (2 * state[ps[1].s + 1] - 1) * ps[1].m))))
   ELSE greatest(0.05, least(0.95, 1 / (1 + exp(-10 * list_sum(list_transform(ps, lambda x: abs(x.m) * (2 * state[x.s + 1] - 1) * x.m)) / list_sum(list_transform(ps, lambda x: abs(x.m))))))) END"""
-_BOOLEAN = """greatest(0.01, least(0.99, list_sum(list_transform(ps, lambda x: abs(x.m) * CASE WHEN x.m > 0 THEN (1 - state[x.s + 1]) * (1 - x.m) + state[x.s + 1] * x.m
-  ELSE (1 - state[x.s + 1]) * abs(x.m) + state[x.s + 1] * (1 - abs(x.m)) END)) / list_sum(list_transform(ps, lambda x: abs(x.m)))))"""
+_TABLE = "CASE WHEN x.m > 0 THEN (1 - state[x.s + 1]) * (1 - x.m) + state[x.s + 1] * x.m ELSE (1 - state[x.s + 1]) * abs(x.m) + state[x.s + 1] * (1 - abs(x.m)) END"
+_TOTAL = "list_sum(list_transform(ps, lambda x: abs(x.m)))"
+# parents whose modifiers are all 0 count alike
+_BOOLEAN = f"greatest(0.01, least(0.99, CASE WHEN {_TOTAL} = 0 THEN list_avg(list_transform(ps, lambda x: {_TABLE})) ELSE list_sum(list_transform(ps, lambda x: abs(x.m) * {_TABLE})) / {_TOTAL} END))"
 
 
 def _net(step: str, name: str, do: bool, root: str | None = None) -> str:
@@ -75,7 +82,7 @@ def _net(step: str, name: str, do: bool, root: str | None = None) -> str:
 
 
 _PAR = """, par AS (SELECT g, t, list({'s': s, 'm': m} ORDER BY o) AS ps FROM e GROUP BY g, t), first_root AS (SELECT g, min(s) AS fr FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.g = x.g AND y.t = x.s) GROUP BY g)"""
-_MOVED = " SELECT a.g, a.node, round(a.p, 6) AS base, round(b.p, 6) AS changed, round(b.p - a.p, 6) AS delta FROM a JOIN b ON a.g = b.g AND a.node = b.node"
+_MOVED = " SELECT a.g, a.node, round(a.p + 1e-9, 6) AS base, round(b.p + 1e-9, 6) AS changed, round(b.p - a.p + 1e-9, 6) AS delta FROM a JOIN b ON a.g = b.g AND a.node = b.node"
 _CLIP = "greatest(least({}, 1 - 1e-10), 1e-10)"
 _KL = "(q * ln(q / r) + (1 - q) * ln((1 - q) / (1 - r)))"
 ORACLES = {
@@ -85,8 +92,8 @@ ORACLES = {
     "graph_components": _REC + """, f AS (SELECT g, s, t FROM e WHERE c > 0.8), u AS (SELECT g, s AS a, t AS b FROM f UNION SELECT g, t, s FROM f), cc(g, node, other) AS (SELECT DISTINCT g, a, a FROM u UNION SELECT cc.g, node, b FROM cc JOIN u ON u.g = cc.g AND u.a = other)
       SELECT g, node, min(other) AS component FROM cc GROUP BY g, node""",
     "parents_listed": WITH + " SELECT g, t AS dst, string_agg(s, ',' ORDER BY o) AS parents FROM e GROUP BY g, t",
-    "net_continuous": _REC + _PAR + _net(_CONTINUOUS, "a", False) + " SELECT g, node, round(p, 6) AS p FROM a",
-    "net_boolean": _REC + _PAR + _net(_BOOLEAN, "a", False) + " SELECT g, node, round(p, 6) AS p FROM a",
+    "net_continuous": _REC + _PAR + _net(_CONTINUOUS, "a", False) + " SELECT g, node, round(p + 1e-9, 6) AS p FROM a",
+    "net_boolean": _REC + _PAR + _net(_BOOLEAN, "a", False) + " SELECT g, node, round(p + 1e-9, 6) AS p FROM a",
     "net_continuous_do": _REC + _PAR + _net(_CONTINUOUS, "a", False) + _net(_CONTINUOUS, "b", True) + _MOVED,
     "net_boolean_do": _REC + _PAR + _net(_BOOLEAN, "a", False) + _net(_BOOLEAN, "b", True) + _MOVED,
     "net_fold": WITH + " SELECT g, t AS node, round(list_reduce(list_prepend(0.5::DOUBLE, list(CASE WHEN m < 0 THEN 1 + m ELSE m END ORDER BY o)), lambda p, w: greatest(0.1, least(0.9, p + (w - 0.5) * 0.5))), 9) AS p FROM e GROUP BY g, t",
@@ -94,7 +101,7 @@ ORACLES = {
       y AS (SELECT *, 0.7 * abs(pb - pa) + 0.3 * {_KL} AS raw FROM z), x AS (SELECT *, coalesce(raw / nullif(max(raw) OVER (PARTITION BY g), 0), 0) AS con FROM y)
       SELECT g, node, round(con, 6) AS contribution, row_number() OVER (PARTITION BY g ORDER BY round(con, 9) DESC, node) AS rank, CAST(round_even(round(pb, 9) * 10, 0) AS INT) AS opinion, CAST(round_even(round(con, 9) * 4 + 1, 0) AS INT) AS reason FROM x""",
     "interventions_from_question": WITH + " SELECT g, node, 0.0::DOUBLE AS value FROM n WHERE len(list_filter(string_split(label, ' '), lambda w: NOT contains('what if trade of nation_3 or nation 12 decreases?', w))) = 0",
-    "path_strength": _REC + _PAR + _net("list_max(list_transform(ps, lambda x: abs(x.m) * state[x.s + 1]))", "a", False, "1.0::DOUBLE") + " SELECT g, node, round(p, 6) AS strength FROM a",
+    "path_strength": _REC + _PAR + _net("list_max(list_transform(ps, lambda x: abs(x.m) * state[x.s + 1]))", "a", False, "1.0::DOUBLE") + " SELECT g, node, round(p + 1e-9, 6) AS strength FROM a",
     "is_dag": _REC + """, b AS (SELECT g, CASE WHEN o % 5 = 0 THEN t ELSE s END AS s, CASE WHEN o % 5 = 0 THEN s ELSE t END AS t FROM e), r(g, a, z) AS (SELECT g, s, t FROM b UNION SELECT r.g, a, t FROM r JOIN b ON b.g = r.g AND b.s = z)
       SELECT g, NOT bool_or(a = z) AS is_dag FROM r GROUP BY g""",
     "relation_sentences": WITH + " SELECT e.g, o AS ord, a.label || CASE WHEN m > 0 THEN ' increases ' ELSE ' decreases ' END || b.label AS sentence FROM e JOIN n a ON a.g = e.g AND a.node = s JOIN n b ON b.g = e.g AND b.node = t",
