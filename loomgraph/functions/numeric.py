@@ -16,7 +16,7 @@ def clip(x: Column, low: float, high: float) -> Column:
 def uniform(*keys: Column | str | int | float) -> Column:
     """A number in [0, 1) that depends on the keys alone, so that retries and repartitioning draw the same.
 
-    It is the first 52 bits of the MD5 digest of the keys as text, apart by the unit separator, which any other engine can redo.
+    It is the first 52 bits of the MD5 digest of the keys as text, apart by the unit separator, which any other engine can redo. Null keys are passed over.
     """
     cols = [(k if isinstance(k, Column) else F.lit(k)).cast("string") for k in keys]
     return F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cols)), 1, 13), 16, 10).cast("double") / float(1 << 52)
