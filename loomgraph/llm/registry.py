@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import additive_ann, byte_bpe, decontaminate, license_scan, maxent_lm, pii, preference_format, simhash, toxicity, url_filter
+from . import additive_ann, byte_bpe, decontaminate, fill_in_middle, language_id, license_scan, maxent_lm, pii, preference_format, simhash, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_pii": pii.op9_pii,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_language_id": language_id.op13_language_id,
 }
 ORACLES = {
     "op2_license_scan": license_scan.OP2_SQL,
     "op3_preference_format": preference_format.OP3_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op12_fill_in_middle": fill_in_middle.OP12_SQL,
 }
