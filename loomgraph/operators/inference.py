@@ -91,37 +91,6 @@ def samples(edges: DataFrame, n: int = 1000, root_prior: float = 0.1, seed: int
     return per_graph(edges, run, "g int, node int, mean double, std double")
 
 
-def see(edges: DataFrame, evidence: dict, root_prior: float = ROOT_PRIOR, most: int = 16) -> DataFrame:
-    """(g, node, p) given evidence {node: true or false}, exact by going through all states; graphs of over ``most`` nodes by weighted samples."""
-
-    def run(g, nodes, parents):
-        import numpy as np
-
-        order = topological_order(nodes, parents)
-        if len(order) <= most:
-            bits = np.arange(1 << len(order))
-            v = {x: (bits >> i & 1).astype(bool) for i, x in enumerate(order)}
-            rng = None
-        else:
-            rng, v = np.random.default_rng([1, abs(int(g))]), {}
-        weight = np.ones(1 << len(order)) if rng is None else np.ones(20_000)
-        for x in order:
-            known = [(s, m) for s, m, _ in parents.get(x, ())]
-            w = np.array([abs(m) for _, m in known])
-            w = w / w.sum() if w.sum() else np.full(len(w), 1 / max(1, len(w)))
-            p = np.clip(sum(a * np.where(v[s], cpt(m)[1], cpt(m)[0]) for a, (s, m) in zip(w, known, strict=True)), *BOOLEAN_RANGE) if known else np.full(len(weight), root_prior)
-            if rng is not None:
-                v[x] = np.full(len(weight), evidence[x]) if x in evidence else rng.random(len(weight)) < p
-            if rng is None or x in evidence:
-                weight = weight * np.where(v[x], p, 1 - p)
-            if rng is None and x in evidence:
-                weight = weight * (v[x] == evidence[x])
-        for x in order:
-            yield g, x, float((weight * v[x]).sum() / weight.sum()) if weight.sum() else None
-
-    return per_graph(edges, run, "g int, node int, p double")
-
-
 def beta_net(edges: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
     """(g, node, mean): roots Beta(2, 2), children Beta(a, 1 - a) with a = .2 + .5 times the mean of their parents, by seeded samples."""
 
@@ -139,13 +108,6 @@ def beta_net(edges: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
     return per_graph(edges, run, "g int, node int, mean double")
 
 
-def fold_net(edges: DataFrame, value: float = 1.0, start: float = 0.5) -> DataFrame:
-    """(g, node, p): from ``start``, each parent in the order of the edges moves p by (value * weight - .5) / 2, within [.1, .9]."""
-    weight = F.when(F.col("modifier") < 0, 1 + F.col("modifier")).otherwise(F.col("modifier"))
-    listed = edges.groupBy("g", F.col("dst").alias("node")).agg(F.array_sort(F.collect_list(F.struct("ord", weight.alias("w")))).alias("ws"))
-    return listed.select("g", "node", F.aggregate("ws", F.lit(start), lambda p, x: clip(p + (value * x["w"] - 0.5) * 0.5, 0.1, 0.9)).alias("p"))
-
-
 def changes(base: DataFrame, changed: DataFrame) -> DataFrame:
     """(g, node, base, changed, delta); a side that lacks the node counts as 0."""
     both = base.withColumnRenamed("p", "base").join(changed.withColumnRenamed("p", "changed"), ["g", "node"], "full")

@@ -31,31 +31,53 @@ def topological_order(nodes: list, parents: dict) -> list:
     return [n for n in done if done[n]]
 
 
-def read(table) -> tuple:
-    """g, the sorted nodes, and the parents (src, modifier, confidence) of each, in the order of the edges."""
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("ord", "src", "dst", "modifier", "confidence")), strict=True))
-    parents: dict = {}
-    for _, s, d, m, c in rows:
-        parents.setdefault(d, []).append((s, m, c))
-    return table.column("g")[0].as_py(), sorted({x for _, s, d, *_ in rows for x in (s, d)}), parents
+_EDGE = ("ord", "src", "dst", "modifier", "confidence")
 
 
-def per_graph(edges: DataFrame, run, schema: str) -> DataFrame:
-    """run(g, nodes, parents) gives rows of schema, whose g is of the type that edges(g, src, dst, ord, modifier, confidence) has."""
+def _rows(column):
+    """For each list of structs in an Arrow column its structs as tuples; nothing for a null."""
+    fields = [f.to_pylist() for f in column.flatten().flatten()]
+    at = 0
+    for n in column.value_lengths().to_pylist():
+        n = n or 0
+        yield list(zip(*(f[at : at + n] for f in fields), strict=True))
+        at += n
+
+
+def per_graph(edges: DataFrame, run, schema: str, more: DataFrame | None = None) -> DataFrame:
+    """run(g, nodes, parents) gives rows of schema, whose g and nodes are of the types that edges(g, src, dst, ord, modifier, confidence) has.
+
+    nodes are sorted; parents has the (src, modifier, confidence) of each node, in the order of the edges. Graphs come many at a
+    time to one call of Python. run gets the graph's rows of more(g, ...), as tuples without g, as a fourth argument.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    schema = schema.replace("g int", f"g {dict(edges.dtypes)['g']}", 1)
+    types = dict(edges.dtypes)
+    for name, kind in (("g", types["g"]), *((n, types["src"]) for n in ("node", "parent", "ancestor", "component"))):
+        schema = ", ".join(f"{name} {kind}" if part == f"{name} int" else part for part in schema.split(", "))
     names = [x.split()[0] for x in schema.split(", ")]
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow, with_more = to_arrow_schema(StructType.fromDDL(schema)), more is not None
 
-    def call(table):
+    def call(batches):
         import pyarrow as pa
 
-        rows = list(run(*read(table)))
-        return pa.table({n: pa.array([r[i] for r in rows], arrow.field(n).type) for i, n in enumerate(names)}, schema=arrow)
-
-    return edges.select("g", "src", "dst", "ord", "modifier", "confidence").groupBy("g").applyInArrow(call, schema)
+        for batch in batches:
+            made = []
+            extra = _rows(batch.column("__more")) if with_more else None
+            for g, found in zip(batch.column("g").to_pylist(), _rows(batch.column("__edges")), strict=True):
+                parents: dict = {}
+                for _, s, d, m, c in found:
+                    parents.setdefault(d, []).append((s, m, c))
+                nodes = sorted({x for _, s, d, *_ in found for x in (s, d)})
+                made += run(g, nodes, parents) if extra is None else run(g, nodes, parents, next(extra))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], arrow.field(n).type) for i, n in enumerate(names)], schema=arrow)
+
+    grouped = edges.groupBy("g").agg(F.sort_array(F.collect_list(F.struct(*_EDGE))).alias("__edges"))
+    if with_more:
+        listed = more.groupBy("g").agg(F.collect_list(F.struct(*(c for c in more.columns if c != "g"))).alias("__more"))
+        grouped = grouped.join(listed, "g", "left")
+    return grouped.mapInArrow(call, schema)
 
 
 def levels(edges: DataFrame) -> DataFrame:

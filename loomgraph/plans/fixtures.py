@@ -68,17 +68,14 @@ def basket_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.join(F.broadcast(nations))
 
 
-def basket_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(g, src, dst, ord, modifier, confidence): of a customer, the supplier nations of neighbouring lines of an order, lower key first.
-
-    There is a graph for each customer with orders, so their number grows with the tables; none of the edges is left out.
-    """
+def _line_graphs(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """(g, src, dst, ord, modifier, confidence): of each key of the orders, the supplier nations of neighbouring lines of an order, lower key first."""
     line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", F.floor(F.col("l_extendedprice") * (1 - F.col("l_discount")) * 100).cast("bigint").alias("cents"))
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation"))
     # one shuffle by order serves both sides of the pairs and the join with orders
     placed = line.join(supplier, "l_suppkey").select("l_orderkey", F.col("l_linenumber").alias("n"), "nation", "cents")
     after = placed.select("l_orderkey", (F.col("n") - 1).alias("n"), F.col("nation").alias("next"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("g"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col(key).alias("g"))
     pairs = placed.join(after, ["l_orderkey", "n"]).where("nation <> next").join(orders, "l_orderkey")
     edges = pairs.groupBy("g", F.least("nation", "next").alias("src"), F.greatest("nation", "next").alias("dst")).agg(F.sum("cents").alias("revenue"))
     of_graph = W.partitionBy("g")
@@ -87,11 +84,26 @@ def basket_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("g", "src", "dst", F.row_number().over(of_graph.orderBy("src", "dst")).alias("ord"), "modifier", F.abs("modifier").alias("confidence"))
 
 
-BASKET = """
+def basket_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for each customer with orders, so their number grows with the tables; none of the edges is left out."""
+    return _line_graphs(spark, sf_dir, "o_custkey")
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph for each order, of seven nodes at most, as an order has no more lines: small enough for SQL to go through all states."""
+    return materialize(_line_graphs(spark, sf_dir, "o_orderkey"), "order-edges")
+
+
+def _line_graphs_sql(key: str) -> str:
+    return f"""
 ln AS (SELECT l_orderkey, l_linenumber AS n, s_nationkey AS a, CAST(floor(l_extendedprice * (1 - l_discount) * 100) AS BIGINT) AS r FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
-pr AS (SELECT o_custkey AS g, least(x.a, y.a) AS s, greatest(x.a, y.a) AS t, sum(x.r) AS r FROM ln x JOIN ln y ON y.l_orderkey = x.l_orderkey AND y.n = x.n + 1 JOIN orders ON o_orderkey = x.l_orderkey WHERE x.a <> y.a GROUP BY 1, 2, 3),
+pr AS (SELECT {key} AS g, least(x.a, y.a) AS s, greatest(x.a, y.a) AS t, sum(x.r) AS r FROM ln x JOIN ln y ON y.l_orderkey = x.l_orderkey AND y.n = x.n + 1 JOIN orders ON o_orderkey = x.l_orderkey WHERE x.a <> y.a GROUP BY 1, 2, 3),
 e AS MATERIALIZED (SELECT g, s, t, m, abs(m) AS c, row_number() OVER (PARTITION BY g ORDER BY s, t) AS o FROM
-  (SELECT g, s, t, round(2.0::DOUBLE * row_number() OVER (PARTITION BY g ORDER BY r, s, t) / count(*) OVER (PARTITION BY g) - 1, 6) AS m FROM pr)),
+  (SELECT g, s, t, round(2.0::DOUBLE * row_number() OVER (PARTITION BY g ORDER BY r, s, t) / count(*) OVER (PARTITION BY g) - 1, 6) AS m FROM pr))"""
+
+
+ORDER = _line_graphs_sql("o_orderkey")
+BASKET = f"""{_line_graphs_sql("o_custkey")},
 n AS (SELECT g, n_nationkey AS node, trim(lower(replace(n_name, '_', ' '))) AS label FROM (SELECT DISTINCT o_custkey AS g FROM orders), nation)"""
 
 

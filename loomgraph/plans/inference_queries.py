@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import edges as E
 from ..operators import inference as I
+from ..operators import nets as N
 from ..operators import traversal as T
-from .fixtures import basket_nodes
+from .fixtures import ORDER, basket_nodes, order_edges
 from .graph_queries import WITH, basket_edges
 
 PRIOR, DO = 0.1, 0.9
@@ -21,6 +22,33 @@ def _moved(step):
     return run
 
 
+def _first_child(edges, value=DO):
+    """(g, node, value): the smallest node with parents of each graph."""
+    return edges.groupBy("g").agg(F.min("dst").alias("node")).withColumn("value", F.lit(value))
+
+
+def _fold(spark, d):
+    e = basket_edges(spark, d)
+    moved = I.changes(N.propagate(e), N.propagate(e, do=_first_child(e)))
+    return moved.select("g", "node", *map(_round, ("base", "changed", "delta")))
+
+
+def _given_parents(spark, d):
+    return N.given_parents(order_edges(spark, d), "mean", PRIOR).select("g", "node", "parent", *map(_round, ("p", "std", "p_given_0", "p_given_1")))
+
+
+def _do_against_see(spark, d):
+    e = order_edges(spark, d)
+    return N.do_against_see(e, _first_child(e), "fold").select("g", "node", *map(_round, ("base", "done", "seen", "delta")))
+
+
+def _conditioned(spark, d):
+    """Basket graphs in which the last node, where it has parents, is known to be true."""
+    e = basket_edges(spark, d)
+    seen = e.groupBy("g").agg(F.max("dst").alias("node")).withColumn("value", F.lit(1.0))
+    return N.exact(e, "mean", PRIOR, seen=seen).select("g", "node", _round("p"))
+
+
 def _cyclic(spark, d):
     """Basket edges with every fifth turned round."""
     back = F.col("ord") % 5 == 0
@@ -54,9 +82,11 @@ QUERIES = {
     "net_continuous_do": lambda s, d: _moved(I.continuous_step)(s, d).select("g", "node", *map(_round, ("base", "changed", "delta"))),
     "net_boolean_do": lambda s, d: _moved(I.boolean_step)(s, d).select("g", "node", *map(_round, ("base", "changed", "delta"))),
     "net_samples": lambda s, d: I.samples(basket_edges(s, d)),
-    "net_conditioned": lambda s, d: I.see(basket_edges(s, d), {24: True}),
+    "net_conditioned": _conditioned,
+    "net_given_parents": _given_parents,
+    "net_do_against_see": _do_against_see,
     "net_beta": lambda s, d: I.beta_net(basket_edges(s, d)),
-    "net_fold": lambda s, d: I.fold_net(basket_edges(s, d)).withColumn("p", F.round("p", 9)),
+    "net_fold": _fold,
     "contributions": _contributions,
     "interventions_from_question": lambda s, d: I.keyword_interventions(basket_nodes(s, d), "What if trade of nation_3 or nation 12 decreases?"),
     "relation_sentences": lambda s, d: I.relation_sentences(E.label_ends(basket_edges(s, d), basket_nodes(s, d))),
@@ -83,6 +113,34 @@ def _net(step: str, name: str, do: bool, root: str | None = None) -> str:
 
 _PAR = """, par AS (SELECT g, t, list({'s': s, 'm': m} ORDER BY o) AS ps FROM e GROUP BY g, t), first_root AS (SELECT g, min(s) AS fr FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.g = x.g AND y.t = x.s) GROUP BY g)"""
 _MOVED = " SELECT a.g, a.node, round(a.p + 1e-9, 6) AS base, round(b.p + 1e-9, 6) AS changed, round(b.p - a.p + 1e-9, 6) AS delta FROM a JOIN b ON a.g = b.g AND a.node = b.node"
+_WEIGHT = "CASE WHEN x.m < 0 THEN 1 + x.m ELSE x.m END"
+_FOLD = "list_reduce(list_prepend(0.5::DOUBLE, list_transform(ps, lambda x: {value} * " + _WEIGHT + ")), lambda p, y: greatest(0.1, least(0.9, p + (y - 0.5) * 0.5)))"
+
+
+def _fold_net(name: str, do: bool) -> str:
+    """As _net, by folds, with a target of any level."""
+    step = f"CASE WHEN ps IS NULL THEN 0.5::DOUBLE ELSE {_FOLD.format(value='state[x.s + 1]')} END"
+    step = f"CASE WHEN i = target.node THEN {DO}::DOUBLE ELSE {step} END" if do else step
+    return f""", {name}_st(g, i, state) AS (SELECT g, 0, []::DOUBLE[] FROM target UNION ALL SELECT st.g, i + 1, list_append(state, {step})
+  FROM {name}_st st JOIN target ON target.g = st.g LEFT JOIN par ON par.g = st.g AND par.t = st.i WHERE i < 25),
+{name} AS (SELECT st.g, v.node, state[v.node + 1] AS p FROM {name}_st st JOIN (SELECT DISTINCT g, x AS node FROM (SELECT g, s AS x FROM e UNION SELECT g, t FROM e)) v ON v.g = st.g WHERE i = 25)"""
+
+
+def _all_states(rule: str, prior: float) -> str:
+    """Every state of every order graph with its probability: base, and done, where the smallest node with parents is set."""
+    bit = "((state >> x.i) & 1)"
+    mean = f"greatest(0.01, least(0.99, CASE WHEN {_TOTAL} = 0 THEN list_avg(list_transform(ps, lambda x: {{0}})) ELSE list_sum(list_transform(ps, lambda x: abs(x.m) * {{0}})) / {_TOTAL} END))"
+    table = f"(CASE WHEN x.m > 0 THEN CASE {bit} WHEN 1 THEN x.m ELSE 1 - x.m END ELSE CASE {bit} WHEN 1 THEN 1 - abs(x.m) ELSE abs(x.m) END END)"
+    p = mean.format(table) if rule == "mean" else _FOLD.format(value=bit)
+    return f"""WITH {ORDER}, v AS MATERIALIZED (SELECT g, node, row_number() OVER (PARTITION BY g ORDER BY node) - 1 AS i FROM (SELECT g, s AS node FROM e UNION SELECT g, t FROM e)),
+par AS (SELECT e.g, e.t, list({{'i': v.i, 'm': e.m}} ORDER BY o) AS ps FROM e JOIN v ON v.g = e.g AND v.node = e.s GROUP BY e.g, e.t),
+target AS (SELECT g, min(t) AS node FROM e GROUP BY g),
+states AS (SELECT g, unnest(range(1 << count(*))) AS state FROM v GROUP BY g),
+local AS (SELECT v.g, state, (state >> v.i) & 1 AS b, v.node = target.node AS fixed, CASE WHEN ps IS NULL THEN {prior}::DOUBLE ELSE {p} END AS p
+  FROM v JOIN states ON states.g = v.g JOIN target ON target.g = v.g LEFT JOIN par ON par.g = v.g AND par.t = v.node),
+joint AS MATERIALIZED (SELECT g, state, product(CASE b WHEN 1 THEN p ELSE 1 - p END) AS base, product(CASE WHEN fixed THEN CASE b WHEN 1 THEN {DO} ELSE 1 - {DO} END ELSE CASE b WHEN 1 THEN p ELSE 1 - p END END) AS done FROM local GROUP BY g, state)"""
+
+
 _CLIP = "greatest(least({}, 1 - 1e-10), 1e-10)"
 _KL = "(q * ln(q / r) + (1 - q) * ln((1 - q) / (1 - r)))"
 ORACLES = {
@@ -96,7 +154,16 @@ ORACLES = {
     "net_boolean": _REC + _PAR + _net(_BOOLEAN, "a", False) + " SELECT g, node, round(p + 1e-9, 6) AS p FROM a",
     "net_continuous_do": _REC + _PAR + _net(_CONTINUOUS, "a", False) + _net(_CONTINUOUS, "b", True) + _MOVED,
     "net_boolean_do": _REC + _PAR + _net(_BOOLEAN, "a", False) + _net(_BOOLEAN, "b", True) + _MOVED,
-    "net_fold": WITH + " SELECT g, t AS node, round(list_reduce(list_prepend(0.5::DOUBLE, list(CASE WHEN m < 0 THEN 1 + m ELSE m END ORDER BY o)), lambda p, w: greatest(0.1, least(0.9, p + (w - 0.5) * 0.5))), 9) AS p FROM e GROUP BY g, t",
+    "net_fold": _REC + _PAR + ", target AS (SELECT g, min(t) AS node FROM e GROUP BY g)" + _fold_net("a", False) + _fold_net("b", True) + _MOVED,
+    "net_given_parents": _all_states("mean", PRIOR) + """, x AS (SELECT v.g, v.node, e.s AS parent, base AS w, (state >> v.i) & 1 AS b, (state >> u.i) & 1 AS a
+      FROM v JOIN joint ON joint.g = v.g LEFT JOIN e ON e.g = v.g AND e.t = v.node LEFT JOIN v u ON u.g = e.g AND u.node = e.s)
+      SELECT g, node, parent, round(sum(w * b) + 1e-9, 6) AS p, round(sqrt(sum(w * b) * (1 - sum(w * b))) + 1e-9, 6) AS std,
+      round(sum(w * b) FILTER (WHERE a = 0) / sum(w) FILTER (WHERE a = 0) + 1e-9, 6) AS p_given_0, round(sum(w * b) FILTER (WHERE a = 1) / sum(w) FILTER (WHERE a = 1) + 1e-9, 6) AS p_given_1
+      FROM x GROUP BY g, node, parent""",
+    "net_do_against_see": _all_states("fold", 0.5) + f""", x AS (SELECT v.g, v.node, base, done, (state >> v.i) & 1 AS b, (state >> u.i) & 1 AS a
+      FROM v JOIN joint ON joint.g = v.g JOIN target ON target.g = v.g JOIN v u ON u.g = target.g AND u.node = target.node),
+      y AS (SELECT g, node, sum(base * b) AS base, sum(done * b) AS done, {DO} * sum(base * b) FILTER (WHERE a = 1) / sum(base) FILTER (WHERE a = 1) + (1 - {DO}) * sum(base * b) FILTER (WHERE a = 0) / sum(base) FILTER (WHERE a = 0) AS seen FROM x GROUP BY g, node)
+      SELECT g, node, round(base + 1e-9, 6) AS base, round(done + 1e-9, 6) AS done, round(seen + 1e-9, 6) AS seen, round(done - seen + 1e-9, 6) AS delta FROM y""",
     "contributions": _REC + _PAR + _net(_CONTINUOUS, "a", False) + _net(_CONTINUOUS, "b", True) + f""", z AS (SELECT a.g, a.node, a.p AS pa, b.p AS pb, {_CLIP.format('b.p')} AS q, {_CLIP.format('a.p')} AS r FROM a JOIN b ON a.g = b.g AND a.node = b.node),
       y AS (SELECT *, 0.7 * abs(pb - pa) + 0.3 * {_KL} AS raw FROM z), x AS (SELECT *, coalesce(raw / nullif(max(raw) OVER (PARTITION BY g), 0), 0) AS con FROM y)
       SELECT g, node, round(con, 6) AS contribution, row_number() OVER (PARTITION BY g ORDER BY round(con, 9) DESC, node) AS rank, CAST(round_even(round(pb, 9) * 10, 0) AS INT) AS opinion, CAST(round_even(round(con, 9) * 4 + 1, 0) AS INT) AS reason FROM x""",

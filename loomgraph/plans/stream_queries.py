@@ -9,15 +9,14 @@ from ..operators import edges as E
 from ..operators import motifs as M
 from ..sources import graphs
 from ..sources.shared import materialize
-from .fixtures import WITH_TRADE as WITH
-from .fixtures import held_trade_edges as trade_edges
-from .fixtures import table, trade_nodes
+from .fixtures import basket_nodes, table
 from .graph_queries import ORACLES as GRAPH
+from .graph_queries import WITH, basket_edges
 
 
 def _documents(spark, d, layout):
-    e = trade_edges(spark, d)
-    return materialize(layout(trade_nodes(spark, d), e).withColumnRenamed("json", "text"), "documents")
+    e = basket_edges(spark, d)
+    return materialize(layout(basket_nodes(spark, d), e).withColumnRenamed("json", "text"), "documents")
 
 
 def _events(spark, d):

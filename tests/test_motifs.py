@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import edges as E
 from loomgraph.operators import inference as I
 from loomgraph.operators import motifs as M
+from loomgraph.operators import nets as N
 from loomgraph.operators import traversal as T
 
 SHAPES = {
@@ -102,7 +103,7 @@ def test_inference_equals_enumeration(spark):
     graphs = {g: sorted({tuple(sorted(rnd.sample(range(6), 2))) for _ in range(7)}) for g in range(5)}
     e = frame(spark, graphs)
     rows = e.collect()
-    exact = {(r["g"], r["node"]): r["p"] for r in I.see(e, {}, 0.3).collect()}
+    exact = {(r["g"], r["node"]): r["p"] for r in N.exact(e, "mean", 0.3).collect()}
     marginal = {(r["g"], r["node"]): r["p"] for r in I.marginals(e, I.boolean_step, 0.3).collect()}
     drawn = {(r["g"], r["node"]): r["mean"] for r in I.samples(e, 4000, 0.3).collect()}
     for g, es in graphs.items():
@@ -127,8 +128,6 @@ def test_inference_equals_enumeration(spark):
             assert exact[g, n] == pytest.approx(total[n], abs=1e-9)
             assert marginal[g, n] == pytest.approx(total[n], abs=0.02)
             assert abs(drawn[g, n] - total[n]) < 4 * math.sqrt(0.25 / 4000) + 0.01
-    given = {(r["g"], r["node"]): r["p"] for r in I.see(e, {5: True}, 0.3).collect()}
-    assert all(p == pytest.approx(1) for (g, n), p in given.items() if n == 5)
     do = {(r["g"], r["node"]): r["p"] for r in I.marginals(e, I.continuous_step, 0.5, do={3: 0.9}).collect()}
     assert all(p == 0.9 for (g, n), p in do.items() if n == 3)
     moved = I.changes(I.marginals(e), I.marginals(e, do={0: 0.95}))
