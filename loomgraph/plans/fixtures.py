@@ -90,7 +90,7 @@ def basket_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A graph for each order, of seven nodes at most, as an order has no more lines: small enough for SQL to go through all states."""
+    """A graph for each order. An order has few lines, so a graph is small enough for SQL to go through all of its states."""
     return materialize(_line_graphs(spark, sf_dir, "o_orderkey"), "order-edges")
 
 

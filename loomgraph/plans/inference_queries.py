@@ -34,7 +34,7 @@ def _fold(spark, d):
 
 
 def _given_parents(spark, d):
-    return N.given_parents(order_edges(spark, d), "mean", PRIOR).select("g", "node", "parent", *map(_round, ("p", "std", "p_given_0", "p_given_1")))
+    return N.given_parents(order_edges(spark, d), "mean", PRIOR).select("g", "node", F.col("parent").cast("string").alias("parent"), *map(_round, ("p", "std", "p_given_0", "p_given_1")))
 
 
 def _do_against_see(spark, d):
@@ -155,7 +155,7 @@ ORACLES = {
     "net_continuous_do": _REC + _PAR + _net(_CONTINUOUS, "a", False) + _net(_CONTINUOUS, "b", True) + _MOVED,
     "net_boolean_do": _REC + _PAR + _net(_BOOLEAN, "a", False) + _net(_BOOLEAN, "b", True) + _MOVED,
     "net_fold": _REC + _PAR + ", target AS (SELECT g, min(t) AS node FROM e GROUP BY g)" + _fold_net("a", False) + _fold_net("b", True) + _MOVED,
-    "net_given_parents": _all_states("mean", PRIOR) + """, x AS (SELECT v.g, v.node, e.s AS parent, base AS w, (state >> v.i) & 1 AS b, (state >> u.i) & 1 AS a
+    "net_given_parents": _all_states("mean", PRIOR) + """, x AS (SELECT v.g, v.node, e.s::VARCHAR AS parent, base AS w, (state >> v.i) & 1 AS b, (state >> u.i) & 1 AS a
       FROM v JOIN joint ON joint.g = v.g LEFT JOIN e ON e.g = v.g AND e.t = v.node LEFT JOIN v u ON u.g = e.g AND u.node = e.s)
       SELECT g, node, parent, round(sum(w * b) + 1e-9, 6) AS p, round(sqrt(sum(w * b) * (1 - sum(w * b))) + 1e-9, 6) AS std,
       round(sum(w * b) FILTER (WHERE a = 0) / sum(w) FILTER (WHERE a = 0) + 1e-9, 6) AS p_given_0, round(sum(w * b) FILTER (WHERE a = 1) / sum(w) FILTER (WHERE a = 1) + 1e-9, 6) AS p_given_1

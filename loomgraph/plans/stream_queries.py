@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import streaming
@@ -9,6 +10,7 @@ from ..operators import edges as E
 from ..operators import motifs as M
 from ..sources import graphs
 from ..sources.shared import materialize
+from ..streaming import growing
 from .fixtures import basket_nodes, table
 from .graph_queries import ORACLES as GRAPH
 from .graph_queries import WITH, basket_edges
@@ -29,7 +31,19 @@ def _relations(spark, d):
     return streaming.relations(rows).groupBy("chat_id", "src", "dst").agg(F.count("*").alias("n"))
 
 
+def _dialogues(spark, d):
+    """Each customer's lines as questions of a dialogue, with two relations between the part's type, its brand and the line's flag."""
+    line = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_discount")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_brand")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
+    relation = lambda a, b, c: F.struct(a.alias("source"), b.alias("target"), c.alias("confidence"), (F.col("l_returnflag") != "R").alias("positive"))
+    relations = F.array(relation(F.col("p_type"), F.col("p_brand"), F.col("l_discount")), relation(F.upper("p_brand"), F.col("l_returnflag"), F.lit(0.5)))
+    turn = F.row_number().over(W.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    return line.join(part, "l_partkey").join(orders, "l_orderkey").select(F.col("o_custkey").cast("string").alias("chat_id"), turn.alias("turn"), "ts", relations.alias("relations"))
+
+
 QUERIES = {
+    "dialogue_growth": lambda s, d: growing.grown(_dialogues(s, d)),
     "event_windows": lambda s, d: streaming.windowed(_events(s, d), "ts", "event_type", "1 hour").withColumns({"start": F.date_format("start", "yyyy-MM-dd HH:mm"), "total": F.round("total", 2)}),
     "event_sessions": lambda s, d: streaming.sessions(_events(s, d), "ts", "user_id", "2 hours").select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start")),
     "dialogue_relations": _relations,
@@ -38,7 +52,18 @@ QUERIES = {
     "json_nodes": lambda s, d: graphs.parse_graphs(_documents(s, d, graphs.graph_json))["nodes"].select("g", "node", "label", "norm_label", "is_stance"),
     "json_motifs": lambda s, d: M.chains(materialize(E.dedupe(graphs.parse_graphs(_documents(s, d, graphs.graph_json))["edges"].withColumns({"src": F.col("src").cast("int"), "dst": F.col("dst").cast("int")})), "parsed")),
 }
+_NORMAL = "trim(replace(lower({}), '_', ' '))"
 ORACLES = {
+    "dialogue_growth": f"""WITH q AS (SELECT o_custkey::VARCHAR AS chat, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS turn, p_type AS a, p_brand AS b, upper(p_brand) AS b2, l_returnflag AS f, l_discount AS c
+        FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
+      t AS (SELECT chat, count(*) AS n FROM q GROUP BY chat),
+      r AS (SELECT chat, turn, 0 AS place, a AS s, b AS d, c, f <> 'R' AS up FROM q UNION ALL SELECT chat, turn, 1, b2, f, 0.5, f <> 'R' FROM q),
+      x AS (SELECT r.*, n, turn <= n - n % 3 AS merged, row_number() OVER (PARTITION BY r.chat ORDER BY turn, place) AS edge FROM r JOIN t ON t.chat = r.chat WHERE s <> d),
+      v AS (SELECT chat, edge, merged, 0 AS side, s AS label, 2 * edge - 1 AS node FROM x UNION ALL SELECT chat, edge, merged, 1, d, 2 * edge FROM x),
+      k AS (SELECT *, min(node) OVER w AS id, first_value(label) OVER (w ORDER BY node) AS name FROM v WINDOW w AS (PARTITION BY chat, merged, CASE WHEN merged THEN {_NORMAL.format('label')} ELSE node::VARCHAR END)),
+      m AS (SELECT x.chat, x.edge, a.id AS src, b.id AS dst, a.name AS src_label, b.name AS dst_label, x.c AS confidence, CASE WHEN up THEN x.c ELSE -x.c END AS modifier
+        FROM x JOIN k a ON a.chat = x.chat AND a.edge = x.edge AND a.side = 0 JOIN k b ON b.chat = x.chat AND b.edge = x.edge AND b.side = 1 WHERE a.id <> b.id)
+      SELECT t.chat AS chat_id, n AS questions, 0 AS late, edge, src, dst, src_label, dst_label, confidence, modifier FROM t LEFT JOIN m ON m.chat = t.chat""",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "event_sessions": """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM a) SELECT user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM b GROUP BY user_id, s""",
