@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import streaming
+from ..operators import dialogue
 from ..operators import edges as E
 from ..operators import motifs as M
-from ..sources import graphs
+from ..sources import graphs, participants
 from ..sources.shared import materialize
 from ..streaming import growing
 from .fixtures import basket_nodes, table
@@ -42,7 +43,38 @@ def _dialogues(spark, d):
     return line.join(part, "l_partkey").join(orders, "l_orderkey").select(F.col("o_custkey").cast("string").alias("chat_id"), turn.alias("turn"), "ts", relations.alias("relations"))
 
 
+def _transcripts(spark, d):
+    """Conversations as CSV transcripts with quoted cells, every seventh without its participant's id, parsed again."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    qa = dialogue.qa_pairs(table(spark, d, "conversations"))
+    record = F.concat_ws(",", quoted(F.col("answer")), F.col("turn").cast("string"), quoted(F.col("question")))
+    listed = qa.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", record.alias("r")))), lambda x: x["r"]), "\n").alias("body"))
+    head = F.when(F.col("conv_id") % 7 == 0, "Name,nobody").otherwise(F.concat(F.lit("Prolific ID,p"), F.col("conv_id").cast("string")))
+    docs = listed.select(F.col("conv_id").cast("string").alias("g"), F.concat(head, F.lit("\nAnswer,Question Number,Question\n"), "body").alias("text"))
+    parsed = participants.parse_transcripts(docs)
+    failed = parsed["failed"].select("g", F.lit(0).cast("bigint").alias("answers"), F.lit("").alias("question_md5"), F.lit("").alias("answer_md5"), "fault")
+    together = lambda c: F.md5(F.array_join(F.array_sort(F.collect_list(F.md5(c))), ","))
+    return parsed["answers"].groupBy("g").agg(F.count("*").alias("answers"), together("question").alias("question_md5"), together("answer").alias("answer_md5"), F.lit("").alias("fault")).unionByName(failed)
+
+
+def _survey_agents(spark, d):
+    """Customers as rows of a survey, some with ages or ZIP codes that are no numbers."""
+    c = table(spark, d, "customer")
+    key, text = F.col("c_custkey"), {f: F.col("c_mktsegment") for f in participants.CSV_FIELDS}
+    text |= {"age": F.when(key % 11 == 0, "unknown").otherwise((18 + key % 60).cast("string")), "has children under 18": F.when(key % 3 == 0, "Yes, one").otherwise("No")}
+    zipcode = F.when(key % 13 == 0, "94102.5").otherwise(F.concat(F.lit(" "), (94100 + key % 40).cast("string")))
+    answers = c.select(key.cast("string").alias("Prolific ID"), zipcode.alias(participants.ZIP_QUESTION), *(v.alias(participants.QUESTIONS[f]) for f, v in text.items()))
+    found = participants.agents_from_answers(answers)
+    near = F.lit(False)
+    for z, lat, lng in participants.ZIP_CENTRES:
+        near = near | ((F.col("zip") == z) & (F.abs(F.col("lat") - lat) <= 0.003) & (F.abs(F.col("lng") - lng) <= 0.003))
+    agents = found["agents"].select("agent_id", "zip", near.alias("at_centre"), F.col("agent")["age"].cast("int").alias("age"), F.col("agent")["has children under 18"].alias("children"), F.lit("").alias("fault"))
+    return agents.unionByName(found["bad"].select("agent_id", F.lit("").alias("zip"), F.lit(False).alias("at_centre"), F.lit(0).alias("age"), F.lit("").alias("children"), "fault"))
+
+
 QUERIES = {
+    "transcripts_parsed": _transcripts,
+    "survey_agents": _survey_agents,
     "dialogue_growth": lambda s, d: growing.grown(_dialogues(s, d)),
     "event_windows": lambda s, d: streaming.windowed(_events(s, d), "ts", "event_type", "1 hour").withColumns({"start": F.date_format("start", "yyyy-MM-dd HH:mm"), "total": F.round("total", 2)}),
     "event_sessions": lambda s, d: streaming.sessions(_events(s, d), "ts", "user_id", "2 hours").select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start")),
@@ -53,7 +85,16 @@ QUERIES = {
     "json_motifs": lambda s, d: M.chains(materialize(E.dedupe(graphs.parse_graphs(_documents(s, d, graphs.graph_json))["edges"].withColumns({"src": F.col("src").cast("int"), "dst": F.col("dst").cast("int")})), "parsed")),
 }
 _NORMAL = "trim(replace(lower({}), '_', ' '))"
+_CENTRES = ", ".join(f"'{z}'" for z, *_ in participants.ZIP_CENTRES)
 ORACLES = {
+    "transcripts_parsed": r"""WITH t AS (SELECT conv_id, role, text AS question, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+      q AS (SELECT conv_id, regexp_replace(question, '^\s+|\s+$', '', 'g') AS question, regexp_replace(answer, '^\s+|\s+$', '', 'g') AS answer FROM t WHERE role = 'user' AND next_role = 'assistant'),
+      k AS (SELECT conv_id, question, answer FROM q WHERE question <> '' AND length(answer) >= 2 AND NOT starts_with(lower(question), 'question number') AND conv_id % 7 <> 0)
+      SELECT conv_id::VARCHAR AS g, count(*) AS answers, md5(string_agg(md5(question), ',' ORDER BY md5(question))) AS question_md5, md5(string_agg(md5(answer), ',' ORDER BY md5(answer))) AS answer_md5, '' AS fault FROM k GROUP BY conv_id
+      UNION ALL SELECT DISTINCT conv_id::VARCHAR, 0, '', '', 'no Prolific ID' FROM q WHERE conv_id % 7 = 0""",
+    "survey_agents": f"""WITH a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE (94100 + c_custkey % 40)::VARCHAR END AS zip, CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 18 + c_custkey % 60 END AS age FROM customer)
+      SELECT k::VARCHAR AS agent_id, zip, zip IN ({_CENTRES}) AS at_centre, age, CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END AS children, '' AS fault FROM a WHERE zip IS NOT NULL AND age IS NOT NULL
+      UNION ALL SELECT k::VARCHAR, '', false, 0, '', CASE WHEN zip IS NULL THEN 'ZIP code' ELSE 'age' END FROM a WHERE zip IS NULL OR age IS NULL""",
     "dialogue_growth": f"""WITH q AS (SELECT o_custkey::VARCHAR AS chat, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS turn, p_type AS a, p_brand AS b, upper(p_brand) AS b2, l_returnflag AS f, l_discount AS c
         FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
       t AS (SELECT chat, count(*) AS n FROM q GROUP BY chat),

@@ -15,16 +15,6 @@ def read_survey(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*(" ".join(c.split()) for c in df.columns))
 
 
-def parse_transcripts(docs: DataFrame, least: int = 2) -> DataFrame:
-    """(g, text) of CSV transcripts whose table begins at a line with question and answer -> (g, n, question, answer), answers of ``least`` characters or more."""
-    lines = docs.select("g", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line"))
-    header = lines.where(F.lower("line").rlike(r"question.*,.*answer")).groupBy("g").agg(F.min("at").alias("h"))
-    body = lines.join(header, "g").where("at > h AND trim(line) <> ''")
-    cells = F.from_csv("line", "question string, answer string")
-    rows = body.select("g", F.col("at").alias("n"), cells.alias("c")).select("g", "n", F.trim("c.question").alias("question"), F.trim("c.answer").alias("answer"))
-    return rows.where(F.length("answer") >= least)
-
-
 def read_interviews(spark: SparkSession, path: str) -> DataFrame:
     """(g, text) of subtitles files, without time stamps."""
     return read_texts(spark, path, "*_en_subs.txt").withColumn("text", clean_transcript(F.col("text")))

@@ -104,9 +104,6 @@ def test_survey_files(spark, tmp_path):
     (tmp_path / "s.csv").write_text('Prolific ID,"Scenario 1.1\nrate","Scenario 1.1: why [supply]"\nx,7,3\nx,9,1\ny,bad,2\n')
     o, r = S.unpivot_scenarios(records.read_survey(spark, str(tmp_path / "s.csv")), "Prolific ID", {"supply": "A"})
     assert [tuple(x) for x in o.collect()] == [("x", "1.1", 7)] and sorted(tuple(x) for x in r.collect()) == [("x", "1.1", "A", 3), ("y", "1.1", "A", 2)]
-    doc = "id,7\nmeta,x\nQuestion,Answer\nWhy?,Because\nHow?,a\n"
-    qa = records.parse_transcripts(spark.createDataFrame([("t", doc)], "g string, text string")).collect()
-    assert [(x["question"], x["answer"]) for x in qa] == [("Why?", "Because")]
     sheet = "### Sample 1: Young Tenant Perspective\nHello\n**Decision Structure:**\nx\n### Sample 2: Expert\nHi there\n**Decision Structure:**"
     assert [(x["number"], x["role"], x["description"]) for x in graphs.parse_agent_sheets(spark.createDataFrame([("m", sheet)], "g string, text string")).collect()] == [(1, "Young Tenant Perspective", "Hello"), (2, "Expert", "Hi there")]
 
