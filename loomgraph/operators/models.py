@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import uniform
 from ..functions.text import REASON_CODES, parse_rating
 from .inference import continuous_step, marginals, opinion
-from .places import nearest_cells
+from .spatial import nearest_cells
 from .similarity import broadcast_if_small
 
 Provider = Callable[[list[str]], list[str]]

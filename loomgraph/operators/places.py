@@ -39,28 +39,6 @@ def grid(spark: SparkSession, bounds: dict, cell_metres: float) -> DataFrame:
     )
 
 
-def nearest_cells(agents: DataFrame, cells: DataFrame, step: float = 0.01, by: str | None = None) -> DataFrame:
-    """(agent_id, cell_id, distance): the cell whose centre is nearest in degrees, the first of equals; with ``by``, of each value of it.
-
-    Cells fall into square buckets of ``step`` degrees. An agent first meets the buckets around its own; only agents that found
-    no cell within a step there, whose nearest may lie further off, are held against all cells.
-    """
-    bucket = lambda x: F.floor(x / step).cast("bigint")
-    group = [by] if by else []
-    centres = cells.select(*group, "cell_id", ((F.col("north") + F.col("south")) / 2).alias("cy"), ((F.col("east") + F.col("west")) / 2).alias("cx"))
-    centres = centres.withColumns({"__by": bucket(F.col("cy")), "__bx": bucket(F.col("cx"))})
-    around = F.array(*(F.struct((bucket(F.col("lat")) + i).alias("__by"), (bucket(F.col("lng")) + j).alias("__bx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    distance = F.sqrt((F.col("lat") - F.col("cy")) ** 2 + (F.col("lng") - F.col("cx")) ** 2)
-    best = F.min(F.struct(distance.alias("distance"), "cell_id")).alias("x")
-    asked = agents.select("agent_id", "lat", "lng")
-    near = asked.select("agent_id", "lat", "lng", F.inline(around)).join(centres, ["__by", "__bx"]).groupBy("agent_id", *group).agg(best).where(F.col("x.distance") <= step)
-    every = asked.crossJoin(centres.select(by).distinct()) if by else asked
-    rest = every.join(near, ["agent_id", *group], "left_anti")
-    few = F.broadcast(centres) if cells.limit(50_001).count() <= 50_000 else centres
-    far = (rest.join(few, by) if by else rest.join(few)).groupBy("agent_id", *group).agg(best)
-    return near.union(far).select("agent_id", *group, "x.cell_id", "x.distance")
-
-
 def overlap_cells(cells: DataFrame, zones: DataFrame, step: float = 0.01) -> DataFrame:
     """(cell_id, zone_id, area): the zone (a rectangle) that covers most of each cell, the first of equals; cells without any are left out.
 
@@ -75,51 +53,6 @@ def overlap_cells(cells: DataFrame, zones: DataFrame, step: float = 0.01) -> Dat
     return best.select("cell_id", (-F.col("x.z")).alias("zone_id"), "x.area")
 
 
-def polygon_overlap(cells: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(cell_id, zone_id, area) as overlap_cells, for polygons(zone_id, ring of struct(x, y)), clipped at the cells' edges.
-
-    Polygons' boxes choose the pairs; the clipping is Sutherland and Hodgman's, the area the shoelace's.
-    """
-    xs, ys = F.col("ring.x"), F.col("ring.y")
-    boxed = polygons.withColumns({"west": F.array_min(xs), "east": F.array_max(xs), "south": F.array_min(ys), "north": F.array_max(ys)})
-    step = 0.01
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / step), F.floor(F.col(hi) / step))
-    dealt = lambda df: df.withColumn("by", F.explode(span("south", "north"))).withColumn("bx", F.explode(span("west", "east")))
-    c = dealt(cells.select("cell_id", "north", "south", "east", "west"))
-    z = dealt(boxed).select("by", "bx", "zone_id", "ring")
-    pairs = c.join(z, ["by", "bx"]).select("cell_id", "zone_id", "north", "south", "east", "west", "ring").dropDuplicates(["cell_id", "zone_id"])
-
-    def area(table_iter):
-        import pyarrow as pa
-
-        for b in table_iter:
-            rows = b.to_pylist()
-            out = [clipped_area([(p["x"], p["y"]) for p in r["ring"]], r["west"], r["south"], r["east"], r["north"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column("cell_id"), b.column("zone_id"), pa.array(out, pa.float64())], names=["cell_id", "zone_id", "area"])
-
-    types = dict(pairs.dtypes)
-    met = pairs.mapInArrow(area, f"cell_id {types['cell_id']}, zone_id {types['zone_id']}, area double").where("area > 0")
-    best = met.groupBy("cell_id").agg(F.max(F.struct("area", (-F.col("zone_id")).alias("z"))).alias("x"))
-    return best.select("cell_id", (-F.col("x.z")).alias("zone_id"), "x.area")
-
-
-def clipped_area(ring: list, west: float, south: float, east: float, north: float) -> float:
-    """Area of the part of a polygon inside a rectangle."""
-    for axis, limit, sign in ((0, west, 1), (0, east, -1), (1, south, 1), (1, north, -1)):
-        out = []
-        for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
-            da, db = sign * (a[axis] - limit), sign * (b[axis] - limit)
-            if da >= 0:
-                out.append(a)
-            if da * db < 0:
-                t = da / (da - db)
-                out.append((a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])))
-        ring = out
-        if not ring:
-            return 0.0
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
-
-
 def zone_summary(cells: DataFrame, cell_size: float) -> DataFrame:
     """(proposal_id, category, height_limit, n, lat, lng, acres, rank): zones in the order in which they first stand."""
     z = cells.groupBy("proposal_id", "category", "height_limit").agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import uniform_sql
 from ..operators import places as P
+from ..operators import spatial as G
 from ..operators import surveys as S
 from ..sources.shared import materialize
 from .fixtures import table
@@ -36,8 +37,21 @@ def _zones(spark, d):
 
 
 def _polygons(spark, d):
-    p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    return _zones(spark, d).select("zone_id", F.array(p("west", "south"), p("east", "south"), p("east", "north"), p("west", "north")).alias("ring"))
+    """The zones as polygons: a third are rectangles, a third have a hole, a third lack their north-east quarter."""
+    p = lambda x, y: F.struct((F.col("west") + x * (F.col("east") - F.col("west"))).alias("x"), (F.col("south") + y * (F.col("north") - F.col("south"))).alias("y"))
+    ring = lambda *ps: F.array(*(p(x, y) for x, y in ps))
+    box, hole = ring((0, 0), (1, 0), (1, 1), (0, 1)), ring((0.25, 0.25), (0.75, 0.25), (0.75, 0.75), (0.25, 0.75))
+    bent = ring((0, 0), (1, 0), (1, 0.5), (0.5, 0.5), (0.5, 1), (0, 1))
+    shape = F.col("zone_id") % 3
+    return _zones(spark, d).select("zone_id", F.when(shape == 0, F.array(box)).when(shape == 1, F.array(box, hole)).otherwise(F.array(bent)).alias("rings"))
+
+
+def _scattered(spark, d):
+    """Agents as they are, and cells that stand far apart: one for each part, over some twenty degrees."""
+    k = F.col("p_partkey")
+    south, west = 28.0 + (k * 7919 % 2003) / 100.0, -132.0 + (k * 104729 % 1999) / 100.0
+    cells = table(spark, d, "part").select(k.alias("cell_id"), south.alias("south"), (south + 0.005).alias("north"), west.alias("west"), (west + 0.005).alias("east"))
+    return _agents(spark, d), cells
 
 
 def _census(spark, d):
@@ -71,9 +85,10 @@ def _round(df, *names, n=6):
 CODES = {"supply": "A", "views": "I"}
 QUERIES = {
     "grid_cells": lambda s, d: _round(P.grid(s, BOUNDS, CELL), "north", "south", "east", "west"),
-    "nearest_cells": lambda s, d: _round(P.nearest_cells(_agents(s, d), _cells(s, d)), "distance"),
+    "nearest_cells": lambda s, d: _round(G.nearest_cells(_agents(s, d), _cells(s, d)), "distance"),
+    "nearest_sparse_cells": lambda s, d: _round(G.nearest_cells(*_scattered(s, d)), "distance"),
     "overlap_cells": lambda s, d: P.overlap_cells(P.grid(s, BOUNDS, CELL), _zones(s, d)).withColumn("area", F.round("area", 9)),
-    "overlap_polygons": lambda s, d: P.polygon_overlap(P.grid(s, BOUNDS, CELL), _polygons(s, d)).withColumn("area", F.round("area", 9)),
+    "overlap_polygons": lambda s, d: G.polygon_overlap(P.grid(s, BOUNDS, CELL), _polygons(s, d)).withColumn("area", F.round("area", 9)),
     "zone_summary": lambda s, d: _round(P.zone_summary(_cells(s, d), CELL), "lat", "lng", "acres", n=4),
     "proposal_texts": lambda s, d: P.proposal_text(P.zone_summary(_cells(s, d), CELL)),
     "height_patterns": lambda s, d: P.height_patterns(_cells(s, d)).select("cell_id", "height_limit", "pattern"),
@@ -151,4 +166,11 @@ ORACLES = {
     "dataset_faults": "WITH n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1), ex AS (SELECT DISTINCT o_orderkey AS k, 1 AS one FROM orders WHERE o_orderkey % 9 <> 0), b AS (SELECT k, CASE WHEN n IS NULL THEN 'missing' WHEN one IS NULL THEN 'unexpected' WHEN n > 1 THEN 'repeated' END AS fault FROM ex FULL JOIN n USING (k)) SELECT * FROM b WHERE fault IS NOT NULL",
     "unprocessed": "SELECT o_orderkey AS k FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
 }
-ORACLES["overlap_polygons"] = _OVER
+_PART = "greatest(0, least(c.north, z.south + {n} * z.h) - greatest(c.south, z.south + {s} * z.h)) * greatest(0, least(c.east, z.west + {e} * z.w) - greatest(c.west, z.west + {w} * z.w))"
+_WHOLE, _HOLE, _CORNER = (_PART.format(s=s, n=n, w=w, e=e) for s, n, w, e in ((0, 1, 0, 1), (0.25, 0.75, 0.25, 0.75), (0.5, 1, 0.5, 1)))
+ORACLES["overlap_polygons"] = f"""WITH {_GRID}, {_ZN}, zz AS (SELECT *, north - south AS h, east - west AS w FROM zn),
+  ov AS (SELECT cell_id, zone_id, {_WHOLE} - CASE zone_id % 3 WHEN 1 THEN {_HOLE} WHEN 2 THEN {_CORNER} ELSE 0 END AS area FROM grid c, zz z)
+  SELECT cell_id, zone_id, round(area, 9) AS area FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY round(area, 12) DESC, zone_id) AS k FROM ov WHERE area > 1e-15) WHERE k = 1"""
+ORACLES["nearest_sparse_cells"] = f"""WITH {_AG}, ce AS (SELECT p_partkey AS cell_id, 28.0::DOUBLE + (p_partkey * 7919 % 2003) / 100.0::DOUBLE AS south, -132.0::DOUBLE + (p_partkey * 104729 % 1999) / 100.0::DOUBLE AS west FROM part),
+  dd AS (SELECT agent_id, cell_id, sqrt((lat - (south + 0.005 + south) / 2) ** 2 + (lng - (west + 0.005 + west) / 2) ** 2) AS distance FROM ag, ce)
+  SELECT agent_id, cell_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY distance, cell_id) AS k FROM dd) WHERE k = 1"""

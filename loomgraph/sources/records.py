@@ -53,12 +53,13 @@ def parse_census_response(rows: DataFrame) -> DataFrame:
 
 
 def parse_geojson(docs: DataFrame) -> DataFrame:
-    """(g, text) -> (g, zone_id, properties, ring of struct(x, y)): the outer ring of every polygon."""
+    """(g, text) -> (g, zone_id, properties, rings of struct(x, y), ring): a row of every polygon, its outer ring first, then its holes."""
     feature = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
     f = docs.select("g", F.posexplode(F.from_json(F.get_json_object("text", "$.features"), f"array<{feature}>")).alias("zone_id", "f"))
     coordinates = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>")).otherwise(F.array(F.from_json("f.geometry.coordinates", "array<array<array<double>>>")))
     rings = f.select("g", "zone_id", F.col("f.properties").alias("properties"), F.explode(coordinates).alias("p"))
-    return rings.select("g", "zone_id", "properties", F.transform(F.get("p", 0), lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))).alias("ring"))
+    made = F.transform("p", lambda ring: F.transform(ring, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
+    return rings.select("g", "zone_id", "properties", made.alias("rings"), F.get(made, 0).alias("ring"))
 
 
 def zoning_heights(features: DataFrame, fields: tuple[str, str]) -> DataFrame:

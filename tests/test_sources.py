@@ -84,8 +84,6 @@ def test_metrics(spark):
 
 
 def test_places(spark):
-    assert P.clipped_area([(0, 0), (2, 0), (2, 2), (0, 2)], 1, 1, 3, 3) == 1 and P.clipped_area([(0, 0), (4, 0), (0, 4)], 0, 0, 2, 2) == 4
-    assert P.clipped_area([(5, 5), (6, 5), (6, 6)], 0, 0, 1, 1) == 0
     text = json.dumps({"grid_config": {"cell_size": 100}, "heightLimits": {"default": 40}, "cells": {"1_2": {"height_limit": 80, "bbox": {"north": 2, "south": 1, "east": 4, "west": 3}}, "0_0": {"category": "x"}}})
     heads, cells = records.parse_proposals(spark.createDataFrame([("p", text)], "g string, text string"))
     got = {r["cell_id"]: r for r in cells.collect()}
