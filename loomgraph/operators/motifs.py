@@ -2,8 +2,8 @@
 
 Induced means that the nodes of an instance have no other edge among them, in either direction, and no loops. Forks grow leaf by
 leaf: with each leaf of a centre stands the array of its later leaves that it has no edge with, so a fork's further leaves are
-the intersection of its leaves' arrays, and the largest forks are counted without being made. Colliders are forks of the
-reversed edges.
+the intersection of its leaves' arrays. Colliders are forks of the reversed edges. These functions make every instance; ``hubs``
+counts them, and finds the first ones, without.
 """
 
 from __future__ import annotations
@@ -64,26 +64,6 @@ def stars(edges: DataFrame, leaves: int, reverse: bool = False) -> DataFrame:
     return grown.select("g", "center", F.explode(F.transform("open", lambda x: F.array_append("leaves", x))).alias("leaves"))
 
 
-def star_counts(edges: DataFrame, reverse: bool = False) -> DataFrame:
-    """(g, n2, n3, n4): induced forks, or colliders, of 2, 3 and 4 leaves; the last leaf is counted, not made."""
-    later = materialize(_later(edges, reverse), "later")
-    two = later.select("g", "center", F.col("later").alias("open"), F.lit(2).alias("k"))
-    step = lambda level: level.select("g", "center", "open", "k", F.explode("open").alias("leaf")).join(later, ["g", "center", "leaf"]).select("g", "center", F.array_intersect("open", "later").alias("open"), (F.col("k") + 1).alias("k"))
-    three = step(two)
-    levels = two.union(three).union(step(three))
-    return levels.groupBy("g").agg(*(F.sum(F.when(F.col("k") == k, F.size("open")).otherwise(0)).alias(f"n{k}") for k in (2, 3, 4)))
-
-
-def census(edges: DataFrame) -> DataFrame:
-    """(g, m1, m21, m22, m23, m31, m32, m33) for every graph with an edge."""
-    m1 = chains(edges).groupBy("g").agg(F.count("*").alias("m1"))
-    out = edges.select("g").distinct().join(m1, "g", "left")
-    for family, reverse in (("2", False), ("3", True)):
-        out = out.join(star_counts(edges, reverse).withColumnsRenamed({f"n{k}": f"m{family}{k - 1}" for k in (2, 3, 4)}), "g", "left")
-    names = [t.lower().replace(".", "") for t in TYPES]
-    return out.select("g", *(F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in names))
-
-
 def census_long(counts: DataFrame) -> DataFrame:
     """(g, motif, n) of a census."""
     pairs = F.array(*(F.struct(F.lit(t).alias("motif"), F.col(t.lower().replace(".", "")).alias("n")) for t in TYPES))

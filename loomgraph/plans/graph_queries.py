@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import edges as E
+from ..operators import hubs as H
 from ..operators import motifs as M
 from ..sources.shared import materialize
 from .fixtures import BASKET, WITH_TRADE, held_trade_edges, trade_edges, basket_nodes
@@ -46,7 +47,7 @@ def _stars(k: int, reverse: bool):
 
 
 def _counts(spark, d):
-    return M.census(basket_edges(spark, d))
+    return H.census(basket_edges(spark, d))
 
 
 def _remap(spark, d):
@@ -80,8 +81,8 @@ QUERIES = {
     "motif_ratios": lambda s, d: M.ratios(_counts(s, d)).select("g", "motif", "n", F.round("ratio", 6).alias("ratio")),
     "motif_complexity": lambda s, d: M.complexity(_counts(s, d)),
     "motif_families": lambda s, d: M.families(_counts(s, d)),
-    "motif_heatmap": lambda s, d: M.heatmap(M.census(held_trade_edges(s, d))).groupBy("motif").pivot("g", list(range(1992, 2006))).agg(F.sum("n")).na.fill(0).select("motif", *(F.col(str(y)).alias(f"y{y}") for y in range(1992, 2006))),
-    "motif_extraction": lambda s, d: M.extract(M.instances(basket_edges(s, d))).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
+    "motif_heatmap": lambda s, d: M.heatmap(H.census(held_trade_edges(s, d))).groupBy("motif").pivot("g", list(range(1992, 2006))).agg(F.sum("n")).na.fill(0).select("motif", *(F.col(str(y)).alias(f"y{y}") for y in range(1992, 2006))),
+    "motif_extraction": lambda s, d: H.extract(basket_edges(s, d)).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
     "motif_extraction_suppressed": lambda s, d: M.extract_by_suppression(M.instances(basket_edges(s, d))).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
     "node_roles": lambda s, d: E.node_roles(basket_edges(s, d)),
     "node_positions": lambda s, d: E.degrees(basket_edges(s, d)).select("g", "node", E.position(F.col("in_degree"), F.col("out_degree")).alias("position"), E.position3(F.col("in_degree"), F.col("out_degree")).alias("position3"), E.position_weight(E.position(F.col("in_degree"), F.col("out_degree"))).alias("weight")),

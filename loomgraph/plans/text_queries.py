@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dialogue as D
+from ..operators import hubs as H
 from ..operators import motifs as M
 from ..operators import similarity as S
 from ..sources import mermaid
@@ -81,8 +82,8 @@ QUERIES = {
     "motif_similarity": lambda s, d: table(s, d, "part").alias("a").join(table(s, d, "part").alias("b"), F.col("b.p_partkey") == F.col("a.p_partkey") + 1).select(F.col("a.p_partkey").alias("p_partkey"), F.round(S.motif_similarity(F.array("a.p_name", "a.p_type"), F.array("b.p_name", "b.p_type"), F.array(F.lit("source"), F.lit("intermediate")), F.array(F.lit("source"), F.lit("sink"))), 6).alias("similarity"), F.round(S.plain_motif_similarity(F.array("a.p_name", "a.p_type"), F.array("b.p_name", "b.p_type")), 6).alias("plain")),
     "motif_group_shares": lambda s, d: S.group_shares(_motif_groups(s, d), "g", "grp").withColumn("share", F.round("share", 6)),
     "motif_share_top10": lambda s, d: S.share_by(_motif_groups(s, d), "g", "grp", 10).withColumn("share", F.round("share", 6)),
-    "motif_standardised": lambda s, d: S.standardised(materialize(M.census(basket_edges(s, d)), "census").select("g", *(F.col(c).cast("double").alias(c) for c in ("m1", "m31"))), ["m1", "m31"]).select("g", F.round("m1", 6).alias("m1"), F.round("m31", 6).alias("m31")),
-    "motif_clusters": lambda s, d: S.kmeans(materialize(M.census(basket_edges(s, d)), "census"), ["m1", "m21", "m31"]),
+    "motif_standardised": lambda s, d: S.standardised(materialize(H.census(basket_edges(s, d)), "census").select("g", *(F.col(c).cast("double").alias(c) for c in ("m1", "m31"))), ["m1", "m31"]).select("g", F.round("m1", 6).alias("m1"), F.round("m31", 6).alias("m31")),
+    "motif_clusters": lambda s, d: S.kmeans(materialize(H.census(basket_edges(s, d)), "census"), ["m1", "m21", "m31"]),
 }
 
 _SENT = "sent AS (SELECT p_partkey, 0 AS n, p_name || ' because ' || p_type AS sentence, p_type AS cause, p_name AS effect, 'because' AS cue FROM part UNION ALL SELECT p_partkey, 1, p_brand || ' leads to ' || p_name, p_brand, p_name, 'leads to' FROM part UNION ALL SELECT p_partkey, 2, p_type || ' , so ' || p_brand, p_type, p_brand, 'so' FROM part)"
