@@ -1,8 +1,9 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-Blocks are overlapping windows over a text's words, whatever its line ends: each window is two neighbouring stretches, and a
-stretch has ``STRETCH`` words or as many as the longest template, so that a place of up to a stretch's length lies in some block
-whole, wrapped or not, and a template may have any length. A block and a template are sets of words; a template is found where the block holds at least ``threshold`` of its words. The words of templates are put in
+Blocks are overlapping windows over a text's words, whatever its line ends: each window is two neighbouring stretches. Templates are
+classed by their length, and each class has stretches of its own, of ``STRETCH`` words, or twice, four times as many and so on, so
+that a place of a template's length lies in some block whole, wrapped or not; a template may have any length, and long ones change
+nothing for short ones. A block and a template are sets of words; a template is found where the block holds at least ``threshold`` of its words. The words of templates are put in
 order of their frequency in all texts, rarest first. Then only the first words of each side in that order can bring a pair
 together (prefix filter), a block with too few of the templates' words takes no part (length filter), and a pair whose words
 after the shared one are too few falls out before it is verified (positional filter). All of it is DataFrame functions.
@@ -81,13 +82,22 @@ def least_shared(templates: Sequence[Template], threshold: float) -> int:
     return min(_needed(len(t.words), threshold) for t in templates)
 
 
-def stretch_of(templates: Sequence[Template]) -> int:
-    return max([STRETCH, *(len(t.text.split()) for t in templates)])
+def stretch_of(template: Template) -> int:
+    """The words of a stretch of the template's class."""
+    n = STRETCH
+    while n < len(template.text.split()):
+        n *= 2
+    return n
 
 
-def stretches(words: Column, templates: Sequence[Template]) -> Column:
-    """For each stretch of the words its distinct words that templates have."""
-    vocabulary, n = vocabulary_of(templates), stretch_of(templates)
+def classes_of(templates: Sequence[Template]) -> list[tuple[int, list[Template]]]:
+    """The templates by the words of their stretches."""
+    return [(n, [t for t in templates if stretch_of(t) == n]) for n in sorted(set(map(stretch_of, templates)))]
+
+
+def stretches(words: Column, templates: Sequence[Template], n: int) -> Column:
+    """For each stretch of n words its distinct words that templates have."""
+    vocabulary = vocabulary_of(templates)
     numbers = F.sequence(F.lit(0), F.floor((F.size(words) - 1) / n).cast("int"))
     own = lambda k: F.array_distinct(F.filter(F.slice(words, k * n + 1, n), lambda w: w.isin(vocabulary)))
     return F.when(F.size(words) > 0, F.transform(numbers, own)).otherwise(F.array().cast("array<array<string>>"))
@@ -142,16 +152,18 @@ def scan_licenses(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, ph
     docs = docs.select("doc_id", text_key("doc_id", "text").alias("__key"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
     base = docs.withColumn("words", words_of(F.col("low")))
     places = [F.when(reduce(and_, (F.contains("low", F.lit(w)) for w in p.split())), phrase_starts(F.col("words"), p)) for _, p in phrases]
-    base = base.select("doc_id", "__key", "words", stretches(F.col("words"), templates).alias("halves"), *(F.coalesce(x, F.array().cast("array<bigint>")).alias(f"at_{n}") for n, x in enumerate(places)))
+    classes = classes_of(templates)
+    halves = [stretches(F.col("words"), ts, n).alias(f"halves_{n}") for n, ts in classes]
+    base = base.select("doc_id", "__key", "words", *halves, *(F.coalesce(x, F.array().cast("array<bigint>")).alias(f"at_{n}") for n, x in enumerate(places)))
     starts = F.flatten(F.array(*(F.col(f"at_{n}") for n in range(len(phrases)))))
     labels = F.array(*(F.when(F.size(f"at_{n}") > 0, F.lit(label)) for n, (label, _) in enumerate(phrases)))
     # a word counts once in each stretch that has it; only the order of the counts matters
-    own = F.flatten("halves")
-    base = base.select(
-        "doc_id", "__key", F.size("words").cast("long").alias("n_words"), starts.alias("starts"), F.array_distinct(F.array_compact(labels)).alias("base"), own.alias("own"), candidate_blocks(F.col("halves"), templates, threshold).alias("blocks")
-    )
+    own = [F.flatten(f"halves_{n}").alias(f"own_{n}") for n, _ in classes]
+    blocks = [candidate_blocks(F.col(f"halves_{n}"), ts, threshold).alias(f"blocks_{n}") for n, ts in classes]
+    base = base.select("doc_id", "__key", F.size("words").cast("long").alias("n_words"), starts.alias("starts"), F.array_distinct(F.array_compact(labels)).alias("base"), *own, *blocks)
     base = materialize(base, "license-words")
-    found = find_templates(base, templates, token_order(base, templates), "__key", threshold)
+    of_class = lambda n, ts: find_templates(base.select("__key", F.col(f"blocks_{n}").alias("blocks")), ts, token_order(base.select(F.col(f"own_{n}").alias("own")), ts), "__key", threshold)
+    found = reduce(DataFrame.union, [of_class(n, ts) for n, ts in classes])
     found = found.groupBy("__key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("containment"))
     result = base.join(found, "__key", "left")
     return result.select(
@@ -172,7 +184,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TEMPLATE_ROWS = ", ".join(f"('{t.label}', {t.words!r}, {_needed(len(t.words), THRESHOLD)})" for t in TEMPLATES)
-_STRETCH = stretch_of(TEMPLATES)
+_STRETCH = max(map(stretch_of, TEMPLATES))  # the SQL is for templates of one class
 _PHRASE_ROWS = ", ".join(f"('{label}', {p.split()!r})" for label, p in PHRASES)
 OP2_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),

@@ -7,8 +7,8 @@ hexadecimal, words around an @ or a written [at]. They stand in a graph with the
 in rounds: a pattern's confidence in a kind is the share of its weight that stands on instances of this kind, once ``MIN_SEEDS``
 distinct instances support it; a candidate's confidence is the noisy-or of its patterns', for the kinds that its shape allows. A
 candidate of ``MIN_CONFIDENCE`` supports patterns like a seed from then on, so that patterns which no seed has are found in later
-rounds; rounds end when no candidate's acceptance changes, after ``ROUNDS`` at most. Accepted candidates are found where a pattern
-of ``MIN_CONFIDENCE`` stands beside them.
+rounds. Confidences only rise, and the rounds end when none moves any more (by ``SETTLED``), however many that takes. Accepted
+candidates are found where a pattern of ``MIN_CONFIDENCE`` stands beside them.
 
 All of a text is read, once. Patterns and instances are aggregated before any join, and a pattern that many instances share is
 split over ``SALTS`` parts where it is joined, so frequent words gather no group.
@@ -21,6 +21,7 @@ empty table gives an empty result; very long digit runs and tokens are scanned i
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from bisect import bisect_left, bisect_right, insort
 
@@ -31,9 +32,10 @@ from .common import SLICE_ROWS, map_texts, materialize, table, text_key
 
 #: The kinds in the order of the contract.
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 10
 MIN_SEEDS = 3
 MIN_CONFIDENCE = 0.8
+#: Confidences only rise from round to round; the rounds end when all of them together have risen by no more than this.
+SETTLED = 1e-6
 SALTS = 32
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -187,14 +189,17 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_texts(docs, make, new, text)
 
 
-def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """edges(pattern, instance, kind or null, fits, weight), distinct -> confidences p_<kind> of patterns and c_<kind> of candidates."""
+def score_graph(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges(pattern, instance, kind or null, fits, weight), distinct -> confidences p_<kind> of patterns and c_<kind> of candidates.
+
+    There are as many rounds as it takes until no confidence moves by more than SETTLED.
+    """
     known = edges.where("kind IS NOT NULL").withColumns({f"c_{k}": F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in KINDS})
     unknown = edges.where("kind IS NULL")
     own = known.unionByName(unknown.withColumns({f"c_{k}": F.lit(0.0) for k in KINDS}))
     salt = F.pmod(F.xxhash64("instance"), F.lit(SALTS))
     before = None
-    for n in range(rounds):
+    for n in itertools.count():
         support = lambda k: F.count(F.when(F.col(f"c_{k}") >= MIN_CONFIDENCE, 1))
         sums = {f"p_{k}": F.when(support(k) >= MIN_SEEDS, F.sum(F.col("weight") * F.col(f"c_{k}")) / F.sum("weight")).otherwise(0.0) for k in KINDS}
         patterns = materialize(own.groupBy("pattern").agg(*(v.alias(k) for k, v in sums.items())).where(F.greatest(*sums) > 0), f"patterns-{n}")
@@ -203,10 +208,11 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, Data
         noisy_or = {f"c_{k}": 1 - F.exp(F.sum(F.log(1 - F.least(fit(k), F.lit(0.999))))) for k in KINDS}
         found = unknown.withColumn("salt", salt).join(split, ["pattern", "salt"]).groupBy("instance").agg(*(v.alias(k) for k, v in noisy_or.items()))
         found = materialize(found, f"instances-{n}")
-        accepted = found.agg(*(F.sum(F.when(F.col(f"c_{k}") >= MIN_CONFIDENCE, F.xxhash64("instance").cast("decimal(38,0)"))) for k in KINDS)).first()
-        if accepted == before:
+        total = found.agg(F.sum(sum(F.col(f"c_{k}") for k in KINDS))).first()[0] or 0.0
+        # sums of very many confidences are rounded
+        if before is not None and total - before <= max(SETTLED, 1e-12 * total):
             break
-        before = accepted
+        before = total
         rest = unknown.join(found, "instance", "left").select(*edges.columns, *(F.coalesce(f"c_{k}", F.lit(0.0)).alias(f"c_{k}") for k in KINDS))
         own = known.unionByName(rest)
     return patterns, found

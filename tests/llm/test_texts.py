@@ -101,6 +101,15 @@ def test_license_scan_finds_wrapped_and_long_templates(spark):
     assert got == {0: "mit", 1: "bsd", **dict.fromkeys(range(2, 8), "long"), 8: ""}
 
 
+def test_long_templates_change_nothing_for_short_ones(spark):
+    long = license_scan.Template("long", " ".join(f"term{i}" for i in range(170)))
+    scattered = " ".join(w + " filler" * 30 for w in "licensed under cc by nc 4 0".split())
+    texts = [scattered, "x " * 100 + scattered, "licensed under cc by nc 4 0", "a " * 100 + long.text]
+    label = lambda templates: {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.scan_licenses(frame(spark, texts), templates).collect()}
+    before, after = label(license_scan.TEMPLATES), label((*license_scan.TEMPLATES, long))
+    assert all(before[i] == after[i] for i in range(3)) and before[0][0] == before[1][0] == "" and after[3] == ("long", 1.0)
+
+
 def test_url_filter_paths_agree_with_brute_force(spark):
     urls = [None, "", "no scheme", "http://", "a://b://c/en/", "HTTP://WWW.Example.COM/en/1?x#y", "x://example.com/en/", "x://notexample.com/en/", "x://com", "x://com/",
             "x://a.net/es/q", "x://net/fr/", "x://net/FR/", "x://a.casino-win.example.org/", "x://b.org/wp-login.php", "x://b.org/my-wp-loginx.php", "x://é.com/", "x://net:80/es/"]
