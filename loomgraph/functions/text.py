@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 #: Words that are no keywords.
 STOP_WORDS = (
-    "the and or if but when what which this that i me my we our you your they their it its is are was were be been being to of for in on at as with by from "
-    "about into over after before so because due since therefore thus then also too very not no do did does have has had a an"
-).split()
+    "the", "and", "or", "if", "but", "when", "what", "which", "this", "that", "i", "me", "my", "we", "our", "you", "your", "they", "their", "it", "its", "is",
+    "are", "was", "were", "be", "been", "being", "to", "of", "for", "in", "on", "at", "as", "with", "by", "from", "about", "into", "over", "after", "before",
+    "so", "because", "due", "since", "therefore", "thus", "then", "also", "too", "very", "not", "no", "do", "did", "does", "have", "has", "had", "a", "an",
+)
 #: Cues and whether the cause stands before them.
 CUES = (("because", False), ("due to", False), ("leads to", True), ("so", True), ("therefore", True))
 #: Numbers that opinion words stand for, and the one for any other.
@@ -83,7 +84,7 @@ def causal_pairs(df: DataFrame, sentence: str) -> DataFrame:
 def keyword_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """How often each keyword stands in the texts of a key."""
     words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z][a-z\-'_]{2,}"), F.lit(0))
-    exploded = df.select(key, F.explode(words).alias("keyword")).where(~F.col("keyword").isin(STOP_WORDS))
+    exploded = df.select(key, F.explode(words).alias("keyword")).where(~F.col("keyword").isin(*STOP_WORDS))
     return exploded.groupBy(key, "keyword").agg(F.count("*").alias("n"))
 
 

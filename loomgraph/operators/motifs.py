@@ -18,6 +18,14 @@ TYPES = ("M1", "M2.1", "M2.2", "M2.3", "M3.1", "M3.2", "M3.3")
 #: Weights of a graph's complexity.
 COMPLEXITY = {"M1": 1, "M2.1": 1, "M2.2": 2, "M2.3": 3, "M3.1": 1, "M3.2": 2, "M3.3": 3}
 FAMILIES = {"chain": ("M1",), "fork": ("M2.1", "M2.2", "M2.3"), "collider": ("M3.1", "M3.2", "M3.3")}
+#: Families of the means by demographic, by name.
+MEAN_FAMILIES = {
+    "Chain (M1)": ("M1",),
+    "Basic Fork (M2.1)": ("M2.1",),
+    "Extended Fork (M2.2+)": ("M2.2", "M2.3"),
+    "Basic Collider (M3.1)": ("M3.1",),
+    "Extended Collider (M3.2+)": ("M3.2", "M3.3"),
+}
 #: Instances of a type that extraction keeps of a graph.
 CAP = 30
 
@@ -86,6 +94,17 @@ def families(counts: DataFrame) -> DataFrame:
     return counts.select("g", *(sum(F.col(t.lower().replace(".", "")) for t in ts).cast("bigint").alias(f) for f, ts in FAMILIES.items()))
 
 
+def family_means(counts: DataFrame, demographics: DataFrame) -> DataFrame:
+    """(demographic, family, mean): how many motifs of a family the graphs of a demographic(g, demographic) have on average.
+
+    Graphs that demographics lacks count as ``unknown``; graphs without a motif of the family count with 0.
+    """
+    named = counts.join(demographics.select("g", "demographic"), "g", "left").withColumn("demographic", F.coalesce("demographic", F.lit("unknown")))
+    total = lambda types: sum(F.col(t.lower().replace(".", "")) for t in types)
+    pairs = F.array(*(F.struct(F.lit(f).alias("family"), total(ts).cast("double").alias("n")) for f, ts in MEAN_FAMILIES.items()))
+    return named.select("demographic", F.inline(pairs)).groupBy("demographic", "family").agg(F.avg("n").alias("mean"))
+
+
 def heatmap(counts: DataFrame) -> DataFrame:
     """One row for each motif, one column for each graph id that stands in ``g`` is up to the caller; here (motif, g, n), none missing."""
     return census_long(counts).select("motif", "g", "n")

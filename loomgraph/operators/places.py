@@ -16,7 +16,17 @@ DEFAULT_BOUNDS = {"north": 37.8120, "south": 37.7080, "east": -122.3549, "west":
 PATTERNS = ((1, 65, 300), (2, 85, 300), (3, 240, 300))
 VARIANTS = ((1, 80), (2, 140), (3, 300))
 #: Scenarios of proposals, and the one of any other.
-SCENARIOS = {f"proposal_{3 * p + v:03d}": f"{p + 1}.{v + 1}" for p in range(3) for v in range(3)}
+SCENARIOS = {
+    "proposal_000": "1.1",
+    "proposal_001": "1.2",
+    "proposal_002": "1.3",
+    "proposal_003": "2.1",
+    "proposal_004": "2.2",
+    "proposal_005": "2.3",
+    "proposal_006": "3.1",
+    "proposal_007": "3.2",
+    "proposal_008": "3.3",
+}
 SCENARIO_DEFAULT = "1.1"
 
 

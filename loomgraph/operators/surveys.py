@@ -107,6 +107,44 @@ def weighted_choice(df: DataFrame, weights: dict[str, float], *keys: str) -> Col
     return out.otherwise(value)
 
 
+#: Ranges of ages and how often each is drawn.
+AGE_RANGES = ((18, 24, 0.15), (25, 34, 0.25), (35, 44, 0.20), (45, 54, 0.15), (55, 64, 0.15), (65, 85, 0.10))
+
+
+def weighted_sample(rows: DataFrame, k: int, weight: str, *keys: str, by: str | None = None, seed: int = 0) -> DataFrame:
+    """k rows drawn without replacement, each next one as likely as its weight among what is left, with rank, the order of the draws.
+
+    A row waits -ln(u) / weight for its draw, u from the seed and its keys, and the k that wait least are drawn; such a top k of a
+    part of the rows is all that the whole needs of it, so one pass does, with at most k rows (or k of each value of ``by``) from a
+    task. Rows with equal keys draw alike and are told apart by nothing; rows without a positive weight are never drawn; fewer
+    rows than k are all drawn.
+    """
+    wait = -F.log1p(-uniform(F.lit(seed), *map(F.col, keys))) / F.col(weight)
+    waiting = rows.where(F.col(weight) > 0).withColumn("__wait", wait)
+    if by:
+        return waiting.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy("__wait", *keys))).where(F.col("rank") <= k).drop("__wait")
+    # no more than k rows are ranked
+    return waiting.orderBy("__wait", *keys).limit(k).withColumn("rank", F.row_number().over(W.orderBy("__wait", *keys))).drop("__wait")
+
+
+def uniform_points(rows: DataFrame, bounds: dict[str, float], *keys: str, seed: int = 0) -> DataFrame:
+    """Adds lat and lng, drawn evenly within bounds (north, south, east, west), to six digits."""
+    at = lambda name, low, high: F.round(F.lit(low) + (high - low) * uniform(F.lit(seed), F.lit(name), *map(F.col, keys)), 6)
+    return rows.withColumns({"lat": at("lat", bounds["south"], bounds["north"]), "lng": at("lng", bounds["west"], bounds["east"])})
+
+
+def drawn_agents(rows: DataFrame, bounds: dict[str, float], options: dict[str, list[str]], *keys: str, ages=AGE_RANGES, seed: int = 0) -> DataFrame:
+    """rows with a place, an age (a range by its weight, then evenly within) and one of each attribute's options."""
+    u = lambda name: uniform(F.lit(seed), F.lit(name), *map(F.col, keys))
+    total, run, age = sum(w for *_, w in ages), 0.0, None
+    for low, high, w in ages:
+        run += w
+        within = (F.lit(low) + F.floor(u("age") * (high - low + 1))).cast("int")
+        age = F.when(u("range") < run / total, within) if age is None else age.when(u("range") < run / total, within)
+    chosen = {a: F.element_at(F.array(*map(F.lit, values)), F.floor(u(a) * len(values)).cast("int") + 1) for a, values in options.items()}
+    return uniform_points(rows, bounds, *keys, seed=seed).withColumns({"age": age.otherwise(within), **chosen})
+
+
 def batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Adds batch: rows in their order by ``size``."""
     return numbered(rows, order).withColumn("batch", F.floor(F.col("__at") / size).cast("bigint")).drop("__at")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..operators import edges as E
 from ..operators import hubs as H
 from ..operators import motifs as M
+from ..operators import reconstruction as R
 from ..sources.shared import materialize
-from .fixtures import BASKET, WITH_TRADE, held_trade_edges, trade_edges, basket_nodes
+from .fixtures import BASKET, WITH_TRADE, basket_nodes, held_trade_edges, table, trade_edges
 from .fixtures import basket_edges as _basket_edges
 
 WITH = f"WITH {BASKET}"
@@ -66,12 +67,31 @@ _DEG = "d AS (SELECT g, node, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) A
 
 
 def _latest(spark, d):
-    from .fixtures import table
-
     ev = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value")
     return E.latest(ev.where("event_type <> 'error'"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
+def _segments(spark, d):
+    """Market segments as demographics; every ninth customer has none."""
+    c = table(spark, d, "customer").where("c_custkey % 9 <> 0")
+    return c.select(F.col("c_custkey").alias("g"), F.col("c_mktsegment").alias("demographic"))
+
+
+def _connected(spark, d):
+    """Links of every fifth edge's target to the last nation, and of every seventh edge's source to a node that no graph has."""
+    e = basket_edges(spark, d)
+    link = lambda where, src, dst, far: e.where(where).select("g", F.col(src).alias("src"), F.lit(dst).alias("dst"), (F.col("ord") + far).alias("ord"), F.lit(0.5).alias("modifier"), F.lit(1.0).alias("confidence"))
+    links = link("ord % 5 = 0", "dst", 24, 1000).where("src <> 24").union(link("ord % 7 = 0", "src", 99, 2000))
+    return E.connect_to_stances(e, basket_nodes(spark, d), links).select("g", "src", "dst", "modifier")
+
+
+def _features(spark, d):
+    """How much of a part's type and size class the words of its name cover."""
+    p = table(spark, d, "part")
+    own, target = F.split(F.lower("p_name"), " "), F.array(F.lower("p_type"), F.lit("bolt"), F.lit("red"), F.when(F.col("p_size") > 25, "gear").otherwise("ring"))
+    return p.select("p_partkey", F.round(R.feature_overlap(own, target), 6).alias("overlap"))
+
+
 QUERIES = {
     "trade_edges": trade_edges,
     "basket_edges": _basket_edges,
@@ -81,6 +101,9 @@ QUERIES = {
     "motif_ratios": lambda s, d: M.ratios(_counts(s, d)).select("g", "motif", "n", F.round("ratio", 6).alias("ratio")),
     "motif_complexity": lambda s, d: M.complexity(_counts(s, d)),
     "motif_families": lambda s, d: M.families(_counts(s, d)),
+    "motif_family_means": lambda s, d: M.family_means(_counts(s, d), _segments(s, d)).withColumn("mean", F.round("mean", 6)),
+    "edges_connected_to_stances": _connected,
+    "features_overlap": lambda s, d: _features(s, d),
     "motif_heatmap": lambda s, d: M.heatmap(H.census(held_trade_edges(s, d))).groupBy("motif").pivot("g", list(range(1992, 2006))).agg(F.sum("n")).na.fill(0).select("motif", *(F.col(str(y)).alias(f"y{y}") for y in range(1992, 2006))),
     "motif_extraction": lambda s, d: H.extract(basket_edges(s, d)).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
     "motif_extraction_suppressed": lambda s, d: M.extract_by_suppression(M.instances(basket_edges(s, d))).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
@@ -122,6 +145,12 @@ ORACLES = {
     "motif_ratios": _COUNTS + " SELECT g, motif, n, round(coalesce(n::DOUBLE / nullif(sum(n) OVER (PARTITION BY g), 0), 0), 6) AS ratio FROM long",
     "motif_complexity": _COUNTS + " SELECT g, m1 + m21 + 2 * m22 + 3 * m23 + m31 + 2 * m32 + 3 * m33 AS complexity FROM counts",
     "motif_families": _COUNTS + " SELECT g, m1 AS chain, m21 + m22 + m23 AS fork, m31 + m32 + m33 AS collider FROM counts",
+    "motif_family_means": _COUNTS + """, d AS (SELECT coalesce(c_mktsegment, 'unknown') AS demographic, m1, m21, m22, m23, m31, m32, m33 FROM counts LEFT JOIN customer ON c_custkey = g AND c_custkey % 9 <> 0)
+      SELECT demographic, f.family, round(avg(f.n), 6) AS mean FROM (SELECT demographic, unnest([{'family': 'Chain (M1)', 'n': m1::DOUBLE}, {'family': 'Basic Fork (M2.1)', 'n': m21::DOUBLE}, {'family': 'Extended Fork (M2.2+)', 'n': (m22 + m23)::DOUBLE},
+        {'family': 'Basic Collider (M3.1)', 'n': m31::DOUBLE}, {'family': 'Extended Collider (M3.2+)', 'n': (m32 + m33)::DOUBLE}]) AS f FROM d) GROUP BY 1, 2""",
+    "edges_connected_to_stances": WITH + """, l AS (SELECT g, s, t, o, m FROM e UNION ALL SELECT g, t, 24, o + 1000, 0.5 FROM e WHERE o % 5 = 0 AND t <> 24)
+      SELECT g, s AS src, t AS dst, m AS modifier FROM (SELECT *, row_number() OVER (PARTITION BY g, s, t ORDER BY o DESC) AS k FROM l) WHERE k = 1""",
+    "features_overlap": "SELECT p_partkey, round(len(list_intersect(string_split(lower(p_name), ' '), t))::DOUBLE / len(t), 6) AS overlap FROM (SELECT *, [lower(p_type), 'bolt', 'red', CASE WHEN p_size > 25 THEN 'gear' ELSE 'ring' END] AS t FROM part)",
     "motif_heatmap": _COUNTS.replace(WITH, WITH_TRADE, 1) + " SELECT motif, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (g = {y}), 0) AS BIGINT) AS y{y}" for y in range(1992, 2006)) + " FROM long GROUP BY motif",
     "motif_extraction": _INSTANCES + """ SELECT g, motif, center, array_to_string(nodes, ',') AS nodes, rank FROM (SELECT *, row_number() OVER (PARTITION BY g, motif ORDER BY nodes) AS rank FROM
       (SELECT *, max(len(nodes)) OVER (PARTITION BY g, motif[1:2], center) AS m FROM inst) WHERE motif = 'M1' OR len(nodes) = m) WHERE rank <= 30""",

@@ -54,6 +54,11 @@ def _scattered(spark, d):
     return _agents(spark, d), cells
 
 
+def _weighted(spark, d):
+    """Customers weighted by their balance; those in debt weigh nothing."""
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey", F.greatest(F.lit(0.0), F.round("c_acctbal", 2)).alias("w"))
+
+
 def _census(spark, d):
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     z, t = F.col("c_nationkey").cast("string").alias("zipcode"), F.concat(F.lit("B0"), F.substring("o_orderpriority", 1, 1)).alias("t")
@@ -112,6 +117,9 @@ QUERIES = {
     "stance_distribution": lambda s, d: S.stance_distribution(_participants(s, d).select(F.explode("topics").alias("t")).select("t.stance")),
     "participant_summary": lambda s, d: S.participant_summary(_participants(s, d)),
     "comment_analysis": lambda s, d: S.comment_analysis(_participants(s, d)).select("username", "post_id", "n_mcqs", F.array_join("tags", ",").alias("tags")),
+    "customers_sampled": lambda s, d: S.weighted_sample(_weighted(s, d), 100, "w", "c_custkey").select("c_custkey", "rank"),
+    "customers_sampled_by_nation": lambda s, d: S.weighted_sample(_weighted(s, d), 5, "w", "c_custkey", by="c_nationkey", seed=3).select("c_nationkey", "c_custkey", "rank"),
+    "agents_drawn": lambda s, d: S.drawn_agents(table(s, d, "customer").select("c_custkey"), BOUNDS, {"income": ["low", "middle", "high"], "housing": ["rent", "own"]}, "c_custkey"),
     "dataset_split": lambda s, d: S.split(table(s, d, "orders").select("o_orderkey"), "o_orderkey").groupBy("split").agg(F.count("*").alias("n")),
     "dataset_faults": lambda s, d: S.dataset_faults(table(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), table(s, d, "orders").where("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("k")), "k"),
     "unprocessed": lambda s, d: S.unprocessed(table(s, d, "orders").select(F.col("o_orderkey").alias("k")), table(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), "k"),
@@ -132,6 +140,7 @@ cl AS (SELECT * FROM cb UNION ALL SELECT zipcode, table_code, '001E', CAST(sum(v
 cr AS (SELECT *, value::DOUBLE / nullif(max(value) FILTER (sub_code = '001E') OVER (PARTITION BY zipcode, table_code), 0) AS ratio FROM cl)"""
 _TOP = """WITH q AS (SELECT o_custkey AS username, o_orderkey AS post_id, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS question_id, substr(l_shipdate::DATE::VARCHAR, 1, 4) AS tag, CASE WHEN o_orderkey % 10 < 7 THEN 'train' ELSE 'test' END AS split,
   min(l_returnflag) OVER (PARTITION BY o_orderkey) AS stance FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+_WAIT = "SELECT c_custkey, c_nationkey, -ln(1 - {u}) / w AS wait FROM (SELECT *, greatest(0, round(c_acctbal, 2)) AS w FROM customer) WHERE w > 0"
 ORACLES = {
     "grid_cells": f"WITH {_GRID} SELECT row, col, cell_id, round(north, 6) AS north, round(south, 6) AS south, round(east, 6) AS east, round(west, 6) AS west FROM grid",
     "nearest_cells": f"WITH {_GRID}, {_AG}, dd AS (SELECT agent_id, cell_id, sqrt((lat - (north + south) / 2) ** 2 + (lng - (east + west) / 2) ** 2) AS distance FROM ag, grid) SELECT agent_id, cell_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY distance, cell_id) AS k FROM dd) WHERE k = 1",
@@ -153,6 +162,12 @@ ORACLES = {
       p AS (SELECT agent_id, coalesce(zlat, 37.77) + ({uniform_sql("'lat'", "agent_id")} * 2 - 1) * {S.JITTER} AS lat, coalesce(zlng, -122.42) + ({uniform_sql("'lng'", "agent_id")} * 2 - 1) * {S.JITTER} AS lng FROM ag LEFT JOIN z USING (zip))
       SELECT agent_id, round(round(lat * 100) / 100, 2) AS lat, abs(lng) < 123 AS near FROM p""",
     "weighted_choices": f"SELECT c_custkey, CASE WHEN u < 0.6 THEN 'support' WHEN u < 0.9 THEN 'oppose' ELSE 'neutral' END AS opinion FROM (SELECT c_custkey, {uniform_sql('c_custkey')} AS u FROM customer)",
+    "customers_sampled": f"SELECT c_custkey, row_number() OVER (ORDER BY wait, c_custkey) AS rank FROM ({_WAIT.format(u=uniform_sql('0', 'c_custkey'))}) QUALIFY rank <= 100",
+    "customers_sampled_by_nation": f"SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY wait, c_custkey) AS rank FROM ({_WAIT.format(u=uniform_sql('3', 'c_custkey'))}) QUALIFY rank <= 5",
+    "agents_drawn": f"""WITH u AS (SELECT c_custkey, {", ".join(f"{uniform_sql('0', repr(n), 'c_custkey')} AS u_{n}" for n in ("lat", "lng", "range", "age", "income", "housing"))} FROM customer)
+      SELECT c_custkey, round({BOUNDS["south"]} + ({BOUNDS["north"]} - {BOUNDS["south"]})::DOUBLE * u_lat, 6) AS lat, round({BOUNDS["west"]} + ({BOUNDS["east"]} - ({BOUNDS["west"]}))::DOUBLE * u_lng, 6) AS lng,
+      CAST(CASE {" ".join(f"WHEN u_range < {sum(w for *_, w in S.AGE_RANGES[: i + 1]) / sum(w for *_, w in S.AGE_RANGES)}::DOUBLE THEN {low} + floor(u_age * {high - low + 1})" for i, (low, high, _) in enumerate(S.AGE_RANGES))} END AS INT) AS age,
+      ['low', 'middle', 'high'][CAST(floor(u_income * 3) AS INT) + 1] AS income, ['rent', 'own'][CAST(floor(u_housing * 2) AS INT) + 1] AS housing FROM u""",
     "dataset_split": f"SELECT CASE WHEN {uniform_sql('42', 'o_orderkey')} < 0.7 THEN 'train' ELSE 'test' END AS split, count(*) AS n FROM orders GROUP BY 1",
     "answers_coded": f"WITH {_AG} SELECT agent_id, CASE WHEN agent_id % 2 = 0 THEN 'low_income' ELSE 'middle_income' END AS income, CASE WHEN agent_id % 3 = 0 THEN 'postgraduate' ELSE 'bachelor' END AS education, CASE WHEN agent_id % 5 = 0 THEN 'retired' ELSE 'white_collar' END AS occupation FROM ag",
     "role_profiles": f"""WITH {_AG} SELECT agent_id, ['$15,000-$40,000', '$80,000-$120,000', '$40,000-$80,000'][agent_id % 3 + 1] AS income, ['high school graduate', 'master''s degree or higher', 'bachelor''s degree'][agent_id % 3 + 1] AS education,
