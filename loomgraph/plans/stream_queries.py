@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,12 +11,15 @@ from .. import streaming
 from ..operators import dialogue
 from ..operators import edges as E
 from ..operators import motifs as M
-from ..sources import graphs, participants
-from ..sources.shared import materialize
+from ..operators import surveys
+from ..sources import graphs, participants, records
+from ..sources.shared import materialize, shared_dir
 from ..streaming import growing
 from .fixtures import basket_nodes, table
 from .graph_queries import ORACLES as GRAPH
 from .graph_queries import WITH, basket_edges
+from .survey_queries import CODES, _polygons, _wide
+from .survey_queries import ORACLES as SURVEY
 
 
 def _documents(spark, d, layout):
@@ -72,7 +77,63 @@ def _survey_agents(spark, d):
     return agents.unionByName(found["bad"].select("agent_id", F.lit("").alias("zip"), F.lit(False).alias("at_centre"), F.lit(0).alias("age"), F.lit("").alias("children"), "fault"))
 
 
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _validated(spark, d):
+    """Basket graphs as structural samples: some lack an id, have another number of nodes or edges than is said, or no questions."""
+    e = basket_edges(spark, d)
+    n = e.groupBy("g").agg(F.count("*").alias("n"))
+    docs = graphs.graph_json(basket_nodes(spark, d), e).join(n, "g")
+    asked = F.when(F.col("g") % 2 == 0, F.greatest(F.lit(1), F.floor(F.col("n") / 2))).otherwise(F.lit(0)).cast("int")
+    head = F.concat(F.lit("{"), F.when(F.col("g") % 5 > 0, F.concat(F.lit('"agent_id":"'), F.col("g").cast("string"), F.lit('",'))).otherwise(F.lit("")), F.lit('"qas":['), F.array_join(F.array_repeat(F.lit('"q"'), asked), ","), F.lit("],"))
+    text = F.concat(head, F.substr("json", F.lit(2)))
+    return graphs.validate_samples(docs.select("g", text.alias("text"), (25 + (F.col("g") % 3 == 0).cast("int")).alias("expected_nodes"), (F.col("n") + F.col("g") % 4).alias("expected_edges")))
+
+
+def _zones_parsed(spark, d):
+    """The polygons as GeoJSON, a document for each nation, parsed again."""
+    rings = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
+    feature = F.struct(F.struct(F.col("zone_id").cast("string").alias("name")).alias("properties"), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry"))
+    zones = _polygons(spark, d).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("zone_id"), "s_nationkey"), "zone_id")
+    docs = zones.groupBy(F.col("s_nationkey").cast("string").alias("g")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("text"))
+    parsed = records.parse_geojson(docs)
+    points = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring))
+    return parsed.select("g", F.col("properties")["name"].alias("name"), F.size("rings").alias("rings"), points.alias("points"), F.round(F.array_min("ring.x"), 9).alias("west"), F.round(F.array_max("ring.y"), 9).alias("north"))
+
+
+def _survey_file(spark, d):
+    """The survey's wide table written as CSV files and read again."""
+    path = _folder(spark, "survey")
+    _wide(spark, d).write.option("header", True).csv(path)
+    return surveys.unpivot_scenarios(records.read_survey(spark, path), "Prolific ID", CODES)[0].withColumn("pid", F.col("pid").cast("bigint"))
+
+
+def _runs(spark, d):
+    """Opinions of customers written as two models' runs and read again."""
+    k = F.col("c_custkey")
+    opinions = table(spark, d, "customer").select(k.cast("string").alias("agent_id"), F.format_string("proposal_%03d", k % 3).alias("proposal_id"), F.lit("A").alias("code"), (k % 5 + 1).cast("int").alias("score"))
+    path = _folder(spark, "runs")
+    for model, part in (("even", opinions.where("agent_id % 2 = 0")), ("odd", opinions.where("agent_id % 2 = 1"))):
+        records.write_run(path, model, part)
+    return records.read_runs(spark, path).select(F.substring_index("run", "_", 1).alias("model"), "agent_id", "proposal_id", "code", "score")
+
+
+def _library_read(spark, d):
+    """A library of parts as motifs, written and read again."""
+    path = _folder(spark, "library")
+    p = table(spark, d, "part")
+    graphs.write_library(p.select(F.concat(F.when(F.col("p_size") > 25, "M1_").otherwise("M2.1_"), F.col("p_type")).alias("grp"), F.col("p_partkey").alias("ord"), F.array("p_name", "p_brand").alias("labels")), path)
+    return graphs.read_library(spark, path).select("motif_type", "grp", "ord", F.array_join("labels", "/").alias("labels"))
+
+
 QUERIES = {
+    "samples_validated": _validated,
+    "zones_parsed": _zones_parsed,
+    "survey_file_opinions": _survey_file,
+    "runs_read": _runs,
+    "library_read": _library_read,
     "transcripts_parsed": _transcripts,
     "survey_agents": _survey_agents,
     "dialogue_growth": lambda s, d: growing.grown(_dialogues(s, d)),
@@ -87,6 +148,14 @@ QUERIES = {
 _NORMAL = "trim(replace(lower({}), '_', ' '))"
 _CENTRES = ", ".join(f"'{z}'" for z, *_ in participants.ZIP_CENTRES)
 ORACLES = {
+    "samples_validated": WITH + """, c AS (SELECT g, count(*) AS n FROM e GROUP BY g),
+      f AS (SELECT g, unnest([CASE WHEN g % 5 = 0 THEN 'no agent_id' END, CASE WHEN g % 3 = 0 THEN 'node count' END, CASE WHEN g % 4 = 3 THEN 'edge count' END, CASE WHEN g % 2 = 1 THEN 'too few questions' END]) AS fault FROM c)
+      SELECT g, fault FROM f WHERE fault IS NOT NULL""",
+    "zones_parsed": """WITH z AS (SELECT s_nationkey, s_suppkey AS k, 37.70::DOUBLE + (s_suppkey * 17 % 89) / 89.0::DOUBLE * 0.05::DOUBLE AS south, -122.50::DOUBLE + (s_suppkey * 29 % 97) / 97.0::DOUBLE * 0.1::DOUBLE AS west FROM supplier)
+      SELECT s_nationkey::VARCHAR AS g, k::VARCHAR AS name, CASE k % 3 WHEN 1 THEN 2 ELSE 1 END AS rings, [4, 8, 6][k % 3 + 1] AS points, round(west, 9) AS west, round(south + 0.004 + (k % 5) * 0.002, 9) AS north FROM z""",
+    "survey_file_opinions": SURVEY["survey_opinions"],
+    "runs_read": "SELECT CASE c_custkey % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS model, c_custkey::VARCHAR AS agent_id, 'proposal_00' || (c_custkey % 3) AS proposal_id, 'A' AS code, CAST(c_custkey % 5 + 1 AS INT) AS score FROM customer",
+    "library_read": "SELECT CASE WHEN p_size > 25 THEN 'M1' ELSE 'M2.1' END AS motif_type, CASE WHEN p_size > 25 THEN 'M1_' ELSE 'M2.1_' END || p_type AS grp, p_partkey AS ord, p_name || '/' || p_brand AS labels FROM part",
     "transcripts_parsed": r"""WITH t AS (SELECT conv_id, role, text AS question, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
       q AS (SELECT conv_id, regexp_replace(question, '^\s+|\s+$', '', 'g') AS question, regexp_replace(answer, '^\s+|\s+$', '', 'g') AS answer FROM t WHERE role = 'user' AND next_role = 'assistant'),
       k AS (SELECT conv_id, question, answer FROM q WHERE question <> '' AND length(answer) >= 2 AND NOT starts_with(lower(question), 'question number') AND conv_id % 7 <> 0)

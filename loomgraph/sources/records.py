@@ -109,8 +109,12 @@ def write_run(path: str, model: str, opinions: DataFrame, truth: DataFrame | Non
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """(run, agent_id, code, score, proposal_id) of all runs below path."""
-    df = spark.read.option("basePath", path.rstrip("/")).option("recursiveFileLookup", "false").parquet(f"{path.rstrip('/')}/*/output")
-    return df.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/output/", 1))
+    # runs are no partitions of one table, so what their folders are called is read from the files' paths
+    df = spark.read.option("recursiveFileLookup", "true").parquet(f"{path.rstrip('/')}/*/output")
+    at = lambda pattern: F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    # a folder's name is escaped when it is written, and again in a path
+    plain = lambda c: F.coalesce(F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), c)
+    return df.select(plain(at(r"/([^/]+)/output/")).alias("run"), "*", plain(plain(at(r"/output/proposal_id=([^/]+)/"))).alias("proposal_id"))
 
 
 def pair_outputs(outputs: DataFrame, truths: DataFrame) -> DataFrame:
