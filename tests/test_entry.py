@@ -31,7 +31,7 @@ def test_entry(spark):
 
 
 @needs_data
-@pytest.mark.parametrize("name", ["motif_census", "motif_m33", "graph_stance", "net_boolean_do", "contributions", "reason_w1", "nearest_cells", "similar_labels", "participant_summary", "json_edges_by_id"])
+@pytest.mark.parametrize("name", ["motif_census", "motif_m33", "graph_stance", "net_boolean_do", "contributions", "reason_w1", "nearest_cells", "similar_labels", "participant_summary", "json_edges_by_id", "json_motifs", "net_do_against_see", "net_given_parents", "dialogue_growth", "overlap_polygons", "transcripts_parsed", "survey_agents", "runs_read", "customers_sampled_by_nation", "agents_drawn"])
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
