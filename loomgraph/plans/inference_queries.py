@@ -8,6 +8,7 @@ from ..operators import edges as E
 from ..operators import inference as I
 from ..operators import nets as N
 from ..operators import traversal as T
+from ..sources.shared import materialize
 from .fixtures import ORDER, basket_nodes, order_edges
 from .graph_queries import WITH, basket_edges
 
@@ -28,9 +29,13 @@ def _first_child(edges, value=DO):
 
 
 def _fold(spark, d):
+    """Both nets of each graph, with and without the intervention, pass through the levels together."""
     e = basket_edges(spark, d)
-    moved = I.changes(N.propagate(e), N.propagate(e, do=_first_child(e)))
-    return moved.select("g", "node", *map(_round, ("base", "changed", "delta")))
+    net = lambda done: F.struct("g", F.lit(done).alias("done"))
+    both = e.withColumn("g", F.explode(F.array(net(False), net(True))))
+    p = materialize(N.propagate(both, do=_first_child(e).withColumn("g", net(True))), "folded")
+    of = lambda done: p.where(F.col("g.done") == done).select("g.g", "node", "p")
+    return I.changes(of(False), of(True)).select("g", "node", *map(_round, ("base", "changed", "delta")))
 
 
 def _given_parents(spark, d):
