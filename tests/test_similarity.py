@@ -47,7 +47,22 @@ def test_similar_vectors_equal_brute_force(spark, small_tiles):
     assert len(got) == len(want) and {(r.a, r.b): r.cosine for r in got} == want
 
 
+@pytest.mark.parametrize("k", [3, 200])
+def test_best_vectors_equal_brute_force(spark, small_tiles, k):
+    rows = odd_vectors()
+    asked = {n: v for n, v in rows.items() if n % 4 == 0 or n > 99}
+    found = S.best_vectors(frame(spark, asked), frame(spark, rows), "id", "v", k)
+    want = {}
+    for q, v in asked.items():
+        scored = sorted((((c := cosine(v, w)) is None, -(c or 0.0), n, c) for n, w in rows.items() if n != q))[:k]
+        want |= {(q, n): (c, i + 1) for i, (*_, n, c) in enumerate(scored)}
+    assert no_cross_join(found)
+    got = found.collect()
+    assert len(got) == len(want) and {(r.q, r.id): (r.cosine, r["rank"]) for r in got} == want
+
+
 def test_texts_as_keys_and_no_rows(spark):
     rows = {f"k{n}": v for n, v in odd_vectors().items() if n < 20}
     df = spark.createDataFrame(list(rows.items()), "id string, v array<float>")
     assert {(r.a, r.b) for r in S.similar_vectors(df, "id", "v", 0.7).collect()} == {(a, b) for a in rows for b in rows if a < b and (cosine(rows[a], rows[b]) or 0) >= 0.7}
+    assert S.best_vectors(df.limit(0), df, "id", "v").count() == 0 and S.best_vectors(df, df.limit(0), "id", "v").count() == 0
