@@ -105,7 +105,12 @@ def clip(ring: list, west: float, south: float, east: float, north: float) -> li
 
 
 def ring_area(ring: list) -> float:
-    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+    """By products of distances from the ring's first point: those of whole degrees are some thousands, and a cell's area would drown in their rounding."""
+    if not ring:
+        return 0.0
+    x, y = ring[0]
+    seen = [(a - x, b - y) for a, b in ring]
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(seen, seen[1:] + seen[:1], strict=True))) / 2
 
 
 def clipped_area(ring: list, west: float, south: float, east: float, north: float) -> float:

@@ -156,3 +156,16 @@ def test_odd_polygons(spark):
     assert G.clipped_area([(0, 0), (2, 0), (2, 2), (0, 2)], 1, 1, 3, 3) == 1 and G.clipped_area([(5, 5), (6, 5), (6, 6)], 0, 0, 1, 1) == 0
     assert G.polygon_overlap(cells.limit(0), df).count() == 0 and G.polygon_overlap(cells, df.limit(0)).count() == 0
     assert df.where(F.col("zone_id") == 5).count() == 1
+
+
+def test_zones_over_a_whole_cell_tie(spark):
+    # far from the origin, so that products of whole degrees would round by as much as zones are told apart
+    west, south, east, north = -122.47, 37.7225, -122.4644, 37.7270
+    box = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n)]
+    assert abs(G.ring_area(box(west, south, east, north)) - (east - west) * (north - south)) < 1e-18
+    rnd = random.Random(5)
+    zones = [(n, [[{"x": x, "y": y} for x, y in box(west - rnd.random() * 0.01, south - rnd.random() * 0.01, east + rnd.random() * 0.01, north + rnd.random() * 0.01)]]) for n in range(40)]
+    polygons = spark.createDataFrame(zones, "zone_id long, rings array<array<struct<x:double,y:double>>>")
+    cells = spark.createDataFrame([("c", north, south, east, west)], "cell_id string, north double, south double, east double, west double")
+    assert {abs(r.area - (east - west) * (north - south)) < 1e-17 for r in G.overlap_areas(cells, polygons).collect()} == {True}
+    assert [r.zone_id for r in G.polygon_overlap(cells, polygons).collect()] == [0]
