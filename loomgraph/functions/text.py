@@ -99,6 +99,25 @@ def opinion_score(opinion: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.lower(F.trim(opinion))), F.lit(OPINION_DEFAULT))
 
 
+def rating_scores(response: Column) -> Column:
+    """An array of (code, score) of one response, by the rules of ``parse_rating``: the rating first, then A to L."""
+    # parsed once for all codes: its lines are an array of (code, value), where both are known
+    line = lambda x: F.trim(x)
+    rest = lambda x: F.trim(F.regexp_extract(line(x), r"^[^:]*:(.*)$", 1))
+    is_rating = lambda x: F.lower(line(x)).startswith("rating:")
+    code = lambda x: F.when(is_rating(x), F.lit("rating")).when(line(x).rlike(f"^[{REASON_CODES}][^:]*:"), F.substring(line(x), 1, 1))
+    number = lambda x: F.when(is_rating(x), rest(x)).otherwise(F.regexp_extract(rest(x), r"^(\S+)", 1))
+    value = lambda x: F.when(number(x).rlike(r"^[+-]?\d{1,9}$"), number(x).try_cast("int"))
+    read = F.transform(F.split(F.coalesce(response, F.lit("")), "\n"), lambda x: F.struct(code(x).alias("code"), value(x).alias("value")))
+    known = F.filter(read, lambda x: x["code"].isNotNull() & x["value"].isNotNull())
+    # later lines overwrite earlier ones, a slot for each code
+    codes = ["rating", *REASON_CODES]
+    slot = lambda x: F.array_position(F.array(*map(F.lit, codes)), x["code"]) - 1
+    start = F.array(*(F.lit(5 if c == "rating" else 3) for c in codes))
+    last = F.aggregate(known, start, lambda found, x: F.transform(found, lambda old, n: F.when(n == slot(x), x["value"]).otherwise(old)))
+    return F.transform(last, lambda v, n: F.struct(F.element_at(F.array(*map(F.lit, codes)), n + 1).alias("code"), F.greatest(F.lit(1), F.least(F.when(n == 0, F.lit(10)).otherwise(F.lit(5)), v)).alias("score")))
+
+
 def parse_rating(df: DataFrame, key: str, response: str) -> DataFrame:
     """(key, code, score): the rating (code ``rating``, 1 to 10, else 5) and the reasons A to L (1 to 5, else 3); the last line wins.
 

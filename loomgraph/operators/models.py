@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import uniform
-from ..functions.text import REASON_CODES, parse_rating
+from ..functions.text import REASON_CODES, rating_scores
 from .inference import continuous_step, marginals, opinion
 from .spatial import nearest_cells
 from .similarity import broadcast_if_small
@@ -64,15 +64,14 @@ def ask(prompts: DataFrame, provider: Provider = offline_provider, prompt: str =
 
 def pairs(agents: DataFrame, proposals: DataFrame) -> DataFrame:
     """Every agent with every proposal, which is the set a model is asked about. Proposals are few by nature (nine in a study), and
-    are broadcast while there are at most 10,000."""
-    return agents.crossJoin(broadcast_if_small(proposals, 10_000))
+    are broadcast while there are at most 10,000. Agents are dealt first, as a table of them may be one part of one file."""
+    return agents.repartition("agent_id").crossJoin(broadcast_if_small(proposals, 10_000))
 
 
 def _rated(prompts: DataFrame, provider: Provider) -> DataFrame:
-    keyed = prompts.withColumn("k", F.concat_ws("|", F.col("agent_id").cast("string"), F.col("proposal_id").cast("string")))
-    scores = parse_rating(ask(keyed.select("k", "prompt"), provider), "k", "response")
-    ids = F.split("k", r"\|", 2)
-    return scores.select(ids[0].alias("agent_id"), ids[1].alias("proposal_id"), "code", "score")
+    """A row is asked and read on its own, so nothing is sorted or grouped; an agent that stands twice is asked twice."""
+    answered = ask(prompts.select("agent_id", "proposal_id", "prompt"), provider)
+    return answered.select(F.col("agent_id").cast("string").alias("agent_id"), F.col("proposal_id").cast("string").alias("proposal_id"), F.inline(rating_scores(F.col("response"))))
 
 
 def _prompted(name: str, text: Callable[[], Column], calls: int = 1) -> None:
