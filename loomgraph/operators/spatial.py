@@ -23,6 +23,8 @@ from ..sources.shared import materialize
 STEP = 0.01
 #: Tables of buckets of up to so many rows are broadcast.
 FEW = 50_000
+#: Cells that one row lists, of those around a bucket.
+LISTED = 256
 #: Levels of the pyramid after which the candidates are written.
 LEVELS_HELD = 4
 
@@ -42,16 +44,33 @@ def nearest_cells(agents: DataFrame, cells: DataFrame, step: float = STEP, by: s
     group = [by] if by else []
     centres = cells.select(*group, "cell_id", ((F.col("north") + F.col("south")) / 2).alias("cy"), ((F.col("east") + F.col("west")) / 2).alias("cx")).where("cy IS NOT NULL AND cx IS NOT NULL")
     centres = centres.withColumns({"__by": _bucket(F.col("cy"), step), "__bx": _bucket(F.col("cx"), step)})
-    around = F.array(*(F.struct((_bucket(F.col("lat"), step) + i).alias("__by"), (_bucket(F.col("lng"), step) + j).alias("__bx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    asked = agents.select("agent_id", "lat", "lng").where("lat IS NOT NULL AND lng IS NOT NULL")
-    near = _best(asked.select("agent_id", "lat", "lng", F.inline(around)).join(centres, ["__by", "__bx"]), group).where(F.col("x.distance") <= step)
+    # agents are dealt by id first, as a table of them may be one part of one file, and keep that place until each has its best
+    asked = agents.select("agent_id", "lat", "lng").where("lat IS NOT NULL AND lng IS NOT NULL").repartition("agent_id")
     # an agent is asked to have a cell of each group, so these rows are as many as the result's
-    every = asked.crossJoin(centres.select(by).distinct()) if by else asked
-    rest = materialize(every.join(near, ["agent_id", *group], "left_anti"), "far-agents")
-    found = near if rest.isEmpty() else near.union(_from_afar(rest, centres, step, group))
+    every = asked.crossJoin(F.broadcast(centres.select(by).distinct())) if by else asked
+    here = every.withColumns({"__by": _bucket(F.col("lat"), step), "__bx": _bucket(F.col("lng"), step)})
+    lists = _around(centres, group).withColumnsRenamed({c: f"__of{c}" for c in [*group, "__by", "__bx"]})
+    same = [F.col("__by") == F.col("__of__by"), F.col("__bx") == F.col("__of__bx"), *(F.col(c).eqNullSafe(F.col(f"__of{c}")) for c in group)]
+    met = here.join(lists, same, "left")
+    distance = lambda c: F.sqrt((F.col("lat") - c["cy"]) ** 2 + (F.col("lng") - c["cx"]) ** 2)
+    nearest = F.array_min(F.transform("__cells", lambda c: F.struct(distance(c).alias("distance"), c["cell_id"].alias("cell_id"))))
+    best = met.select("agent_id", "lat", "lng", *group, nearest.alias("x")).groupBy("agent_id", *group).agg(F.min("x").alias("x"), F.collect_set(F.struct("lat", "lng")).alias("__at"))
+    held = materialize(best, "near-agents")
+    near = held.where(F.col("x.distance") <= step).select("agent_id", *group, "x")
+    rest = held.where(F.col("x").isNull() | (F.col("x.distance") > step)).select("agent_id", *group, F.inline("__at"))
+    found = near if rest.isEmpty() else near.union(_from_afar(rest.select("agent_id", "lat", "lng", *group), centres, step, group))
     return found.select("agent_id", *group, "x.cell_id", "x.distance")
 
 
+def _around(centres: DataFrame, group: list[str]) -> DataFrame:
+    """(*group, __by, __bx, __cells): the cells in and around a bucket, in lists of at most LISTED."""
+    shifts = F.array(*(F.struct(F.lit(i).alias("__i"), F.lit(j).alias("__j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    spread = centres.select("*", F.inline(shifts)).withColumns({"__by": F.col("__by") + F.col("__i"), "__bx": F.col("__bx") + F.col("__j")})
+    key = [*group, "__by", "__bx"]
+    part = F.floor((F.row_number().over(W.partitionBy(*key).orderBy("cell_id")) - 1) / LISTED)
+    return spread.withColumn("__part", part).groupBy(*key, "__part").agg(F.collect_list(F.struct("cy", "cx", "cell_id")).alias("__cells")).drop("__part")
+
+
 def _best(met: DataFrame, group: list[str]) -> DataFrame:
     distance = F.sqrt((F.col("lat") - F.col("cy")) ** 2 + (F.col("lng") - F.col("cx")) ** 2)
     return met.groupBy("agent_id", *group).agg(F.min(F.struct(distance.alias("distance"), "cell_id")).alias("x"))

@@ -169,3 +169,20 @@ def test_zones_over_a_whole_cell_tie(spark):
     cells = spark.createDataFrame([("c", north, south, east, west)], "cell_id string, north double, south double, east double, west double")
     assert {abs(r.area - (east - west) * (north - south)) < 1e-17 for r in G.overlap_areas(cells, polygons).collect()} == {True}
     assert [r.zone_id for r in G.polygon_overlap(cells, polygons).collect()] == [0]
+
+
+def test_agents_in_one_part_are_dealt_before_they_meet_cells(spark, monkeypatch):
+    # lists of three, so that a bucket's cells come in several, and agents that stand twice
+    monkeypatch.setattr(G, "LISTED", 3)
+    rnd = random.Random(7)
+    centres = [(rnd.random() * 0.05, rnd.random() * 0.05, "a") for _ in range(60)]
+    cells = cells_of(spark, centres)
+    places = [(rnd.random() * 0.05, rnd.random() * 0.05) for _ in range(50)]
+    agents = agents_of(spark, places).coalesce(1)
+    got = {r.agent_id: r.distance for r in G.nearest_cells(agents.union(agents), cells).collect()}
+    assert len(got) == 50 and all(abs(got[r.agent_id] - min(math.hypot(r.lat - y, r.lng - x) for y, x, _ in centres)) < 1e-9 for r in agents.collect())
+    read = []
+    monkeypatch.setattr(G, "materialize", lambda df, name: read.append((name, df._jdf.queryExecution().executedPlan().toString())) or df)
+    G.nearest_cells(agents, cells).count()
+    name, plan = read[0]
+    assert name == "near-agents" and "REPARTITION_BY_COL" in plan
