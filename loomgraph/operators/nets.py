@@ -76,21 +76,37 @@ def factor_of(node, listed: list, rule, prior: float):
 
 def min_fill(scopes: list) -> list:
     """Nodes in the order of their elimination, each with the nodes that it is then connected to."""
-    near: dict = {}
+    nodes = sorted({x for scope in scopes for x in scope})
+    place = {x: i for i, x in enumerate(nodes)}
+    order = _min_fill(len(nodes), tuple(sorted({tuple(sorted(place[x] for x in scope)) for scope in scopes})))
+    return [(nodes[x], tuple(nodes[y] for y in around)) for x, around in order]
+
+
+@functools.lru_cache(maxsize=50_000)
+def _min_fill(n: int, scopes: tuple) -> list:
+    """The order for nodes 0 to n - 1, whose neighbours are bits of an integer; many small graphs are of one structure."""
+    near = [0] * n
     for scope in scopes:
+        bits = sum(1 << x for x in scope)
         for x in scope:
-            near.setdefault(x, set()).update(scope)
-    for x in near:
-        near[x].discard(x)
-    out = []
-    while near:
-        missing = lambda x: sum(len(near[x] - near[y]) - 1 for y in near[x])
-        x = min(near, key=lambda x: (missing(x), len(near[x]), x))
-        around = near.pop(x)
+            near[x] |= bits
+    near = [around & ~(1 << x) for x, around in enumerate(near)]
+    members = lambda bits: [y for y in range(n) if bits >> y & 1]
+    score: dict = {}
+    left, out = set(range(n)), []
+    while left:
+        for x in left - score.keys():
+            score[x] = sum((near[x] & ~near[y]).bit_count() - 1 for y in members(near[x])), near[x].bit_count(), x
+        x = min(left, key=score.__getitem__)
+        left.discard(x)
+        around = members(near[x])
+        changed = near[x]
         for y in around:
-            near[y] |= around
-            near[y] -= {x, y}
-        out.append((x, tuple(sorted(around))))
+            near[y] = (near[y] | near[x]) & ~(1 << x) & ~(1 << y)
+            changed |= near[y]
+        for y in members(changed):
+            score.pop(y, None)
+        out.append((x, tuple(around)))
     return out
 
 
@@ -161,6 +177,9 @@ def infer(nodes: list, parents: dict, rule, prior: float, done: dict, seen: dict
     if not _acyclic(nodes, cut):
         return None
     factors = [factor_of(n, cut.get(n, []), rule, done.get(n, prior)) for n in nodes]
+    if seen and all(v in (0, 1) for v in seen.values()):
+        # hard values need no beliefs from before, so one pass takes all of them
+        return clique_beliefs([*factors, *(((n,), np.array([1.0 - v, v])) for n, v in sorted(seen.items()) if n in nodes)])
     beliefs = clique_beliefs(factors)
     for n in sorted(seen.keys() & set(nodes)):
         if beliefs is None:

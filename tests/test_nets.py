@@ -163,3 +163,23 @@ def test_propagation_never_groups_by_graph(spark, graphs):
             level[t] = max(level.get(t, 0), level.get(s, 0) + 1)
         depth[g] = max(level.values())
     assert len(calls) == max(depth.values())
+
+
+def test_hard_evidence_takes_one_pass(monkeypatch):
+    passes = []
+    whole = N.clique_beliefs
+    monkeypatch.setattr(N, "clique_beliefs", lambda factors: passes.append(1) or whole(factors))
+    parents = {2: [(1, 0.5, 1.0)], 3: [(1, -0.4, 1.0), (2, 0.7, 1.0)], 4: [(3, 0.9, 1.0)]}
+    seen = N.infer([1, 2, 3, 4], parents, N.RULES["mean"], 0.1, {}, {4: 1.0, 2: 0.0})
+    assert len(passes) == 1
+    # the same by passes in turn, the way of soft evidence
+    turn = N.infer([1, 2, 3, 4], parents, N.RULES["mean"], 0.1, {}, {4: 1.0 - 1e-15, 2: 0.0})
+    assert all(abs(N.joint(seen, (n,))[1] - N.joint(turn, (n,))[1]) < 1e-12 for n in (1, 2, 3, 4))
+    assert N.infer([1, 2], {2: [(1, 0.5, 1.0)]}, N.RULES["mean"], 0.0, {}, {1: 1.0}) is None
+
+
+def test_graphs_of_one_structure_share_an_order():
+    N._min_fill.cache_clear()
+    assert N.min_fill([(5, 9), (9, 2)]) == [(2, (9,)), (5, (9,)), (9, ())] and N.min_fill([("a", "z"), ("z", "k")])[0] == ("a", ("z",))
+    N.min_fill([(50, 90), (90, 20)])
+    assert N._min_fill.cache_info().hits == 2
