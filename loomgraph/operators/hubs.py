@@ -13,6 +13,9 @@ Chains are in-edges times out-edges less the closed ones, which are found likewi
 
 Extraction keeps the first ``cap`` instances of a type: the counts tell which centres these fall to, and only there sets of leaves are
 made, in their order, until there are enough. A task then holds one centre's leaves and the edges among them.
+
+All of this is for graphs of more than ``small.LOCAL_EDGES`` edges; the others are counted a graph at a time (``small``), so that many
+small graphs cost one shuffle of their edges.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 from .motifs import CAP, TYPES, adjacency, simple_edges
+from .small import per_small_graph, split
 
 _SHAPES = ("ends", "paths2", "claws", "paths3", "triangles", "paws", "diamonds", "squares", "k4")
 
@@ -123,20 +127,54 @@ def _held(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(simple_edges(edges), "simple-edges"), materialize(adjacency(edges), "adjacency")
 
 
-def census(edges: DataFrame) -> DataFrame:
-    """(g, m1, m21, m22, m23, m31, m32, m33) for every graph with an edge."""
+_NAMES = [t.lower().replace(".", "") for t in TYPES]
+
+
+def _joined_numbers(edges: DataFrame) -> list[DataFrame]:
+    """Rows (g, center, some of m1, m21, m22, m23, m31, m32, m33) whose sums are the counts."""
     e, near = _held(edges)
     out = e.groupBy("g", F.col("src").alias("center")).agg(F.count("*").alias("o"))
     into = e.groupBy("g", F.col("dst").alias("center")).agg(F.count("*").alias("i"))
-    paths = into.join(out, ["g", "center"]).groupBy("g").agg(F.sum(F.col("i") * F.col("o")).alias("m1"))
-    closed = closed_chains(e, near).groupBy("g").agg((-F.count("*")).alias("m1"))
+    paths = into.join(out, ["g", "center"]).select("g", "center", (F.col("i") * F.col("o")).alias("m1"))
+    closed = closed_chains(e, near).groupBy("g", "center").agg((-F.count("*")).alias("m1"))
     stars = both_stars(e)
     counted = star_counts(stars, materialize(leaf_pairs(stars, near), "leaf-pairs"))
     of = lambda f, k: F.when(F.col("family") == f"M{f}", F.col(f"n{k}")).alias(f"m{f}{k - 1}")
-    parts = [paths, closed, counted.select("g", *(of(f, k) for f in (2, 3) for k in (2, 3, 4)))]
-    names = [t.lower().replace(".", "") for t in TYPES]
-    joined = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [edges.select("g").distinct(), *parts])
-    return joined.groupBy("g").agg(*(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in names))
+    return [paths, closed, counted.select("g", "center", *(of(f, k) for f in (2, 3) for k in (2, 3, 4)))]
+
+
+def _summed(parts: list[DataFrame], *key: str) -> DataFrame:
+    joined = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return joined.groupBy(*key).agg(*(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(n) for n in _NAMES))
+
+
+_LONGS = ", ".join(f"{n} bigint" for n in _NAMES)
+
+
+def census(edges: DataFrame) -> DataFrame:
+    """(g, m1, m21, m22, m23, m31, m32, m33) for every graph with an edge."""
+
+    def run(graph):
+        yield [sum(n) for n in zip([0] * len(_NAMES), *(found for _, found in graph.numbers()))]
+
+    few, many = split(edges)
+    counted = per_small_graph(few, run, _LONGS)
+    return counted if many is None else counted.union(_summed([many.select("g").distinct(), *(p.drop("center") for p in _joined_numbers(many))], "g"))
+
+
+def numbers_by_centre(edges: DataFrame) -> DataFrame:
+    """(g, motif, center, n): how many instances of each type have the centre, where there are any."""
+
+    def run(graph):
+        for node, found in graph.numbers():
+            yield node, *found
+
+    few, many = split(edges)
+    counted = per_small_graph(few, run, f"center {dict(edges.dtypes)['src']}, {_LONGS}")
+    if many is not None:
+        counted = counted.union(_summed(_joined_numbers(many), "g", "center"))
+    listed = F.array(*(F.struct(F.lit(t).alias("motif"), F.col(n).alias("n")) for t, n in zip(TYPES, _NAMES, strict=True)))
+    return counted.select("g", "center", F.inline(listed)).where("n > 0").select("g", "motif", "center", "n")
 
 
 # Extraction
@@ -173,13 +211,13 @@ def _first_of(rows: DataFrame, n: str, order: list[str], cap: int) -> DataFrame:
     return first.withColumn("before", before).where(F.col("before") < cap).withColumn("want", F.least(F.col(n), F.lit(cap) - F.col("before"))).drop("__k")
 
 
-def _first_stars(edges: DataFrame, near: DataFrame, cap: int) -> DataFrame:
+def _first_stars(edges: DataFrame, near: DataFrame, cap: int, each: int) -> DataFrame:
     stars = both_stars(edges)
     pairs = materialize(leaf_pairs(stars, near), "leaf-pairs")
     counted = star_counts(stars, pairs)
     leaves = F.when(F.col("n4") > 0, 4).when(F.col("n3") > 0, 3).when(F.col("n2") > 0, 2)
     n = F.when(F.col("n4") > 0, F.col("n4")).when(F.col("n3") > 0, F.col("n3")).otherwise(F.col("n2"))
-    typed = counted.select(*KEY, leaves.alias("leaves"), n.alias("n")).where("leaves IS NOT NULL").withColumn("motif", F.concat("family", F.lit("."), (F.col("leaves") - 1).cast("string")))
+    typed = counted.select(*KEY, leaves.alias("leaves"), F.least(n, F.lit(each)).alias("n")).where("leaves IS NOT NULL").withColumn("motif", F.concat("family", F.lit("."), (F.col("leaves") - 1).cast("string")))
     key = KEY
     kept = materialize(_first_of(typed, "n", ["center"], cap), "star-centres")
     chosen = kept.select(*key)
@@ -217,7 +255,21 @@ def _first_chains(edges: DataFrame, near: DataFrame, cap: int) -> DataFrame:
     return ranked.where(F.col("rank") <= cap)
 
 
+def _extracted(edges: DataFrame, cap: int, each: int) -> DataFrame:
+    few, many = split(edges)
+    found = per_small_graph(few, lambda graph: graph.first(cap, each), "motif string, center bigint, nodes array<bigint>, rank bigint")
+    if many is None:
+        return found
+    e, near = _held(many)
+    return found.union(_first_chains(e, near, cap)).union(_first_stars(e, near, cap, each))
+
+
 def extract(edges: DataFrame, cap: int = CAP) -> DataFrame:
     """(g, motif, center, nodes, rank): as ``motifs.extract`` of all instances, without making them. Nodes must be of an integer type."""
-    e, near = _held(edges)
-    return _first_chains(e, near, cap).union(_first_stars(e, near, cap))
+    return _extracted(edges, cap, cap)
+
+
+def extract_by_suppression(edges: DataFrame, cap: int = CAP) -> DataFrame:
+    """(g, motif, center, nodes, rank): as ``motifs.extract_by_suppression`` of all instances, without making them."""
+    largest = F.concat(F.substring("motif", 1, 2), F.lit(".3"))
+    return _extracted(edges, cap, 1).withColumn("motif", F.when(F.col("motif") == "M1", "M1").otherwise(largest))

@@ -84,3 +84,38 @@ def test_empty_tables(spark):
     assert H.census(none).count() == 0 and H.extract(none).count() == 0
     loop = H.census(frame(spark, {1: [(1, 1)], 2: [(1, 2), (2, 1)]})).collect()
     assert sorted(tuple(r) for r in loop) == [(1, *[0] * 7), (2, *[0] * 7)]
+
+
+def mixed(spark):
+    """Random graphs with loops and two-way edges; some have more edges than are counted a graph at a time, some a null end."""
+    rnd = random.Random(4)
+    graphs = {g: [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)] for g, (n, m) in enumerate([(2, 3), (5, 9), (9, 20), (14, 40), (25, 60), (30, 140), (40, 150), (25, 200)])}
+    graphs |= {50: star_with(rnd, 12, 0.3, False), 51: star_with(rnd, 40, 0.03, True), 60: [(1, None), (None, 1)], None: [(1, 2), (2, 3)]}
+    return frame(spark, graphs)
+
+
+def as_rows(df, *names):
+    return sorted((tuple(r[n] for n in names) for r in df.collect()), key=str)
+
+
+def test_small_and_large_graphs_equal_all_instances(spark):
+    edges = mixed(spark)
+    every = M.instances(edges).persist()
+    by_centre = H.numbers_by_centre(edges)
+    assert as_rows(by_centre, "g", "motif", "center", "n") == as_rows(every.groupBy("g", "motif", "center").agg(F.count("*").alias("n")), "g", "motif", "center", "n")
+    counts = {(r["g"], r["motif"]): r["n"] for r in every.groupBy("g", "motif").agg(F.count("*").alias("n")).collect()}
+    census = {r["g"]: r for r in H.census(edges).collect()}
+    assert set(census) == {r["g"] for r in edges.select("g").distinct().collect()}
+    assert all(r[t.lower().replace(".", "")] == counts.get((g, t), 0) for g, r in census.items() for t in M.TYPES)
+    names = ("g", "motif", "center", "nodes", "rank")
+    for cap in (3,):
+        assert as_rows(H.extract_by_suppression(edges, cap), *names) == as_rows(M.extract_by_suppression(every, cap), *names)
+        assert as_rows(H.extract(edges, cap), *names) == as_rows(M.extract(every, cap), *names)
+    every.unpersist()
+
+
+def test_many_small_graphs_move_their_edges_once(spark):
+    """One exchange by graph; the joins moved the edges again for every shape."""
+    edges = frame(spark, {g: [(0, 1), (0, 2), (1, 3)] for g in range(20)})
+    for made in (H.census(edges), H.numbers_by_centre(edges), H.extract(edges), H.extract_by_suppression(edges)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
