@@ -106,7 +106,7 @@ QUERIES = {
     "features_overlap": lambda s, d: _features(s, d),
     "motif_heatmap": lambda s, d: M.heatmap(H.census(held_trade_edges(s, d))).groupBy("motif").pivot("g", list(range(1992, 2006))).agg(F.sum("n")).na.fill(0).select("motif", *(F.col(str(y)).alias(f"y{y}") for y in range(1992, 2006))),
     "motif_extraction": lambda s, d: H.extract(basket_edges(s, d)).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
-    "motif_extraction_suppressed": lambda s, d: M.extract_by_suppression(M.instances(basket_edges(s, d))).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
+    "motif_extraction_suppressed": lambda s, d: H.extract_by_suppression(basket_edges(s, d)).select("g", "motif", "center", F.array_join("nodes", ",").alias("nodes"), "rank"),
     "node_roles": lambda s, d: E.node_roles(basket_edges(s, d)),
     "node_positions": lambda s, d: E.degrees(basket_edges(s, d)).select("g", "node", E.position(F.col("in_degree"), F.col("out_degree")).alias("position"), E.position3(F.col("in_degree"), F.col("out_degree")).alias("position3"), E.position_weight(E.position(F.col("in_degree"), F.col("out_degree"))).alias("weight")),
     "graph_stance": lambda s, d: E.graph_stance(_stance_nodes(s, d), basket_edges(s, d)),
