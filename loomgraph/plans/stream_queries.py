@@ -44,8 +44,10 @@ def _dialogues(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", F.col("o_orderdate").cast("timestamp").alias("ts"))
     relation = lambda a, b, c: F.struct(a.alias("source"), b.alias("target"), c.alias("confidence"), (F.col("l_returnflag") != "R").alias("positive"))
     relations = F.array(relation(F.col("p_type"), F.col("p_brand"), F.col("l_discount")), relation(F.upper("p_brand"), F.col("l_returnflag"), F.lit(0.5)))
-    turn = F.row_number().over(W.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return line.join(part, "l_partkey").join(orders, "l_orderkey").select(F.col("o_custkey").cast("string").alias("chat_id"), turn.alias("turn"), "ts", relations.alias("relations"))
+    turn = F.row_number().over(W.partitionBy("chat_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    # texts come last, so that they move once, and lines are dealt by the dialogue that they are read by
+    said = line.join(orders, "l_orderkey").join(part, "l_partkey").withColumn("chat_id", F.col("o_custkey").cast("string"))
+    return said.select("chat_id", turn.alias("turn"), "ts", relations.alias("relations"))
 
 
 def _transcripts(spark, d):

@@ -43,21 +43,34 @@ def _placed(qa: DataFrame) -> DataFrame:
 
 
 def grown(qa: DataFrame, every: int = MERGE_EVERY) -> DataFrame:
-    """The graphs (columns as GRAPH) after all rows of a table."""
+    """The graphs (columns as GRAPH) after all rows of a table.
+
+    Every step is a window or a group within a dialogue, so rows move once, and not at all where the table is dealt by dialogue.
+    """
     chat = W.partitionBy("chat_id")
-    first = _placed(qa).groupBy("chat_id", "turn").agg(F.min(F.struct("ts", "relations")).alias("x"), (F.count("*") - 1).alias("again"))
-    numbered = first.select("chat_id", "turn", _kept(F.col("x.relations")).alias("relations"), F.row_number().over(chat.orderBy("turn")).cast("long").alias("number"), F.count("*").over(chat).alias("questions"), F.sum("again").over(chat).alias("late"))
+    # the first row of a turn is the one that stands where the turn begins
+    placed = _placed(qa).withColumn("place", F.row_number().over(chat.orderBy("turn", "ts", "relations")))
+    by_turn = chat.orderBy("turn")
+    ranked = placed.withColumns({"begins": F.rank().over(by_turn), "number": F.dense_rank().over(by_turn).cast("long")})
+    counted = ranked.withColumns({"questions": F.max("number").over(chat), "rows": F.count("*").over(chat)}).where("place = begins")
     merged = (F.col("number") <= F.col("questions") - F.col("questions") % every).alias("merged")
-    exploded = numbered.select("chat_id", "turn", "questions", "late", merged, F.posexplode_outer("relations").alias("at", "r"))
-    edges = exploded.where("r IS NOT NULL").withColumn("edge", F.row_number().over(chat.orderBy("turn", "at")).cast("long"))
-    ends = edges.select("chat_id", "edge", "merged", F.posexplode(F.array("r.source", "r.target")).alias("end", "label")).withColumn("node", 2 * F.col("edge") - 1 + F.col("end"))
-    alike = W.partitionBy("chat_id", "merged", F.when(F.col("merged"), normal_label(F.col("label"))).otherwise(F.col("node").cast("string")))
-    named = ends.withColumns({"id": F.min("node").over(alike), "name": F.min_by("label", "node").over(alike)})
-    sides = named.groupBy("chat_id", "edge").agg(*(F.max(F.when(F.col("end") == e, F.col(c))).alias(f"{side}{suffix}") for e, side in ((0, "src"), (1, "dst")) for c, suffix in (("id", ""), ("name", "_label"))))
+    kept = _kept(F.col("relations"))
+    # a null before the first question's relations, edge 0, stands for the dialogue where no edge remains
+    listed = F.when(F.col("number") == 1, F.concat(F.array(F.lit(None)), kept)).otherwise(kept)
+    exploded = counted.select("chat_id", "turn", "questions", (F.col("rows") - F.col("questions")).alias("late"), merged, F.posexplode(listed).alias("at", "r"))
+    edges = exploded.withColumn("edge", F.row_number().over(chat.orderBy("turn", "at")).cast("long") - 1)
     sign = F.when(F.col("r.positive"), F.col("r.confidence")).otherwise(-F.col("r.confidence"))
-    found = edges.join(sides, ["chat_id", "edge"]).where("src <> dst").select("chat_id", "edge", "src", "dst", "src_label", "dst_label", "r.confidence", sign.alias("modifier"))
-    totals = numbered.groupBy("chat_id").agg(F.max("questions").alias("questions"), F.max("late").alias("late"))
-    return totals.join(found, "chat_id", "left").select(*(x.split()[0] for x in GRAPH.split(", ")))
+    ends = edges.select("chat_id", "questions", "late", "edge", "merged", "r.confidence", sign.alias("modifier"), F.posexplode(F.array("r.source", "r.target")).alias("end", "label")).withColumn("node", 2 * F.col("edge") - 1 + F.col("end"))
+    alike = W.partitionBy("chat_id", "merged", F.when(F.col("merged") & (F.col("edge") > 0), normal_label(F.col("label"))).otherwise(F.col("node").cast("string")))
+    named = ends.withColumns({"id": F.min("node").over(alike), "name": F.min_by("label", "node").over(alike)})
+    side = lambda end, c: F.max(F.when(F.col("end") == end, F.col(c)))
+    once = ("questions", "late", "confidence", "modifier")
+    found = named.groupBy("chat_id", "edge").agg(*(F.max(c).alias(c) for c in once), *(side(e, c).alias(f"{name}{suffix}") for e, name in ((0, "src"), (1, "dst")) for c, suffix in (("id", ""), ("name", "_label"))))
+    stays = (F.col("edge") > 0) & (F.col("src") != F.col("dst"))
+    remain = found.withColumn("remain", F.count(F.when(stays, 1)).over(chat)).where(stays | ((F.col("edge") == 0) & (F.col("remain") == 0)))
+    real = lambda c: F.when(F.col("edge") > 0, F.col(c)).alias(c)
+    names = [x.split()[0] for x in GRAPH.split(", ")]
+    return remain.select(*(c if c in ("chat_id", "questions", "late") else real(c) for c in names))
 
 
 class Growth(StatefulProcessor):

@@ -90,6 +90,14 @@ def test_odd_rows_of_a_table(spark):
     assert growing.grown(spark.createDataFrame([], growing.QA)).count() == 0
 
 
+def test_repeated_turns_are_late_and_rows_move_once(spark):
+    later = START + datetime.timedelta(1)
+    rows = [("c", 2, later, [("p", "q", 0.1, True)]), ("c", 2, START, [("a", "b", 0.2, False)]), ("c", 2, None, [("x", "x", 0.3, True), ("x", "y", None, True)]), ("c", 5, START, None), ("c", 9, START, [("Y", "x", 0.4, None)]), ("d", 1, START, [("a", "A_", 0.5, True)]), ("d", 2, START, None), ("d", 3, START, None), ("d", 3, START, None)]
+    made = growing.grown(spark.createDataFrame(rows, growing.QA))
+    assert as_sets(made) == {"c": {(3, 2, 1, 1, 2, "x", "y", None, None), (3, 2, 2, 2, 1, "y", "x", 0.4, -0.4)}, "d": {(3, 1, *[None] * 7)}}
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_stream_in_any_order_equals_table(rocks, tmp_path, seed):
     rows = dialogues(4, chats=4)
