@@ -160,3 +160,12 @@ def test_folded_weights_equal_the_kernel_expansion():
     assert have == pytest.approx(want.tolist(), abs=1e-6)
     run = toxicity.word_values(toxicity.symbols(" ".join(words)), weights, 0.0)
     assert [a for a, b in zip(run, want, strict=True) if b > 0] == pytest.approx([b for b in want if b > 0], abs=1e-5)
+
+
+def test_row_sums_of_runs_of_any_length():
+    rng = np.random.default_rng(5)
+    for own in (np.zeros(9, "i8"), np.arange(50), rng.integers(0, 7, 300), np.minimum(rng.geometric(0.2, 400), 9)):
+        g = rng.integers(-50, 50, (len(own), 4)).astype("f4")
+        order = np.argsort(own, kind="stable")
+        first = np.flatnonzero(np.diff(own[order], prepend=-1))
+        assert maxent_lm.row_sums(g, order, first).tolist() == [g[own == k].sum(axis=0).tolist() for k in np.unique(own)]
