@@ -101,11 +101,19 @@ def beta_net(edges: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
         v: dict = {}
         for x in topological_order(nodes, parents):
             known = [v[s] for s, *_ in parents.get(x, ()) if s in v]
-            a = np.clip(0.2 + 0.5 * np.mean(known, axis=0), 1e-3, 1 - 1e-3) if known else None
-            v[x] = rng.beta(2, 2, n) if a is None else rng.beta(a, 1 - a)
-            yield g, x, float(v[x].mean())
+            if known:
+                # samples lie within 0 and 1, so a needs no bounds
+                a = sum(known[1:], known[0]) / len(known)
+                a *= 0.5
+                a += 0.2
+                v[x] = rng.beta(a, 1 - a)
+            else:
+                v[x] = rng.beta(2, 2, n)
+            yield g, x, float(np.add.reduce(v[x]) / n)
 
-    return per_graph(edges, run, "g int, node int, mean double")
+    # draws take long for the bytes of a graph, so the graphs' partitions are not to be joined by their size
+    dealt = edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g")
+    return per_graph(dealt, run, "g int, node int, mean double")
 
 
 def changes(base: DataFrame, changed: DataFrame) -> DataFrame:

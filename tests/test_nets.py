@@ -183,3 +183,17 @@ def test_graphs_of_one_structure_share_an_order():
     assert N.min_fill([(5, 9), (9, 2)]) == [(2, (9,)), (5, (9,)), (9, ())] and N.min_fill([("a", "z"), ("z", "k")])[0] == ("a", ("z",))
     N.min_fill([(50, 90), (90, 20)])
     assert N._min_fill.cache_info().hits == 2
+
+
+def test_beta_net_is_dealt_by_number(spark):
+    import numpy as np
+
+    from loomgraph.operators import inference
+
+    edges = spark.createDataFrame([(1, 0, 2, 1, 0.5, 0.5), (1, 1, 2, 2, -0.5, 0.5)], "g int, src int, dst int, ord int, modifier double, confidence double")
+    made = inference.beta_net(edges, 50)
+    assert "REPARTITION_BY_NUM" in made._jdf.queryExecution().executedPlan().toString()
+    rng = np.random.default_rng([0, 1])
+    roots = [rng.beta(2, 2, 50) for _ in range(2)]
+    a = np.clip(0.2 + 0.5 * np.mean(roots, axis=0), 1e-3, 1 - 1e-3)
+    assert [r["mean"] for r in made.orderBy("node").collect()] == [float(x.mean()) for x in (*roots, rng.beta(a, 1 - a))]
