@@ -23,6 +23,8 @@ result; further columns are left out.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -53,6 +55,15 @@ def word_class(word: bytes) -> int:
     return 0 if word == END else 1 + zlib.crc32(word[-2:]) % (CLASSES - 1)
 
 
+def word_classes(words):
+    """word_class of each word, which is that of the word's last two bytes."""
+    import numpy as np
+
+    ends = [w[-2:] for w in words]
+    known = {e: word_class(e) for e in set(ends)}
+    return np.array([known[e] for e in ends], "i4")
+
+
 def feature_rows(hashes, starts):
     """Rows (tokens, 4) of the class weights that each token's context picks, the bias last; hashes of the unit's tokens in order, starts of its texts.
 
@@ -60,25 +71,29 @@ def feature_rows(hashes, starts):
     """
     import numpy as np
 
-    one = np.concatenate([[0], hashes[:-1]]).astype("u8")
-    two = np.concatenate([[0, 0], hashes[:-2]])[: len(hashes)].astype("u8")
+    # the bits that are kept are below the 32nd, so numbers of 32 bits may overflow
+    hashes = hashes.astype("u4")
+    one, two = np.zeros((2, len(hashes)), "u4")
+    one[1:] = hashes[:-1]
+    two[2:] = hashes[:-2]
     one[starts] = 0
     two[starts] = 0
     second = starts[starts + 1 < len(hashes)] + 1
     two[np.setdiff1d(second, starts)] = 0
-    mask = np.uint64((1 << ROWS_LOG2) - 1)
-    mix = lambda h, n: ((h * np.uint64(_MIX[n])) >> np.uint64(16)) & mask
-    both = (one * np.uint64(31) + two * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)
-    bias = np.full(len(hashes), 1 << ROWS_LOG2, "u8")
-    return np.stack([mix(one + np.uint64(1), 0), mix(two + np.uint64(2), 1), mix(both + np.uint64(3), 2), bias], axis=1).astype("i4")
+    mix = lambda h, n: ((h * np.uint32(_MIX[n])) >> np.uint32(16)) & np.uint32((1 << ROWS_LOG2) - 1)
+    both = one * np.uint32(31) + two * np.uint32(0x9E3779B1)
+    bias = np.full(len(hashes), 1 << ROWS_LOG2, "u4")
+    return np.stack([mix(one + np.uint32(1), 0), mix(two + np.uint32(2), 1), mix(both + np.uint32(3), 2), bias]).view("i4").T
 
 
 def slot_rows(rows, classes):
     """Rows of the slot weights: the context's rows joined with the class, and a bias of each class."""
     import numpy as np
 
-    joined = ((rows[:, :3].astype("u8") * np.uint64(CLASSES) + classes[:, None].astype("u8")) * np.uint64(_MIX[0])) >> np.uint64(9)
-    return np.concatenate([joined & np.uint64((1 << ROWS_LOG2) - 1), ((1 << ROWS_LOG2) + classes)[:, None].astype("u8")], axis=1).astype("i4")
+    classes = classes.astype("u4")
+    # numbers of 32 bits may overflow, as above
+    joined = ((rows.T[:3].astype("u4") * np.uint32(CLASSES) + classes) * np.uint32(_MIX[0])) >> np.uint32(9)
+    return np.concatenate([joined & np.uint32((1 << ROWS_LOG2) - 1), [np.uint32(1 << ROWS_LOG2) + classes]]).astype("i4").T
 
 
 def empty_weights():
@@ -105,16 +120,29 @@ def first_weights(slots: dict[bytes, tuple[int, int]], tokens: list[int]):
     return weights
 
 
-def log_probs(weights, rows):
-    """Natural logarithms of the softmax over the sums of the rows' weights, which count as 60 at most either way."""
+def row_scores(weights, columns):
+    """Sums of the weights of the rows that stand in the columns' places, which count as 60 at most either way."""
     import numpy as np
 
-    z = np.take(weights, rows[:, 0], axis=0)
-    for k in range(1, rows.shape[1]):
-        z += np.take(weights, rows[:, k], axis=0)
-    np.clip(z, -60, 60, out=z)
-    z -= np.log(np.exp(z) @ np.ones((z.shape[1], 1), "f4"))
-    return z
+    z = np.take(weights, columns[0], axis=0)
+    for own in columns[1:]:
+        z += weights[own[0]] if (own == own[0]).all() else np.take(weights, own, axis=0)
+    return np.clip(z, -60, 60, out=z)
+
+
+def log_probs(weights, rows, outputs=None):
+    """Natural logarithms of the softmax over the sums of the rows' weights; if outputs are given, only that of each row's output."""
+    import numpy as np
+
+    z = row_scores(weights, rows.T)
+    own = z if outputs is None else z[np.arange(len(z)), outputs][:, None]
+    p = own - np.log(np.exp(z) @ np.ones((z.shape[1], 1), "f4"))
+    return p if outputs is None else p[:, 0]
+
+
+def as_items(a):
+    """The rows of an array in one piece as single items, which numpy copies whole."""
+    return a.view(f"V{a.shape[1] * a.itemsize}")[:, 0]
 
 
 def row_sums(g, order, first):
@@ -127,10 +155,10 @@ def row_sums(g, order, first):
 
     out = np.take(g, order[first], axis=0)
     sizes = np.diff(first, append=len(order))
-    many = sizes > 1
-    if many.any():
-        pairs, n = np.take(g, order[np.repeat(many, sizes)], axis=0).view("c8"), sizes[many]
-        out[many] = np.add.reduceat(pairs, np.cumsum(n) - n, axis=0).view("f4")
+    many = np.flatnonzero(sizes > 1)
+    if len(many):
+        pairs, n = np.take(g, order[np.repeat(sizes > 1, sizes)], axis=0).view("c8"), sizes[many]
+        np.put(as_items(out), many, as_items(np.add.reduceat(pairs, np.cumsum(n) - n, axis=0)))
     return out
 
 
@@ -138,30 +166,32 @@ def learn(weights, squares, rows, outputs):
     """One pass of gradient updates in batches, in place; squares are the sums of squared gradients that scale the steps."""
     import numpy as np
 
+    width = weights.shape[1]
+    weight_items, square_items = as_items(weights), as_items(squares)
     for at in range(0, len(rows), BATCH):
-        r, c = rows[at : at + BATCH], outputs[at : at + BATCH]
-        g = log_probs(weights, r)
+        columns, c = rows[at : at + BATCH].T, outputs[at : at + BATCH]
+        g = row_scores(weights, columns)
         np.exp(g, out=g)
-        g[np.arange(len(c)), c] -= 1
-        for k in range(r.shape[1]):
-            # numbers of 16 bits are sorted by radix
-            own = r[:, k].astype("u2") if len(weights) <= 1 << 16 else r[:, k]
-            if own[0] == own[-1] and (own == own[0]).all():
+        g *= 1 / (g @ np.ones((width, 1), "f4"))
+        g.ravel()[np.arange(0, g.size, width) + c] -= 1
+        for own in columns:
+            if (own == own[0]).all():
                 used, sums = own[:1], g.sum(axis=0, keepdims=True)
             else:
-                order = np.argsort(own, kind="stable")
+                # numbers of 16 bits are sorted by radix
+                order = np.argsort(own.astype("u2") if len(weights) <= 1 << 16 else own, kind="stable")
                 sorted_ = own[order]
                 first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
                 used, sums = sorted_[first], row_sums(g, order, first)
             q = np.take(squares, used, axis=0)
             q += sums * sums
-            squares[used] = q
+            np.put(square_items, used, as_items(q))
             q += 1
             np.sqrt(q, out=q)
             np.divide(sums, q, out=sums)
             sums *= -RATE
             sums += np.take(weights, used, axis=0)
-            weights[used] = sums
+            np.put(weight_items, used, as_items(sums))
 
 
 def pack_tokens(tokens, kind: str = "<u4") -> bytes:
@@ -209,12 +239,14 @@ def pack_units(docs: DataFrame) -> DataFrame:
 
         def unit(ids, texts, learns):
             nonlocal number
-            vocabulary: dict[bytes, int] = {END: 0}
-            get = vocabulary.setdefault
+            vocabulary: dict[bytes, int] = defaultdict()
+            vocabulary.default_factory = vocabulary.__len__
+            number_of = vocabulary.__getitem__
+            number_of(END)
             sizes, tokens = [], []
             for t in texts:
                 words = t.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split() if t else []
-                tokens += [get(w, len(vocabulary)) for w in words]
+                tokens += map(number_of, words)
                 tokens.append(0)
                 sizes.append(len(words) + 1)
             number += 1
@@ -301,7 +333,7 @@ def answer_counts(asked: DataFrame) -> DataFrame:
         corpus = np.zeros(len(total), "i8")
         for n, c in zip(numbers, frame.column("counts"), strict=True):
             corpus[n] += np.frombuffer(c.as_py(), "<u4")
-        classes = np.array([word_class(w) for w in total])
+        classes = word_classes(total)
         known = corpus > 0
         tokens, types = np.bincount(classes, weights=corpus, minlength=CLASSES), np.bincount(classes[known], minlength=CLASSES)
         n, part = len(numbers), frame.column("part")[0].as_py()
@@ -335,16 +367,15 @@ def frequent_words(answers: DataFrame) -> dict[bytes, tuple[int, int]]:
 
 
 def _context(u, slots: dict[bytes, tuple[int, int]]):
-    """Feature rows, classes, slots and words of a unit."""
+    """Feature rows of a unit's tokens; classes and slots of its words."""
     import zlib
 
     import numpy as np
 
     words = u["words"]
     hashes = np.array([zlib.crc32(w) for w in words], "u4")[u["tokens"]]
-    classes = np.array([word_class(w) for w in words])[u["tokens"]]
-    slot = np.array([slots.get(w, (SLOTS - 1, 0))[0] for w in words])[u["tokens"]]
-    return feature_rows(hashes, _starts(u["sizes"])), classes, slot, words
+    slot = np.array([slots.get(w, (SLOTS - 1, 0))[0] for w in words], "i4")
+    return feature_rows(hashes, _starts(u["sizes"])), word_classes(words), slot
 
 
 #: Weight rows of both softmaxes that travel together.
@@ -393,12 +424,12 @@ def train(units: DataFrame, slots: dict[bytes, tuple[int, int]], tokens: list[in
             for u in _unit_rows(batches, ("unit", "sizes", "train", "tokens", "words")):
                 if w is None:
                     w, q = ([a.copy() for a in x] for x in shared.value)
-                rows, classes, slot, _ = _context(u, known.value)
+                rows, classes, slot = _context(u, known.value)
                 keep = np.repeat(u["train"], u["sizes"]).astype(bool)
-                rows, classes = rows[keep], classes[keep]
-                learn(w[0], q[0], rows, classes)
-                learn(w[1], q[1], slot_rows(rows, classes), slot[keep])
-                seen += int(keep.sum())
+                rows, own = rows.T[:, keep].T, u["tokens"][keep]
+                learn(w[0], q[0], rows, classes[own])
+                learn(w[1], q[1], slot_rows(rows, classes[own]), slot[own])
+                seen += len(own)
             if seen:
                 dw, dq = _blocks([a - b for a, b in zip(w, shared.value[0], strict=True)]), _blocks([a - b for a, b in zip(q, shared.value[1], strict=True)])
                 for n in range(BLOCKS):
@@ -437,22 +468,20 @@ def score(units: DataFrame, answers: DataFrame, weights, slots: dict[bytes, tupl
 
         weights, slots = shared.value
         u = next(_unit_rows([left], ("doc_ids", "sizes", "tokens", "words")))
-        rows, classes, slot, words = _context(u, slots)
-        part = np.array([zlib.crc32(w) for w in words], "u4") % parts
-        counts = np.zeros(len(words), "i8")
+        rows, of, slot = _context(u, slots)
+        part = np.array([zlib.crc32(w) for w in u["words"]], "u4") % parts
+        counts = np.zeros(len(part), "i8")
         for p, c in zip(right.column("part").to_pylist(), right.column("counts"), strict=True):
             counts[part == p] = unpack_tokens(c.as_py(), "<i8")
-        starts = _starts(u["sizes"])
-        own = counts[u["tokens"]]
-        base = np.log10((own + 1) / (total + distinct + 1))
-        in_slot = np.where(own > 0, np.log10(np.maximum(own - DISCOUNT, 1e-300)) - np.log10(np.maximum(t[classes], 1)), unknown[classes])
+        starts, own = _starts(u["sizes"]), u["tokens"]
+        base = np.log10((counts + 1) / (total + distinct + 1))
+        in_slot = np.where(counts > 0, np.log10(np.maximum(counts - DISCOUNT, 1e-300)) - np.log10(np.maximum(t[of], 1)), unknown[of])
         in_slot[slot < SLOTS - 1] = 0.0
-        context = np.empty(len(own))
+        classes, slot, context = of[own], slot[own], np.empty(len(own))
         for at in range(0, len(own), BATCH):
-            r, c, s = rows[at : at + BATCH], classes[at : at + BATCH], slot[at : at + BATCH]
-            n = np.arange(len(r))
-            context[at : at + BATCH] = (log_probs(weights[0], r)[n, c] + log_probs(weights[1], slot_rows(r, c))[n, s]) / np.log(10)
-        sums = [np.add.reduceat(x, starts) for x in (own > 0, base, in_slot + context)]
+            r, c, n = rows[at : at + BATCH], classes[at : at + BATCH], slot[at : at + BATCH]
+            context[at : at + BATCH] = (log_probs(weights[0], r, c) + log_probs(weights[1], slot_rows(r, c), n)) / np.log(10)
+        sums = [np.add.reduceat(x, starts) for x in (counts[own] > 0, base[own], in_slot[own] + context)]
         return pa.table({"doc_id": pa.array(u["doc_ids"], pa.int64()), "n_tokens": pa.array(u["sizes"].astype("i8")), "n_known": pa.array(sums[0].astype("i8")), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     known = answers.where("unit IS NOT NULL").select("unit", "part", "counts")

@@ -169,3 +169,38 @@ def test_row_sums_of_runs_of_any_length():
         order = np.argsort(own, kind="stable")
         first = np.flatnonzero(np.diff(own[order], prepend=-1))
         assert maxent_lm.row_sums(g, order, first).tolist() == [g[own == k].sum(axis=0).tolist() for k in np.unique(own)]
+
+
+def test_learning_takes_one_exponential_of_each_output_and_steps_as_by_hand(monkeypatch):
+    rng = np.random.default_rng(8)
+    hashes = rng.integers(1, 1 << 32, 300, dtype="u8")[np.minimum(rng.geometric(0.02, 5000), 300) - 1]
+    rows = maxent_lm.feature_rows(hashes, np.array([0, 1, 2500]))
+    classes = rng.integers(0, maxent_lm.CLASSES, 5000)
+    exp, asked = np.exp, []
+    monkeypatch.setattr(np, "exp", lambda x, *a, **k: asked.append(x.size) or exp(x, *a, **k))
+    for n, picked in enumerate((rows, maxent_lm.slot_rows(rows, classes))):
+        w, q = maxent_lm.empty_weights()[n], maxent_lm.empty_weights()[n]
+        w2, q2 = w.astype("f8"), q.astype("f8")
+        maxent_lm.learn(w, q, picked, classes)
+        assert sum(asked) == 5000 * w.shape[1]
+        for at in range(0, 5000, maxent_lm.BATCH):
+            r, c = picked[at : at + maxent_lm.BATCH], classes[at : at + maxent_lm.BATCH]
+            p = exp(w2[r].sum(axis=1))
+            g = p / p.sum(axis=1, keepdims=True) - np.eye(w.shape[1])[c]
+            for k in range(4):
+                s = np.zeros_like(w2)
+                np.add.at(s, r[:, k], g)
+                q2 += s * s
+                w2 -= maxent_lm.RATE * s / np.sqrt(q2 + 1)
+        assert np.abs(w - w2).max() < 1e-4 and np.abs(q - q2).max() < 1e-4 * q2.max()
+        assert maxent_lm.log_probs(w, picked, classes) == pytest.approx(maxent_lm.log_probs(w, picked)[np.arange(5000), classes], abs=1e-5)
+        asked.clear()
+
+
+def test_a_unit_asks_for_the_class_of_each_ending_once(monkeypatch):
+    words = [maxent_lm.END, b"a", "é".encode(), b"\xff", *(b"%dring" % i for i in range(500)), *(b"%dtion" % i for i in range(500))]
+    want, real, asked = [maxent_lm.word_class(w) for w in words], maxent_lm.word_class, []
+    monkeypatch.setattr(maxent_lm, "word_class", lambda w: asked.append(w) or real(w))
+    unit = {"words": words, "tokens": np.arange(len(words), dtype="u4"), "sizes": np.array([len(words)], "u4")}
+    assert maxent_lm._context(unit, {b"a": (3, 9)})[1].tolist() == want
+    assert len(asked) == 6
