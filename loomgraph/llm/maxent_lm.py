@@ -196,32 +196,30 @@ def learn(weights, squares, rows, outputs):
 
 def pack_tokens(tokens, kind: str = "<u4") -> bytes:
     """Numbers as planes of bytes, compressed: numbers are given out in order, so frequent words have small ones."""
-    import zlib
-
     import numpy as np
+    import zstandard
 
     numbers = np.array(tokens, kind)
-    return zlib.compress(np.ascontiguousarray(numbers.view("u1").reshape(-1, numbers.itemsize).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(numbers.view("u1").reshape(-1, numbers.itemsize).T).tobytes(), 1)
 
 
 def unpack_tokens(data: bytes, kind: str = "<u4"):
-    import zlib
-
     import numpy as np
+    import zstandard
 
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def pack_words(words) -> bytes:
-    import zlib
+    import zstandard
 
-    return zlib.compress(b" ".join(words), 1)
+    return zstandard.compress(b" ".join(words), 1)
 
 
 def unpack_words(data: bytes) -> list[bytes]:
-    import zlib
+    import zstandard
 
-    return zlib.decompress(data).split(b" ")
+    return zstandard.decompress(data).split(b" ")
 
 
 _UNIT = "unit bigint, doc_ids array<bigint>, sizes binary, train binary, tokens binary, words binary, chars bigint"
