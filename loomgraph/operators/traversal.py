@@ -44,11 +44,11 @@ def _rows(column):
         at += n
 
 
-def per_graph(edges: DataFrame, run, schema: str, more: DataFrame | None = None) -> DataFrame:
-    """run(g, nodes, parents) gives rows of schema, whose g and nodes are of the types that edges(g, src, dst, ord, modifier, confidence) has.
+def graph_batches(edges: DataFrame, call, schema: str, more: DataFrame | None = None) -> DataFrame:
+    """call(batches, arrow) goes over Arrow batches of graphs (g, __edges, __more) and gives batches of arrow, the schema in Arrow's types.
 
-    nodes are sorted; parents has the (src, modifier, confidence) of each node, in the order of the edges. Graphs come many at a
-    time to one call of Python. run gets the graph's rows of more(g, ...), as tuples without g, as a fourth argument.
+    __edges are a graph's (ord, src, dst, modifier, confidence) in their order, __more its rows of more(g, ...) without g. In schema,
+    g and nodes are of the types that edges(g, src, dst, ord, modifier, confidence) has.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -56,28 +56,47 @@ def per_graph(edges: DataFrame, run, schema: str, more: DataFrame | None = None)
     types = dict(edges.dtypes)
     for name, kind in (("g", types["g"]), *((n, types["src"]) for n in ("node", "parent", "ancestor", "component"))):
         schema = ", ".join(f"{name} {kind}" if part == f"{name} int" else part for part in schema.split(", "))
-    names = [x.split()[0] for x in schema.split(", ")]
-    arrow, with_more = to_arrow_schema(StructType.fromDDL(schema)), more is not None
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    grouped = edges.groupBy("g").agg(F.sort_array(F.collect_list(F.struct(*_EDGE))).alias("__edges"))
+    if more is not None:
+        listed = more.groupBy("g").agg(F.collect_list(F.struct(*(c for c in more.columns if c != "g"))).alias("__more"))
+        grouped = grouped.join(listed, "g", "left")
+    return grouped.mapInArrow(lambda batches: call(batches, arrow), schema)
+
+
+def walked(edges: list) -> tuple[list, dict]:
+    """A graph's nodes, sorted, and the (src, modifier, confidence) of each node's parents, in the order of the edges."""
+    parents: dict = {}
+    for _, s, d, m, c in edges:
+        parents.setdefault(d, []).append((s, m, c))
+    return sorted({x for _, s, d, *_ in edges for x in (s, d)}), parents
+
+
+def rows_batch(made: list, arrow):
+    """An Arrow batch of rows as tuples."""
+    import pyarrow as pa
 
-    def call(batches):
-        import pyarrow as pa
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], f.type) for i, f in enumerate(arrow)], schema=arrow)
 
+
+def per_graph(edges: DataFrame, run, schema: str, more: DataFrame | None = None) -> DataFrame:
+    """run(g, nodes, parents) gives rows of schema, with the types that ``graph_batches`` gives it.
+
+    nodes are sorted; parents has the (src, modifier, confidence) of each node, in the order of the edges. Graphs come many at a
+    time to one call of Python. run gets the graph's rows of more(g, ...), as tuples without g, as a fourth argument.
+    """
+    with_more = more is not None
+
+    def call(batches, arrow):
         for batch in batches:
             made = []
             extra = _rows(batch.column("__more")) if with_more else None
             for g, found in zip(batch.column("g").to_pylist(), _rows(batch.column("__edges")), strict=True):
-                parents: dict = {}
-                for _, s, d, m, c in found:
-                    parents.setdefault(d, []).append((s, m, c))
-                nodes = sorted({x for _, s, d, *_ in found for x in (s, d)})
+                nodes, parents = walked(found)
                 made += run(g, nodes, parents) if extra is None else run(g, nodes, parents, next(extra))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], arrow.field(n).type) for i, n in enumerate(names)], schema=arrow)
+            yield rows_batch(made, arrow)
 
-    grouped = edges.groupBy("g").agg(F.sort_array(F.collect_list(F.struct(*_EDGE))).alias("__edges"))
-    if with_more:
-        listed = more.groupBy("g").agg(F.collect_list(F.struct(*(c for c in more.columns if c != "g"))).alias("__more"))
-        grouped = grouped.join(listed, "g", "left")
-    return grouped.mapInArrow(call, schema)
+    return graph_batches(edges, call, schema, more)
 
 
 def levels(edges: DataFrame) -> DataFrame:

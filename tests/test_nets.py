@@ -197,3 +197,53 @@ def test_beta_net_is_dealt_by_number(spark):
     roots = [rng.beta(2, 2, 50) for _ in range(2)]
     a = np.clip(0.2 + 0.5 * np.mean(roots, axis=0), 1e-3, 1 - 1e-3)
     assert [r["mean"] for r in made.orderBy("node").collect()] == [float(x.mean()) for x in (*roots, rng.beta(a, 1 - a))]
+
+
+def test_small_graphs_are_taken_together_and_read_once(spark, monkeypatch):
+    rnd, calls, fold = random.Random(7), spark.sparkContext.accumulator(0), N.RULES["fold"]
+    graphs = {f"g{k:03}": dag(rnd, rnd.randint(2, 5), rnd.randint(1, 6)) for k in range(300)}
+    monkeypatch.setitem(N.RULES, "fold", lambda m, v: (calls.add(1), fold(m, v))[1])
+    targets = spark.createDataFrame([(g, min(t for _, t, _ in es), 0.9) for g, es in graphs.items()], "g string, node string, value double")
+    found = N.do_against_see(frame(spark, graphs), targets, "fold")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert found.where("seen IS NOT NULL").count() == sum(len({x for s, t, _ in es for x in (s, t)}) for es in graphs.values())
+    # a call takes many graphs' nodes; one by one there are over 900
+    assert 0 < calls.value < 300
+
+
+@pytest.mark.parametrize("rule", ["mean", "fold"])
+def test_graphs_taken_together_equal_each_by_itself(spark, rule):
+    """Cycles, loops, repeated edges, interventions and soft, hard and impossible evidence of several nodes, on both sides of the limit."""
+    rnd = random.Random(11)
+    graphs = {f"g{k:02}": dag(rnd, rnd.randint(2, 9), rnd.randint(1, 12)) for k in range(60)}
+    for k in range(0, 60, 7):
+        s, t, m = graphs[f"g{k:02}"][0]
+        graphs[f"g{k:02}"].append((t, s if k % 2 else t, m))
+    graphs["large"] = [(f"n{i:02}", f"n{i + 1:02}", 0.3) for i in range(N.STATES_OF)]
+    pick = lambda values: {g: {n: rnd.choice(values) for n in {rnd.choice(es)[rnd.randrange(2)] for _ in range(3)} if rnd.random() < 0.6} for g, es in graphs.items()}
+    done, seen = pick([0.0, 0.8, 1.0]), pick([0.0, 0.2, 0.7, 1.0])
+    df = lambda of: spark.createDataFrame([(g, n, v) for g, listed in of.items() for n, v in listed.items()], "g string, node string, value double")
+    e, nulls = frame(spark, graphs), 0
+    got = {(r["g"], r["node"]): r["p"] for r in N.exact(e, rule, 0.0, do=df(done), seen=df(seen)).collect()}
+    given = {(r["g"], r["node"], r["parent"]): r for r in N.given_parents(e, rule, 0.0, do=df(done), seen=df(seen)).collect()}
+    for g, es in graphs.items():
+        nodes, parents = sorted({x for s, t, _ in es for x in (s, t)}), {}
+        for s, t, m in es:
+            parents.setdefault(t, []).append((s, m, abs(m)))
+        beliefs = N.infer(nodes, parents, N.RULES[rule], 0.0, done[g], seen[g])
+        nulls += beliefs is None
+        for n in nodes:
+            above = [] if n in done[g] else sorted({s for s, *_ in parents.get(n, ())})
+            p = None if beliefs is None else float(N.joint(beliefs, (n,))[1])
+            assert same(got.pop((g, n)), p)
+            for parent in above or [None]:
+                r = given.pop((g, n, parent))
+                assert same(r["p"], p) and same(r["std"] and r["std"] ** 2, None if p is None else p * (1 - p))
+                if p is None or parent is None:
+                    assert r["p_given_0"] is None and r["p_given_1"] is None
+                elif parent != n:
+                    both = N.joint(beliefs, (parent, n))
+                    for name, pair in zip(("p_given_0", "p_given_1"), both, strict=True):
+                        # a value that can't be may be left with what rounding makes of it
+                        assert pair.sum() < 1e-12 or same(r[name], float(pair[1] / pair.sum()))
+    assert not got and not given and 0 < nulls < 61
